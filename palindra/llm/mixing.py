@@ -6,6 +6,7 @@ import hashlib
 from collections.abc import Callable
 from random import Random
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,58 +43,52 @@ def target_shares(sizes: list[int], weights: list[float], share: float, most: fl
     return targets
 
 
-def _null_vector(rows: list[tuple[float, float]]) -> list[float]:
-    """A direction over the units that keeps both totals: tokens and documents."""
-    if len(rows) == 3:
-        a, b, c = (r[0] for r in rows)
-        u = [b - c, c - a, a - b]
-        return u if any(u) else [1.0, -1.0, 0.0]
-    return [1.0, -1.0] if rows[0][0] == rows[1][0] else []
-
-
 def cube_flight(sizes: list[float], chance: list[float], rng: Random, land: bool = False) -> list[float]:
     """The probabilities after the flight: all but at most two are 0 or 1.
 
-    Three open units at a time move along the null space of the two balance constraints (sum of
-    sizes, number of units) until one settles. With ``land``, the open rest gives up first the
-    number of units, then the sizes.
+    Each move takes the largest open unit's direction, projected onto the null space of the two
+    balance constraints over all open units (sum of sizes, number of units), as far as the first
+    unit that settles, up or down at random so that no probability changes on average. Large
+    units settle while many small ones can make up for them. With ``land``, the open rest gives
+    up first the number of units, then the sizes.
     """
-    p = list(chance)
-    window: list[int] = []
-
-    def settle() -> None:
-        for k in list(window):
-            if p[k] < EPS or p[k] > 1 - EPS:
-                p[k] = float(round(p[k]))
-                window.remove(k)
-
-    def move(units: list[int], u: list[float]) -> None:
-        up = min(((1 - p[k]) / v if v > 0 else -p[k] / v) for k, v in zip(units, u, strict=True) if v)
-        down = min((p[k] / v if v > 0 else (p[k] - 1) / v) for k, v in zip(units, u, strict=True) if v)
-        step = up if rng.random() * (up + down) < down else -down
-        for k, v in zip(units, u, strict=True):
-            p[k] += step * v
-
-    for k in range(len(p)):
-        window.append(k)
-        settle()
-        if len(window) == 3:
-            move(window, _null_vector([(sizes[x], 1.0) for x in window]))
-            settle()
-            if len(window) == 3:  # rounding left all three just inside
-                p[window[0]] = float(round(p[window[0]]))
-                window.pop(0)
-    if len(window) == 2 and (u := _null_vector([(sizes[x], 1.0) for x in window])):
-        move(window, u)
-        settle()
+    size, p = np.asarray(sizes, float), np.asarray(chance, float).copy()
+    p[p < EPS], p[p > 1 - EPS] = 0.0, 1.0
+    open_ = np.flatnonzero((p > 0) & (p < 1))
+    open_ = open_[np.argsort(-size[open_], kind="stable")]
+
+    def move(units: np.ndarray, u: np.ndarray) -> np.ndarray:
+        q = p[units]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            up = np.where(u > 0, (1 - q) / u, np.where(u < 0, -q / u, np.inf)).min()
+            down = np.where(u > 0, q / u, np.where(u < 0, (q - 1) / u, np.inf)).min()
+        q = q + (up if rng.random() * (up + down) < down else -down) * u
+        q[q < EPS], q[q > 1 - EPS] = 0.0, 1.0
+        p[units] = q
+        return units[(q > 0) & (q < 1)]
+
+    while len(open_) > 2:
+        c = size[open_] - size[open_].mean()
+        spread, n = float(c @ c), len(open_)
+        free = 1 - 1 / n - (c * c / spread if spread > 0 else 0)
+        k = int(np.argmax(free > 1e-6)) if (free > 1e-6).any() else int(np.argmax(free))
+        u = -1 / n - (c * (c[k] / spread) if spread > 0 else np.zeros(n))
+        u[k] += 1
+        u[np.abs(u) < 1e-13] = 0.0
+        if not u.any():
+            break
+        after = move(open_, u)
+        if len(after) == n:  # rounding left all just inside
+            p[open_[-1]] = round(p[open_[-1]])
+            after = open_[:-1]
+        open_ = after
+    if len(open_) == 2 and (land or size[open_[0]] == size[open_[1]]):
+        a, b = size[open_]
+        open_ = move(open_, np.array([1.0, -1.0] if a == b else [max(b, 1e-9), -max(a, 1e-9)]))
     if land:
-        if len(window) == 2:
-            a, b = (max(sizes[x], 1e-9) for x in window)
-            move(window, [b, -a])
-            settle()
-        for k in window:
+        for k in open_:
             p[k] = 1.0 if rng.random() < p[k] else 0.0
-    return p
+    return p.tolist()
 
 
 def _flight(seed: int, land: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:

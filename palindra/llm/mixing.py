@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from palindra.llm.common import cut, read, word_count
 
 #: Units that one task moves at a time; what it leaves open is at most as many as the constraints.
-BLOCK = 4096
+BLOCK = 1024
 #: A probability within this of 0 or 1 is settled.
 EPS = 1e-9
 #: Sources up to this many are sent to all executors with their targets.

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from palindra.llm import chat, mixing, sharding
+from palindra.llm import chat, langid, mixing, sharding, simhash
 
-QUERIES = {"op2_mixing": mixing.op2_mixing, "op3_chat": chat.op3_chat, "op9_sharding": sharding.op9_sharding}
+QUERIES = {
+    "op2_mixing": mixing.op2_mixing,
+    "op3_chat": chat.op3_chat,
+    "op8_simhash": simhash.op8_simhash,
+    "op9_sharding": sharding.op9_sharding,
+    "op10_langid": langid.op10_langid,
+}
 ORACLES: dict[str, str] = {"op3_chat": chat.ORACLE}

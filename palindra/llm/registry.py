@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from palindra.llm import chat, langid, mixing, sharding, simhash
+from palindra.llm import chat, embedding, langid, mixing, sharding, simhash
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op3_chat": chat.op3_chat,
+    "op4_embedding": embedding.op4_embedding,
     "op8_simhash": simhash.op8_simhash,
     "op9_sharding": sharding.op9_sharding,
     "op10_langid": langid.op10_langid,

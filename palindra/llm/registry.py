@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from palindra.llm import chat, embedding, langid, mixing, sharding, simhash
+from palindra.llm import chat, embedding, langid, mixing, sharding, simhash, topk
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op3_chat": chat.op3_chat,
     "op4_embedding": embedding.op4_embedding,
+    "op6_topk": topk.op6_topk,
     "op8_simhash": simhash.op8_simhash,
     "op9_sharding": sharding.op9_sharding,
     "op10_langid": langid.op10_langid,
 }
-ORACLES: dict[str, str] = {"op3_chat": chat.ORACLE}
+ORACLES: dict[str, str] = {"op3_chat": chat.ORACLE, "op6_topk": topk.ORACLE}

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from palindra.llm import chat, embedding, langid, mixing, sharding, simhash, topk
+from palindra.llm import chat, embedding, html_text, langid, mixing, sharding, simhash, topk
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op3_chat": chat.op3_chat,
     "op4_embedding": embedding.op4_embedding,
+    "op5_html": html_text.op5_html,
     "op6_topk": topk.op6_topk,
     "op8_simhash": simhash.op8_simhash,
     "op9_sharding": sharding.op9_sharding,

@@ -201,6 +201,11 @@ LABELLED = (
     """<div><a>Front page</a></div><div><a>Letters</a></div><h1 data-keep>Bees</h1><p data-keep>A hive in winter is never silent, and whoever puts an ear to the wood hears a steady hum from within.</p>
     <p data-keep>They eat what they stored in summer, and turn so that each has a time in the middle of the cluster.</p><p data-keep>Then spring.</p>
     <p data-keep>With the first crocus they fly out, and the keeper can count at last how many of them have lived.</p><div><a>Older</a></div><div><a>Newer</a></div><div>Made with care</div><div>Version 3</div>""",
+    """<nav><a>Home</a></nav><article data-keep><h1>Rain</h1><p>It rained for nine days without a pause, and on the tenth the cellar door floated up the steps.</p><p>The end.</p></article>""",
+    """<article data-keep><p>A page may hold nothing but its article, with no frame around it at all, and end on a short line.</p><p>Like so.</p></article>""",
+    """<p data-keep>Some pages are bare: a paragraph or two of plain text without any element that says what they are.</p>
+    <p data-keep>They are kept as they stand, because nothing in them looks like the frame of a site to anyone.</p>""",
+    """<article data-keep><p>Yes.</p></article>""",
 )
 
 

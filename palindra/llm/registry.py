@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palindra.llm import chat, embedding, html_text, langid, mixing, sharding, simhash, topk
+from palindra.llm import chat, embedding, html_text, langid, mixing, sharding, simhash, suffix, topk
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_embedding": embedding.op4_embedding,
     "op5_html": html_text.op5_html,
     "op6_topk": topk.op6_topk,
+    "op7_suffix": suffix.op7_suffix,
     "op8_simhash": simhash.op8_simhash,
     "op9_sharding": sharding.op9_sharding,
     "op10_langid": langid.op10_langid,

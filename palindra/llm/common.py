@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,20 +25,32 @@ def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _checkpoint_dir(spark: SparkSession) -> None:
+    if not spark.conf.get("spark.checkpoint.dir", "") and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="palindra-"))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared checkpoint folder, free of its lineage.
 
     The folder is the session's ``spark.checkpoint.dir``. Only where that is unset, as in
     tests on one machine, a temporary folder takes its place.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", "") and spark.sparkContext.getCheckpointDir() is None:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="palindra-"))
+    _checkpoint_dir(df.sparkSession)
     return df.checkpoint(True)
 
 
+def store(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet in the shared checkpoint folder, and read again."""
+    spark = df.sparkSession
+    _checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def word_count(text) -> F.Column:
     """Words of ``text``; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -59,11 +72,11 @@ def byte_views(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at
 
 
-def pieces(batch: pa.RecordBatch, text: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, text: str | int, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """``batch`` in slices of about ``limit`` bytes of ``text``, a row at least."""
     if not batch.num_rows:
         return
-    _, at = byte_views(batch.column(batch.schema.get_field_index(text)))
+    _, at = byte_views(batch.column(text if isinstance(text, int) else batch.schema.get_field_index(text)))
     start, n = 0, batch.num_rows
     while start < n:
         end = max(start + 1, int(np.searchsorted(at, at[start] + limit, side="right")) - 1)

@@ -96,7 +96,7 @@ def learn_profiles(rows: DataFrame, size: int = PROFILE) -> list[tuple[str, list
     return [(lang, [key for _, key in sorted(found[lang])]) for lang in sorted(found)]
 
 
-def _predict(profiles: list[tuple[str, list[int]]], size: int):
+def _predict(profiles: list[tuple[str, list[int]]], size: int, names: list[str]):
     langs = [lang for lang, _ in profiles]
     keys = np.array(sorted({k for _, p in profiles for k in p}), np.int64)
     ranks = np.full((len(keys) + 1, max(1, len(langs))), -1, np.int64)
@@ -105,7 +105,7 @@ def _predict(profiles: list[tuple[str, list[int]]], size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in pieces(whole, "text"):
+            for batch in pieces(whole, 1):
                 texts, n_docs = [t or "" for t in batch.column(1).to_pylist()], batch.num_rows
                 lang, score = ["und"] * n_docs, np.zeros(n_docs)
                 owner, key, n = counted(*ngrams(texts), n_docs)
@@ -127,13 +127,14 @@ def _predict(profiles: list[tuple[str, list[int]]], size: int):
                     for doc, b in zip(who[start].tolist(), best.tolist(), strict=True):
                         lang[doc] = langs[b]
                     score[who[start]] = 1 - total.min(axis=1) / (held * size)
-                yield pa.record_batch([batch.column(0), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
+                held_columns = [batch.column(0), *(batch.column(k) for k in range(2, batch.num_columns))]
+                yield pa.record_batch([*held_columns, pa.array(lang, pa.string()), pa.array(score)], names)
 
     return run
 
 
-def identify(docs: DataFrame, profiles: list[tuple[str, list[int]]], size: int = PROFILE, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score) of every row by the least out-of-place distance.
+def identify(docs: DataFrame, profiles: list[tuple[str, list[int]]], size: int = PROFILE, carry: tuple[str, ...] = (), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, carried columns, lang_pred, score) of every row by the least out-of-place distance.
 
     A document's ``size`` most frequent n-grams are ranked; an n-gram costs the difference of its
     ranks in the two profiles, or ``size`` where the language lacks it. The score is 1 less the
@@ -141,7 +142,11 @@ def identify(docs: DataFrame, profiles: list[tuple[str, list[int]]], size: int =
     texts and texts without a letter are ``und`` with score 0, as is every text if no profile was
     learned. Repeated rows return as often as they come; whole texts are read.
     """
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(_predict(profiles, size), "doc_id long, lang_pred string, score double")
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("_text"), *carry)
+    fields = [f for f in rows.schema if f.name != "_text"]
+    rows = rows.withColumnRenamed("_text", "text") if "text" not in carry else rows
+    named = _predict(profiles, size, [*(f.name for f in fields), "lang_pred", "score"])
+    return rows.mapInArrow(named, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", lang_pred string, score double")
 
 
 def held_out(key: str = "doc_id") -> F.Column:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from palindra.llm import chat, embedding, html_text, langid, mixing, sharding, simhash, suffix, topk
+from palindra.llm import chat, embedding, html_text, langid, lattice, mixing, sharding, simhash, suffix, topk
 
 QUERIES = {
+    "op1_sentencepiece": lattice.op1_sentencepiece,
     "op2_mixing": mixing.op2_mixing,
     "op3_chat": chat.op3_chat,
     "op4_embedding": embedding.op4_embedding,

@@ -324,8 +324,8 @@ def _mark(window: int, limit: int):
     return run
 
 
-def _cover(window: int):
-    """The documents of a pack with what is left of them."""
+def _cover(window: int, keep: str | None):
+    """The documents of a pack and what is left of them, as bytes, as text or only in figures."""
     bits = window - ANCHOR + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -356,21 +356,22 @@ def _cover(window: int):
                 for s, e in zip(pack.start[:-1].tolist(), pack.start[1:].tolist(), strict=True):
                     part = gone[s:e]
                     left = pack.bytes[s:e][~part].tobytes() if part.any() else pack.bytes[s:e].tobytes()
-                    kept.append(left)
+                    if keep:
+                        kept.append(left if keep == "bytes" else left.decode("utf-8", "ignore"))
                     removed.append(int(part.sum()))
                     spans.append(int((part[1:] & ~part[:-1]).sum() + part[0]) if len(part) else 0)
                     digests.append(hashlib.sha256(left).hexdigest())
                 with pa.ipc.open_stream(unsqueeze.decompress(rest)) as reader:
                     table = reader.read_all().combine_chunks()
                 columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in table.columns]
-                names = table.schema.names + ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-                more = [pa.array(np.diff(pack.start)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests), pa.array(kept, pa.binary())]
+                names = table.schema.names + ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * bool(keep)
+                more = [pa.array(np.diff(pack.start)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests), *([pa.array(kept, pa.binary() if keep == "bytes" else pa.string())] if keep else [])]
                 yield pa.record_batch([*columns, *more], names)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, carry: tuple[str, ...] = (), key: str = "doc_id", text: str = "text", hot: int = HOT, pack: int = PACK, index: int = INDEX) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 50, carry: tuple[str, ...] = (), keep: str | None = "bytes", key: str = "doc_id", text: str = "text", hot: int = HOT, pack: int = PACK, index: int = INDEX) -> DataFrame:
     """Each document without the bytes that an earlier one holds in a run of ``window`` or more.
 
     A byte goes if it is covered by a ``window``-byte string that also starts in a document with a
@@ -387,8 +388,11 @@ def remove_repeats(docs: DataFrame, window: int = 50, carry: tuple[str, ...] = (
 
     Null and short texts lose nothing. Rows with equal keys are no earlier documents of each
     other. ``carry`` names columns to return as they are. Empty: empty. Returns doc_id, the carried
-    columns, n_bytes, n_removed, n_spans, kept_sha256 and the bytes kept.
+    columns, n_bytes, n_removed, n_spans, kept_sha256 and, unless ``keep`` is None, what was kept:
+    "bytes", or "text" without the bytes of characters that a removed passage splits.
     """
+    if keep not in (None, "bytes", "text"):
+        raise ValueError("keep is None, bytes or text")
     if not 32 + 8 <= window <= 63:
         raise ValueError("window must be within 40 .. 63")
     spark = docs.sparkSession
@@ -404,8 +408,8 @@ def remove_repeats(docs: DataFrame, window: int = 50, carry: tuple[str, ...] = (
     places = found.where("kind = 1").select("pack", F.col("blob").alias("places"))
     answered = packs.join(places.join(marks, "pack", "left"), "pack", "left")
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    return answered.mapInArrow(_cover(window), f"{head}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return answered.mapInArrow(_cover(window, keep), f"{head}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + {None: "", "bytes": ", kept binary", "text": ", kept string"}[keep])
 
 
 def op7_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(read(spark, sf_dir, "documents")).drop("kept")
+    return remove_repeats(read(spark, sf_dir, "documents"), keep=None)

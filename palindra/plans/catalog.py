@@ -1,7 +1,335 @@
-"""Queries by name and, where SQL can express them, their DuckDB text."""
+"""Queries over the driver's tables by name and, where SQL can express them, their DuckDB text.
+
+The tables hold no DNA, so two views derive it from ``documents``: ``dna`` maps the letters of
+whole texts to bases, ``planted`` puts one element with an inexact second arm into each.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from palindra.functions import sequence
+from palindra.functions.running import before
+from palindra.operators import extension, overlap, repeats, similarity, tsd
+from palindra.plans import pipeline
+from palindra.plans.params import Params
+from palindra.sources import fasta, gff
+
+P = Params()
 QUERIES: dict = {}
 ORACLES: dict = {}
-FLAGSHIP = ""
+FLAGSHIP = "find_elements"
+
+DNA_SQL = """dna AS (SELECT doc_id, regexp_replace(translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC'), '[^ACGT]', '', 'g') AS s FROM documents)"""
+PLANTED_SQL = (
+    DNA_SQL
+    + """, planted AS (SELECT doc_id, substr(s,1,60)||substr(s,61,5)||substr(s,66,40)||substr(s,106,50)
+  ||reverse(translate(substr(s,66,18)||substr(s,200,1)||substr(s,85,21),'ACGT','TGCA'))||substr(s,61,5)||substr(s,160,60) AS s FROM dna WHERE length(s) >= 220)"""
+)
+#: Letters of the raw text as a sequence with special bases in it.
+MIXED_SQL = "mixed AS (SELECT doc_id, translate(text, ' etaoin', 'NACGTAC') AS s FROM documents)"
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def dna(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    letters = F.translate(F.lower("text"), "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC")
+    return docs.select("doc_id", F.regexp_replace(letters, "[^ACGT]", "").alias("s"))
+
+
+def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = lambda at, n: F.substring("s", at, n)
+    second = sequence.reverse_complement(F.concat(part(66, 18), part(200, 1), part(85, 21)))
+    whole = F.concat(part(1, 60), part(61, 5), part(66, 40), part(106, 50), second, part(61, 5), part(160, 60))
+    return dna(spark, sf_dir).where(F.length("s") >= 220).select("doc_id", whole.alias("s"))
+
+
+def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", F.translate("text", " etaoin", "NACGTAC").alias("s"))
+
+
+def contigs(rows: DataFrame) -> DataFrame:
+    return rows.select(F.lit("documents").alias("file"), F.col("doc_id").alias("contig_no"), F.concat(F.lit("doc"), "doc_id").alias("seqid"), F.col("s").alias("seq"))
+
+
+@query("contig_stats", f"WITH {DNA_SQL} SELECT count(*)::BIGINT AS n_contigs, sum(length(s))::BIGINT AS n_bases, min(length(s))::BIGINT AS shortest, max(length(s))::BIGINT AS longest FROM dna")
+def contig_stats(spark, sf_dir):
+    n = F.length("s").cast("long")
+    return dna(spark, sf_dir).agg(F.count("*").alias("n_contigs"), F.sum(n).alias("n_bases"), F.min(n).alias("shortest"), F.max(n).alias("longest"))
+
+
+@query("base_codes", f"WITH {MIXED_SQL}, x AS (SELECT unnest(string_split(s, '')) AS base FROM mixed) SELECT CASE WHEN instr('ACGT', upper(base)) > 0 THEN instr('ACGT', upper(base)) - 1 END::INT AS code, count(*)::BIGINT AS n FROM x WHERE base <> '' GROUP BY 1")
+def base_codes(spark, sf_dir):
+    bases = mixed(spark, sf_dir).select(F.explode(F.split("s", "")).alias("base")).where("base <> ''")
+    return bases.groupBy(sequence.base_code(F.col("base")).cast("int").alias("code")).agg(F.count("*").alias("n"))
+
+
+@query("base_composition", f"WITH {DNA_SQL} SELECT doc_id, " + ", ".join(f"(length(s) - length(replace(s, '{b}', '')))::BIGINT AS n_{b.lower()}" for b in "ACGT") + " FROM dna")
+def base_composition(spark, sf_dir):
+    return dna(spark, sf_dir).select("doc_id", *[(F.length("s") - F.length(F.replace("s", F.lit(b)))).cast("long").alias(f"n_{b.lower()}") for b in "ACGT"])
+
+
+@query("nonspecial_count", f"WITH {MIXED_SQL} SELECT sum(2 * length(regexp_replace(upper(s), '[^ACGT]', '', 'g')))::BIGINT AS n FROM mixed")
+def nonspecial_count(spark, sf_dir):
+    """Positions with A, C, G or T on both strands."""
+    return mixed(spark, sf_dir).agg(F.sum(2 * sequence.count_bases(F.col("s"))).cast("long").alias("n"))
+
+
+@query("reverse_complement", f"WITH {DNA_SQL} SELECT doc_id, reverse(translate(s, 'ACGT', 'TGCA')) AS rc FROM dna")
+def reverse_complement(spark, sf_dir):
+    return dna(spark, sf_dir).select("doc_id", sequence.reverse_complement(F.col("s")).alias("rc"))
+
+
+@query("contig_offsets", f"WITH {DNA_SQL} SELECT doc_id, coalesce(sum(length(s) + 1) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS offset_start FROM dna")
+def contig_offsets(spark, sf_dir):
+    """Where each contig starts if all are written one after another with a separator."""
+    rows = dna(spark, sf_dir).select("doc_id", (F.length("s") + 1).cast("long").alias("size"), F.lit("documents").alias("file"))
+    return before(rows, "size", "offset_start", ["file"], ["doc_id"], F.floor(F.col("doc_id") / 4096), "sum").select("doc_id", F.col("offset_start").cast("long").alias("offset_start"))
+
+
+_SEEDS_SQL = f""", k AS (SELECT doc_id, a, substr(s, a + 1, 20) AS kmer FROM (SELECT doc_id, s, unnest(range(0, length(s) - 19)) AS a FROM planted)),
+m AS (SELECT x.doc_id, x.a, y.a AS b, x.a + y.a AS d FROM k x JOIN k y ON x.doc_id = y.doc_id AND x.kmer = reverse(translate(y.kmer, 'ACGT', 'TGCA')) AND y.a - x.a BETWEEN {P.band[0]} AND {P.band[1]}),
+r AS (SELECT *, a - row_number() OVER (PARTITION BY doc_id, d ORDER BY a) AS island FROM m),
+runs AS (SELECT doc_id, min(a) AS a, d - max(a) AS b, max(a) - min(a) + 20 AS len FROM r GROUP BY doc_id, d, island),
+seeds AS (SELECT doc_id AS contig_no, a::BIGINT AS a, b::BIGINT AS b, len::BIGINT AS len FROM runs WHERE len BETWEEN 20 AND 1000 AND b - a BETWEEN 10 AND 5000)"""
+
+
+@query("mirror_coords", f"WITH {PLANTED_SQL}{_SEEDS_SQL} SELECT contig_no, a, b, len, a AS pos1, (2 * length(s) + 1 - b - len)::BIGINT AS pos2, (2 * length(s) - a)::BIGINT AS reversed FROM seeds JOIN planted ON doc_id = contig_no")
+def mirror_coords(spark, sf_dir):
+    """Seeds in the coordinates of a contig followed by a separator and its reverse complement."""
+    rows = planted(spark, sf_dir)
+    total = 2 * F.length("seq") + 1
+    found = repeats.seeds(contigs(rows), P).join(contigs(rows).select("contig_no", "seq"), "contig_no")
+    return found.select("contig_no", "a", "b", "len", F.col("a").alias("pos1"), (total - F.col("b") - F.col("len")).alias("pos2"), (total - 1 - F.col("a")).alias("reversed"))
+
+
+@query("contig_bounds", f"WITH {PLANTED_SQL}{_SEEDS_SQL}, t AS (SELECT s.*, length(p.s) AS n FROM seeds s JOIN planted p ON doc_id = contig_no) SELECT contig_no, a, b, len, least(1000 - len, a, n - (b + len) + 1)::BIGINT AS outward, least(1000 - len, n - (a + len), b - 1)::BIGINT AS inward FROM t")
+def contig_bounds(spark, sf_dir):
+    """How far each seed may extend before it meets the end of its contig or the arm limit."""
+    rows = planted(spark, sf_dir)
+    n, room = F.length("seq"), P.max_arm - F.col("len")
+    found = repeats.seeds(contigs(rows), P).join(contigs(rows).select("contig_no", "seq"), "contig_no")
+    return found.select("contig_no", "a", "b", "len", F.least(room, F.col("a"), n - (F.col("b") + F.col("len")) + 1).alias("outward"), F.least(room, n - (F.col("a") + F.col("len")), F.col("b") - 1).alias("inward"))
+
+
+@query("kmer_scan", f"WITH {PLANTED_SQL}, k AS (SELECT substr(s, a + 1, 20) AS kmer FROM (SELECT s, unnest(range(0, length(s) - 19)) AS a FROM planted)) SELECT kmer, count(*)::BIGINT AS n FROM k GROUP BY kmer")
+def kmer_scan(spark, sf_dir):
+    return repeats.kmers(contigs(planted(spark, sf_dir)), P.seed).groupBy("kmer").agg(F.count("*").alias("n"))
+
+
+@query("kmer_rc_join", f"WITH {PLANTED_SQL}{_SEEDS_SQL} SELECT doc_id AS contig_no, count(*)::BIGINT AS n, sum(b - a)::BIGINT AS distance FROM m GROUP BY 1")
+def kmer_rc_join(spark, sf_dir):
+    found = repeats.kmer_matches(contigs(planted(spark, sf_dir)), P.seed, *P.band)
+    return found.groupBy("contig_no").agg(F.count("*").alias("n"), F.sum(F.col("b") - F.col("a")).alias("distance"))
+
+
+@query("maximal_inverted_repeats", f"WITH {PLANTED_SQL}{_SEEDS_SQL} SELECT doc_id AS contig_no, a::BIGINT AS a, b::BIGINT AS b, len::BIGINT AS len FROM runs")
+def maximal_inverted_repeats(spark, sf_dir):
+    return repeats.maximal_repeats(contigs(planted(spark, sf_dir)), P.seed, *P.band).select("contig_no", *[F.col(c).cast("long").alias(c) for c in ("a", "b", "len")])
+
+
+@query("maximal_direct_repeats", f"""WITH {PLANTED_SQL}, k AS (SELECT doc_id, a, substr(s, a + 1, 12) AS kmer FROM (SELECT doc_id, s, unnest(range(0, length(s) - 11)) AS a FROM planted)),
+m AS (SELECT x.doc_id, x.a, y.a - x.a AS d FROM k x JOIN k y ON x.doc_id = y.doc_id AND x.kmer = y.kmer AND y.a > x.a AND y.a - x.a <= 5000),
+r AS (SELECT *, a - row_number() OVER (PARTITION BY doc_id, d ORDER BY a) AS island FROM m)
+SELECT doc_id AS contig_no, min(a)::BIGINT AS a, (min(a) + d)::BIGINT AS b, (max(a) - min(a) + 12)::BIGINT AS len FROM r GROUP BY doc_id, d, island""")
+def maximal_direct_repeats(spark, sf_dir):
+    found = repeats.maximal_repeats(contigs(planted(spark, sf_dir)), 12, 1, P.max_distance, inverted=False)
+    return found.select("contig_no", *[F.col(c).cast("long").alias(c) for c in ("a", "b", "len")])
+
+
+@query("seeds", f"WITH {PLANTED_SQL}{_SEEDS_SQL} SELECT * FROM seeds")
+def seeds(spark, sf_dir):
+    return repeats.seeds(contigs(planted(spark, sf_dir)), P).select("contig_no", "a", "b", "len")
+
+
+@query("seeds_whole_texts", f"WITH {DNA_SQL.replace('dna AS', 'planted AS')}{_SEEDS_SQL} SELECT * FROM seeds")
+def seeds_whole_texts(spark, sf_dir):
+    return repeats.seeds(contigs(dna(spark, sf_dir)), P).select("contig_no", "a", "b", "len")
+
+
+@query("seeds_by_join", f"WITH {PLANTED_SQL}{_SEEDS_SQL} SELECT * FROM seeds")
+def seeds_by_join(spark, sf_dir):
+    return repeats.seeds_by_join(contigs(planted(spark, sf_dir)), P).select("contig_no", *[F.col(c).cast("long").alias(c) for c in ("a", "b", "len")])
+
+
+@query("seed_length_hist", f"WITH {PLANTED_SQL}{_SEEDS_SQL} SELECT len, count(*)::BIGINT AS n FROM seeds GROUP BY len")
+def seed_length_hist(spark, sf_dir):
+    return seeds(spark, sf_dir).groupBy("len").agg(F.count("*").alias("n"))
+
+
+@query("seed_flanks", f"WITH {PLANTED_SQL}{_SEEDS_SQL} SELECT contig_no, a, b, len, reverse(substr(s, greatest(a - 20, 0) + 1, least(a, 20))) AS outward_left, translate(substr(s, b + len + 1, 20), 'ACGT', 'TGCA') AS outward_right FROM seeds JOIN planted ON doc_id = contig_no")
+def seed_flanks(spark, sf_dir):
+    rows = contigs(planted(spark, sf_dir))
+    found = repeats.seeds(rows, P).join(rows.select("contig_no", "seq"), "contig_no")
+    left = F.reverse(F.substr("seq", (F.greatest(F.col("a") - 20, F.lit(0)) + 1).cast("int"), F.least(F.col("a"), F.lit(20)).cast("int")))
+    right = sequence.complement(F.substr("seq", (F.col("b") + F.col("len") + 1).cast("int"), F.lit(20)))
+    return found.select("contig_no", "a", "b", "len", left.alias("outward_left"), right.alias("outward_right"))
+
+
+@query("lce", f"WITH {DNA_SQL}, t AS (SELECT doc_id, substr(s, 1, 40) AS u, substr(s, 41, 40) AS v FROM dna) SELECT doc_id, len(list_filter(range(1, least(length(u), length(v)) + 1), lambda n: substr(u, 1, n) = substr(v, 1, n)))::INT AS n FROM t")
+def lce(spark, sf_dir):
+    """Longest common extension of two stretches of each sequence."""
+    return dna(spark, sf_dir).select("doc_id", sequence.common_prefix(F.substring("s", 1, 40), F.substring("s", 41, 40)).cast("int").alias("n"))
+
+
+#: The planted arms by their coordinates, not by search.
+_ARMS_SQL = f"""WITH {PLANTED_SQL}, arms AS (SELECT doc_id, s, substr(s, 53, 27) AS lw, substr(s, 183, 27) AS rw FROM planted),
+c AS (SELECT doc_id, p, q, lw, len(list_filter([2,3,4,5,6,7,8,9,10,11], lambda n: p + n <= length(lw) AND q + n <= length(rw) AND substr(lw, p + 1, n) = substr(rw, q + 1, n))) + 1 AS m
+  FROM (SELECT *, unnest(range(0, length(rw) - 1)) AS q FROM (SELECT *, unnest(range(0, length(lw) - 1)) AS p FROM arms))
+  WHERE substr(lw, p + 1, 2) = substr(rw, q + 1, 2) AND (p = 0 OR q = 0 OR substr(lw, p, 1) <> substr(rw, q, 1)))"""
+
+
+def _planted_arms(spark, sf_dir):
+    return planted(spark, sf_dir).select("doc_id", F.substring("s", 53, 27).alias("lw"), F.substring("s", 183, 27).alias("rw"))
+
+
+@query("tsd_candidates", _ARMS_SQL + " SELECT doc_id, p::INT AS p, q::INT AS q, m::INT AS m FROM c")
+def tsd_candidates(spark, sf_dir):
+    found = _planted_arms(spark, sf_dir).select("doc_id", F.explode(tsd.candidates(F.col("lw"), F.col("rw"), P.min_tsd, P.max_tsd)).alias("c"))
+    return found.select("doc_id", "c.p", "c.q", "c.m")
+
+
+@query("best_tsd", _ARMS_SQL + """, e AS (SELECT *, abs(65 - (52 + p + m - 1)) + abs(195 - (182 + q)) AS cost, row_number() OVER (PARTITION BY doc_id ORDER BY abs(65 - (52 + p + m - 1)) + abs(195 - (182 + q)), q, substr(lw, p + 1) || '~') AS k FROM c WHERE m < 11)
+SELECT doc_id, cost::BIGINT AS cost, (52 + p)::BIGINT AS p, (182 + q)::BIGINT AS q, m::BIGINT AS m FROM e WHERE k = 1""")
+def best_tsd(spark, sf_dir):
+    long = lambda x: F.lit(x).cast("long")
+    found = _planted_arms(spark, sf_dir).withColumn("x", tsd.best(F.col("lw"), F.col("rw"), long(52), long(182), long(65), long(195), P)).where("x IS NOT NULL")
+    return found.select("doc_id", "x.cost", "x.p", "x.q", "x.m")
+
+
+_SIM_SQL = f"WITH {PLANTED_SQL}, t AS (SELECT doc_id, substr(s, 66, 39) AS u, reverse(translate(substr(s, 157, 39), 'ACGT', 'TGCA')) AS v FROM planted), x AS (SELECT doc_id, levenshtein(u, v)::INT AS edit_distance, 100.0::DOUBLE * (1.0::DOUBLE - levenshtein(u, v)::DOUBLE / greatest(length(u), length(v))) AS sim FROM t)"
+
+
+def _arm_similarity(spark, sf_dir):
+    rows = planted(spark, sf_dir).select("doc_id", F.substring("s", 66, 39).alias("u"), sequence.reverse_complement(F.substring("s", 157, 39)).alias("v"))
+    return rows.select("doc_id", F.levenshtein("u", "v").alias("edit_distance"), sequence.similarity(F.col("u"), F.col("v")).alias("sim"))
+
+
+@query("arm_similarity", _SIM_SQL + " SELECT * FROM x")
+def arm_similarity(spark, sf_dir):
+    return _arm_similarity(spark, sf_dir)
+
+
+@query("similarity_gate", _SIM_SQL + " SELECT * FROM x WHERE sim >= 98")
+def similarity_gate(spark, sf_dir):
+    return _arm_similarity(spark, sf_dir).where("sim >= 98")
+
+
+#: Intervals from the fact tables: a customer's orders as stretches of days, the price as similarity.
+_INTERVALS_SQL = """WITH t AS (SELECT o_custkey AS contig_no, o_orderkey AS a, (epoch(o_orderdate) // 86400)::BIGINT AS lts, (epoch(o_orderdate) // 86400)::BIGINT + o_orderkey % 90 AS rte, o_totalprice AS sim FROM orders),
+w AS (SELECT *, max(rte) OVER (PARTITION BY contig_no ORDER BY lts, a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM t),
+c AS (SELECT *, sum(CASE WHEN reach IS NULL OR lts > reach THEN 1 ELSE 0 END) OVER (PARTITION BY contig_no ORDER BY lts, a)::BIGINT AS cluster FROM w)"""
+
+
+def _intervals(spark, sf_dir):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    day = F.floor(F.unix_timestamp("o_orderdate") / 86400).cast("long")
+    rows = orders.select(F.lit("orders").alias("file"), F.col("o_custkey").alias("contig_no"), F.col("o_orderkey").alias("a"), day.alias("lts"), (day + F.col("o_orderkey") % 90).alias("rte"), F.col("o_totalprice").alias("sim"))
+    return rows.withColumns({"rts": F.lit(0).cast("long"), "b": F.lit(0).cast("long"), "len": F.lit(0).cast("long"), "skip": F.lit(False)})
+
+
+@query("overlap_clusters", _INTERVALS_SQL + " SELECT contig_no, a, lts, rte, cluster FROM c")
+def overlap_clusters(spark, sf_dir):
+    return overlap.clusters(_intervals(spark, sf_dir), bucket=256).select("contig_no", "a", "lts", "rte", "cluster")
+
+
+@query("best_per_cluster", _INTERVALS_SQL + " SELECT contig_no, cluster, a, sim FROM (SELECT *, row_number() OVER (PARTITION BY contig_no, cluster ORDER BY sim DESC, lts, a) AS k FROM c) WHERE k = 1")
+def best_per_cluster(spark, sf_dir):
+    return overlap.best_per_cluster(overlap.clusters(_intervals(spark, sf_dir), bucket=256)).select("contig_no", "cluster", "a", "sim")
+
+
+@query("element_coords", f"""WITH {PLANTED_SQL} SELECT doc_id AS contig_no, 61::BIGINT AS full_start, 201::BIGINT AS full_stop, 61::BIGINT AS tsd1_start, 65::BIGINT AS tsd1_stop, 66::BIGINT AS body_start, 196::BIGINT AS body_stop,
+66::BIGINT AS tir1_start, 105::BIGINT AS tir1_stop, 157::BIGINT AS tir2_start, 196::BIGINT AS tir2_stop, 197::BIGINT AS tsd2_start, 201::BIGINT AS tsd2_stop FROM planted""")
+def element_coords(spark, sf_dir):
+    long = {"lts": 65, "lte": 104, "rts": 156, "rte": 195, "tsd": 5}
+    rows = contigs(planted(spark, sf_dir)).withColumns({k: F.lit(v).cast("long") for k, v in long.items()}).withColumn("sim", F.lit(100.0))
+    return pipeline.element_columns(rows).drop("file", "sim")
+
+
+@query("output_format", "WITH t AS (SELECT l_orderkey, l_linenumber, (l_orderkey % 33)::BIGINT AS e FROM lineitem), x AS (SELECT *, 100.0::DOUBLE * (1.0::DOUBLE - e::DOUBLE / 32) AS sim FROM t) SELECT l_orderkey, l_linenumber, printf('%.2f', sim) AS sim FROM x")
+def output_format(spark, sf_dir):
+    """Two decimals as written: halves of the exact value go to the even digit."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    sim = F.lit(100.0) * (F.lit(1.0) - (F.col("l_orderkey") % 33).cast("double") / 32)
+    return items.select("l_orderkey", "l_linenumber", sequence.two_decimals(sim).alias("sim"))
+
+
+def _gff_lines(spark, sf_dir):
+    """Lines numbered in a file: every 8th ends a record, some records lack a line."""
+    items = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("no"))
+    record = F.concat_ws("\t", F.lit("doc"), F.lit("x"), F.lit("y"), (F.col("no") * 3).cast("string"), (F.col("no") * 3 + 7).cast("string"), F.lit("."), F.lit("+"), F.lit("."), F.concat(F.lit("tir_similarity="), (F.col("no") % 100).cast("string"), F.lit(".5")))
+    value = F.when(F.col("no") % 8 == 0, F.lit("###")).when((F.col("no") % 8 == 7) & (F.col("no") % 5 > 0), F.lit("short line")).otherwise(record)
+    return items.select(F.lit("orders").alias("file"), "no", value.alias("value"))
+
+
+@query("gff_records", """WITH l AS (SELECT o_orderkey AS n, o_orderkey // 8 + 1 AS record FROM orders WHERE o_orderkey % 8 <> 0 AND NOT (o_orderkey % 8 = 7 AND o_orderkey % 5 > 0)),
+g AS (SELECT record, count(*) AS k, list(n ORDER BY n) AS x FROM l GROUP BY record)
+SELECT (CASE WHEN k = 6 THEN x[1] * 3 END)::BIGINT AS full_start, (CASE WHEN k = 6 THEN x[6] * 3 + 7 END)::BIGINT AS tsd2_stop, CASE WHEN k = 6 THEN (x[1] % 100) + 0.5::DOUBLE END AS sim, k::INT AS n_features, k <> 6 AS bad FROM g""")
+def gff_records(spark, sf_dir):
+    return gff.gff_records(_gff_lines(spark, sf_dir)).select("full_start", "tsd2_stop", "sim", "n_features", "bad")
+
+
+@query("multiset_diff", """WITH a AS (SELECT l_returnflag AS flag, l_linestatus AS status, l_linenumber AS n FROM lineitem WHERE l_orderkey % 3 = 0), b AS (SELECT l_returnflag, l_linestatus, l_linenumber FROM lineitem WHERE l_orderkey % 3 = 1)
+SELECT flag, status, n, side, count(*)::BIGINT AS times FROM ((SELECT *, 'left' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)) UNION ALL (SELECT *, 'right' AS side FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a))) GROUP BY ALL""")
+def multiset_diff(spark, sf_dir):
+    """Two results compared as multisets; the two sides are disjoint thirds of one table."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    side = lambda k: items.where(F.col("l_orderkey") % 3 == k).select(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), F.col("l_linenumber").alias("n"))
+    return gff.multiset_diff(side(0), side(1)).groupBy("flag", "status", "n", "side").agg(F.count("*").alias("times"))
+
+
+@query("fasta_scan", f"WITH {DNA_SQL} SELECT doc_id::VARCHAR AS file, 0::BIGINT AS contig_no, 'doc' || doc_id AS seqid, s AS seq FROM dna UNION ALL SELECT doc_id::VARCHAR, 1, 'copy', substr(s, 1, 70) FROM dna")
+def fasta_scan(spark, sf_dir):
+    """Each document as a FASTA file of two records, wrapped and partly in lower case, and read back."""
+    wrapped = F.regexp_replace(F.lower("s"), "(.{60})", "$1\r\n")
+    text = F.concat(F.lit(">doc"), "doc_id", F.lit(" some words\n"), wrapped, F.lit("\n>copy\tx\n"), F.substring("s", 1, 70))
+    return fasta.parse_fasta(dna(spark, sf_dir).select(F.col("doc_id").cast("string").alias("file"), text.alias("value")))
+
+
+@query("xdrop_extend")
+def xdrop_extend(spark, sf_dir):
+    rows = contigs(planted(spark, sf_dir))
+    return extension.extend(repeats.seeds(rows, P), rows, P).select("contig_no", "a", "b", "len", "li", "lj", "ri", "rj")
+
+
+@query("length_gate")
+def length_gate(spark, sf_dir):
+    return pipeline.stages(contigs(planted(spark, sf_dir)))["passed"].select("contig_no", "a", "b", "len", "arm_length")
+
+
+@query("tsd_search")
+def tsd_search(spark, sf_dir):
+    return pipeline.stages(contigs(planted(spark, sf_dir)))["duplicated"].select("contig_no", "a", "b", "len", "lts", "lte", "rts", "rte", "tsd", "skip")
+
+
+@query("arm_pairs")
+def arm_pairs(spark, sf_dir):
+    """The strings that the similarity gate compares."""
+    found = similarity.arm_similarity(pipeline.stages(contigs(planted(spark, sf_dir)))["duplicated"], P)
+    return found.where("left_arm IS NOT NULL").select("contig_no", "a", "b", "len", "left_arm", "right_arm", "edit_distance", "sim")
+
+
+@query("find_elements")
+def find_elements(spark, sf_dir):
+    return pipeline.find_elements(contigs(planted(spark, sf_dir))).drop("file")
+
+
+@query("find_elements_whole_texts")
+def find_elements_whole_texts(spark, sf_dir):
+    return pipeline.find_elements(contigs(dna(spark, sf_dir))).drop("file")
+
+
+@query("elements_formatted")
+def elements_formatted(spark, sf_dir):
+    return pipeline.formatted(pipeline.find_elements(contigs(planted(spark, sf_dir)))).drop("file")

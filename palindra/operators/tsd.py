@@ -1,45 +1,103 @@
-"""Target site duplications as column expressions."""
+"""Target site duplications: every exact match of two short flanks, and the cheapest eligible one."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from palindra.plans.params import Params
 
 
-def candidates(left: Column, right: Column, least: int, most: int) -> Column:
-    """Array of (p, q, m): exact matches of ``left`` from p with ``right`` from q (from 0).
+def candidates(rows: DataFrame, least: int, most: int, left: str = "left", right: str = "right") -> DataFrame:
+    """``rows`` with each exact match of ``left`` from p with ``right`` from q (from 0), m long.
 
-    A match can't be longer to the left within the strings; m is its length, at least ``least``,
-    counted up to ``most``. Special bases are [ on the left and ] on the right: they match nothing.
+    A match can't be longer to the left within the strings; m is at least ``least`` and counted
+    up to ``most``. Special bases match nothing. Positions are exploded in place: no shuffle.
     """
-    a, b = left, right
-    last_a, last_b = F.length(a) - (least - 1), F.length(b) - (least - 1)
-    here = lambda s, i, n: F.substr(s, i, n if isinstance(n, Column) else F.lit(n))
+    part = lambda s, at, n: F.substr(s, at, F.lit(n))
+    rows = rows.withColumns({"_a": F.translate(left, "N", "["), "_b": F.translate(right, "N", "]")})
+    places = lambda s: F.sequence(F.lit(1), F.length(s) - (least - 1))
+    rows = rows.where((F.length("_a") >= least) & (F.length("_b") >= least)).withColumn("_p", F.explode(places("_a"))).withColumn("_s", part(F.col("_a"), F.col("_p"), least))
+    rows = rows.withColumn("_q", F.explode(places("_b"))).where(F.col("_s") == part(F.col("_b"), F.col("_q"), least))
+    p, q, a, b = F.col("_p"), F.col("_q"), F.col("_a"), F.col("_b")
+    rows = rows.where((p == 1) | (q == 1) | (part(a, p - 1, 1) != part(b, q - 1, 1)))
+    longer = [((p + n - 1 <= F.length(a)) & (q + n - 1 <= F.length(b)) & (part(a, p, n) == part(b, q, n))).cast("int") for n in range(least + 1, most + 1)]
+    m = sum(longer, F.lit(least))
+    return rows.withColumns({"p": p - 1, "q": q - 1, "m": m}).drop("_a", "_b", "_p", "_q", "_s")
 
-    def at(p: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(1), last_b), lambda q: (here(a, p, least) == here(b, q, least)) & ((p == 1) | (q == 1) | (here(a, p - 1, 1) != here(b, q - 1, 1))))
-        longer = lambda q: F.filter(F.sequence(F.lit(least), F.lit(most)), lambda n: (p + n - 1 <= F.length(a)) & (q + n - 1 <= F.length(b)) & (here(a, p, n) == here(b, q, n)))
-        return F.transform(starts, lambda q: F.struct((p - 1).alias("p"), (q - 1).alias("q"), (F.size(longer(q)) + (least - 1)).alias("m")))
 
-    return F.when((last_a >= 1) & (last_b >= 1), F.flatten(F.transform(F.sequence(F.lit(1), last_a), at))).otherwise(F.array().cast("array<struct<p:int,q:int,m:int>>"))
+def best_of_candidates(found: DataFrame, keys: list[str], params: Params, left: str = "left") -> DataFrame:
+    """The cheapest eligible candidate (cost, p, q, m) per ``keys``, positions in the contig.
 
+    ``found`` has left_start, right_start, lts and rte. Eligible lengths are ``min_tsd`` to below
+    ``max_tsd``. The cost is how far the duplication's inner ends lie from the arms' outer ends;
+    ties go to the smaller q, then to the left flank's suffix in the order A, C, G, T, special, end.
+    """
+    p, q = F.col("left_start") + F.col("p"), F.col("right_start") + F.col("q")
+    cost = F.abs(F.col("lts") - (p + F.col("m") - 1)) + F.abs(F.col("rte") - q)
+    tail = F.substr(F.concat(F.translate(left, "N", "["), F.lit("~")), F.col("p") + 1)
+    ranked = F.struct(cost.alias("cost"), q.alias("q"), tail.alias("tail"), p.alias("p"), F.col("m").cast("long").alias("m"))
+    return found.where(F.col("m") < params.max_tsd).groupBy(*keys).agg(F.min(ranked).alias("x")).select(*keys, "x.cost", "x.p", "x.q", "x.m")
 
-def best(left: Column, right: Column, left_start: Column, right_start: Column, lts: Column, rte: Column, params: Params) -> Column:
-    """The cheapest eligible duplication as (cost, q, tail, p, m), or null.
 
-    Eligible lengths are ``min_tsd`` to below ``max_tsd``. The cost is how far the duplication's
-    inner ends lie from the arms' outer ends; ties go to the smaller q, then to the left flank's
-    suffix in the order A, C, G, T, special, end. p and q are contig positions.
-    """
-    found = F.filter(candidates(left, right, params.min_tsd, params.max_tsd), lambda c: c["m"] < params.max_tsd)
-    tail = F.concat(left, F.lit("~"))
-    ranked = F.transform(found, lambda c: F.struct(
-        (F.abs(lts - (left_start + c["p"] + c["m"] - 1)) + F.abs(rte - (right_start + c["q"]))).alias("cost"),
-        (right_start + c["q"]).alias("q"), F.substr(tail, c["p"] + 1).alias("tail"), (left_start + c["p"]).alias("p"), c["m"].cast("long").alias("m"),
-    ))
-    return F.array_min(ranked)
+_LEFT, _RIGHT = np.full(256, 4, np.uint8), np.full(256, 5, np.uint8)
+_LEFT[list(b"ACGT")] = _RIGHT[list(b"ACGT")] = range(4)
+
+
+def _coded(strings: list[str], table: np.ndarray, pad: int) -> np.ndarray:
+    width = max(map(len, strings), default=0)
+    out = np.full((len(strings), width), pad, np.uint8)
+    size = np.array([len(s) for s in strings], np.int64)
+    out[np.arange(width) < size[:, None]] = table[np.frombuffer("".join(strings).encode(), np.uint8)]
+    return out
+
+
+def best_batch(left: list[str], right: list[str], left_start, right_start, lts, rte, least: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(p, q, m) of the best duplication of each row as ``best_of_candidates`` has it; m 0 for none."""
+    n = len(left)
+    p, q, m = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    a, b = _coded(left, _LEFT, 6), _coded(right, _RIGHT, 7)
+    w, v = a.shape[1], b.shape[1]
+    if not n or not w or not v:
+        return p, q, m
+    far = np.iinfo(np.int32).max
+    run = np.zeros((n, v + 1), np.int32)  # matches from p + 1 on
+    best, where = np.full(n, far, np.int64), np.zeros(n, np.int64)
+    length = np.zeros(n, np.int64)
+    span = np.arange(v)
+    ties: dict[int, list[tuple[int, int, int]]] = {}
+    for at in range(w - 1, -1, -1):
+        same = a[:, at, None] == b
+        now = np.zeros((n, v + 1), np.int32)
+        now[:, :v] = np.where(same, run[:, 1:] + 1, 0)
+        run = now
+        first = np.ones((n, v), bool)
+        if at:
+            first[:, 1:] = a[:, at - 1, None] != b[:, :-1]
+        size = run[:, :v]
+        ok = first & (size >= least) & (size < most)
+        cost = np.abs(lts[:, None] - (left_start[:, None] + at + size - 1)) + np.abs(rte[:, None] - (right_start[:, None] + span))
+        key = np.where(ok, cost * (v + 1) + span, far)
+        col = key.argmin(axis=1)
+        got = key[np.arange(n), col]
+        for r in np.flatnonzero((got == best) & (got < far)).tolist():
+            ties.setdefault(r, []).extend([(int(where[r]), int(length[r]), int(got[r])), (at, int(size[r, col[r]]), int(got[r]))])
+        better = got < best
+        best, where, length = np.where(better, got, best), np.where(better, at, where), np.where(better, size[np.arange(n), col], length)
+    for r, found in ties.items():
+        tail = left[r].translate(_SPECIAL) + "~"
+        held = [(tail[x:], x, y) for x, y, k in found if k == best[r]]
+        if held:
+            _, where[r], length[r] = min(held)
+    some = best < far
+    p, q, m = np.where(some, left_start + where, 0), np.where(some, right_start + best % (v + 1), 0), np.where(some, length, 0)
+    return p, q, m
+
+
+_SPECIAL = str.maketrans("N", "[")
 
 
 def find_tsd(arms: DataFrame, params: Params) -> DataFrame:
@@ -48,24 +106,30 @@ def find_tsd(arms: DataFrame, params: Params) -> DataFrame:
 
     Rows without an eligible duplication, or whose arms the duplication leaves empty, are marked,
     not dropped: the first row of a file counts in the overlap stage even so. With ``min_tsd`` of
-    1 or less nothing is sought or marked here but empty arms.
+    1 or less nothing is sought or marked here but empty arms. The flanks of a batch of rows are
+    compared in arrays; only they cross to Python.
     """
     arms = arms.withColumn("rte0", F.col("rte"))
-    if params.min_tsd <= 1:
-        return arms.withColumn("tsd", F.lit(0).cast("long")).withColumn("skip", (F.col("lte") <= F.col("lts")) | (F.col("rte0") <= F.col("rts")))
     left_start = F.greatest(F.lit(0), F.col("lts") - params.vicinity)
+    if params.min_tsd <= 1:
+        return arms.withColumns({"left_start": left_start, "tsd": F.lit(0).cast("long"), "skip": (F.col("lte") <= F.col("lts")) | (F.col("rte0") <= F.col("rts"))})
     left_end = F.least(F.col("lte"), F.col("lts") + params.vicinity)
     right_start = F.greatest(F.col("rts"), F.col("rte") - params.vicinity)
-    # columns of their own, or the lambdas would compute them again for every pair of positions
-    arms = arms.withColumns({
-        "left_start": left_start, "_right_start": right_start,
-        "_left": F.translate(F.substr("left_text", F.lit(1), (left_end - left_start + 1).cast("int")), "N", "["), "_right": F.translate("right_text", "N", "]"),
-    })
-    arms = arms.withColumn("best", best(F.col("_left"), F.col("_right"), F.col("left_start"), F.col("_right_start"), F.col("lts"), F.col("rte"), params))
-    moved = arms.drop("_left", "_right", "_right_start").withColumns({
-        "tsd": F.coalesce("best.m", F.lit(0)).cast("long"),
-        "lts": F.coalesce(F.col("best.p") + F.col("best.m"), F.col("lts")),
-        "rte": F.coalesce(F.col("best.q") - 1, F.col("rte")),
+    least, most = params.min_tsd, params.max_tsd
+
+    @pandas_udf("p long, q long, m long")
+    def best(left: pd.Series, right: pd.Series, ls: pd.Series, rs: pd.Series, lts: pd.Series, rte: pd.Series) -> pd.DataFrame:
+        numbers = [x.to_numpy(np.int64) for x in (ls, rs, lts, rte)]
+        return pd.DataFrame(dict(zip("pqm", best_batch(left.tolist(), right.tolist(), *numbers, least, most), strict=True)))
+
+    left = F.substr("left_text", F.lit(1), (left_end - left_start + 1).cast("int"))
+    arms = arms.withColumn("left_start", left_start)
+    arms = arms.withColumn("best", best(left, "right_text", "left_start", right_start, "lts", "rte"))
+    some = F.col("best.m") > 0
+    moved = arms.withColumns({
+        "tsd": F.col("best.m"),
+        "lts": F.when(some, F.col("best.p") + F.col("best.m")).otherwise(F.col("lts")),
+        "rte": F.when(some, F.col("best.q") - 1).otherwise(F.col("rte")),
     })
     empty = (F.col("rte") <= F.col("rts")) | (F.col("lte") <= F.col("lts")) | (F.col("rte0") <= F.col("rts"))
     return moved.withColumn("skip", (F.col("tsd") == 0) | empty).drop("best")

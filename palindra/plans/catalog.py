@@ -196,16 +196,16 @@ def _planted_arms(spark, sf_dir):
 
 @query("tsd_candidates", _ARMS_SQL + " SELECT doc_id, p::INT AS p, q::INT AS q, m::INT AS m FROM c")
 def tsd_candidates(spark, sf_dir):
-    found = _planted_arms(spark, sf_dir).select("doc_id", F.explode(tsd.candidates(F.col("lw"), F.col("rw"), P.min_tsd, P.max_tsd)).alias("c"))
-    return found.select("doc_id", "c.p", "c.q", "c.m")
+    found = tsd.candidates(_planted_arms(spark, sf_dir), P.min_tsd, P.max_tsd, "lw", "rw")
+    return found.select("doc_id", *[F.col(c).cast("int").alias(c) for c in "pqm"])
 
 
 @query("best_tsd", _ARMS_SQL + """, e AS (SELECT *, abs(65 - (52 + p + m - 1)) + abs(195 - (182 + q)) AS cost, row_number() OVER (PARTITION BY doc_id ORDER BY abs(65 - (52 + p + m - 1)) + abs(195 - (182 + q)), q, substr(lw, p + 1) || '~') AS k FROM c WHERE m < 11)
 SELECT doc_id, cost::BIGINT AS cost, (52 + p)::BIGINT AS p, (182 + q)::BIGINT AS q, m::BIGINT AS m FROM e WHERE k = 1""")
 def best_tsd(spark, sf_dir):
-    long = lambda x: F.lit(x).cast("long")
-    found = _planted_arms(spark, sf_dir).withColumn("x", tsd.best(F.col("lw"), F.col("rw"), long(52), long(182), long(65), long(195), P)).where("x IS NOT NULL")
-    return found.select("doc_id", "x.cost", "x.p", "x.q", "x.m")
+    fixed = {"left_start": 52, "right_start": 182, "lts": 65, "rte": 195}
+    found = tsd.candidates(_planted_arms(spark, sf_dir), P.min_tsd, P.max_tsd, "lw", "rw").withColumns({k: F.lit(v).cast("long") for k, v in fixed.items()})
+    return tsd.best_of_candidates(found, ["doc_id"], P, "lw")
 
 
 _SIM_SQL = f"WITH {PLANTED_SQL}, t AS (SELECT doc_id, substr(s, 66, 39) AS u, reverse(translate(substr(s, 157, 39), 'ACGT', 'TGCA')) AS v FROM planted), x AS (SELECT doc_id, levenshtein(u, v)::INT AS edit_distance, 100.0::DOUBLE * (1.0::DOUBLE - levenshtein(u, v)::DOUBLE / greatest(length(u), length(v))) AS sim FROM t)"

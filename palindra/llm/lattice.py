@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palindra.llm.common import pieces, read
+from palindra.llm.common import pieces, read, small_batches
 
 #: The model file; every executor gets its pieces with the code.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -31,7 +31,7 @@ SPACE = "▁"
 #: Stands for the mark itself in a text; no text can hold it.
 _LITERAL = "\ud800"
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
-_CHUNK = 3 << 20
+_CHUNK = 4 << 20
 
 
 @dataclass(frozen=True)
@@ -40,6 +40,8 @@ class Vocabulary:
 
     edge_key: np.ndarray
     edge_to: np.ndarray
+    #: The node of each first character; 0 where there is none. The last entry stands for all beyond.
+    root: np.ndarray
     piece: np.ndarray
     weight: np.ndarray
     byte_id: np.ndarray
@@ -90,8 +92,12 @@ def load(path: str = MODEL, power: float = 1.0) -> Vocabulary:
     order = np.argsort(key)
     spelled = [b"" if special[i] else bytes([int(names[i][3:5], 16)]) if byte[i] else names[i].replace(SPACE, " ").encode() for i in range(n)]
     at = np.concatenate([[0], np.cumsum([len(b) for b in spelled])])
+    root = np.zeros(0x3001, np.int64)
+    for (a, c), node in trie.items():
+        if a == 0 and c < len(root) - 1:
+            root[c] = node
     longest = max((len(names[i]) for i in np.flatnonzero(usual)), default=1)
-    return Vocabulary(key[order], to[order], piece, weight, byte_id, byte_weight, np.frombuffer(b"".join(spelled), np.uint8), at, longest)
+    return Vocabulary(key[order], to[order], root, piece, weight, byte_id, byte_weight, np.frombuffer(b"".join(spelled), np.uint8), at, longest)
 
 
 def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -130,10 +136,18 @@ class Lattice:
         at, state = np.arange(n), np.zeros(n, np.int64)
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for length in range(1, v.longest + 1):
-            key = state << 21 | code[at + length - 1]
-            k = np.minimum(np.searchsorted(v.edge_key, key), len(v.edge_key) - 1)
-            hit = v.edge_key[k] == key
-            at, state = at[hit], v.edge_to[k[hit]]
+            if length == 1:
+                state = v.root[np.minimum(code, len(v.root) - 1)]
+                far = np.flatnonzero(code >= len(v.root) - 1)
+                k = np.minimum(np.searchsorted(v.edge_key, code[far]), len(v.edge_key) - 1)
+                state[far] = np.where(v.edge_key[k] == code[far], v.edge_to[k], 0)
+                at = np.flatnonzero(state)
+                state = state[at]
+            else:
+                key = state << 21 | code[at + length - 1]
+                k = np.minimum(np.searchsorted(v.edge_key, key), len(v.edge_key) - 1)
+                hit = v.edge_key[k] == key
+                at, state = at[hit], v.edge_to[k[hit]]
             ends = v.piece[state] >= 0
             if length == 1:
                 lone = np.ones(n, bool)
@@ -152,14 +166,14 @@ class Lattice:
         self.first = np.empty(n, np.int64)
         self.first[by_left] = np.cumsum(self.count[by_left]) - self.count[by_left]
         slot, total_edges = self.first + self.count, int(self.count.sum())
-        self.length, self.piece, at = np.empty(total_edges, np.int64), np.empty(total_edges, np.int64), np.empty(total_edges, np.int64)
+        self.length, self.piece, at = np.empty(total_edges, np.int32), np.empty(total_edges, np.int32), np.empty(total_edges, np.int32)
         for x, length, piece in found:
             slot[x] -= 1
             self.length[slot[x]], self.piece[slot[x]], at[slot[x]] = length, piece, x
         self.edge_at = at
         c = -1 - self.piece
         n_bytes = np.where(c == ord(_LITERAL), 3, 1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000))
-        self.tokens = np.where(self.piece >= 0, 1, n_bytes)
+        self.tokens = np.where(self.piece >= 0, 1, n_bytes).astype(np.int32)
         weight = np.where(self.piece >= 0, v.weight[np.maximum(self.piece, 0)], v.byte_weight * n_bytes)
         first = self.first[by_left]
         # backward sums, all positions with as much left at a time
@@ -382,7 +396,7 @@ def _ids(l: Lattice, edge: np.ndarray, v: Vocabulary) -> np.ndarray:
     return ids
 
 
-def _encode(v: Vocabulary, k: int, seed: int):
+def _encode(v: Vocabulary, k: int, seed: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole, "text", _CHUNK):
@@ -398,8 +412,8 @@ def _encode(v: Vocabulary, k: int, seed: int):
                         *(pa.array([x[2][c] for x in part], pa.float64()) for c in (1, 2, 3)),
                         pa.array([zlib.crc32(x.astype("<i4").tobytes()) for x in ids], pa.int64()),
                         pa.array([_spells(x[2][0], x[3], v) for x in part]),
-                        pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(np.concatenate(ids).astype(np.int32) if len(ids) else np.zeros(0, np.int32))),
-                    ], ["doc_id", "sample", "n_pieces", "log_prob", "perturbed", "log_inclusion", "ids_crc32", "round_trip", "ids"])
+                        *([pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(np.concatenate(ids).astype(np.int32)))] if with_ids else []),
+                    ], ["doc_id", "sample", "n_pieces", "log_prob", "perturbed", "log_inclusion", "ids_crc32", "round_trip"] + ["ids"] * with_ids)
 
     return run
 
@@ -409,13 +423,14 @@ def _spells(ids: np.ndarray, text: str, v: Vocabulary) -> bool:
     return out == (b" " + text.encode() if text else b"")
 
 
-def encode_documents(docs: DataFrame, k: int = 3, seed: int = 11, model: str = MODEL, power: float = 1.0, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encode_documents(docs: DataFrame, k: int = 3, seed: int = 11, model: str = MODEL, power: float = 1.0, with_ids: bool = True, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Up to ``k`` distinct sampled segmentations of each text, by falling perturbed value.
 
     Each row of the result is one sample (from 0): its piece ids, their number and checksum, the
     log of its probability among all segmentations of the text, its perturbed value, the log of
     its inclusion probability given the (k+1)-th perturbed value (0 where all segmentations are
-    returned), and whether decoding gives the text back. The draws depend on the row's key,
+    returned), and whether decoding gives the text back; without ``with_ids`` the ids stay where
+    they were checked. The draws depend on the row's key,
     ``seed`` and the text alone, so reruns and other partitionings agree.
 
     Texts begin with a space that decoding drops; spaces are kept as they are, characters without
@@ -423,9 +438,10 @@ def encode_documents(docs: DataFrame, k: int = 3, seed: int = 11, model: str = M
     segmentation without pieces. Texts with fewer than ``k`` segmentations return all of them.
     Whole texts are sampled, of any length. Repeated rows return as often. Empty: empty.
     """
+    small_batches(docs.sparkSession, 2500)
     v = load(model, power)
-    schema = "doc_id long, sample int, n_pieces long, log_prob double, perturbed double, log_inclusion double, ids_crc32 long, round_trip boolean, ids array<int>"
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(_encode(v, k, seed), schema)
+    schema = "doc_id long, sample int, n_pieces long, log_prob double, perturbed double, log_inclusion double, ids_crc32 long, round_trip boolean" + ", ids array<int>" * with_ids
+    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(_encode(v, k, seed, with_ids), schema)
 
 
 def decode_documents(encoded: DataFrame, model: str = MODEL, ids: str = "ids") -> DataFrame:
@@ -444,4 +460,4 @@ def decode_documents(encoded: DataFrame, model: str = MODEL, ids: str = "ids") -
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_documents(read(spark, sf_dir, "documents")).drop("ids")
+    return encode_documents(read(spark, sf_dir, "documents"), with_ids=False)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -38,8 +39,22 @@ def cut(df: DataFrame) -> DataFrame:
     The folder is the session's ``spark.checkpoint.dir``. Only where that is unset, as in
     tests on one machine, a temporary folder takes its place.
     """
-    _checkpoint_dir(df.sparkSession)
-    return df.checkpoint(True)
+    spark = df.sparkSession
+    _checkpoint_dir(spark)
+    out = df.checkpoint(True)
+    del df
+    release(spark)
+    return out
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more.
+
+    It does so when the driver's garbage is collected, which a driver with little to do may put
+    off until the disks are full.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def store(df: DataFrame) -> DataFrame:
@@ -56,6 +71,13 @@ def word_count(text) -> F.Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """At most ``rows`` rows of text go to a Python worker at a time, so that memory stays bounded."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def utf8_size(text) -> F.Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palindra.llm.common import pieces, read
+from palindra.llm.common import pieces, read, small_batches
 
 #: A block ends where one of these begins or ends.
 BLOCK_TAGS = frozenset(
@@ -266,6 +266,7 @@ def extract_text(pages: DataFrame, tree: Node | None = None, key: str = "page_id
     Kept blocks are joined in page order by one line feed; nothing is capped. Null and empty
     pages and pages without main text give "". Repeated rows return as often. Empty: empty.
     """
+    small_batches(pages.sparkSession)
     tree = tree or train()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from palindra.llm.common import pieces, read
+from palindra.llm.common import pieces, read, small_batches
 
 #: n-grams of a profile, and the penalty of one that a profile lacks.
 PROFILE = 400
@@ -88,6 +88,7 @@ def learn_profiles(rows: DataFrame, size: int = PROFILE) -> list[tuple[str, list
     ``rows`` has text and lang, neither null. Each partition counts on its own; the counts are
     summed by n-gram and only the profiles, ``size`` rows a language, come to the driver.
     """
+    small_batches(rows.sparkSession)
     counts = rows.select("text", "lang").mapInArrow(_train, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "key"))
     found: dict[str, list[tuple[int, int]]] = {}
@@ -143,6 +144,7 @@ def identify(docs: DataFrame, profiles: list[tuple[str, list[int]]], size: int =
     learned. Repeated rows return as often as they come; whole texts are read.
     """
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("_text"), *carry)
+    small_batches(docs.sparkSession)
     fields = [f for f in rows.schema if f.name != "_text"]
     rows = rows.withColumnRenamed("_text", "text") if "text" not in carry else rows
     named = _predict(profiles, size, [*(f.name for f in fields), "lang_pred", "score"])

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palindra.llm.common import byte_views, cut, n_partitions, pieces, read
+from palindra.llm.common import byte_views, cut, n_partitions, pieces, read, small_batches
 from palindra.llm.graph import components, local_components
 
 SEGMENTS, WIDTH = 2, 32
@@ -144,6 +144,7 @@ def simhash_groups(docs: DataFrame, distance: int = 3, shingle: int = 3, seed: i
     if not 1 <= distance <= 2 * SEGMENTS - 1:
         raise ValueError("two segments with one wildcard cover at most 3 differing bits")
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     prints = cut(rows.mapInArrow(_fingerprints(shingle, seed), "doc_id long, print long"))
     distinct = prints.groupBy("print").agg(F.min("doc_id").alias("id"))

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palindra.llm.common import byte_views, cut, n_partitions, read
+from palindra.llm.common import byte_views, cut, n_partitions, read, small_batches
 from palindra.llm.run_index import RunIndex
 
 #: Bytes of an anchor. With windows of 50, every window holds an anchor at one of 31 offsets.
@@ -20,7 +20,7 @@ ANCHOR = 20
 #: Text bytes of a pack, the unit that is computed and answered together.
 PACK = 1 << 20
 #: Symbols of one index.
-INDEX = 1 << 20
+INDEX = 1 << 19
 #: An anchor with more occurrences is looked up window by window instead of by its context.
 HOT = 1 << 14
 _BITS = np.uint64(48)
@@ -54,22 +54,28 @@ def _sliding(x: np.ndarray, width: int, f) -> np.ndarray:
     return f(out[:n], out[width - size : width - size + n]) if size < width else out
 
 
-def anchors(b: np.ndarray, start: np.ndarray, window: int, k: int = ANCHOR) -> tuple[np.ndarray, np.ndarray]:
+def anchors(b: np.ndarray, start: np.ndarray, window: int, k: int = ANCHOR, block: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
     """(position, 48-bit hash) of the minimizers: each window of ``window`` bytes inside a document
-    holds one at least, chosen by the window's content alone."""
-    if len(b) < k:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    x = _rolled(b, k) >> (np.uint64(64) - _BITS)
-    none, n = np.uint64(1 << 63), len(x)
-    for e in start[1:-1].tolist():  # grams across two documents
-        x[max(0, e - k + 1) : e] = none
-    pad = np.full(max(0, window - len(b)), none)
-    x = np.concatenate([x, pad]) if len(pad) else x
-    low, span = _sliding(x, window - k + 1, np.minimum), window - k + 1
+    holds one at least, chosen by the window's content alone. Blocks of positions stay in cache."""
+    n, span, none = len(b) - k + 1, window - k + 1, np.uint64(1 << 63)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
     edge = np.zeros(span - 1, np.uint64)
-    high = _sliding(np.concatenate([edge, low, edge]), span, np.maximum)[:n]
-    at = np.flatnonzero((x[:n] == high) & (x[:n] != none))
-    return at, x[at]
+    for s in range(0, max(0, n), block):
+        e = min(n, s + block)
+        lo, hi = max(0, s - span + 1), min(n, e + span - 1)
+        x = _rolled(b[lo : hi + k - 1], k) >> (np.uint64(64) - _BITS)
+        for end in start[np.searchsorted(start, lo, side="right") : np.searchsorted(start, hi + k - 1)].tolist():  # grams across two documents
+            x[max(0, end - k + 1 - lo) : max(0, end - lo)] = none
+        if len(x) < span:
+            x = np.concatenate([x, np.full(span - len(x), none)])
+        low = _sliding(x, span, np.minimum)
+        high = _sliding(np.concatenate([edge, low, edge]), span, np.maximum)
+        x, high = x[s - lo : e - lo], high[s - lo : e - lo]
+        at = np.flatnonzero((x == high) & (x != none))
+        found.append((at + s, x[at]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
 
 
 def _same_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -232,7 +238,7 @@ def _contexts(window: int, buckets: int):
                 place = base[:, None] + np.arange(2 * side + ANCHOR)
                 inside = (place >= pack.start[of][:, None]) & (place < pack.start[of + 1][:, None])
                 rows = np.where(inside, pack.bytes[np.clip(place, 0, len(pack.bytes) - 1)] + np.uint8(1), np.uint8(0))
-                is_hot = within(hot, key)
+                is_hot, alone = within(hot, key), np.zeros(len(key), np.int32)
                 if is_hot.any():  # each window of its own: equal ones collapse, others part
                     h, shift = np.repeat(np.flatnonzero(is_hot), side + 1), np.tile(np.arange(side + 1), int(is_hot.sum()))
                     cut_out = np.zeros((len(h), rows.shape[1]), np.uint8)
@@ -243,6 +249,7 @@ def _contexts(window: int, buckets: int):
                     window_key = _rolled(cut_out.reshape(-1), window)[:: rows.shape[1]][: len(h)] >> (np.uint64(64) - _BITS) if len(h) else np.zeros(0, np.uint64)
                     rows, base = np.concatenate([rows[~is_hot], cut_out]), np.concatenate([base[~is_hot], place])
                     key, of = np.concatenate([key[~is_hot], window_key]), np.concatenate([of[~is_hot], of[h]])
+                    alone = np.repeat(np.array([0, 1], np.int32), [int((~is_hot).sum()), len(h)])
                 if not len(rows):
                     continue
                 first, name = _same_rows(rows)
@@ -254,13 +261,14 @@ def _contexts(window: int, buckets: int):
                 renamed[order] = np.arange(len(first))
                 sorted_key, least, rows = key[first][order], least[order], rows[first[order]]
                 name = renamed[name]
-                places = squeeze.compress(np.concatenate([name.astype("<i4"), base.astype("<i4"), (doc != least[name]).astype("<i4")]).tobytes())
+                places = squeeze.compress(np.concatenate([name.astype("<i4"), base.astype("<i4"), ((doc != least[name]) * (1 + alone)).astype("<i4")]).tobytes())
                 out = [(1, 0, number, places, None, None)]
                 for b, s in _blobs(sorted_key, buckets):
-                    numbers = np.arange(s.start, s.stop, dtype="<i4")
-                    out.append((0, b, number, squeeze.compress(rows[s].tobytes()), np.concatenate([sorted_key[s].astype("<i8"), least[s].astype("<i8")]).tobytes(), numbers.tobytes()))
-                types = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], ["kind", "bucket", "pack", "blob", "keys", "numbers"])
+                    heads = np.concatenate([sorted_key[s].astype("<i8"), least[s].astype("<i8")])
+                    planes = np.ascontiguousarray(heads.view(np.uint8).reshape(-1, 8).T)  # bytes of equal rank together
+                    out.append((0, b, number, squeeze.compress(rows[s].tobytes()), squeeze.compress(planes.tobytes()), s.start))
+                types = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
+                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], ["kind", "bucket", "pack", "blob", "keys", "first"])
 
     return run
 
@@ -285,14 +293,14 @@ def _mark(window: int, limit: int):
         packs, rows, keys, docs, numbers, sizes = [], [], [], [], [], []
         unsqueeze = zstandard.ZstdDecompressor()
         for batch in batches:
-            for pack, blob, head, number in _cells(batch, "pack", "blob", "keys", "numbers"):
-                n = len(number) // 4
-                both = np.frombuffer(head, "<i8")
+            for pack, blob, head, start in _cells(batch, "pack", "blob", "keys", "first"):
+                planes = np.frombuffer(unsqueeze.decompress(head), np.uint8).reshape(8, -1)
+                both, n = np.ascontiguousarray(planes.T).view("<i8").reshape(-1), planes.shape[1] // 2
                 packs.append(pack)
                 rows.append(np.frombuffer(unsqueeze.decompress(blob, max_output_size=n * width), np.uint8).reshape(-1, width))
                 keys.append(both[:n])
                 docs.append(both[n:])
-                numbers.append(np.frombuffer(number, "<i4"))
+                numbers.append(np.arange(start, start + n, dtype="<i4"))
                 sizes.append(n)
         if not packs:
             return
@@ -341,7 +349,8 @@ def _cover(window: int, keep: str | None):
                     for m in marks or ():
                         which, bit = np.frombuffer(m, "<u4").reshape(2, -1)
                         mark[which] = bit
-                    here = np.where(later > 0, np.uint32((1 << bits) - 1), mark[name])  # a later copy in the pack has it all
+                    # a later copy in the pack has it all: every window of a context, or the one window that stands alone
+                    here = np.where(later == 1, np.uint32((1 << bits) - 1), np.where(later == 2, np.uint32(1), mark[name]))
                     for k in range(bits):
                         at = base[(here >> np.uint32(k)) & np.uint32(1) > 0] + k
                         begins[at[(at >= 0) & (at < n)]] = True
@@ -396,17 +405,21 @@ def remove_repeats(docs: DataFrame, window: int = 50, carry: tuple[str, ...] = (
     if not 32 + 8 <= window <= 63:
         raise ValueError("window must be within 40 .. 63")
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), *carry)
-    packs = cut(rows.mapInArrow(_pack(pack), "pack long, ids binary, sizes binary, data binary, rest binary"))
+    packs = cut(rows.mapInArrow(_pack(pack), "pack long, ids binary, sizes binary, data binary, rest binary")).where("pack IS NOT NULL")
     n_packs = packs.count()
     buckets = max(n_partitions(spark), n_packs // 16)
-    only = packs.select("pack", "ids", "sizes", "data")
-    seen = only.mapInArrow(_seen(window, buckets), "bucket long, pack long, keys binary, counts binary")
+    seen = packs.select("pack", "ids", "sizes", "data").mapInArrow(_seen(window, buckets), "bucket long, pack long, keys binary, counts binary")
     shared = seen.repartition(buckets, "bucket").mapInArrow(_shared(hot), "pack long, keys binary").groupBy("pack").agg(F.collect_list("keys").alias("replies"))
-    found = cut(only.join(shared, "pack").mapInArrow(_contexts(window, buckets), "kind int, bucket long, pack long, blob binary, keys binary, numbers binary"))
+    # the anchors have done their part: keeping the answers frees what moved them. The contexts are found twice, once to compare and once to place the answers: keeping them
+    # would cost as much disk again as moving them. The packs are dealt once for all joins.
+    shared = cut(shared)
+    asking = packs.join(shared, "pack")
+    found = asking.mapInArrow(_contexts(window, buckets), "kind int, bucket long, pack long, blob binary, keys binary, first long")
     marks = found.where("kind = 0").repartition(buckets, "bucket").mapInArrow(_mark(window, index), "pack long, marks binary").groupBy("pack").agg(F.collect_list("marks").alias("marks"))
     places = found.where("kind = 1").select("pack", F.col("blob").alias("places"))
-    answered = packs.join(places.join(marks, "pack", "left"), "pack", "left")
+    answered = packs.join(places, "pack", "left").join(marks, "pack", "left")
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
     return answered.mapInArrow(_cover(window, keep), f"{head}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + {None: "", "bytes": ", kept binary", "text": ", kept string"}[keep])
 

@@ -18,7 +18,7 @@ from palindra.llm.run_index import RunIndex
 #: Bytes of an anchor. With windows of 50, every window holds an anchor at one of 31 offsets.
 ANCHOR = 20
 #: Text bytes of a pack, the unit that is computed and answered together.
-PACK = 1 << 20
+PACK = 1 << 19
 #: Symbols of one index.
 INDEX = 1 << 19
 #: An anchor with more occurrences is looked up window by window instead of by its context.
@@ -409,7 +409,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, carry: tuple[str, ...] = (
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), *carry)
     packs = cut(rows.mapInArrow(_pack(pack), "pack long, ids binary, sizes binary, data binary, rest binary")).where("pack IS NOT NULL")
     n_packs = packs.count()
-    buckets = max(n_partitions(spark), n_packs // 16)
+    buckets = max(2 * n_partitions(spark), n_packs // 16)
     seen = packs.select("pack", "ids", "sizes", "data").mapInArrow(_seen(window, buckets), "bucket long, pack long, keys binary, counts binary")
     shared = seen.repartition(buckets, "bucket").mapInArrow(_shared(hot), "pack long, keys binary").groupBy("pack").agg(F.collect_list("keys").alias("replies"))
     # the anchors have done their part: keeping the answers frees what moved them. The contexts are found twice, once to compare and once to place the answers: keeping them

@@ -1,7 +1,9 @@
 """Queries over the driver's tables by name and, where SQL can express them, their DuckDB text.
 
-The tables hold no DNA, so two views derive it from ``documents``: ``dna`` maps the letters of
-whole texts to bases, ``planted`` puts one element with an inexact second arm into each.
+The tables hold no DNA, so views derive it from ``documents``: ``dna`` maps the letters of whole
+texts to bases, ``planted_whole`` puts one element with an inexact second arm into each of them.
+``planted`` is only the element with its flanks, from the first 219 letters; the SQL of the queries
+over it is fixed, so each has a second one, ``*_whole_texts``, that reads all of every text.
 """
 
 from __future__ import annotations
@@ -54,6 +56,15 @@ def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dna(spark, sf_dir).where(F.length("s") >= 220).select("doc_id", whole.alias("s"))
 
 
+def planted_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``dna`` with every base kept and the element of ``planted`` put in; short texts stay as they are."""
+    part = lambda at, n: F.substring("s", at, n)
+    second = sequence.reverse_complement(F.concat(part(66, 18), part(200, 1), part(85, 21)))
+    rest = F.substr("s", F.lit(156))
+    whole = F.concat(part(1, 155), second, part(61, 5), rest)
+    return dna(spark, sf_dir).select("doc_id", F.when(F.length("s") >= 220, whole).otherwise(F.col("s")).alias("s"))
+
+
 def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return docs.select("doc_id", F.translate("text", " etaoin", "NACGTAC").alias("s"))
@@ -106,51 +117,51 @@ seeds AS (SELECT doc_id AS contig_no, a::BIGINT AS a, b::BIGINT AS b, len::BIGIN
 
 
 @query("mirror_coords", f"WITH {PLANTED_SQL}{_SEEDS_SQL} SELECT contig_no, a, b, len, a AS pos1, (2 * length(s) + 1 - b - len)::BIGINT AS pos2, (2 * length(s) - a)::BIGINT AS reversed FROM seeds JOIN planted ON doc_id = contig_no")
-def mirror_coords(spark, sf_dir):
+def mirror_coords(spark, sf_dir, view=planted):
     """Seeds in the coordinates of a contig followed by a separator and its reverse complement."""
-    rows = planted(spark, sf_dir)
+    rows = view(spark, sf_dir)
     total = 2 * F.length("seq") + 1
     found = repeats.seeds(contigs(rows), P).join(contigs(rows).select("contig_no", "seq"), "contig_no")
     return found.select("contig_no", "a", "b", "len", F.col("a").alias("pos1"), (total - F.col("b") - F.col("len")).alias("pos2"), (total - 1 - F.col("a")).alias("reversed"))
 
 
 @query("contig_bounds", f"WITH {PLANTED_SQL}{_SEEDS_SQL}, t AS (SELECT s.*, length(p.s) AS n FROM seeds s JOIN planted p ON doc_id = contig_no) SELECT contig_no, a, b, len, least(1000 - len, a, n - (b + len) + 1)::BIGINT AS outward, least(1000 - len, n - (a + len), b - 1)::BIGINT AS inward FROM t")
-def contig_bounds(spark, sf_dir):
+def contig_bounds(spark, sf_dir, view=planted):
     """How far each seed may extend before it meets the end of its contig or the arm limit."""
-    rows = planted(spark, sf_dir)
+    rows = view(spark, sf_dir)
     n, room = F.length("seq"), P.max_arm - F.col("len")
     found = repeats.seeds(contigs(rows), P).join(contigs(rows).select("contig_no", "seq"), "contig_no")
     return found.select("contig_no", "a", "b", "len", F.least(room, F.col("a"), n - (F.col("b") + F.col("len")) + 1).alias("outward"), F.least(room, n - (F.col("a") + F.col("len")), F.col("b") - 1).alias("inward"))
 
 
 @query("kmer_scan", f"WITH {PLANTED_SQL}, k AS (SELECT substr(s, a + 1, 20) AS kmer FROM (SELECT s, unnest(range(0, length(s) - 19)) AS a FROM planted)) SELECT kmer, count(*)::BIGINT AS n FROM k GROUP BY kmer")
-def kmer_scan(spark, sf_dir):
-    return repeats.kmers(contigs(planted(spark, sf_dir)), P.seed).groupBy("kmer").agg(F.count("*").alias("n"))
+def kmer_scan(spark, sf_dir, view=planted):
+    return repeats.kmers(contigs(view(spark, sf_dir)), P.seed).groupBy("kmer").agg(F.count("*").alias("n"))
 
 
 @query("kmer_rc_join", f"WITH {PLANTED_SQL}{_SEEDS_SQL} SELECT doc_id AS contig_no, count(*)::BIGINT AS n, sum(b - a)::BIGINT AS distance FROM m GROUP BY 1")
-def kmer_rc_join(spark, sf_dir):
-    found = repeats.kmer_matches(contigs(planted(spark, sf_dir)), P.seed, *P.band)
+def kmer_rc_join(spark, sf_dir, view=planted):
+    found = repeats.kmer_matches(contigs(view(spark, sf_dir)), P.seed, *P.band)
     return found.groupBy("contig_no").agg(F.count("*").alias("n"), F.sum(F.col("b") - F.col("a")).alias("distance"))
 
 
 @query("maximal_inverted_repeats", f"WITH {PLANTED_SQL}{_SEEDS_SQL} SELECT doc_id AS contig_no, a::BIGINT AS a, b::BIGINT AS b, len::BIGINT AS len FROM runs")
-def maximal_inverted_repeats(spark, sf_dir):
-    return repeats.maximal_repeats(contigs(planted(spark, sf_dir)), P.seed, *P.band).select("contig_no", *[F.col(c).cast("long").alias(c) for c in ("a", "b", "len")])
+def maximal_inverted_repeats(spark, sf_dir, view=planted):
+    return repeats.maximal_repeats(contigs(view(spark, sf_dir)), P.seed, *P.band).select("contig_no", *[F.col(c).cast("long").alias(c) for c in ("a", "b", "len")])
 
 
 @query("maximal_direct_repeats", f"""WITH {PLANTED_SQL}, k AS (SELECT doc_id, a, substr(s, a + 1, 12) AS kmer FROM (SELECT doc_id, s, unnest(range(0, length(s) - 11)) AS a FROM planted)),
 m AS (SELECT x.doc_id, x.a, y.a - x.a AS d FROM k x JOIN k y ON x.doc_id = y.doc_id AND x.kmer = y.kmer AND y.a > x.a AND y.a - x.a <= 5000),
 r AS (SELECT *, a - row_number() OVER (PARTITION BY doc_id, d ORDER BY a) AS island FROM m)
 SELECT doc_id AS contig_no, min(a)::BIGINT AS a, (min(a) + d)::BIGINT AS b, (max(a) - min(a) + 12)::BIGINT AS len FROM r GROUP BY doc_id, d, island""")
-def maximal_direct_repeats(spark, sf_dir):
-    found = repeats.maximal_repeats(contigs(planted(spark, sf_dir)), 12, 1, P.max_distance, inverted=False)
+def maximal_direct_repeats(spark, sf_dir, view=planted):
+    found = repeats.maximal_repeats(contigs(view(spark, sf_dir)), 12, 1, P.max_distance, inverted=False)
     return found.select("contig_no", *[F.col(c).cast("long").alias(c) for c in ("a", "b", "len")])
 
 
 @query("seeds", f"WITH {PLANTED_SQL}{_SEEDS_SQL} SELECT * FROM seeds")
-def seeds(spark, sf_dir):
-    return repeats.seeds(contigs(planted(spark, sf_dir)), P).select("contig_no", "a", "b", "len")
+def seeds(spark, sf_dir, view=planted):
+    return repeats.seeds(contigs(view(spark, sf_dir)), P).select("contig_no", "a", "b", "len")
 
 
 @query("seeds_whole_texts", f"WITH {DNA_SQL.replace('dna AS', 'planted AS')}{_SEEDS_SQL} SELECT * FROM seeds")
@@ -159,18 +170,18 @@ def seeds_whole_texts(spark, sf_dir):
 
 
 @query("seeds_by_join", f"WITH {PLANTED_SQL}{_SEEDS_SQL} SELECT * FROM seeds")
-def seeds_by_join(spark, sf_dir):
-    return repeats.seeds_by_join(contigs(planted(spark, sf_dir)), P).select("contig_no", *[F.col(c).cast("long").alias(c) for c in ("a", "b", "len")])
+def seeds_by_join(spark, sf_dir, view=planted):
+    return repeats.seeds_by_join(contigs(view(spark, sf_dir)), P).select("contig_no", *[F.col(c).cast("long").alias(c) for c in ("a", "b", "len")])
 
 
 @query("seed_length_hist", f"WITH {PLANTED_SQL}{_SEEDS_SQL} SELECT len, count(*)::BIGINT AS n FROM seeds GROUP BY len")
-def seed_length_hist(spark, sf_dir):
-    return seeds(spark, sf_dir).groupBy("len").agg(F.count("*").alias("n"))
+def seed_length_hist(spark, sf_dir, view=planted):
+    return seeds(spark, sf_dir, view).groupBy("len").agg(F.count("*").alias("n"))
 
 
 @query("seed_flanks", f"WITH {PLANTED_SQL}{_SEEDS_SQL} SELECT contig_no, a, b, len, reverse(substr(s, greatest(a - 20, 0) + 1, least(a, 20))) AS outward_left, translate(substr(s, b + len + 1, 20), 'ACGT', 'TGCA') AS outward_right FROM seeds JOIN planted ON doc_id = contig_no")
-def seed_flanks(spark, sf_dir):
-    rows = contigs(planted(spark, sf_dir))
+def seed_flanks(spark, sf_dir, view=planted):
+    rows = contigs(view(spark, sf_dir))
     found = repeats.seeds(rows, P).join(rows.select("contig_no", "seq"), "contig_no")
     left = F.reverse(F.substr("seq", (F.greatest(F.col("a") - 20, F.lit(0)) + 1).cast("int"), F.least(F.col("a"), F.lit(20)).cast("int")))
     right = sequence.complement(F.substr("seq", (F.col("b") + F.col("len") + 1).cast("int"), F.lit(20)))
@@ -299,30 +310,30 @@ def fasta_scan(spark, sf_dir):
 
 @query("xdrop_extend")
 def xdrop_extend(spark, sf_dir):
-    rows = contigs(planted(spark, sf_dir))
+    rows = contigs(planted_whole(spark, sf_dir))
     return extension.extend(repeats.seeds(rows, P), rows, P).select("contig_no", "a", "b", "len", "li", "lj", "ri", "rj")
 
 
 @query("length_gate")
 def length_gate(spark, sf_dir):
-    return pipeline.stages(contigs(planted(spark, sf_dir)))["passed"].select("contig_no", "a", "b", "len", "arm_length")
+    return pipeline.stages(contigs(planted_whole(spark, sf_dir)))["passed"].select("contig_no", "a", "b", "len", "arm_length")
 
 
 @query("tsd_search")
 def tsd_search(spark, sf_dir):
-    return pipeline.stages(contigs(planted(spark, sf_dir)))["duplicated"].select("contig_no", "a", "b", "len", "lts", "lte", "rts", "rte", "tsd", "skip")
+    return pipeline.stages(contigs(planted_whole(spark, sf_dir)))["duplicated"].select("contig_no", "a", "b", "len", "lts", "lte", "rts", "rte", "tsd", "skip")
 
 
 @query("arm_pairs")
 def arm_pairs(spark, sf_dir):
     """The strings that the similarity gate compares."""
-    found = similarity.arm_similarity(pipeline.stages(contigs(planted(spark, sf_dir)))["duplicated"], P)
+    found = similarity.arm_similarity(pipeline.stages(contigs(planted_whole(spark, sf_dir)))["duplicated"], P)
     return found.where("left_arm IS NOT NULL").select("contig_no", "a", "b", "len", "left_arm", "right_arm", "edit_distance", "sim")
 
 
 @query("find_elements")
 def find_elements(spark, sf_dir):
-    return pipeline.find_elements(contigs(planted(spark, sf_dir))).drop("file")
+    return pipeline.find_elements(contigs(planted_whole(spark, sf_dir))).drop("file")
 
 
 @query("find_elements_whole_texts")
@@ -332,4 +343,75 @@ def find_elements_whole_texts(spark, sf_dir):
 
 @query("elements_formatted")
 def elements_formatted(spark, sf_dir):
-    return pipeline.formatted(pipeline.find_elements(contigs(planted(spark, sf_dir)))).drop("file")
+    return pipeline.formatted(pipeline.find_elements(contigs(planted_whole(spark, sf_dir)))).drop("file")
+
+
+#: Queries whose SQL runs on ``planted``; the same SQL over the whole texts is that of their second ones.
+_SEED_QUERIES = ("mirror_coords", "contig_bounds", "kmer_scan", "kmer_rc_join", "maximal_inverted_repeats", "maximal_direct_repeats", "seeds_by_join", "seed_length_hist", "seed_flanks")
+
+
+def _over_whole_texts(name: str) -> None:
+    @query(f"{name}_whole_texts", ORACLES[name].replace(PLANTED_SQL, DNA_SQL.replace("dna AS", "planted AS")))
+    def whole(spark, sf_dir):
+        return QUERIES[name](spark, sf_dir, dna)
+
+
+for _name in _SEED_QUERIES:
+    _over_whole_texts(_name)
+
+
+@query("lce_whole_texts", f"""WITH {DNA_SQL}, t AS (SELECT doc_id, start, substr(s, start + 1, 40) AS u, substr(s, start + 41, 40) AS v FROM (SELECT doc_id, s, unnest(range(0, greatest(length(s), 1), 40)) AS start FROM dna))
+SELECT doc_id, start::INT AS start, len(list_filter(range(1, least(length(u), length(v)) + 1), lambda n: substr(u, 1, n) = substr(v, 1, n)))::INT AS n FROM t""")
+def lce_whole_texts(spark, sf_dir):
+    """Longest common extension of every two neighbouring stretches of 40 bases, to each text's end."""
+    start = F.explode(F.sequence(F.lit(0), F.greatest(F.length("s") - 1, F.lit(0)), F.lit(40))).alias("start")
+    rows = dna(spark, sf_dir).select("doc_id", "s", start)
+    u, v = (F.substr("s", F.col("start") + k, F.lit(40)) for k in (1, 41))
+    return rows.select("doc_id", "start", sequence.common_prefix(u, v).cast("int").alias("n"))
+
+
+@query("multiset_diff_whole_tables", """WITH a AS (SELECT o_orderkey AS k FROM orders), b AS (SELECT l_orderkey FROM lineitem)
+SELECT k, side, count(*)::BIGINT AS times FROM ((SELECT *, 'left' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)) UNION ALL (SELECT *, 'right' AS side FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a))) GROUP BY ALL""")
+def multiset_diff_whole_tables(spark, sf_dir):
+    """Orders against the order of each of their lines, every row of both tables."""
+    left = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k"))
+    right = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("k"))
+    return gff.multiset_diff(left, right).groupBy("k", "side").agg(F.count("*").alias("times"))
+
+
+def _flanks(spark, sf_dir):
+    """Each pair of arms found in the whole texts, with the two flanks where a duplication is sought."""
+    start = F.greatest(F.lit(0), F.col("lts") - P.vicinity)
+    width = F.least(F.col("lte"), F.col("lts") + P.vicinity) - start + 1
+    left = F.substr("left_text", F.lit(1), width.cast("int"))
+    rows = pipeline.stages(contigs(planted_whole(spark, sf_dir)))["passed"]
+    return rows.withColumns({"left_start": start, "right_start": F.greatest(F.col("rts"), F.col("rte") - P.vicinity), "lw": left, "rw": F.col("right_text")})
+
+
+@query("tsd_candidates_whole_texts")
+def tsd_candidates_whole_texts(spark, sf_dir):
+    found = tsd.candidates(_flanks(spark, sf_dir), P.min_tsd, P.max_tsd, "lw", "rw")
+    return found.select("contig_no", "a", "b", "len", *[F.col(c).cast("int").alias(c) for c in "pqm"])
+
+
+@query("best_tsd_whole_texts")
+def best_tsd_whole_texts(spark, sf_dir):
+    found = tsd.candidates(_flanks(spark, sf_dir), P.min_tsd, P.max_tsd, "lw", "rw")
+    return tsd.best_of_candidates(found, ["contig_no", "a", "b", "len"], P, "lw")
+
+
+@query("arm_similarity_whole_texts")
+def arm_similarity_whole_texts(spark, sf_dir):
+    return arm_pairs(spark, sf_dir).select("contig_no", "a", "b", "len", "edit_distance", "sim")
+
+
+@query("similarity_gate_whole_texts")
+def similarity_gate_whole_texts(spark, sf_dir):
+    found = similarity.arm_similarity(pipeline.stages(contigs(planted_whole(spark, sf_dir)))["duplicated"], P)
+    return found.where("NOT skip").select("contig_no", "a", "b", "len", "edit_distance", "sim")
+
+
+@query("element_coords_whole_texts")
+def element_coords_whole_texts(spark, sf_dir):
+    """Coordinates of the elements that the search finds, not of where they were put."""
+    return pipeline.element_columns(pipeline.stages(contigs(planted_whole(spark, sf_dir)))["best"]).drop("file", "sim")

@@ -112,7 +112,10 @@ def decode_bytes(ids: np.ndarray, v: Vocabulary) -> np.ndarray:
 
 
 def decode(ids: np.ndarray, v: Vocabulary) -> str:
-    out = decode_bytes(np.asarray(ids, np.int64), v).tobytes()
+    return _text(decode_bytes(np.asarray(ids, np.int64), v).tobytes())
+
+
+def _text(out: bytes) -> str:
     return (out[1:] if out[:1] == b" " else out).decode("utf-8", "replace")
 
 
@@ -396,7 +399,7 @@ def _ids(l: Lattice, edge: np.ndarray, v: Vocabulary) -> np.ndarray:
     return ids
 
 
-def _encode(v: Vocabulary, k: int, seed: int, with_ids: bool):
+def _encode(v: Vocabulary, k: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole, "text", _CHUNK):
@@ -407,30 +410,26 @@ def _encode(v: Vocabulary, k: int, seed: int, with_ids: bool):
                     part = flat[a : a + 256]
                     ids = [s[0] for _, _, s, _ in part]
                     size = np.array([len(x) for x in ids])
+                    spelled = [decode_bytes(x, v).tobytes() for x in ids]
                     yield pa.record_batch([
                         pa.array([x[0] for x in part], pa.int64()), pa.array([x[1] for x in part], pa.int32()), pa.array(size, pa.int64()),
                         *(pa.array([x[2][c] for x in part], pa.float64()) for c in (1, 2, 3)),
                         pa.array([zlib.crc32(x.astype("<i4").tobytes()) for x in ids], pa.int64()),
-                        pa.array([_spells(x[2][0], x[3], v) for x in part]),
-                        *([pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(np.concatenate(ids).astype(np.int32)))] if with_ids else []),
-                    ], ["doc_id", "sample", "n_pieces", "log_prob", "perturbed", "log_inclusion", "ids_crc32", "round_trip"] + ["ids"] * with_ids)
+                        pa.array([out == (b" " + x[3].encode() if x[3] else b"") for out, x in zip(spelled, part, strict=True)]),
+                        pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(np.concatenate(ids).astype(np.int32))),
+                        pa.array([_text(out) for out in spelled], pa.string()),
+                    ], ["doc_id", "sample", "n_pieces", "log_prob", "perturbed", "log_inclusion", "ids_crc32", "round_trip", "ids", "text"])
 
     return run
 
 
-def _spells(ids: np.ndarray, text: str, v: Vocabulary) -> bool:
-    out = decode_bytes(ids, v).tobytes()
-    return out == (b" " + text.encode() if text else b"")
-
-
-def encode_documents(docs: DataFrame, k: int = 3, seed: int = 11, model: str = MODEL, power: float = 1.0, with_ids: bool = True, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encode_documents(docs: DataFrame, k: int = 3, seed: int = 11, model: str = MODEL, power: float = 1.0, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Up to ``k`` distinct sampled segmentations of each text, by falling perturbed value.
 
     Each row of the result is one sample (from 0): its piece ids, their number and checksum, the
     log of its probability among all segmentations of the text, its perturbed value, the log of
     its inclusion probability given the (k+1)-th perturbed value (0 where all segmentations are
-    returned), and whether decoding gives the text back; without ``with_ids`` the ids stay where
-    they were checked. The draws depend on the row's key,
+    returned), whether decoding gives the text back, and the decoded text. The draws depend on the row's key,
     ``seed`` and the text alone, so reruns and other partitionings agree.
 
     Texts begin with a space that decoding drops; spaces are kept as they are, characters without
@@ -440,8 +439,8 @@ def encode_documents(docs: DataFrame, k: int = 3, seed: int = 11, model: str = M
     """
     small_batches(docs.sparkSession, 2500)
     v = load(model, power)
-    schema = "doc_id long, sample int, n_pieces long, log_prob double, perturbed double, log_inclusion double, ids_crc32 long, round_trip boolean" + ", ids array<int>" * with_ids
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(_encode(v, k, seed, with_ids), schema)
+    schema = "doc_id long, sample int, n_pieces long, log_prob double, perturbed double, log_inclusion double, ids_crc32 long, round_trip boolean, ids array<int>, text string"
+    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(_encode(v, k, seed), schema)
 
 
 def decode_documents(encoded: DataFrame, model: str = MODEL, ids: str = "ids") -> DataFrame:
@@ -452,7 +451,9 @@ def decode_documents(encoded: DataFrame, model: str = MODEL, ids: str = "ids") -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(ids)
-            texts = [None if x is None else decode(np.array(x, np.int64), v) for x in batch.column(at).to_pylist()]
+            column = batch.column(at)
+            bounds, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+            texts = [decode(flat[s:e], v) if here else None for s, e, here in zip(bounds[:-1].tolist(), bounds[1:].tolist(), column.is_valid().to_pylist(), strict=True)]
             yield pa.record_batch([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "text"])
 
     frame = encoded.select(*names)
@@ -460,4 +461,5 @@ def decode_documents(encoded: DataFrame, model: str = MODEL, ids: str = "ids") -
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_documents(read(spark, sf_dir, "documents"), with_ids=False)
+    """The samples of every document with their ids, and the text that the ids decode to."""
+    return encode_documents(read(spark, sf_dir, "documents"))

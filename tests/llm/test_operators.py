@@ -395,6 +395,14 @@ def test_encoding_round_trip(spark, vocabulary):
     assert lattice.encode_documents(empty(spark)).count() == 0
 
 
+def test_encoding_query_returns_ids_and_text(spark, tmp_path, vocabulary):
+    texts = ["", "a  b", "日本語 🙂", "the same words again"]
+    documents(spark, [(k, t, None, None) for k, t in enumerate(texts)]).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = lattice.op1_sentencepiece(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in rows} == {0, 1, 2, 3}
+    assert all(r.n_pieces == len(r.ids) and r.text == texts[r.doc_id] and lattice.decode(np.array(r.ids, np.int64), vocabulary) == r.text for r in rows)
+
+
 # op 10
 
 

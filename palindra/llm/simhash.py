@@ -117,23 +117,23 @@ def _links(distance: int):
     return run
 
 
-def _variants(no: int, segment: Column) -> Column:
+def _variants(no: int, segment: Column, width: int = WIDTH) -> Column:
     """Keys of a segment with each of its bits cleared in turn, told apart by segment and bit."""
 
     def key(bit: Column) -> Column:
-        mask = F.call_function("shiftleft", F.lit(1).cast("long"), bit).bitwiseXOR(F.lit((1 << WIDTH) - 1))
-        return F.shiftleft((F.lit(no * WIDTH) + bit).cast("long"), WIDTH).bitwiseOR(segment.bitwiseAND(mask))
+        mask = F.call_function("shiftleft", F.lit(1).cast("long"), bit).bitwiseXOR(F.lit((1 << width) - 1))
+        return F.shiftleft((F.lit(no * width) + bit).cast("long"), WIDTH).bitwiseOR(segment.bitwiseAND(mask))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), key)
+    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), key)
 
 
-def simhash_groups(docs: DataFrame, distance: int = 3, shingle: int = 3, seed: int = 42, key: str = "doc_id", text: str = "text") -> DataFrame:
+def simhash_groups(docs: DataFrame, distance: int = 3, shingle: int = 3, seed: int = 42, key: str = "doc_id", text: str = "text", segments: int = SEGMENTS) -> DataFrame:
     """Each row's fingerprint and component (the smallest key reachable over links).
 
-    Two fingerprints link at ``distance`` (1 to 3) or fewer differing bits. A fingerprint is cut
-    into two segments of 32 bits, so that one segment of a linked pair differs by at most one
-    bit. Each distinct fingerprint is indexed under the 32 one-wildcard variants of either
-    segment; an equality on the variant makes the candidates, which are verified on all bits.
+    Two fingerprints link at ``distance`` (1 to 3, or to 7 with 4 ``segments``) or fewer differing
+    bits. A fingerprint is cut into two segments of 32 bits (four of 16), so that one segment of a
+    linked pair differs by at most one bit. Each distinct fingerprint is indexed under the
+    one-wildcard variants of every segment, 64 in all; an equality on the variant makes the candidates, which are verified on all bits.
     Copies collapse to one fingerprint before, so a group of copies costs one entry. A bucket's
     links leave as a spanning forest, never as all pairs; large buckets are looked up by neighbour
     masks. Nothing is capped, no link between different fingerprints is lost.
@@ -141,15 +141,18 @@ def simhash_groups(docs: DataFrame, distance: int = 3, shingle: int = 3, seed: i
     Null, empty and blank texts have fingerprint 0 and link like any other. Texts of fewer words
     than a shingle hash as a whole. Repeated rows return as often as they come. Empty: empty.
     """
-    if not 1 <= distance <= 2 * SEGMENTS - 1:
-        raise ValueError("two segments with one wildcard cover at most 3 differing bits")
+    if segments not in (2, 4):
+        raise ValueError("segments is 2 or 4")
+    if not 1 <= distance <= 2 * segments - 1:
+        raise ValueError("n segments with one wildcard cover at most 2 n - 1 differing bits")
+    width = 64 // segments
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     prints = cut(rows.mapInArrow(_fingerprints(shingle, seed), "doc_id long, print long"))
     distinct = prints.groupBy("print").agg(F.min("doc_id").alias("id"))
-    low, high = F.col("print").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("print", WIDTH)
-    variants = F.flatten(F.array(*[_variants(no, segment) for no, segment in enumerate((low, high))]))
+    parts = [F.shiftrightunsigned("print", no * width).bitwiseAND(F.lit((1 << width) - 1)) for no in range(segments)]
+    variants = F.flatten(F.array(*[_variants(no, segment, width) for no, segment in enumerate(parts)]))
     index = distinct.select(F.explode(variants).alias("key"), "print", "id").repartition(n_partitions(spark), "key")
     links = index.mapInArrow(_links(distance), "a long, b long")
     found = components(links)

@@ -458,3 +458,32 @@ def test_pipeline(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, "").count() == 0
     assert json.dumps([n for n, _ in corpus_pipeline.STAGES])
+
+
+def jaccard(a, b, k=5):
+    runs = []
+    for text in (a, b):
+        words = text.lower().split()
+        runs.append({tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))})
+    return len(runs[0] & runs[1]) / len(runs[0] | runs[1])
+
+
+def test_pipeline_near_copies_by_five_words(spark):
+    """Near copies against brute force over all pairs; what is not similar, or only shares an id, stays."""
+    rng, rows = random.Random(5), []
+    vocabulary = [f"w{k}" for k in range(4000)]
+    for k in range(40):
+        words = [rng.choice(vocabulary) for _ in range(300)]
+        rows.append((2 * k, " ".join(words)))
+        for _ in range(rng.randrange(1, 7)):  # edits of single words
+            words[rng.randrange(300)] = rng.choice(vocabulary)
+        rows.append((2 * k + 1, " ".join(words)))
+    rows += [(0, "another text under a taken id"), (None, "a text without an id"), (None, "a second one without an id")]
+    docs = documents(spark, [(i, t, "en", "s") for i, t in rows])
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.simhash(spark, docs, "").collect()]
+    assert set(kept) <= set(rows) and {x for x in rows if len(x[1]) < 40} <= set(kept)
+    gone = [x for x in rows if x not in kept]
+    assert all(any(jaccard(x[1], y[1]) >= 0.8 for y in kept) for x in gone)
+    pairs = [(x, y) for x, y in combinations(rows, 2) if jaccard(x[1], y[1]) >= 0.8]
+    caught = sum(x in gone or y in gone for x, y in pairs)
+    assert len(pairs) >= 30 and caught >= 0.6 * len(pairs)

@@ -487,3 +487,23 @@ def test_pipeline_near_copies_by_five_words(spark):
     pairs = [(x, y) for x, y in combinations(rows, 2) if jaccard(x[1], y[1]) >= 0.8]
     caught = sum(x in gone or y in gone for x, y in pairs)
     assert len(pairs) >= 30 and caught >= 0.6 * len(pairs)
+
+
+def test_pipeline_language_floor(spark):
+    rng = random.Random(3)
+    clean = [(k, " ".join(rng.choice(WORDS if k % 2 else DEUTSCH) for _ in range(60)), "en" if k % 2 else "de", "s") for k in range(40)]
+    short = [(100, "it was the that", None, "s"), (101, "das ist nicht für sie", None, "s"), (None, "this is for the one with it", None, "s")]
+    junk = [(200, "".join(rng.choice("qwzxjkvpy") for _ in range(300)), None, "s"), (201, "это русский текст о хлебе и воде", None, "s"), (202, "zzv qqj xkq " * 20, None, "s")]
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, documents(spark, clean + short + junk), "").collect()}
+    assert kept == {r[0] for r in clean + short}
+    unlabelled = documents(spark, [(r[0], r[1], None, r[3]) for r in clean])
+    assert corpus_pipeline.language_id(spark, unlabelled, "").count() == len(clean)
+
+
+def test_pipeline_keeps_rows_without_id(spark):
+    rows = [(None, "the first row without an id has words", "en", "a"), (None, "one more row that has none either", "en", "a"), (7, "a row with an id", "en", "a"), (7, "and a different row with it", "en", "a")]
+    docs = documents(spark, rows)
+    for stage in (corpus_pipeline.simhash, corpus_pipeline.suffix_array):
+        assert sorted(r.text for r in stage(spark, docs, "").collect()) == sorted(r[1] for r in rows)
+    mixed = [r.text for r in corpus_pipeline.mix(spark, docs, "").collect()]
+    assert set(mixed) <= {r[1] for r in rows} and all(mixed.count(t) <= 2 for t in mixed)

@@ -78,6 +78,15 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(name, str(rows))
 
 
+#: Ids from here on stand for missing ones within an operator, and sort behind usual ones.
+UNNAMED = 1 << 62
+
+
+def unnamed(*content) -> F.Column:
+    """An id for rows that have none, from what they hold."""
+    return F.xxhash64(*content).bitwiseAND(F.lit(UNNAMED - 1)).bitwiseOR(F.lit(UNNAMED))
+
+
 def utf8_size(text) -> F.Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 

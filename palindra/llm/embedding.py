@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palindra.llm.common import cut, n_partitions, read
+from palindra.llm.common import cut, n_partitions, read, unnamed
 from palindra.llm.graph import components, local_components
 from palindra.llm.vectors import finite, matrix, packed
 
@@ -146,13 +146,14 @@ def near_vectors(rows: DataFrame, cosine: float = 0.95, key: str = "vec_id", vec
     A task sends back counts and a spanning forest, never pairs.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing.
-    Repeated rows are other vectors. Empty: empty.
+    Repeated rows are other vectors. Rows with a null key link like any other; a component without
+    a key is null, and so is ``kept`` of rows without one. Empty: empty.
     """
     spark, eps = rows.sparkSession, float(np.sqrt(max(0.0, 2 - 2 * cosine))) * (1 + 1e-9) + 1e-9
     kind = "float" if dict(rows.dtypes)[vector] == "array<float>" else "double"
     rows = rows.select(F.col(key).alias("vec_id"), F.col(vector).cast(f"array<{kind}>").alias("v"))
     linking = finite(F.col("v")) & F.exists("v", lambda x: x != 0)
-    distinct = cut(rows.where(linking).groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")).select(F.size("v").alias("dim"), "id", "n", "v"))
+    distinct = cut(rows.where(linking).groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")).select(F.size("v").alias("dim"), F.coalesce("id", unnamed("v")).alias("id"), F.col("id").isNull().alias("unnamed"), "n", "v"))
     sample: dict[int, list] = {}
     for dim, v in distinct.select("dim", "v").orderBy(F.xxhash64("id")).limit(SAMPLE).collect():
         sample.setdefault(dim, []).append(v)
@@ -162,7 +163,7 @@ def near_vectors(rows: DataFrame, cosine: float = 0.95, key: str = "vec_id", vec
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         bases[dim] = np.linalg.svd(x - x.mean(axis=0), full_matrices=True)[2].T if len(x) > 1 else np.eye(dim)
     p = n_partitions(spark)
-    ordered = distinct.mapInArrow(_order(bases, eps), f"dim int, cell array<int>, id long, n long, v array<{kind}>")
+    ordered = distinct.drop("unnamed").mapInArrow(_order(bases, eps), f"dim int, cell array<int>, id long, n long, v array<{kind}>")
     ordered = ordered.repartitionByRange(p, "dim", "cell", "id").sortWithinPartitions("dim", "cell", "id")
     packs = cut(ordered.mapInArrow(_blocks(bases, block), "block long, dim int, low array<double>, high array<double>, ids binary, ns binary, vs binary"))
     # consecutive numbers: partitions are as many as the session has, blocks in them are counted
@@ -181,6 +182,9 @@ def near_vectors(rows: DataFrame, cosine: float = 0.95, key: str = "vec_id", vec
     links = out.where("kind = 0").groupBy(F.col("a").alias("id")).agg(F.sum("b").alias("links"))
     groups = components(out.where("kind = 1").select("a", "b"))
     classes = distinct.join(links, "id", "left").join(groups, "id", "left").select("v", "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "id").alias("component_id"))
+    # a component whose smallest id is a stand-in has no key
+    stand_in = distinct.where("unnamed").select(F.col("id").alias("component_id"), "unnamed")
+    classes = classes.join(stand_in, "component_id", "left").select("v", "n", "links", F.when(F.col("unnamed").isNull(), F.col("component_id")).alias("component_id"))
     rest = rows.where(~F.coalesce(linking, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     found = rows.where(linking).join(classes, "v").select("vec_id", (F.col("links") + F.col("n") - 1).alias("n_links"), "component_id")
     return found.unionByName(rest).withColumn("kept", F.col("vec_id") == F.col("component_id"))

@@ -507,3 +507,10 @@ def test_pipeline_keeps_rows_without_id(spark):
         assert sorted(r.text for r in stage(spark, docs, "").collect()) == sorted(r[1] for r in rows)
     mixed = [r.text for r in corpus_pipeline.mix(spark, docs, "").collect()]
     assert set(mixed) <= {r[1] for r in rows} and all(mixed.count(t) <= 2 for t in mixed)
+
+
+def test_embedding_links_beside_a_null_key(spark):
+    rows = [(5, [1.0, 0.0, 0.0]), (6, [1.0, 0.01, 0.0]), (None, [0.0, 1.0, 0.0]), (None, [1.0, 0.0, 0.01]), (9, [0.0, 0.0, 1.0])]
+    found = embedding.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    got = sorted((str(r.vec_id), r.n_links, str(r.component_id)) for r in found)
+    assert got == [("5", 2, "5"), ("6", 2, "5"), ("9", 0, "9"), ("None", 0, "None"), ("None", 2, "5")]

@@ -33,15 +33,24 @@ def _checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="palindra-"))
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, dealt: bool = False) -> DataFrame:
     """``df`` computed once and kept in the shared checkpoint folder, free of its lineage.
 
     The folder is the session's ``spark.checkpoint.dir``. Only where that is unset, as in
-    tests on one machine, a temporary folder takes its place.
+    tests on one machine, a temporary folder takes its place. With ``dealt``, Spark goes on to
+    know by which keys the rows are dealt, and later joins on them move nothing: an adaptive plan
+    would not tell.
     """
     spark = df.sparkSession
     _checkpoint_dir(spark)
-    out = df.checkpoint(True)
+    name = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(name)
+    try:
+        if dealt:
+            spark.conf.set(name, "false")
+        out = df.checkpoint(True)
+    finally:
+        spark.conf.set(name, before)
     del df
     release(spark)
     return out

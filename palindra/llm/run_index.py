@@ -30,14 +30,6 @@ class Ranks:
         return self.before[word] + np.bitwise_count(self.words[word] & mask)
 
 
-def _dense(order: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Ranks from 1 of ``key``, given its sort order; equal keys share one."""
-    ranked = key[order]
-    rank = np.empty(len(key), np.int64)
-    rank[order] = np.cumsum(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-    return rank
-
-
 class RunIndex:
     def __init__(self, segments: np.ndarray, window: int):
         """Index ``segments`` (rows of symbols, padded with 0 on either side); ``window`` is the
@@ -48,38 +40,21 @@ class RunIndex:
         text[:, :width] = segments
         text = self.text = text.reshape(-1)
         n = len(text)
-        # prefix doubling from 8 symbols; nothing past an end mark counts, ties go by position
-        def shifted(rank, by):
-            grid = np.zeros((n_rows, self.width), rank.dtype)
-            if by < self.width:
-                grid[:, : self.width - by] = rank.reshape(n_rows, self.width)[:, by:]
-            return grid.reshape(-1)
-
         key = text.astype(np.uint64)
         for by in (1, 2, 4):
-            key = key << np.uint64(8 * by) | shifted(key, by)
-        # every suffix that starts with padding or an end mark counts as the empty one
-        blank = text == 0
-        key[blank] = 0
-        rank, length, at_half = _dense(np.argsort(key), key), 8, None
-        rank[blank] = 0
-        while length < self.width:
-            if length == 32:
-                at_half = rank
-            key = rank * np.int64(n + 1) + shifted(rank, length)
-            length *= 2
-            last = length >= self.width
-            order = np.argsort(key, kind="stable" if last else None)
-            if not last:
-                rank = _dense(order, key)
-                rank[blank] = 0
+            shifted = np.zeros((n_rows, self.width), np.uint64)
+            shifted[:, : self.width - by] = key.reshape(n_rows, self.width)[:, by:]
+            key = key << np.uint64(8 * by) | shifted.reshape(-1)
+        self.eight = key
+        order, half = self._sorted(key)
         self.order = order
-        half = at_half if at_half is not None else rank
-        pair = half * np.int64(n + 1) + shifted(half, window - 32)
-        new_group = np.concatenate([[True], pair[order[1:]] != pair[order[:-1]]])
+        pair = half.astype(np.int64).reshape(n_rows, self.width) * (n + 1)
+        pair[:, : self.width - (window - 32)] += half.reshape(n_rows, self.width)[:, window - 32 :]
+        pair = pair.reshape(-1)[order]
+        new_group = np.concatenate([[True], pair[1:] != pair[:-1]])
         self.group_of = Ranks(new_group)
         self.group_start = np.flatnonzero(new_group)
-        bwt = np.where(order % self.width == 0, 0, text[order - 1]).astype(np.uint8)
+        bwt = text[order - 1]  # an end mark stands before each row
         first = np.concatenate([[True], bwt[1:] != bwt[:-1]])
         start = np.flatnonzero(first)
         end = np.concatenate([start[1:], [n]]) - 1
@@ -93,19 +68,71 @@ class RunIndex:
         self.mapped = mapped
         self.jump = self.head[by_symbol].astype(np.int64) * len(start) + by_symbol
 
+    def _sorted(self, eight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(suffix order, rank of each suffix by 32 symbols); ``eight`` holds 8 symbols of each.
+
+        Prefix doubling over the suffixes whose place is still open. Nothing past an end mark
+        counts: every suffix that starts with padding or an end mark is the empty one. Equal
+        suffixes are ordered by position.
+        """
+        n, width = len(eight), self.width
+        blank = self.text == 0
+        eight = np.where(blank, np.uint64(0), eight)
+        order = np.argsort(eight).astype(np.int32)
+        place = np.arange(n, dtype=np.int32)
+        column = np.tile(np.arange(width, dtype=np.int16), n // width)
+
+        def starts(ranked: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """The place where each one's group starts, and whether the group is more than one."""
+            first = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+            head = np.flatnonzero(first)
+            size = np.diff(np.append(head, len(ranked)))
+            return np.repeat(at[head], size), np.repeat(size > 1, size)
+
+        rank = np.empty(n, np.int32)
+        group, several = starts(eight[order], place)
+        rank[order] = group
+        n_blank = int(blank.sum())
+        order[:n_blank] = np.flatnonzero(blank)
+        several[:n_blank] = False
+        at, length, half = np.flatnonzero(several), 8, None
+        while length < width:
+            if length == 32:
+                half = rank.copy()
+            if len(at):
+                open_ = order[at]
+                key = rank[open_].astype(np.int64) * (n + 1)
+                some = np.flatnonzero(column[open_] < width - length)
+                key[some] += rank[open_[some] + length]
+                sub = np.argsort(key)
+                order[at] = open_ = open_[sub]
+                group, several = starts(key[sub], at)
+                rank[open_] = group
+                at = at[several]
+            length *= 2
+        if len(at):
+            open_ = order[at]
+            order[at] = open_[np.argsort(rank[open_].astype(np.int64) * (n + 1) + open_)]
+        return order, rank if half is None else half
+
     def groups(self, doc: np.ndarray) -> np.ndarray:
         """The smallest of ``doc`` (one per segment) in each group of equal windows."""
-        return np.minimum.reduceat(doc[self.order // self.width], self.group_start)
+        return np.minimum.reduceat(np.repeat(doc, self.width)[self.order], self.group_start)
 
     def _shared(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
-        """Symbols that the suffixes at ``a`` and ``b`` share, up to ``most``."""
-        span = np.arange(self.width)
-        out = np.zeros(len(a), np.int64)
-        for s in range(0, len(a), 4096):
-            p, q = a[s : s + 4096, None], b[s : s + 4096, None]
-            n = len(self.text) - 1
-            same = (self.text[np.minimum(p + span, n)] == self.text[np.minimum(q + span, n)]) & (span < most[s : s + 4096, None])
-            out[s : s + 4096] = np.where(same.all(axis=1), self.width, same.argmin(axis=1))
+        """Symbols that the suffixes at ``a`` and ``b`` share, up to ``most``; none of ``most``
+        symbols at one of them is an end mark."""
+        out, n = np.zeros(len(a), np.int64), len(self.text) - 1
+        open_ = np.flatnonzero(most > 0)
+        for s in range(0, self.width, 8):
+            differ = self.eight[np.minimum(a[open_] + s, n)] ^ self.eight[np.minimum(b[open_] + s, n)]
+            equal = np.zeros(len(open_), np.int64)
+            for k in range(8):
+                equal += differ < np.uint64(1 << 8 * k)
+            out[open_] = s + equal
+            open_ = open_[(differ == 0) & (most[open_] > s + 8)]
+            if not len(open_):
+                break
         return np.minimum(out, most)
 
     def statistics(self, patterns: np.ndarray):

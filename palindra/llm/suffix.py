@@ -23,7 +23,10 @@ PACK = 1 << 19
 INDEX = 1 << 19
 #: An anchor with more occurrences is looked up window by window instead of by its context.
 HOT = 1 << 14
+#: Stands for a null key: behind every other.
+LAST = (1 << 63) - 2
 _BITS = np.uint64(48)
+_LOW = np.uint64((1 << 48) - 1)
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
 
@@ -45,6 +48,14 @@ def _rolled(b: np.ndarray, k: int) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
+def _spread(key: np.ndarray) -> np.ndarray:
+    """48-bit keys mapped one to one: minimizers crowd at small hashes, what comes out does not."""
+    key = (key * np.uint64(_MULTIPLIER)) & _LOW
+    key ^= key >> np.uint64(24)
+    key = (key * np.uint64(0xD6E8FEB86659FD93)) & _LOW
+    return key ^ (key >> np.uint64(24))
+
+
 def _sliding(x: np.ndarray, width: int, f) -> np.ndarray:
     size, out = 1, x
     while 2 * size <= width:
@@ -55,7 +66,7 @@ def _sliding(x: np.ndarray, width: int, f) -> np.ndarray:
 
 
 def anchors(b: np.ndarray, start: np.ndarray, window: int, k: int = ANCHOR, block: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
-    """(position, 48-bit hash) of the minimizers: each window of ``window`` bytes inside a document
+    """(position, 48-bit key) of the minimizers: each window of ``window`` bytes inside a document
     holds one at least, chosen by the window's content alone. Blocks of positions stay in cache."""
     n, span, none = len(b) - k + 1, window - k + 1, np.uint64(1 << 63)
     found: list[tuple[np.ndarray, np.ndarray]] = []
@@ -75,22 +86,40 @@ def anchors(b: np.ndarray, start: np.ndarray, window: int, k: int = ANCHOR, bloc
         found.append((at + s, x[at]))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+    return np.concatenate([x for x, _ in found]), _spread(np.concatenate([x for _, x in found]))
+
+
+def _hashed(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of bytes as words, and a hash of each."""
+    wide = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
+    wide[:, : rows.shape[1]] = rows
+    words = wide.view(np.uint64)
+    hashed = np.zeros(len(rows), np.uint64)
+    for k in range(words.shape[1]):
+        hashed = (hashed ^ words[:, k]) * np.uint64(_MULTIPLIER)
+        hashed ^= hashed >> np.uint64(29)
+    return words, hashed
 
 
 def _same_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first row of each distinct row, number of the distinct row of each)."""
-    weights = np.array([pow(_MULTIPLIER, k + 1, 1 << 64) | 1 for k in range(rows.shape[1])], np.uint64)
-    hashed = np.zeros(len(rows), np.uint64)
-    for k in range(rows.shape[1]):
-        hashed += (rows[:, k].astype(np.uint64) + np.uint64(1)) * weights[k]
-    hashed ^= hashed >> np.uint64(29)
+    words, hashed = _hashed(rows)
     _, first, number = np.unique(hashed, return_index=True, return_inverse=True)
-    if not (rows == rows[first[number]]).all():  # two rows share a hash
+    if not (words == words[first[number]]).all():  # two rows share a hash
         _, first, number = np.unique(rows, axis=0, return_index=True, return_inverse=True)
     return first, number.reshape(-1)
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Bytes of equal rank together, which compress better."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.dtype.itemsize).T).tobytes()
+
+
+def _unplaned(data: bytes, dtype: str) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(dtype).reshape(-1)
+
+
 class _Pack:
     """The documents of a pack: ids, where each starts, all bytes."""
 
@@ -110,7 +139,7 @@ def _cells(batch: pa.RecordBatch, *names: str) -> Iterator[list]:
 
 
 def _pack(limit: int):
-    """Rows (doc_id, text, rest...) to packs; ``rest`` keeps all further columns."""
+    """Rows (order, text, rest...) to packs; ``rest`` keeps all further columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held, size = TaskContext.get().partitionId() << 32, [], 0
@@ -120,10 +149,10 @@ def _pack(limit: int):
             nonlocal number, held, size
             table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             raw, at = byte_views(table.column(1))
-            rest, sink = table.select([x for k, x in enumerate(table.schema.names) if k != 1]), pa.BufferOutputStream()
+            rest, sink = table.select(list(range(2, table.num_columns))), pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, rest.schema) as writer:
                 writer.write_batch(rest)
-            ids = table.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ids = table.column(0).to_numpy()
             row = [number, ids.tobytes(), np.diff(at).tobytes(), squeeze.compress(raw[at[0] : at[-1]].tobytes()), squeeze.compress(sink.getvalue().to_pybytes())]
             number, held, size = number + 1, [], 0
             return pa.record_batch([pa.array([x], t) for x, t in zip(row, [pa.int64(), *[pa.binary()] * 4], strict=True)], ["pack", "ids", "sizes", "data", "rest"])
@@ -158,6 +187,7 @@ def _seen(window: int, buckets: int):
     """(bucket, pack, keys, counts): a pack's distinct anchors; odd counts are in several documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for number, *cells in _cells(batch, "pack", "ids", "sizes", "data"):
                 pack = _Pack(*cells)
@@ -167,35 +197,29 @@ def _seen(window: int, buckets: int):
                 first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
                 count = np.diff(np.concatenate([first, [len(key)]]))
                 several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first) if len(first) else np.zeros(0, bool)
-                key, code = key[first], (np.minimum(count, 127) * 2 + several).astype(np.uint8)
-                rows = [(b, number, key[s].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), code[s].tobytes()) for b, s in _blobs(key, buckets)]
+                key, code = key[first], (np.minimum(count, (1 << 15) - 1) * 2 + several).astype("<u2")
+                rows = [(b, number, squeeze.compress(_planes(key[s].astype("<u8"))), squeeze.compress(_planes(code[s]))) for b, s in _blobs(key, buckets)]
                 if rows:
                     yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int64(), pa.binary(), pa.binary()], strict=True)], ["bucket", "pack", "keys", "counts"])
 
     return run
 
 
-def _wide(keys: bytes) -> np.ndarray:
-    """48-bit keys as 64-bit."""
-    out = np.zeros((len(keys) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(keys, np.uint8).reshape(-1, 6)
-    return out.view("<u8").reshape(-1)
-
-
 def _shared(hot: int):
     """(pack, keys): each pack's anchors that some other document holds; the top bit marks hot ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packs, keys, counts = [], [], []
+        unsqueeze = zstandard.ZstdDecompressor()
         for batch in batches:
             for pack, k, c in _cells(batch, "pack", "keys", "counts"):
                 packs.append(pack)
-                keys.append(k)
-                counts.append(c)
+                keys.append(_unplaned(unsqueeze.decompress(k), "<u8"))
+                counts.append(_unplaned(unsqueeze.decompress(c), "<u2"))
         if not packs:
             return
         size = np.array([len(c) for c in counts])
-        key, count = _wide(b"".join(keys)), np.frombuffer(b"".join(counts), np.uint8)
+        key, count = np.concatenate(keys), np.concatenate(counts)
         del keys, counts
         order = np.argsort(key)
         first = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
@@ -215,9 +239,9 @@ def _shared(hot: int):
 
 
 def _contexts(window: int, buckets: int):
-    """The distinct contexts of a pack's shared anchors, by bucket (kind 0: base, doc, number and
-    symbols), and where each occurs in the pack (kind 1)."""
-    side = window - ANCHOR
+    """The distinct contexts of a pack's shared anchors, by bucket (kind 0: symbols, key and smallest
+    document, number of the first), and where each occurs in the pack (kind 1, in any bucket)."""
+    side, width = window - ANCHOR, 2 * window - ANCHOR
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
@@ -235,38 +259,45 @@ def _contexts(window: int, buckets: int):
                     continue
                 of = np.searchsorted(pack.start, at, side="right") - 1
                 base = at - side
-                place = base[:, None] + np.arange(2 * side + ANCHOR)
-                inside = (place >= pack.start[of][:, None]) & (place < pack.start[of + 1][:, None])
-                rows = np.where(inside, pack.bytes[np.clip(place, 0, len(pack.bytes) - 1)] + np.uint8(1), np.uint8(0))
-                is_hot, alone = within(hot, key), np.zeros(len(key), np.int32)
-                if is_hot.any():  # each window of its own: equal ones collapse, others part
-                    h, shift = np.repeat(np.flatnonzero(is_hot), side + 1), np.tile(np.arange(side + 1), int(is_hot.sum()))
-                    cut_out = np.zeros((len(h), rows.shape[1]), np.uint8)
-                    cut_out[:, :window] = rows[h[:, None], shift[:, None] + np.arange(window)]
-                    whole = cut_out[:, :window].all(axis=1)
-                    h, shift, cut_out = h[whole], shift[whole], cut_out[whole]
-                    place = base[h] + shift
-                    window_key = _rolled(cut_out.reshape(-1), window)[:: rows.shape[1]][: len(h)] >> (np.uint64(64) - _BITS) if len(h) else np.zeros(0, np.uint64)
-                    rows, base = np.concatenate([rows[~is_hot], cut_out]), np.concatenate([base[~is_hot], place])
-                    key, of = np.concatenate([key[~is_hot], window_key]), np.concatenate([of[~is_hot], of[h]])
-                    alone = np.repeat(np.array([0, 1], np.int32), [int((~is_hot).sum()), len(h)])
-                if not len(rows):
-                    continue
+                symbols = np.zeros(len(pack.bytes) + 2 * side, np.uint8)
+                np.add(pack.bytes, np.uint8(1), out=symbols[side : side + len(pack.bytes)])
+                rows = np.lib.stride_tricks.sliding_window_view(symbols, width)[at]
+                edge = np.flatnonzero((base < pack.start[of]) | (base + width > pack.start[of + 1]))
+                place = base[edge, None] + np.arange(width)
+                rows[edge] = np.where((place >= pack.start[of[edge]][:, None]) & (place < pack.start[of[edge] + 1][:, None]), rows[edge], np.uint8(0))
                 first, name = _same_rows(rows)
-                doc = pack.ids[of]
+                doc, key, rows = pack.ids[of], key[first], rows[first]
                 least = np.full(len(first), np.iinfo(np.int64).max)
                 np.minimum.at(least, name, doc)
-                order = np.argsort(key[first], kind="stable")
+                later = doc != least[name]
+                # each window of a hot anchor's contexts goes by itself: equal ones meet, others part
+                is_hot = within(hot, key)
+                h, c = np.flatnonzero(is_hot), np.flatnonzero(~is_hot)
+                views = np.lib.stride_tricks.sliding_window_view(rows[h], window, axis=1)
+                of_hot, shift = np.nonzero(views.all(axis=2))
+                alone = np.zeros((len(of_hot), width), np.uint8)
+                alone[:, :window] = views[of_hot, shift]
+                once, window_of = _same_rows(alone) if len(alone) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+                window_least = np.full(len(once), np.iinfo(np.int64).max)
+                np.minimum.at(window_least, window_of, least[h[of_hot]])
+                known, windows = np.zeros(len(h), np.uint32), np.full((len(h), side + 1), -1, np.int32)
+                np.bitwise_or.at(known, of_hot, (window_least[window_of] < least[h[of_hot]]).astype(np.uint32) << shift.astype(np.uint32))
+                alone = alone[once]
+                rows, least = np.concatenate([rows[c], alone]), np.concatenate([least[c], window_least])
+                key = np.concatenate([key[c], _hashed(alone)[1] >> (np.uint64(64) - _BITS)])
+                order = np.argsort(key, kind="stable")
+                number_of = np.empty(len(order), np.int32)
+                number_of[order] = np.arange(len(order))
+                windows[of_hot, shift] = number_of[len(c) + window_of]
                 renamed = np.empty(len(first), np.int32)
-                renamed[order] = np.arange(len(first))
-                sorted_key, least, rows = key[first][order], least[order], rows[first[order]]
-                name = renamed[name]
-                places = squeeze.compress(np.concatenate([name.astype("<i4"), base.astype("<i4"), ((doc != least[name]) * (1 + alone)).astype("<i4")]).tobytes())
-                out = [(1, 0, number, places, None, None)]
+                renamed[c], renamed[h] = number_of[: len(c)], len(order) + np.arange(len(h))
+                sorted_key, least, rows = key[order], least[order], rows[order]
+                head = np.array([len(at), len(order), len(h)], "<i4")
+                places = squeeze.compress(b"".join([head.tobytes(), renamed[name].astype("<i4").tobytes(), base.astype("<i4").tobytes(), later.astype("<i4").tobytes(), known.astype("<u4").tobytes(), windows.astype("<i4").tobytes()]))
+                out = [(1, (number + (number >> 32)) % buckets, number, places, None, None)]
                 for b, s in _blobs(sorted_key, buckets):
                     heads = np.concatenate([sorted_key[s].astype("<i8"), least[s].astype("<i8")])
-                    planes = np.ascontiguousarray(heads.view(np.uint8).reshape(-1, 8).T)  # bytes of equal rank together
-                    out.append((0, b, number, squeeze.compress(rows[s].tobytes()), squeeze.compress(planes.tobytes()), s.start))
+                    out.append((0, b, number, squeeze.compress(rows[s].tobytes()), squeeze.compress(_planes(heads)), s.start))
                 types = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
                 yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], ["kind", "bucket", "pack", "blob", "keys", "first"])
 
@@ -274,7 +305,9 @@ def _contexts(window: int, buckets: int):
 
 
 def _mark(window: int, limit: int):
-    """(pack, marks): of each context, the windows that a smaller document holds, as bits."""
+    """(pack, marks, places): of each context, the windows that a smaller document holds, as bits.
+
+    The places of the contexts in the packs pass through."""
     width = 2 * window - ANCHOR
     bits = window - ANCHOR + 1
 
@@ -289,13 +322,19 @@ def _mark(window: int, limit: int):
                 out[long, column] = least[index.group_of.upto(row[long]) - 1]
         return out
 
+    def reply(pack: int, marks: bytes | None, places: bytes | None) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([pack], pa.int64()), pa.array([marks], pa.binary()), pa.array([places], pa.binary())], ["pack", "marks", "places"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packs, rows, keys, docs, numbers, sizes = [], [], [], [], [], []
         unsqueeze = zstandard.ZstdDecompressor()
         for batch in batches:
-            for pack, blob, head, start in _cells(batch, "pack", "blob", "keys", "first"):
-                planes = np.frombuffer(unsqueeze.decompress(head), np.uint8).reshape(8, -1)
-                both, n = np.ascontiguousarray(planes.T).view("<i8").reshape(-1), planes.shape[1] // 2
+            for kind, pack, blob, head, start in _cells(batch, "kind", "pack", "blob", "keys", "first"):
+                if kind:
+                    yield reply(pack, None, blob)
+                    continue
+                both = _unplaned(unsqueeze.decompress(head), "<i8")
+                n = len(both) // 2
                 packs.append(pack)
                 rows.append(np.frombuffer(unsqueeze.decompress(blob, max_output_size=n * width), np.uint8).reshape(-1, width))
                 keys.append(both[:n])
@@ -327,7 +366,7 @@ def _mark(window: int, limit: int):
             part = slice(edge[k], edge[k + 1])
             some = np.flatnonzero(marks[part])
             if len(some):
-                yield pa.record_batch([pa.array([pack], pa.int64()), pa.array([np.concatenate([number[part][some].view("<u4"), marks[part][some]]).astype("<u4").tobytes()], pa.binary())], ["pack", "marks"])
+                yield reply(pack, np.concatenate([number[part][some].view("<u4"), marks[part][some]]).astype("<u4").tobytes(), None)
 
     return run
 
@@ -344,17 +383,23 @@ def _cover(window: int, keep: str | None):
                 n = len(pack.bytes)
                 begins = np.zeros(n + 1, bool)
                 if places:
-                    name, base, later = np.frombuffer(unsqueeze.decompress(places), "<i4").reshape(3, -1)
-                    mark = np.zeros(int(name.max()) + 1, np.uint32)
+                    told = np.frombuffer(unsqueeze.decompress(places), "<i4")
+                    (n_places, n_rows, n_hot), told = told[:3].tolist(), told[3:]
+                    name, base, later = told[: 3 * n_places].reshape(3, -1)
+                    known, windows = told[3 * n_places :][:n_hot].view("<u4"), told[3 * n_places + n_hot :].reshape(n_hot, bits)
+                    mark = np.zeros(n_rows, np.uint32)
                     for m in marks or ():
                         which, bit = np.frombuffer(m, "<u4").reshape(2, -1)
                         mark[which] = bit
-                    # a later copy in the pack has it all: every window of a context, or the one window that stands alone
-                    here = np.where(later == 1, np.uint32((1 << bits) - 1), np.where(later == 2, np.uint32(1), mark[name]))
+                    # the contexts of hot anchors put their windows' answers together
+                    each = np.append(mark & np.uint32(1), np.uint32(0))[windows] << np.arange(bits, dtype=np.uint32)
+                    mark = np.concatenate([mark, known | np.bitwise_or.reduce(each, axis=1)])
+                    # a later copy in the pack has it all
+                    here = np.where(later > 0, np.uint32((1 << bits) - 1), mark[name])
                     for k in range(bits):
                         at = base[(here >> np.uint32(k)) & np.uint32(1) > 0] + k
                         begins[at[(at >= 0) & (at < n)]] = True
-                # windows across the end of a document are none; those of hot anchors stand alone
+                # windows across the end of a document are none
                 room = np.zeros(n + 1, bool)
                 for s, e in zip(pack.start[:-1].tolist(), pack.start[1:].tolist(), strict=True):
                     room[s : max(s, e - window + 1)] = True
@@ -396,9 +441,10 @@ def remove_repeats(docs: DataFrame, window: int = 50, carry: tuple[str, ...] = (
     removed was compared byte by byte. Nothing is capped.
 
     Null and short texts lose nothing. Rows with equal keys are no earlier documents of each
-    other. ``carry`` names columns to return as they are. Empty: empty. Returns doc_id, the carried
-    columns, n_bytes, n_removed, n_spans, kept_sha256 and, unless ``keep`` is None, what was kept:
-    "bytes", or "text" without the bytes of characters that a removed passage splits.
+    other. A null key is behind every other. ``carry`` names columns to return as they are.
+    Empty: empty. Returns doc_id, the carried columns, n_bytes, n_removed, n_spans, kept_sha256
+    and, unless ``keep`` is None, what was kept: "bytes", or "text" without the bytes of
+    characters that a removed passage splits.
     """
     if keep not in (None, "bytes", "text"):
         raise ValueError("keep is None, bytes or text")
@@ -406,22 +452,20 @@ def remove_repeats(docs: DataFrame, window: int = 50, carry: tuple[str, ...] = (
         raise ValueError("window must be within 40 .. 63")
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), *carry)
-    packs = cut(rows.mapInArrow(_pack(pack), "pack long, ids binary, sizes binary, data binary, rest binary")).where("pack IS NOT NULL")
+    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("_order"), F.col(text).alias("_text"), F.col(key).cast("long").alias("doc_id"), *carry)
+    # dealt by pack before they are kept, so no join moves the texts again
+    packs = cut(rows.mapInArrow(_pack(pack), "pack long, ids binary, sizes binary, data binary, rest binary").repartition(n_partitions(spark), "pack"), dealt=True)
     n_packs = packs.count()
     buckets = max(2 * n_partitions(spark), n_packs // 16)
     seen = packs.select("pack", "ids", "sizes", "data").mapInArrow(_seen(window, buckets), "bucket long, pack long, keys binary, counts binary")
     shared = seen.repartition(buckets, "bucket").mapInArrow(_shared(hot), "pack long, keys binary").groupBy("pack").agg(F.collect_list("keys").alias("replies"))
-    # the anchors have done their part: keeping the answers frees what moved them. The contexts are found twice, once to compare and once to place the answers: keeping them
-    # would cost as much disk again as moving them. The packs are dealt once for all joins.
-    shared = cut(shared)
-    asking = packs.join(shared, "pack")
+    shared = cut(shared)  # the anchors have done their part: keeping the answers frees what moved them
+    asking = packs.drop("rest").join(shared, "pack")
     found = asking.mapInArrow(_contexts(window, buckets), "kind int, bucket long, pack long, blob binary, keys binary, first long")
-    marks = found.where("kind = 0").repartition(buckets, "bucket").mapInArrow(_mark(window, index), "pack long, marks binary").groupBy("pack").agg(F.collect_list("marks").alias("marks"))
-    places = found.where("kind = 1").select("pack", F.col("blob").alias("places"))
-    answered = packs.join(places, "pack", "left").join(marks, "pack", "left")
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    return answered.mapInArrow(_cover(window, keep), f"{head}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + {None: "", "bytes": ", kept binary", "text": ", kept string"}[keep])
+    told = found.repartition(buckets, "bucket").mapInArrow(_mark(window, index), "pack long, marks binary, places binary")
+    told = told.groupBy("pack").agg(F.collect_list("marks").alias("marks"), F.first("places", ignorenulls=True).alias("places"))
+    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[2:])
+    return packs.join(told, "pack", "left").mapInArrow(_cover(window, keep), f"{head}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + {None: "", "bytes": ", kept binary", "text": ", kept string"}[keep])
 
 
 def op7_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,6 @@ from. The next sample is the best of all sets left.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,8 +29,11 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Stands for the mark itself in a text; no text can hold it.
 _LITERAL = "\ud800"
-_UNIT = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
-_CHUNK = 4 << 20
+_CHUNK = 2 << 20
+#: Characters that have a column in the table of a trie's steps; the others are searched for.
+_COLUMNS = 64
+#: Samples, and about as many ids, of a batch of the result.
+_OUT, _OUT_IDS = 256, 1 << 18
 
 
 @dataclass(frozen=True)
@@ -126,59 +128,86 @@ def _sums(value: np.ndarray, start: np.ndarray) -> np.ndarray:
     return top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, size)), start))
 
 
+class Steps:
+    """The steps of a vocabulary's trie, by table for its most frequent characters."""
+
+    def __init__(self, v: Vocabulary):
+        self.v = v
+        state, char = v.edge_key >> 21, v.edge_key & ((1 << 21) - 1)
+        usual, often = np.unique(char[char < len(v.root)], return_counts=True)
+        usual = usual[np.argsort(-often, kind="stable")[: _COLUMNS - 1]]
+        self.column = np.zeros(len(v.root), np.int32)  # 0: none
+        self.column[usual] = np.arange(1, len(usual) + 1)
+        self.table = np.zeros((len(v.piece), _COLUMNS), np.int32)
+        here = np.flatnonzero((char < len(v.root)) & (self.column[np.minimum(char, len(v.root) - 1)] > 0))
+        self.table[state[here], self.column[char[here]]] = v.edge_to[here]
+
+    def search(self, state: np.ndarray, char: np.ndarray) -> np.ndarray:
+        key = state.astype(np.int64) << 21 | char
+        k = np.minimum(np.searchsorted(self.v.edge_key, key), len(self.v.edge_key) - 1)
+        return np.where(self.v.edge_key[k] == key, self.v.edge_to[k], 0).astype(np.int32)
+
+    def __call__(self, state: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """The next node of each, 0 for none."""
+        column = self.column[np.minimum(char, len(self.column) - 1)]
+        to = self.table[state, column]
+        rare = np.flatnonzero(column == 0)
+        to[rare] = self.search(state[rare], char[rare])
+        return to
+
+
 class Lattice:
     """The lattices of distinct units of text (words with the spaces before them, line feeds)."""
 
-    def __init__(self, units: list[str], v: Vocabulary):
-        size = np.array([len(u) for u in units], np.int64)
+    def __init__(self, code: np.ndarray, size: np.ndarray, v: Vocabulary, steps: Steps):
+        """``code`` has the characters of all units, ``size`` how many each has."""
         self.end = np.cumsum(size)
         self.start = self.end - size
-        code = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         n = len(code)
-        left = np.repeat(self.end, size) - np.arange(n)
-        at, state = np.arange(n), np.zeros(n, np.int64)
+        code = code.astype(np.int32)
+        left = (np.repeat(self.end, size) - np.arange(n)).astype(np.int32)
+        at, state = np.arange(n, dtype=np.int32), np.zeros(n, np.int32)
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for length in range(1, v.longest + 1):
             if length == 1:
-                state = v.root[np.minimum(code, len(v.root) - 1)]
+                state = v.root[np.minimum(code, len(v.root) - 1)].astype(np.int32)
                 far = np.flatnonzero(code >= len(v.root) - 1)
-                k = np.minimum(np.searchsorted(v.edge_key, code[far]), len(v.edge_key) - 1)
-                state[far] = np.where(v.edge_key[k] == code[far], v.edge_to[k], 0)
-                at = np.flatnonzero(state)
+                state[far] = steps.search(np.zeros(len(far), np.int32), code[far])
+                at = np.flatnonzero(state).astype(np.int32)
                 state = state[at]
             else:
-                key = state << 21 | code[at + length - 1]
-                k = np.minimum(np.searchsorted(v.edge_key, key), len(v.edge_key) - 1)
-                hit = v.edge_key[k] == key
-                at, state = at[hit], v.edge_to[k[hit]]
+                state = steps(state, code[at + (length - 1)])
+                hit = np.flatnonzero(state)
+                at, state = at[hit], state[hit]
             ends = v.piece[state] >= 0
             if length == 1:
                 lone = np.ones(n, bool)
                 lone[at[ends]] = False
                 self.fallback = np.flatnonzero(lone)
-            found.append((at[ends], np.full(int(ends.sum()), length), v.piece[state[ends]]))
+            found.append((at[ends], np.full(int(ends.sum()), length, np.int32), v.piece[state[ends]]))
             more = left[at] > length
             at, state = at[more], state[more]
         # a character without a piece of its own is spelled in bytes
-        found.insert(0, (self.fallback, np.ones(len(self.fallback), np.int64), -1 - code[self.fallback]))
-        self.count = np.zeros(n, np.int64)
+        found.insert(0, (self.fallback, np.ones(len(self.fallback), np.int32), -1 - code[self.fallback]))
+        self.count = np.zeros(n, np.int32)
         for x, _, _ in found:
             self.count[x] += 1
         # edges go by what is left after their start, then by start, the longest first
         by_left = np.argsort(left.astype(np.int16) if n and left.max() < 1 << 15 else left, kind="stable")
-        self.first = np.empty(n, np.int64)
-        self.first[by_left] = np.cumsum(self.count[by_left]) - self.count[by_left]
+        self.first, per = np.empty(n, np.int32), self.count[by_left]
+        first = np.cumsum(per, dtype=np.int64) - per
+        self.first[by_left] = first
         slot, total_edges = self.first + self.count, int(self.count.sum())
         self.length, self.piece, at = np.empty(total_edges, np.int32), np.empty(total_edges, np.int32), np.empty(total_edges, np.int32)
         for x, length, piece in found:
             slot[x] -= 1
             self.length[slot[x]], self.piece[slot[x]], at[slot[x]] = length, piece, x
         self.edge_at = at
-        c = -1 - self.piece
+        self.tokens, weight = np.ones(total_edges, np.int8), v.weight[np.maximum(self.piece, 0)]
+        spelled = np.flatnonzero(self.piece < 0)
+        c = -1 - self.piece[spelled]
         n_bytes = np.where(c == ord(_LITERAL), 3, 1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000))
-        self.tokens = np.where(self.piece >= 0, 1, n_bytes).astype(np.int32)
-        weight = np.where(self.piece >= 0, v.weight[np.maximum(self.piece, 0)], v.byte_weight * n_bytes)
-        first = self.first[by_left]
+        self.tokens[spelled], weight[spelled] = n_bytes, v.byte_weight * n_bytes
         # backward sums, all positions with as much left at a time
         mass = np.zeros(n + 1)
         into = at + self.length
@@ -192,6 +221,55 @@ class Lattice:
             mass[at[first[lo:hi]]] = _sums(total[s:e], first[lo:hi] - s)
         self.log_p = total - mass[at]
         self.p = np.exp(self.log_p)
+        # the chance of an edge or one before it at its position; the last one is always taken
+        self.upto = self.p.copy()
+        at, k = np.flatnonzero(self.count > 1), 1
+        while len(at):
+            edge = self.first[at] + k
+            self.upto[edge] += self.upto[edge - 1]
+            k += 1
+            at = at[self.count[at] > k]
+        self.upto[self.first + self.count - 1] = np.inf
+
+
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+class Units:
+    """Cuts texts to units: words with the spaces before them, lone spaces and line feeds."""
+
+    def __init__(self, v: Vocabulary):
+        self.v, self.steps = v, Steps(v)
+
+    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, Lattice | None]:
+        """(unit numbers in order, which texts are not empty, how many units each of these has,
+        the lattices of the distinct units)."""
+        rows = np.array([i for i, t in enumerate(texts) if t], np.int64)
+        if not len(rows):
+            return np.zeros(0, np.int64), rows, np.zeros(0, np.int64), None
+        code = np.frombuffer("".join([" " + t for t in texts if t]).encode("utf-32-le"), np.uint32).copy()
+        code[code == ord(SPACE)] = ord(_LITERAL)
+        space = code == ord(" ")
+        code[space] = ord(SPACE)
+        feed = code == ord("\n")
+        begins = feed.copy()
+        begins[1:] |= feed[:-1] | (space[1:] & ~space[:-1])
+        text_at = np.cumsum([0] + [len(texts[i]) + 1 for i in rows.tolist()])
+        begins[text_at[:-1]] = True
+        start = np.flatnonzero(begins)
+        size = np.diff(np.append(start, len(code)))
+        place = np.arange(len(code)) - np.repeat(start, size)
+        power = np.cumprod(np.full(int(size.max()), _BASE))
+        hashed = np.add.reduceat((code.astype(np.uint64) + np.uint64(1)) * power[place], start)
+        del place, power, feed, begins, space
+        _, first, number = np.unique(hashed ^ (hashed >> np.uint64(32)) * _BASE, return_index=True, return_inverse=True)
+        same = size[first[number]] == size
+        if not same.all() or not (code == code[spread(start[first[number]], size)]).all():  # two units share a hash
+            known: dict[bytes, int] = {}
+            number = np.array([known.setdefault(code[s : s + n].tobytes(), len(known)) for s, n in zip(start.tolist(), size.tolist(), strict=True)])
+            first = np.unique(number, return_index=True)[1]
+        counts = np.diff(np.searchsorted(start, text_at))
+        return number, rows, counts, Lattice(code[spread(start[first], size[first])], size[first], self.v, self.steps)
 
 
 def _uniform(seed: np.ndarray, salt: int, place: np.ndarray) -> np.ndarray:
@@ -221,51 +299,30 @@ class Walk:
         got: list[tuple[np.ndarray, np.ndarray]] = []
         end = l.end[self.unit[instances]]
         shift, seeds = self.place[instances] - l.start[self.unit[instances]], self.seeds[instances]
-        open_ = np.flatnonzero(at < end)
-        mine, at, end = open_, at[open_], end[open_]
+        mine, at = np.flatnonzero(at < end).astype(np.int32), at.astype(np.int32)
+        at, end, shift, seeds = at[mine], end[mine].astype(np.int32), shift[mine], seeds[mine]
         while len(mine):
-            left = _uniform(seeds[mine], salt, shift[mine] + at)
-            edge = l.first[at].copy()
-            last = edge + l.count[at] - 1
-            going = np.flatnonzero((left >= l.p[edge]) & (edge < last))
+            chance, edge = _uniform(seeds, salt, shift + at), l.first[at]
+            going = np.flatnonzero(chance >= l.upto[edge])
+            chance = chance[going]
             while len(going):
-                left[going] -= l.p[edge[going]]
                 edge[going] += 1
-                going = going[(left[going] >= l.p[edge[going]]) & (edge[going] < last[going])]
+                more = np.flatnonzero(chance >= l.upto[edge[going]])
+                going, chance = going[more], chance[more]
             got.append((mine, edge))
             at = at + l.length[edge]
-            open_ = at < end
-            mine, at, end = mine[open_], at[open_], end[open_]
+            open_ = np.flatnonzero(at < end)
+            mine, at, end, shift, seeds = mine[open_], at[open_], end[open_], shift[open_], seeds[open_]
         steps = np.zeros(len(instances), np.int64)
         for mine, _ in got:
             steps[mine] += 1
         first = np.cumsum(steps) - steps
-        edges = np.empty(int(steps.sum()), np.int64)
+        edges = np.empty(int(steps.sum()), np.int32)
         for k, (mine, edge) in enumerate(got):
             edges[first[mine] + k] = edge
         return np.repeat(instances, steps), edges
 
 
-class _Path:
-    """One drawn path: its edges, the log-probability before each, and the bounds of what parts there."""
-
-    __slots__ = ("who", "edge", "before", "bound", "taken", "log_p", "value", "origin")
-
-    def __init__(self, who, edge, before, bound, log_p, value, origin):
-        self.who, self.edge, self.before, self.bound, self.taken = who, edge, before, bound, {}
-        self.log_p, self.value, self.origin = log_p, value, origin
-
-    def extend(self, l: Lattice, seed: np.ndarray, far: bool) -> None:
-        """The bounds not yet known, to where the mass falls below ``_NEAR``, or with ``far`` all."""
-        n, known = len(self.edge), len(self.bound)
-        to = n if far else max(known, int(np.searchsorted(-self.before, -_NEAR, side="right")))
-        if to > known:
-            edge = self.edge[known:to]
-            other = np.where(l.count[l.edge_at[edge]] > 1, 1 - l.p[edge], 0.0)
-            fresh = _parting(other, self.before[known:to], self.value, _uniform(np.full(to - known, seed), self.origin, np.arange(known, to)))
-            self.bound = np.concatenate([self.bound, fresh])
-
-
 #: Sets of less mass than exp(_NEAR) have bounds below _FAR: no draw of _uniform lifts one higher.
 _NEAR, _FAR = -60.0, -22.0
 
@@ -276,149 +333,246 @@ def _parting(other: np.ndarray, before: np.ndarray, value, chance: np.ndarray) -
         return -np.logaddexp(-value, np.log(-np.log(chance)) - np.where(other > 0, np.log(np.maximum(other, 1e-300)), -np.inf) - before)
 
 
-def sample_chunk(keys: list[int], texts: list[str], v: Vocabulary, k: int, seed: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
-    """For each text its samples by falling perturbed value: (ids, log-probability, value, log of
-    the inclusion probability)."""
-    distinct: dict[str, int] = {}
-    unit, row = [], []
-    for i, text in enumerate(texts):
-        if text:
-            marked = SPACE + text.replace(SPACE, _LITERAL).replace(" ", SPACE)
-            found = _UNIT.findall(marked)
-            for u in found:
-                if u not in distinct:
-                    distinct[u] = len(distinct)
-            unit += [distinct[u] for u in found]
-            row.append((i, len(found)))
-    results: list = [[(np.zeros(0, np.int64), 0.0, 0.0, 0.0)] for _ in texts]
-    if not unit:
-        return results
-    l = Lattice(list(distinct), v)
-    unit = np.array(unit, np.int64)
-    rows, counts = np.array(row, np.int64).T
+class Paths:
+    """The paths drawn for the rows of a chunk, one after another in flat arrays.
+
+    Of each path: its edges, the unit instance of each, the log-probability before each, and the
+    bounds of the sets that part at its edges from ``skip`` on. What parts before belongs to the
+    path it came from.
+    """
+
+    def __init__(self, lattice: Lattice, seeds: np.ndarray):
+        self.lattice, self.seeds = lattice, seeds
+        self.edge, self.who, self.before = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0)
+        self.start, self.size, self.row, self.log_p, self.value, self.origin, self.skip, self.bound, self.top = ([] for _ in range(9))
+        self.of: list[list[int]] = [[] for _ in seeds]
+        self.taken: dict[tuple[int, int], set[int]] = {}
+
+    def append(self, rows: np.ndarray, sizes: np.ndarray, edge: np.ndarray, who: np.ndarray, before: np.ndarray, log_p: list[float], value: np.ndarray, skip: np.ndarray, origin: int) -> None:
+        """One path each for ``rows``, with the bounds as far as the mass stays above ``_NEAR``."""
+        first, number = len(self.edge), len(self.start)
+        start = np.cumsum(sizes) - sizes
+        near = np.add.reduceat((before >= _NEAR).astype(np.int64), start)
+        span = np.maximum(near - skip, 0)
+        at = spread(start + skip, span)
+        bound = self._bounds(edge[at], before[at], np.repeat(value, span), np.repeat(self.seeds[rows], span), origin, at - np.repeat(start, span))
+        self.edge, self.who, self.before = np.concatenate([self.edge, edge.astype(np.int32)]), np.concatenate([self.who, who.astype(np.int32)]), np.concatenate([self.before, before])
+        self.start += (start + first).tolist()
+        self.size += sizes.tolist()
+        self.row += rows.tolist()
+        self.log_p += log_p
+        self.value += value.tolist()
+        self.origin += [origin] * len(rows)
+        self.skip += skip.tolist()
+        end = np.cumsum(span)
+        self.bound += [bound[e - n : e] for e, n in zip(end.tolist(), span.tolist(), strict=True)]
+        self.top += [None] * len(rows)
+        for k, r in enumerate(rows.tolist(), number):
+            self.of[r].append(k)
+
+    def _bounds(self, edge, before, value, seed, origin, place) -> np.ndarray:
+        l = self.lattice
+        other = np.where(l.count[l.edge_at[edge]] > 1, 1 - l.p[edge], 0.0)
+        return _parting(other, before, value, _uniform(seed, origin, place))
+
+    def whole(self, q: int) -> bool:
+        return self.skip[q] + len(self.bound[q]) >= self.size[q]
+
+    def extend(self, q: int) -> None:
+        """The bounds at all edges of a path."""
+        known, n, s = self.skip[q] + len(self.bound[q]), self.size[q], self.start[q]
+        at = np.arange(s + known, s + n)
+        fresh = self._bounds(self.edge[at], self.before[at], self.value[q], np.full(n - known, self.seeds[self.row[q]]), self.origin[q], np.arange(known, n))
+        self.bound[q], self.top[q] = np.concatenate([self.bound[q], fresh]), None
+
+    def best(self, r: int) -> tuple[int, int, float]:
+        """The path and place of the best set left of a row, and its bound."""
+        found = (-1, 0, -np.inf)
+        for far in (False, True):
+            for q in self.of[r]:
+                if far and not self.whole(q):
+                    self.extend(q)
+                if self.top[q] is None:
+                    at = int(self.bound[q].argmax()) if len(self.bound[q]) else 0
+                    self.top[q] = (float(self.bound[q][at]) if len(self.bound[q]) else -np.inf, self.skip[q] + at)
+                if self.top[q][0] > found[2]:
+                    found = (q, self.top[q][1], self.top[q][0])
+            if found[2] > _FAR or all(map(self.whole, self.of[r])):
+                break
+        return found
+
+
+def sample_paths(keys: list[int], texts: list[str], k: int, seed: int, units: Units) -> tuple[Paths, np.ndarray] | None:
+    """Up to ``k`` paths of each text that is not empty, by falling perturbed value, and the numbers
+    of these texts."""
+    unit, rows, counts, l = units.of(texts)
+    if l is None:
+        return None
     first_of = np.cumsum(counts) - counts
     size = (l.end - l.start)[unit]
     text_start = (np.cumsum(size) - size)[first_of]
     offset = np.cumsum(size) - size - np.repeat(text_start, counts)
     seeds = np.array([_row_seed(int(keys[i]), seed) for i in rows.tolist()], np.uint64)
-    walk = Walk(l, unit, np.repeat(seeds, counts), offset)
+    walk, paths = Walk(l, unit, np.repeat(seeds, counts), offset), Paths(l, seeds)
+
+    def sums(begin: np.ndarray, edge: np.ndarray, start: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, list[float]]:
+        """The log-probability before each edge of each path, and at its end; each path by itself."""
+        before, ends = np.empty(len(edge)), []
+        log_p = l.log_p[edge]
+        for s, n, b in zip(start.tolist(), sizes.tolist(), begin.tolist(), strict=True):
+            run = np.cumsum(log_p[s : s + n])
+            before[s : s + 1] = b
+            before[s + 1 : s + n] = run[:-1] + b
+            ends.append(b + float(run[-1]) if n else b)
+        return before, ends
+
     everyone = np.arange(len(rows))
     root = -np.log(-np.log(_uniform(seeds, 1, np.full(len(rows), -1))))
     who, edge = walk.draw(np.arange(len(unit)), l.start[unit], 2)
-    paths: list[list[_Path]] = [[] for _ in rows]
-
-    owner = np.searchsorted(first_of, who, side="right") - 1
-    starts = np.searchsorted(owner, everyone)
-    ends = np.append(starts[1:], len(owner))
-    running = np.concatenate([[0.0], np.cumsum(l.log_p[edge])])
-    for r, (s, e) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
-        paths[r].append(_Path(who[s:e], edge[s:e], running[s:e] - running[s], np.zeros(0), float(running[e] - running[s]), float(root[r]), 3))
-        paths[r][0].extend(l, seeds[r], False)
-
-    def best_set(r: int) -> tuple[_Path, int, float]:
-        """The path and place of the best set left of a row, and its bound."""
-        for far in (False, True):
-            for p in paths[r] if far else ():
-                p.extend(l, seeds[r], True)
-            found = [(float(p.bound.max()), q) for q, p in enumerate(paths[r]) if len(p.bound)]
-            top, q = max(found, key=lambda x: (x[0], -x[1])) if found else (-np.inf, 0)
-            if top > _FAR or all(len(p.bound) == len(p.edge) for p in paths[r]):
-                break
-        return paths[r][q], int(paths[r][q].bound.argmax()) if found else 0, top
-
+    starts = np.searchsorted(who, first_of)
+    sizes = np.diff(np.append(starts, len(who)))
+    before, log_p = sums(np.zeros(len(rows)), edge, starts, sizes)
+    paths.append(everyone, sizes, edge, who, before, log_p, root, np.zeros(len(rows), np.int64), 3)
     for j in range(1, k):
-        picked = []
-        for r in range(len(rows)):
-            if len(paths[r]) < j:
-                continue
-            path, t, top = best_set(r)
-            if not np.isfinite(top):
-                continue
-            at = int(l.edge_at[path.edge[t]])
-            first_edge = int(l.first[at])
-            taken = path.taken.setdefault(t, {int(path.edge[t])})
-            others = [(first_edge + x, p) for x, p in enumerate(l.p[first_edge : first_edge + int(l.count[at])].tolist()) if first_edge + x not in taken]
-            total = sum(p for _, p in others)
-            u = float(_uniform(seeds[r : r + 1], 16 * j + 4, np.array([t]))[0]) * total
-            pick, chance = others[0]
-            for pick, chance in others:
-                u -= chance
+        found = [(r, *paths.best(r)) for r in everyone.tolist() if len(paths.of[r]) == j]
+        found = [x for x in found if np.isfinite(x[3])]
+        if not found:
+            break
+        r_of, q_of, t_of = (np.array([x[c] for x in found], np.int64) for c in range(3))
+        value = np.array([x[3] for x in found])
+        p_start = np.array([paths.start[q] for q in q_of.tolist()], np.int64)
+        parting = paths.edge[p_start + t_of]
+        at = l.edge_at[parting].astype(np.int64)
+        chance = _uniform(seeds[r_of], 16 * j + 4, t_of).tolist()
+        pick, rest = [], []
+        for q, t, e, u, first, n in zip(q_of.tolist(), t_of.tolist(), parting.tolist(), chance, l.first[at].tolist(), l.count[at].tolist(), strict=True):
+            taken = paths.taken.setdefault((q, t), {e})
+            others = [(first + x, p) for x, p in enumerate(l.p[first : first + n].tolist()) if first + x not in taken]
+            u *= sum(p for _, p in others)
+            for chosen, p in others:
+                u -= p
                 if u < 0:
                     break
-            taken.add(pick)
-            value = float(path.bound[t])
-            rest = sum(p for e, p in others if e != pick)
-            path.bound[t] = _parting(np.array([rest]), path.before[t : t + 1], value, _uniform(seeds[r : r + 1], 16 * j + 5, np.array([t])))[0]
-            picked.append((r, path, t, pick, value, at))
-        if not picked:
-            break
+            taken.add(chosen)
+            pick.append(chosen)
+            rest.append(sum(p for e, p in others if e != chosen))
+        left = _parting(np.array(rest), paths.before[p_start + t_of], value, _uniform(seeds[r_of], 16 * j + 5, t_of))
+        for q, t, x in zip(q_of.tolist(), t_of.tolist(), left.tolist(), strict=True):
+            if paths.bound[q].base is not None:
+                paths.bound[q] = paths.bound[q].copy()
+            paths.bound[q][t - paths.skip[q]], paths.top[q] = x, None
         # the new paths go on in step from the edge that parted
-        r_of = np.array([x[0] for x in picked])
-        who0 = np.array([x[1].who[x[2]] for x in picked])
-        at0 = np.array([x[5] for x in picked]) + l.length[np.array([x[3] for x in picked])]
+        pick = np.array(pick, np.int64)
+        who0 = paths.who[p_start + t_of].astype(np.int64)
         stop = first_of[r_of] + counts[r_of]
         later = spread(who0 + 1, stop - who0 - 1)
-        instances, begin_at = np.concatenate([who0, later]), np.concatenate([at0, l.start[unit[later]]])
+        instances, begin_at = np.concatenate([who0, later]), np.concatenate([at + l.length[pick], l.start[unit[later]]])
         in_text = np.argsort(instances, kind="stable")
         who, edge = walk.draw(instances[in_text], begin_at[in_text], 16 * j + 2)
         lo, hi = np.searchsorted(who, who0), np.searchsorted(who, stop)
-        for x, s, e in zip(picked, lo.tolist(), hi.tolist(), strict=True):
-            r, path, t, pick, value, _ = x
-            begin = float(path.before[t] + l.log_p[pick])
-            more = l.log_p[edge[s:e]]
-            run = begin + np.cumsum(more)
-            before = run - more
-            # what parts before t, or at t, belongs to the path it came from
-            paths[r].append(_Path(
-                np.concatenate([path.who[: t + 1], who[s:e]]), np.concatenate([path.edge[:t], [pick], edge[s:e]]),
-                np.concatenate([path.before[: t + 1], before]), np.full(t + 1, -np.inf), float(run[-1]) if e > s else begin, value, 16 * j + 3,
-            ))
-            paths[r][-1].extend(l, seeds[r], False)
+        sizes = t_of + 1 + hi - lo
+        start = np.cumsum(sizes) - sizes
+        to, old = spread(start, t_of + 1), spread(p_start, t_of + 1)
+        tail, new = spread(start + t_of + 1, hi - lo), spread(lo, hi - lo)
+        whole_edge, whole_who, before = np.empty(int(sizes.sum()), np.int32), np.empty(int(sizes.sum()), np.int32), np.empty(int(sizes.sum()))
+        whole_edge[to], whole_who[to], before[to] = paths.edge[old], paths.who[old], paths.before[old]
+        whole_edge[start + t_of] = pick
+        whole_edge[tail], whole_who[tail] = edge[new], who[new]
+        begin = before[start + t_of] + l.log_p[pick]
+        before[tail], log_p = sums(begin, edge[new], np.cumsum(hi - lo) - (hi - lo), hi - lo)
+        paths.append(r_of, sizes, whole_edge, whole_who, before, log_p, value, t_of + 1, 16 * j + 3)
+    return paths, rows
+
+
+def _inclusion(paths: Paths, r: int, k: int) -> list[float]:
+    """The log of the inclusion probability of each path of a row."""
+    bar, out = paths.best(r)[2] if len(paths.of[r]) == k else -np.inf, []
+    for q in paths.of[r]:
+        x = paths.log_p[q] - bar
+        sure = 0.0 if x > 3.5 else float(np.log(-np.expm1(-np.exp(x)))) if x > -30 else x
+        out.append(min(0.0, sure))
+    return out
+
+
+Sample = tuple[np.ndarray, float, float, float]
+
+
+def sample_chunk(keys: list[int], texts: list[str], v: Vocabulary, k: int, seed: int, units: Units | None = None) -> list[list[Sample]]:
+    """For each text its samples by falling perturbed value: (ids, log-probability, value, log of
+    the inclusion probability)."""
+    results: list[list[Sample]] = [[(np.zeros(0, np.int32), 0.0, 0.0, 0.0)] for _ in texts]
+    if (drawn := sample_paths(keys, texts, k, seed, units or Units(v))) is None:
+        return results
+    paths, rows = drawn
+    ids, per_edge = _ids(paths.lattice, paths.edge, v)
+    token = np.concatenate([[0], np.cumsum(per_edge)])
+    ends = [(int(token[s]), int(token[s + n])) for s, n in zip(paths.start, paths.size, strict=True)]
     for r, i in enumerate(rows.tolist()):
-        bar = best_set(r)[2] if len(paths[r]) == k else -np.inf
-        out = []
-        for p in paths[r]:
-            x = p.log_p - bar
-            sure = 0.0 if x > 3.5 else float(np.log(-np.expm1(-np.exp(x)))) if x > -30 else x
-            out.append((_ids(l, p.edge, v), p.log_p, p.value, min(0.0, sure)))
-        results[i] = out
+        results[i] = [(ids[slice(*ends[q])], paths.log_p[q], paths.value[q], sure) for q, sure in zip(paths.of[r], _inclusion(paths, r, k), strict=True)]
     return results
 
 
-def _ids(l: Lattice, edge: np.ndarray, v: Vocabulary) -> np.ndarray:
+def _ids(l: Lattice, edge: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """The piece ids of edges, and how many each has."""
     piece, n = l.piece[edge], l.tokens[edge]
     ids = np.repeat(piece, n)
     low = np.flatnonzero(piece < 0)
     if len(low):
         first = np.cumsum(n) - n
         ids[first[low]] = v.byte_id[np.minimum(-1 - piece[low], 255)]
-        for t in low[n[low] > 1].tolist():
-            c = -1 - int(piece[t])
-            spelled = SPACE.encode() if c == ord(_LITERAL) else chr(c).encode()
-            ids[first[t] : first[t] + n[t]] = v.byte_id[list(spelled)]
-    return ids
+        for c in np.unique(piece[low[n[low] > 1]]).tolist():
+            spelled = SPACE.encode() if -1 - c == ord(_LITERAL) else chr(-1 - c).encode()
+            at = first[low[piece[low] == c]]
+            ids[at[:, None] + np.arange(len(spelled))] = v.byte_id[list(spelled)]
+    return ids, n
+
+
+def _parts(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Runs of samples for one batch of the result each."""
+    start, total = 0, 0
+    for k, n in enumerate(sizes):
+        if k > start and (k - start == _OUT or total + n > _OUT_IDS):
+            yield start, k
+            start, total = k, 0
+        total += n
+    if len(sizes) > start:
+        yield start, len(sizes)
 
 
 def _encode(v: Vocabulary, k: int, seed: int):
+    names = ["doc_id", "sample", "n_pieces", "log_prob", "perturbed", "log_inclusion", "ids_crc32", "round_trip", "ids", "text"]
+
+    def out(part: list[tuple[int | None, int, Sample, bytes]]) -> pa.RecordBatch:
+        ids = [s[0] for _, _, s, _ in part]
+        size = np.array([len(x) for x in ids])
+        flat, end = np.concatenate(ids).astype(np.int32), np.cumsum(size)
+        spelled = decode_bytes(flat, v)
+        at = np.concatenate([[0], np.cumsum(v.spelled_at[flat + 1] - v.spelled_at[flat])])[np.concatenate([[0], end])]
+        data = spelled.tobytes()
+        same = [data[s + 1 : e] == x[3] if x[3] else s == e for s, e, x in zip(at[:-1].tolist(), at[1:].tolist(), part, strict=True)]
+        if all(same):  # each text is what is spelled without its first space
+            begin = at[:-1][at[1:] > at[:-1]]
+            length = np.maximum(np.diff(at) - 1, 0)
+            text = pa.Array.from_buffers(pa.string(), len(part), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.py_buffer(np.delete(spelled, begin).tobytes())])
+        else:
+            text = pa.array([_text(data[s:e]) for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.string())
+        return pa.record_batch([
+            pa.array([x[0] for x in part], pa.int64()), pa.array([x[1] for x in part], pa.int32()), pa.array(size, pa.int64()),
+            *(pa.array([x[2][c] for x in part], pa.float64()) for c in (1, 2, 3)),
+            pa.array([zlib.crc32(x.astype("<i4").tobytes()) for x in ids], pa.int64()), pa.array(same),
+            pa.ListArray.from_arrays(pa.array(np.concatenate([[0], end]), pa.int32()), pa.array(flat)), text,
+        ], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units = Units(v)
         for whole in batches:
             for batch in pieces(whole, "text", _CHUNK):
                 keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-                found = sample_chunk([x or 0 for x in keys], texts, v, k, seed)
-                flat = [(key, j, s, text) for key, text, samples in zip(keys, texts, found, strict=True) for j, s in enumerate(samples)]
-                for a in range(0, len(flat), 256):
-                    part = flat[a : a + 256]
-                    ids = [s[0] for _, _, s, _ in part]
-                    size = np.array([len(x) for x in ids])
-                    spelled = [decode_bytes(x, v).tobytes() for x in ids]
-                    yield pa.record_batch([
-                        pa.array([x[0] for x in part], pa.int64()), pa.array([x[1] for x in part], pa.int32()), pa.array(size, pa.int64()),
-                        *(pa.array([x[2][c] for x in part], pa.float64()) for c in (1, 2, 3)),
-                        pa.array([zlib.crc32(x.astype("<i4").tobytes()) for x in ids], pa.int64()),
-                        pa.array([out == (b" " + x[3].encode() if x[3] else b"") for out, x in zip(spelled, part, strict=True)]),
-                        pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(np.concatenate(ids).astype(np.int32))),
-                        pa.array([_text(out) for out in spelled], pa.string()),
-                    ], ["doc_id", "sample", "n_pieces", "log_prob", "perturbed", "log_inclusion", "ids_crc32", "round_trip", "ids", "text"])
+                found = sample_chunk([x or 0 for x in keys], texts, v, k, seed, units)
+                flat = [(key, j, s, raw) for key, raw, samples in zip(keys, map(str.encode, texts), found, strict=True) for j, s in enumerate(samples)]
+                del texts, found
+                for a, b in _parts([len(x[2][0]) for x in flat]):
+                    yield out(flat[a:b])
 
     return run
 

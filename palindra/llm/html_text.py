@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -22,22 +23,29 @@ BLOCK_TAGS = frozenset(
 )
 #: Their content is not text of the page.
 SKIPPED = frozenset("script style title noscript template svg math iframe object textarea select button".split())
+#: What is in them is no markup, so one that is never closed takes the rest of the page.
+RAW = frozenset("script style title textarea".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Elements around a page's article, and words of class, id or role that say so.
 OUTER_TAGS = frozenset(("nav", "footer", "aside", "form", "menu", "dialog"))
 OUTER_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement banner sponsor sponsored promo nav navigation navbar menu breadcrumb breadcrumbs sidebar side "
+    "ad ads adv advert adverts advertisement banner sponsor sponsored promo nav navigation navbar menu breadcrumb breadcrumbs sidebar "
     "widget footer masthead cookie cookies consent notice alert popup modal newsletter subscribe subscription signup login search share "
     "sharing social related recommended toolbar pagination pager copyright legal disclaimer contentinfo complementary".split()
 )
 COMMENT_WORDS = frozenset("comment comments commentlist reply replies respond disqus discussion reader readers".split())
 ARTICLE_WORDS = frozenset("article post content entry story main maincontent".split())
+#: Words that make a name tell of a state of the page ("has-sidebar", "share-on"), not of what the element is.
+STATE_WORDS = frozenset("has have with without no not is are on off ok open closed enabled disabled active ready loaded".split())
+#: An element named as outer that holds this share of the page's unlinked words and its headline or article is none.
+MOST = 0.6
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(?P<close2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)[^>]*>", re.S
-)
+_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+_ATTRS = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|))*+>""")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_PARTS = re.compile(r"[^a-z0-9]+")
+_HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _KEEP = re.compile(r"\bdata-keep\b")
 
 
@@ -46,7 +54,8 @@ class Block:
     text: str
     words: int
     linked: int
-    outer: bool
+    framed: bool
+    named: bool
     article: bool
     heading: bool
     item: bool
@@ -54,109 +63,174 @@ class Block:
 
 
 @lru_cache(maxsize=4096)
-def _kind(tag: str, attrs: str) -> tuple[bool, bool, bool, bool]:
-    """(outer, comments, article, labelled) of an element."""
-    names = {w for m in _NAMES.finditer(attrs) for w in re.split(r"[^a-z0-9]+", "".join(x or "" for x in m.groups()).lower())} if attrs else set()
-    comments = bool(names & COMMENT_WORDS)
-    outer = tag in OUTER_TAGS or bool(names & OUTER_WORDS)
-    return outer, comments, tag in ("article", "main") or bool(names & ARTICLE_WORDS), bool(_KEEP.search(attrs))
+def _kind(tag: str, attrs: str) -> tuple[bool, bool, bool]:
+    """(named as outer or as comments, article, labelled) of an element. Names of the page as a whole say nothing."""
+    outer = article = False
+    if attrs and tag not in ("html", "body"):
+        for m in _NAMES.finditer(attrs):
+            for name in "".join(x or "" for x in m.groups()).split():
+                parts = set(_PARTS.split(_HUMP.sub("-", name).lower()))
+                if not parts & STATE_WORDS:
+                    outer = outer or bool(parts & (OUTER_WORDS | COMMENT_WORDS)) or name.lower() == "side"
+                    article = article or bool(parts & ARTICLE_WORDS)
+    return outer, tag in ("article", "main") or article, bool(_KEEP.search(attrs))
+
+
+@dataclass(slots=True)
+class _Open:
+    """An open element and what its content inherits: the nearest element named as outer, and flags."""
+
+    tag: str
+    named: int = -1
+    framed: bool = False
+    article: bool = False
+    keep: bool = False
+    item: bool = False
+    #: Elements from a heading down to here; 3 stands for all beyond.
+    heading: int = 3
+
+
+class _Parser:
+    def __init__(self):
+        self.found: list[tuple[str, int, int, _Open]] = []
+        self.stack = [_Open("")]
+        self.open_: Counter[str] = Counter()
+        self.parts: list[str] = []
+        self.linked: list[str] = []
+        self.at: _Open | None = None
+        #: Of each element named as outer: the one around it, and whether it holds a headline or an article.
+        self.around: list[int] = []
+        self.holds: list[bool] = []
+
+    def flush(self) -> None:
+        if self.parts:
+            text = " ".join(html.unescape("".join(self.parts)).split())
+            if text:
+                self.found.append((text, len(text.split()), len(html.unescape("".join(self.linked)).split()), self.at))
+        self.parts.clear()
+        self.linked.clear()
+        self.at = None
+
+    def add(self, text: str) -> None:
+        if self.at is None and text.strip():
+            self.at = self.stack[-1]
+        self.parts.append(text)
+        if self.open_["a"]:
+            self.linked.append(text)
+        elif self.linked and self.linked[-1] != " ":
+            self.linked.append(" ")
+
+    def pop(self, k: int) -> None:
+        """Closes the elements from place ``k`` of the stack on."""
+        for x in self.stack[k:]:
+            self.open_[x.tag] -= 1
+        del self.stack[k:]
+
+    def close(self, tag: str) -> None:
+        if self.open_[tag]:
+            k = len(self.stack) - 1
+            while self.stack[k].tag != tag:
+                k -= 1
+            self.pop(k)
+
+    def open(self, tag: str, attrs: str) -> None:
+        inside = {"p": None, "li": ("ul", "ol", "menu"), "td": ("tr", "table"), "th": ("tr", "table"), "tr": ("table",), "dt": ("dl",), "dd": ("dl",), "option": ()}
+        if tag in inside and self.open_[tag]:
+            # an open paragraph or item ends where the next begins, with the inline tags left open in it
+            for k in range(len(self.stack) - 1, 0, -1):
+                if self.stack[k].tag == tag:
+                    self.pop(k)
+                    break
+                if self.stack[k].tag in (BLOCK_TAGS if tag == "p" else inside[tag]):
+                    break
+        outer, article, keep = _kind(tag, attrs)
+        above = self.stack[-1]
+        named, framed = above.named, above.framed or tag in OUTER_TAGS or (tag == "header" and not above.article)
+        if tag in ("h1", "article", "main") and named >= 0:
+            self.holds[named] = True
+        if outer:
+            self.around.append(named)
+            self.holds.append(False)
+            named = len(self.around) - 1
+        elif tag in ("article", "main"):  # an article inside a box left open is the article
+            named, framed = -1, False
+        self.stack.append(_Open(tag, named, framed, article or above.article, keep or above.keep, tag == "li" or above.item, 0 if tag in HEADINGS else min(3, above.heading + 1)))
+        self.open_[tag] += 1
+
+    def blocks(self) -> list[Block]:
+        own = [0] * len(self.around)
+        for _, words, linked, at in self.found:
+            if at.named >= 0:
+                own[at.named] += words - linked
+        for k in range(len(own) - 1, -1, -1):
+            if self.around[k] >= 0:
+                own[self.around[k]] += own[k]
+                self.holds[self.around[k]] |= self.holds[k]
+        total = sum(words - linked for _, words, linked, _ in self.found)
+        live: list[bool] = []
+        for k, around in enumerate(self.around):
+            live.append(not (self.holds[k] and own[k] >= MOST * total) or (around >= 0 and live[around]))
+        return [Block(text, words, linked, at.framed, at.named >= 0 and live[at.named], at.article, at.heading < 3, at.item, at.keep) for text, words, linked, at in self.found]
 
 
 def blocks(page: str) -> list[Block]:
     """The text blocks of ``page`` in order: maximal runs of text between block-level tags.
 
     References are decoded, white space runs become one space, empty blocks go. Broken markup is
-    read as browsers would in the main: an end tag closes up to its start tag, or nothing.
+    read as browsers would in the main: an end tag closes up to its start tag, or nothing; what
+    begins like a tag and never ends is text. The time grows with the page, however broken it is.
     """
-    found: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool, bool]] = []  # tag, outer, comments, article, labelled
-    parts: list[str] = []
-    linked: list[str] = []
-    links, at, low, start_state = 0, 0, None, None
-
-    def flush() -> None:
-        nonlocal start_state
-        if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
-            if text:
-                outer, article, heading, item, keep = start_state
-                found.append(Block(text, len(text.split()), len(html.unescape("".join(linked)).split()), outer, article, heading, item, keep))
-        parts.clear()
-        linked.clear()
-        start_state = None
-
-    def add(text: str) -> None:
-        nonlocal start_state
-        if start_state is None and text.strip():
-            top = stack[-1] if stack else ("", False, False, False, False)
-            tags = [x[0] for x in stack]
-            start_state = top[1] or top[2], top[3], bool(HEADINGS & set(tags[-3:])), "li" in tags, top[4]
-        parts.append(text)
-        if links:
-            linked.append(text)
-        elif linked and linked[-1] != " ":
-            linked.append(" ")
-
-    end = len(page)
+    p, at, low = _Parser(), 0, None
+    end, last, plain = len(page), page.rfind(">"), False
+    missing: set[str] = set()
     while at < end:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            add(page[at:])
+        less = page.find("<", at, last + 1)
+        if less < 0:
+            p.add(page[at:])
             break
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        tag = m["tag"] or m["tag2"]
-        if not tag:
+        if less > at:
+            p.add(page[at:less])
+        if page.startswith("<!--", less):
+            to = page.find("-->", less + 4)
+            at = to + 3 if to >= 0 else end
+            continue
+        name = _NAME.match(page, less + 1)
+        if name is None:
+            if page[less + 1] in "!?":
+                at = page.find(">", less) + 1
+            else:
+                p.add("<")
+                at = less + 1
             continue
-        tag, attrs, closing = tag.lower(), m["attrs"] or "", bool(m["close"] or m["close2"])
+        rest = None if plain else _ATTRS.match(page, name.end())
+        if rest is None:  # a value that is never closed: from here on quotes are as any other character
+            plain, at = True, page.find(">", name.end()) + 1
+        else:
+            at = rest.end()
+        attrs, closing = page[name.end() : at - 1], name[0][0] == "/"
+        tag = name[0].lstrip("/").lower()
         if tag in BLOCK_TAGS:
-            flush()
+            p.flush()
         elif tag == "br":
-            add(" ")
+            p.add(" ")
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    links -= sum(x[0] == "a" for x in stack[k:])
-                    del stack[k:]
-                    break
-            continue
-        if tag in SKIPPED:
+            p.close(tag)
+        elif tag in SKIPPED:
             if attrs.endswith("/") and tag in ("svg", "math"):
                 continue
-            low = page.lower() if low is None else low
-            if len(low) != end:  # lowering changed the length: look case by case
-                close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-                at = close.end() if close else end
-            else:
-                to = low.find(f"</{tag}", at)
-                gt = page.find(">", to) if to >= 0 else -1
-                at = gt + 1 if gt >= 0 else end
-            add(" ")
-            continue
-        if tag in VOID or attrs.endswith("/"):
-            continue
-        if tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option") and stack:
-            # an open paragraph or item ends where the next begins, with the inline tags left open in it
-            inside = {"p": (), "li": ("ul", "ol", "menu"), "td": ("tr", "table"), "th": ("tr", "table"), "tr": ("table",), "dt": ("dl",), "dd": ("dl",), "option": ()}[tag]
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    links -= sum(x[0] == "a" for x in stack[k:])
-                    del stack[k:]
-                    break
-                if stack[k][0] in BLOCK_TAGS and (tag == "p" or stack[k][0] in inside):
-                    break
-        outer, comments, article, keep = _kind(tag, attrs)
-        above = stack[-1] if stack else ("", False, False, False, False)
-        page_header = tag == "header" and not above[3]
-        if tag in ("article", "main") and not outer and not comments:
-            outer = False  # an article inside a box left open is the article
-        else:
-            outer = outer or page_header or above[1]
-        stack.append((tag, outer, comments or above[2], article or above[3], keep or above[4]))
-        links += tag == "a"
-    flush()
-    return found
+            low = (page.lower() if len(page.lower()) == end else page) if low is None else low
+            to = low.find(f"</{tag}", at) if tag not in missing else -1
+            gt = page.find(">", to) if to >= 0 else -1
+            if gt >= 0:
+                at = gt + 1
+            else:  # without an end, only what is no markup inside takes the rest of the page
+                missing.add(tag)
+                at = end if tag in RAW else at
+            p.add(" ")
+        elif tag not in VOID and not attrs.endswith("/"):
+            p.open(tag, attrs)
+    p.flush()
+    return p.blocks()
 
 
 def features(found: list[Block]) -> np.ndarray:
@@ -164,7 +238,7 @@ def features(found: list[Block]) -> np.ndarray:
     n = len(found)
     words = np.array([0, *(b.words for b in found), 0], float)
     density = np.array([0, *(b.linked / b.words for b in found), 0], float)
-    flags = np.array([(b.outer, b.article, b.heading, b.item) for b in found], float).reshape(n, 4)
+    flags = np.array([(b.framed, b.named, b.article, b.heading, b.item) for b in found], float).reshape(n, 5)
     return np.column_stack([words[1:-1], density[1:-1], words[:-2], density[:-2], words[2:], density[2:], flags])
 
 
@@ -206,6 +280,14 @@ LABELLED = (
     """<p data-keep>Some pages are bare: a paragraph or two of plain text without any element that says what they are.</p>
     <p data-keep>They are kept as they stand, because nothing in them looks like the frame of a site to anyone.</p>""",
     """<article data-keep><p>Yes.</p></article>""",
+    """<body class="has-sidebar comments-open"><div class="content-with-sidebar" data-keep><h1>Salt</h1><p>Salt was dug from the hill for two thousand years before anyone thought to write down how.</p><p>It still is.</p></div>
+    <div class="sidebar"><p>Our shop sells salt from the hill in bags of one and five pounds, and ships it anywhere.</p></div></body>""",
+    """<div class="layout sidebar-left"><h1 data-keep>Ferries</h1><p data-keep>The last ferry left at nine, and whoever missed it slept in the waiting room until the first one in the morning.</p><p data-keep>There were benches.</p>
+    <p data-keep>In summer the crossing took forty minutes, in winter twice that, and in a fog it was not tried at all.</p></div><div class="notice">This site will be closed for repairs on Sunday night from ten until about four in the morning.</div>""",
+    """<html class="no-js cookie-ok"><article class="post share-on" data-keep><h2>Owls</h2><p>Owls turn their heads because they cannot turn their eyes, which are fixed in long tubes of bone.</p><p>They hear well.</p></article>
+    <ul class="share"><li>Send</li><li>Print</li></ul><div class="widget"><p>Subscribe to our bird calendar and get a picture of another owl on every day of the year.</p></div>""",
+    """<div id="page-search-off"><div class="siteNav"><a>All</a> <a>New</a></div><p data-keep>A window that faces north has the same light all day, which is why painters have always asked for one.</p>
+    <p data-keep>Few get it.</p><p data-keep>Those who rent a room to the south hang a sheet before the glass and work behind it until evening.</p><div class="relatedPosts"><p>How to stretch a canvas without help in a small room, and nine more tips</p></div></div>""",
 )
 
 
@@ -225,7 +307,7 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 6) -> Node:
         return node
     gini = lambda v: len(v) * 2 * v.mean() * (1 - v.mean()) if len(v) else 0.0
     best = gini(y) - 1e-9
-    for f in (6, 7, 1, 0, 4, 2, 5, 3, 8, 9):
+    for f in (1, 0, 6, 7, 8, 4, 2, 5, 3, 9, 10):
         values = np.unique(x[:, f])
         for limit in (values[:-1] + values[1:]) / 2:
             left = x[:, f] <= limit

@@ -70,7 +70,7 @@ def cube_flight(sizes: list[float], chance: list[float], rng: Random, land: bool
     while len(open_) > 2:
         c = size[open_] - size[open_].mean()
         spread, n = float(c @ c), len(open_)
-        free = 1 - 1 / n - (c * c / spread if spread > 0 else 0)
+        free = np.full(n, 1 - 1 / n) - (c * c / spread if spread > 0 else 0)
         k = int(np.argmax(free > 1e-6)) if (free > 1e-6).any() else int(np.argmax(free))
         u = -1 / n - (c * (c[k] / spread) if spread > 0 else np.zeros(n))
         u[k] += 1
@@ -112,23 +112,33 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), s
     flight runs in blocks of ``block`` units of one source, so a hot source is many blocks; two
     open units at most are left of each and fly again together, until one block per source is
     left, and lands. Units fly by descending size, so what is left to land is small. Units are dealt
-    by a hash of their key, which also seeds the moves: reruns agree.
+    by a hash of their key, source and size, which also seeds the moves: reruns agree.
 
-    Repeated rows are units of their own. Documents of size 0 are taken 0 words. Empty: empty.
+    Rows equal in key, source and size are interchangeable and make one unit, however many they
+    are: n of them with a fraction f are taken floor(n f) times, and the unit flies with what
+    is left of n f. So neither a hot key nor null keys fill a block. Documents of size 0 are taken
+    0 words. Texts are read once. One row per source comes to the driver. Empty: empty.
     Returns doc_id, source, size, source_size, target, copies, taken.
     """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    table = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    table = table.withColumn("no", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1).toPandas().sort_values("no")
+    alike = ["doc_id", "source", "size"]
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.spark_partition_id().alias("part"))
+    rows = cut(rows.groupBy(*alike, "part").agg(F.count("*").alias("n")))
+    table = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.countDistinct("doc_id", "size").alias("n")).toPandas()
+    table = table.sort_values("source", key=lambda c: c.map(lambda x: (1, b"") if pd.isna(x) else (0, x.encode("utf-8", "surrogatepass"))))
     sizes = [int(x) for x in table["source_size"]]
     targets = target_shares(sizes, [weights[k % len(weights)] for k in range(len(sizes))], share, most)
-    records = [(None if pd.isna(s) else s, int(no), size, t, (t / size if size else 0.0), max(1, -(-int(n) // block))) for s, no, size, t, n in zip(table["source"], table["no"], sizes, targets, table["n"], strict=True)]
+    records = [(None if pd.isna(s) else s, no, size, t, (t / size if size else 0.0), max(1, -(-int(n) // block))) for no, (s, size, t, n) in enumerate(zip(table["source"], sizes, targets, table["n"], strict=True))]
     plan = spark.createDataFrame(records, "source string, source_no int, source_size long, target double, rate double, blocks int")
     plan = F.broadcast(plan) if len(records) <= BROADCAST_SOURCES else plan
-    units = rows.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source"))).select("doc_id", "d.source", "size", "source_no", "source_size", "target", "rate", "blocks", F.xxhash64("doc_id", F.lit(seed)).alias("spot"))
-    units = units.withColumn("whole", F.floor("rate").cast("long")).withColumn("chance", F.when(F.col("size") > 0, F.col("rate") - F.floor("rate")).otherwise(0.0))
-    moving = units.select("doc_id", "size", "source_no", "spot", "chance", F.pmod(F.shiftright("spot", 7), F.col("blocks")).cast("int").alias("block")).where((F.col("chance") > EPS) & (F.col("chance") < 1 - EPS))
+    same = Window.partitionBy(*alike)
+    parts = rows.withColumn("before", F.coalesce(F.sum("n").over(same.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("all", F.sum("n").over(same))
+    fraction = F.when(F.col("size") > 0, F.col("rate") - F.floor("rate")).otherwise(0.0) * F.col("all")
+    parts = parts.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source"))).select("doc_id", "d.source", "size", "n", "before", "source_no", "source_size", "target", "blocks", F.floor("rate").cast("long").alias("whole"), fraction.alias("fraction"), "all")
+    parts = parts.withColumn("some", F.floor(F.col("fraction") + EPS).cast("long")).withColumn("chance", F.greatest(F.col("fraction") - F.col("some"), F.lit(0.0)))
+    spot = F.xxhash64("doc_id", "source_no", "size", F.lit(seed))
+    units = parts.where((F.col("before") == 0) & (F.col("chance") > EPS))
+    moving = units.select("doc_id", "size", "source_no", spot.alias("spot"), "chance", F.pmod(F.shiftright(spot, 7), F.col("blocks")).cast("int").alias("block"))
     schema, most_blocks, picked = moving.schema, max((r[5] for r in records), default=1), []
     while True:
         land = most_blocks == 1
@@ -143,12 +153,12 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), s
     extra = picked[0]
     for more in picked[1:]:
         extra = extra.unionByName(more)
-    extra = extra.groupBy("doc_id", F.col("source_no").alias("no"), F.col("size").alias("s")).agg(F.count("*").alias("extra"))
-    # equal rows are interchangeable: the first of them take the extra copies
-    order = Window.partitionBy("doc_id", "source_no", "size").orderBy("spot")
-    base = units.withColumn("k", F.row_number().over(order)).alias("u").join(extra.alias("e"), (F.col("u.doc_id").eqNullSafe(F.col("e.doc_id"))) & (F.col("u.source_no") == F.col("e.no")) & (F.col("u.size") == F.col("e.s")), "left")
-    copies = F.col("whole") + F.when(F.col("k") <= F.coalesce(F.col("extra"), F.lit(0)), 1).otherwise(0) + F.when(F.col("chance") >= 1 - EPS, 1).otherwise(0)
-    return base.select("u.doc_id", "u.source", "u.size", "u.source_size", "u.target", copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
+    extra = extra.select(F.col("doc_id").alias("id"), F.col("source_no").alias("no"), F.col("size").alias("s"), F.lit(1).alias("one"))
+    base = parts.join(extra, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("source_no") == F.col("no")) & (F.col("size") == F.col("s")), "left")
+    # of equal rows the first take the extra copies
+    base = base.withColumn("extra", F.col("some") + F.coalesce("one", F.lit(0))).withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    copies = F.col("whole") + F.when(F.col("before") + F.col("k") <= F.col("extra"), 1).otherwise(0)
+    return base.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

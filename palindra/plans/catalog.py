@@ -415,3 +415,6 @@ def similarity_gate_whole_texts(spark, sf_dir):
 def element_coords_whole_texts(spark, sf_dir):
     """Coordinates of the elements that the search finds, not of where they were put."""
     return pipeline.element_columns(pipeline.stages(contigs(planted_whole(spark, sf_dir)))["best"]).drop("file", "sim")
+
+
+from palindra.plans import walled as _walled  # noqa: E402, F401  its queries are told in SQL stage by stage

@@ -208,19 +208,29 @@ class Lattice:
         c = -1 - self.piece[spelled]
         n_bytes = np.where(c == ord(_LITERAL), 3, 1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000))
         self.tokens[spelled], weight[spelled] = n_bytes, v.byte_weight * n_bytes
-        # backward sums, all positions with as much left at a time
-        mass = np.zeros(n + 1)
-        into = at + self.length
-        total = weight.copy()
-        rest = left[at]
+        # backward sums, all positions with as much left at a time: as they are while they are within
+        # a double's range, as logarithms beyond
+        mass, weight_p = np.ones(n + 1), np.exp(weight)
+        into, rest = at + self.length, left[at]
         edges = np.flatnonzero(np.concatenate([[True], rest[1:] != rest[:-1], [True]])) if n else np.zeros(1, np.int64)
-        for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            r = int(rest[s])
-            total[s:e] = weight[s:e] + np.where(self.length[s:e] < r, mass[into[s:e]], 0.0)
-            lo, hi = np.searchsorted(first, [s, e])
-            mass[at[first[lo:hi]]] = _sums(total[s:e], first[lo:hi] - s)
-        self.log_p = total - mass[at]
-        self.p = np.exp(self.log_p)
+        cuts = np.searchsorted(first, edges).tolist()
+        self.p, log_mass = np.empty(total_edges), None
+        for (s, lo), (e, hi) in zip(zip(edges[:-1].tolist(), cuts[:-1], strict=True), zip(edges[1:].tolist(), cuts[1:], strict=True), strict=True):
+            r, own = int(rest[s]), at[first[lo:hi]]
+            inner, begin = self.length[s:e] < r, first[lo:hi] - s
+            size_ = np.diff(np.append(begin, e - s))
+            if r <= _LINEAR:
+                part = weight_p[s:e] * np.where(inner, mass[into[s:e]], 1.0)
+                total = np.add.reduceat(part, begin)
+                mass[own], self.p[s:e] = total, part / np.repeat(total, size_)
+            else:
+                if log_mass is None:
+                    log_mass = np.log(mass)
+                part = weight[s:e] + np.where(inner, log_mass[into[s:e]], 0.0)
+                total = _sums(part, begin)
+                log_mass[own], self.p[s:e] = total, np.exp(part - np.repeat(total, size_))
+        with np.errstate(divide="ignore"):
+            self.log_p = np.log(self.p)
         # the chance of an edge or one before it at its position; the last one is always taken
         self.upto = self.p.copy()
         at, k = np.flatnonzero(self.count > 1), 1
@@ -274,11 +284,18 @@ class Units:
 
 def _uniform(seed: np.ndarray, salt: int, place: np.ndarray) -> np.ndarray:
     """In (0, 1), from the row's seed, the sample and the place in the text alone."""
-    x = seed + np.uint64(salt * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) + place.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+    x = place.astype(np.uint64)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x += seed + np.uint64(salt * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(factor)
     x ^= x >> np.uint64(31)
-    return ((x >> np.uint64(11)).astype(float) + 0.5) / float(1 << 53)
+    x >>= np.uint64(11)
+    out = x.astype(float)
+    out += 0.5
+    out *= 1 / float(1 << 53)
+    return out
 
 
 def _row_seed(key: int, seed: int) -> int:
@@ -323,8 +340,10 @@ class Walk:
         return np.repeat(instances, steps), edges
 
 
-#: Sets of less mass than exp(_NEAR) have bounds below _FAR: no draw of _uniform lifts one higher.
-_NEAR, _FAR = -60.0, -22.0
+#: Sets of less mass than exp(_NEAR) have bounds below _FAR: no draw of _uniform lifts one by more than 38.
+_NEAR, _FAR = -41.0, -3.0
+#: Characters up to which a unit's masses stay within a double's range: each costs exp(-12) at most.
+_LINEAR = 48
 
 
 def _parting(other: np.ndarray, before: np.ndarray, value, chance: np.ndarray) -> np.ndarray:
@@ -372,8 +391,10 @@ class Paths:
 
     def _bounds(self, edge, before, value, seed, origin, place) -> np.ndarray:
         l = self.lattice
-        other = np.where(l.count[l.edge_at[edge]] > 1, 1 - l.p[edge], 0.0)
-        return _parting(other, before, value, _uniform(seed, origin, place))
+        out, some = np.full(len(edge), -np.inf), np.flatnonzero(l.count[l.edge_at[edge]] > 1)
+        pick = lambda x: x[some] if isinstance(x, np.ndarray) else x
+        out[some] = _parting(1 - l.p[edge[some]], before[some], pick(value), _uniform(seed[some], origin, place[some]))
+        return out
 
     def whole(self, q: int) -> bool:
         return self.skip[q] + len(self.bound[q]) >= self.size[q]

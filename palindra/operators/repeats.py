@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,6 +18,8 @@ CONTIG = ["file", "contig_no"]
 _PIECE = 512
 #: Bases that a tile owns; it also carries what lies around them.
 TILE = 1 << 15
+#: Bases of tiles that are worked on together, about; matches that are held at a time.
+_TOGETHER, _MATCHES = 1 << 20, 1 << 20
 
 
 def kmers(contigs: DataFrame, k: int) -> DataFrame:
@@ -80,14 +83,23 @@ def tiles(contigs: DataFrame, params: Params, size: int = TILE) -> DataFrame:
     around = params.max_arm + params.vicinity + 4
     before, after = max(0, -params.band[0]) + around, params.band[1] + params.seed + params.max_arm + around
 
+    types = [pa.string(), *[pa.int64()] * 5, pa.string()]
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, bases = [], 0
+        out = lambda: pa.record_batch([pa.array(x, t) for x, t in zip(zip(*held, strict=True), types, strict=True)], ["file", "contig_no", "tile", "n", "start", "own", "seq"])
         for batch in batches:
-            for file, number, seq in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for k in range(batch.num_rows):
+                file, number, seq = (c[k].as_py() for c in batch.columns)
                 for tile, own in enumerate(range(0, len(seq), size)):
                     start = max(0, own - before)
-                    row = [file, number, tile, len(seq), start, own, seq[start : own + size + after]]
-                    types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-                    yield pa.record_batch([pa.array([x], t) for x, t in zip(row, types, strict=True)], ["file", "contig_no", "tile", "n", "start", "own", "seq"])
+                    held.append([file, number, tile, len(seq), start, own, seq[start : own + size + after]])
+                    bases += len(held[-1][-1])
+                    if bases >= _TOGETHER:
+                        yield out()
+                        held, bases = [], 0
+        if held:
+            yield out()
 
     rows = contigs.select("file", F.col("contig_no").cast("long").alias("contig_no"), normalised(F.col("seq")).alias("seq")).where(F.length("seq") > 0)
     return rows.mapInArrow(cut, "file string, contig_no long, tile long, n long, start long, own long, seq string").repartition(*CONTIG, "tile")
@@ -101,53 +113,93 @@ def codes(seq: str) -> np.ndarray:
     return _CODE[np.frombuffer(seq.encode(), np.uint8)]
 
 
-def tile_seeds(code: np.ndarray, start: int, own: int, size: int, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, len) of the seeds whose match begins among the tile's own bases."""
+def together(seqs: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs of rows of about ``_TOGETHER`` bases, a row at least."""
+    end = np.cumsum(pc.binary_length(seqs).to_numpy(zero_copy_only=False)) if len(seqs) else np.zeros(0, np.int64)
+    start = 0
+    while start < len(end):
+        stop = max(start + 1, int(np.searchsorted(end, (end[start - 1] if start else 0) + _TOGETHER, side="right")))
+        yield start, stop
+        start = stop
+
+
+def joined(seqs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of sequences one after another, where each starts, and the end."""
+    return codes("".join(seqs)), np.concatenate([[0], np.cumsum([len(s) for s in seqs])]).astype(np.int64)
+
+
+def tile_seeds(code: np.ndarray, edge: np.ndarray, own: np.ndarray, size: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, len) of the seeds of tiles that stand one after another in ``code``.
+
+    ``edge`` has where each tile starts, and the end; a tile owns ``size`` bases from ``own`` on,
+    and a seed is its if its match begins among them. Of the matches of k-mers within the band only
+    those are held that begin a run; how long a run is, is read off the bases, up to just beyond
+    the longest arm. So tandem repeats, whose matches are as many as pairs, take no more memory.
+    """
     k, (low, high), n = p.seed, p.band, len(code)
     none = np.zeros(0, np.int64)
     if n < k:
         return none, none, none
-    word, back, bad = np.zeros(n - k + 1, np.uint64), np.zeros(n - k + 1, np.uint64), np.zeros(n - k + 1, bool)
+    packed = min(k, 31)  # longer seeds are compared below
+    word, back = np.zeros(n - k + 1, np.uint64), np.zeros(n - k + 1, np.uint64)
     wide = code.astype(np.uint64)
-    for i in range(min(k, 31)):  # the word of the first 31 bases; longer seeds are compared below
-        part = wide[i : i + n - k + 1]
-        word = word << np.uint64(2) | part & np.uint64(3)
-        back |= (np.uint64(3) - (wide[k - 1 - i : n - i] & np.uint64(3))) << np.uint64(2 * (min(k, 31) - 1 - i))
+    for i in range(packed):
+        word = word << np.uint64(2) | wide[i : i + n - k + 1] & np.uint64(3)
+        back |= (np.uint64(3) - (wide[k - 1 - i : n - i] & np.uint64(3))) << np.uint64(2 * (packed - 1 - i))
     special = np.concatenate([[0], np.cumsum(code == 4)])
-    bad = special[k:] > special[: n - k + 1]
-    first, last = max(0, own - start - 1), min(n - k, own - start + size + p.max_arm + 1)
-    left = np.arange(first, last + 1)
-    left, right = left[~bad[left]], np.flatnonzero(~bad)
+    good = special[k:] == special[: n - k + 1]
+    for e in edge[1:-1].tolist():  # k-mers across two tiles
+        good[max(0, e - k + 1) : e] = False
+    starts = np.zeros(n + 1, np.int32)
+    np.add.at(starts, np.minimum(own, n), 1)
+    np.add.at(starts, np.minimum(own + size, edge[1:]), -1)
+    left, right = np.flatnonzero(good & (np.cumsum(starts[: n - k + 1]) > 0)), np.flatnonzero(good)
+    tile = np.searchsorted(edge, left, side="right") - 1
     order = right[np.argsort(back[right], kind="stable")]
     keys = back[order]
-    lo, hi = np.searchsorted(keys, word[left]), np.searchsorted(keys, word[left], side="right")
-    some = hi > lo
-    left, lo = left[some], lo[some]
-    # equal keys lie in order of position, so the band is a range among them
+    lo = np.searchsorted(keys, word[left])
+    some = np.flatnonzero((lo < len(keys)) & (keys[np.minimum(lo, len(keys) - 1)] == word[left])) if len(keys) else none
+    left, lo, tile = left[some], lo[some], tile[some]
+    # equal keys lie in order of position, so the band within the tile is a range among them
     dense = np.cumsum(np.concatenate([[0], keys[1:] != keys[:-1]])) * np.int64(n + 1)
     place = dense + order
-    lo, hi = np.searchsorted(place, dense[lo] + np.maximum(left + low, 0)), np.searchsorted(place, dense[lo] + np.minimum(left + high, n), side="right")
-    a_parts, b_parts = [], []
-    for s in range(0, len(left), 512):
-        x, l, count = left[s : s + 512], lo[s : s + 512], np.maximum(hi[s : s + 512] - lo[s : s + 512], 0)
-        a_parts.append(np.repeat(x, count))
-        b_parts.append(order[np.repeat(l - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))])
-    if not a_parts:
+    first = np.searchsorted(place, dense[lo] + np.maximum(left + low, edge[tile]))
+    count = np.maximum(np.searchsorted(place, dense[lo] + np.minimum(left + high, edge[tile + 1] - 1), side="right") - first, 0)
+    shown = np.where(code < 4, code, 9).astype(np.int8)
+    found, at, total = [], 0, np.concatenate([[0], np.cumsum(count)])
+    while at < len(left):
+        stop = max(at + 1, int(np.searchsorted(total, total[at] + _MATCHES, side="right")) - 1)
+        c = count[at:stop]
+        a, b = np.repeat(left[at:stop], c), order[np.repeat(first[at:stop] - (np.cumsum(c) - c), c) + np.arange(int(c.sum()))]
+        begin, end = np.repeat(edge[tile[at:stop]], c), np.repeat(edge[tile[at:stop] + 1], c)
+        at = stop
+        # a run begins where the bases before do not match, or lie outside the band or the tile
+        longer = (a > begin) & (b + k < end) & (b - a + 2 <= high)
+        longer &= shown[np.maximum(a - 1, 0)] == 3 - shown[np.minimum(b + k, n - 1)]
+        same = ~longer
+        a, b, begin, end = a[same], b[same], begin[same], end[same]
+        for i in range(packed, k):
+            same = shown[a + i] == 3 - shown[b + k - 1 - i]
+            a, b, begin, end = a[same], b[same], begin[same], end[same]
+        found.append((a, b, begin, end))
+    if not found:
         return none, none, none
-    a, b = np.concatenate(a_parts), np.concatenate(b_parts)
-    for i in range(31, k):
-        same = code[a + i] == 3 - code[b + k - 1 - i]
-        a, b = a[same], b[same]
-    diagonal = a + b
-    order = np.argsort(diagonal * np.int64(n + 1) + a)
-    a, diagonal = a[order], diagonal[order]
-    new = np.concatenate([[True], (np.diff(diagonal) != 0) | (np.diff(a) != 1)]) if len(a) else np.zeros(0, bool)
-    at = np.flatnonzero(new)
-    end = np.concatenate([at[1:], [len(a)]]) - 1 if len(a) else at
-    z, d, a = a[end] if len(a) else a, diagonal[at], a[at]
-    b, length = d - z, z - a + k
-    keep = (a + start >= own) & (a + start < own + size) & (length <= p.max_arm) & (b - a >= p.min_distance) & (b - a <= p.max_distance)
-    return a[keep] + start, b[keep] + start, length[keep]
+    a, b, begin, end = (np.concatenate(x) for x in zip(*found, strict=True))
+    # on to the last k-mer of the run within the band
+    more = np.minimum(np.minimum((b - a - low) // 2, p.max_arm + 1 - k), np.minimum(b - begin, end - (a + k)))
+    length = np.full(len(a), k)
+    going = np.flatnonzero(more > 0)
+    x, y, step = a[going] + k, b[going] - 1, 0
+    while len(going):
+        on = shown[x] == 3 - shown[y]
+        going, x, y = going[on], x[on] + 1, y[on] - 1
+        length[going] += 1
+        step += 1
+        on = more[going] > step
+        going, x, y = going[on], x[on], y[on]
+    b = b - (length - k)
+    keep = (length <= p.max_arm) & (b - a >= p.min_distance) & (b - a <= p.max_distance)
+    return a[keep], b[keep], length[keep]
 
 
 def seeds(contigs: DataFrame, params: Params, size: int = TILE, stretches: DataFrame | None = None) -> DataFrame:
@@ -159,11 +211,16 @@ def seeds(contigs: DataFrame, params: Params, size: int = TILE, stretches: DataF
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file, number, tile, start, own, seq in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("file", "contig_no", "tile", "start", "own", "seq")), strict=True):
-                a, b, length = tile_seeds(codes(seq), start, own, size, params)
+            column = lambda c, batch=batch: batch.column(batch.schema.get_field_index(c))
+            for s, e in together(column("seq")):
+                part = lambda c, s=s, e=e, column=column: column(c).slice(s, e - s)
+                code, edge = joined(part("seq").to_pylist())
+                start, own = part("start").to_numpy(), part("own").to_numpy()
+                a, b, length = tile_seeds(code, edge, edge[:-1] + own - start, np.full(e - s, size), params)
                 if len(a):
-                    fixed = [pa.array([x] * len(a), t) for x, t in ((file, pa.string()), (number, pa.int64()), (tile, pa.int64()))]
-                    yield pa.record_batch([*fixed, pa.array(a), pa.array(b), pa.array(length)], ["file", "contig_no", "tile", "a", "b", "len"])
+                    tile = np.searchsorted(edge, a, side="right") - 1
+                    shift = (start - edge[:-1])[tile]
+                    yield pa.record_batch([*(part(c).take(pa.array(tile)) for c in ("file", "contig_no", "tile")), pa.array(a + shift), pa.array(b + shift), pa.array(length)], ["file", "contig_no", "tile", "a", "b", "len"])
 
     stretches = tiles(contigs, params, size) if stretches is None else stretches
     return stretches.mapInArrow(find, "file string, contig_no long, tile long, a long, b long, len long")

@@ -23,7 +23,11 @@ def element_columns(rows: DataFrame) -> DataFrame:
 
 
 def stages(contigs: DataFrame, params: Params | None = None, size: int = repeats.TILE) -> dict[str, DataFrame]:
-    """Seeds, arms, passed (by length), duplicated, compared, clustered, best and elements."""
+    """Seeds, arms, passed (by length), duplicated, compared, narrow, clustered, best and elements.
+
+    ``narrow``, the candidates without their strings, is read several times and kept in memory or
+    on disk; ``unpersist`` it when done. ``seqid`` and coordinates are joined to the best only.
+    """
     p = params or Params()
     stretches = repeats.tiles(contigs, p, size)
     out = {"seeds": repeats.seeds(contigs, p, size, stretches)}
@@ -32,6 +36,7 @@ def stages(contigs: DataFrame, params: Params | None = None, size: int = repeats
     out["duplicated"] = tsd.find_tsd(out["passed"], p)
     out["compared"] = similarity.arm_similarity(out["duplicated"], p)
     slim = out["compared"].select("file", "contig_no", *overlap.ORDER, "lte", "rte", "tsd", "sim", "skip").persist()  # narrow, and read several times
+    out["narrow"] = slim
     out["clustered"] = overlap.clusters(slim)
     out["best"] = overlap.best_per_cluster(out["clustered"])
     names = contigs.select("file", F.col("contig_no").cast("long").alias("contig_no"), "seqid")

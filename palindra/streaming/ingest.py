@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from palindra.plans.params import Params
-from palindra.plans.pipeline import find_elements
+from palindra.plans.pipeline import stages
 from palindra.sources.fasta import parse_fasta
 
 
@@ -19,7 +19,9 @@ def watch_fragments(spark: SparkSession, folder: str, out: str, checkpoint: str,
     """
 
     def search(files: DataFrame, batch: int) -> None:
-        find_elements(parse_fasta(files), params).write.mode("overwrite").parquet(f"{out}/batch={batch}")
+        found = stages(parse_fasta(files), params)
+        found["elements"].write.mode("overwrite").parquet(f"{out}/batch={batch}")
+        found["narrow"].unpersist()
 
     files = spark.readStream.format("text").option("wholetext", True).load(folder).select(F.col("_metadata.file_path").alias("file"), "value")
     return files.writeStream.foreachBatch(search).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

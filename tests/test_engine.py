@@ -1,15 +1,18 @@
 """The inverted-repeat engine against plain Python readings of its rules."""
 
+import gzip
+import io
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from palindra.cli import parse
+from palindra.cli import STAGES, main, parse
 from palindra.functions import sequence
 from palindra.functions.running import before
-from palindra.operators import extension, overlap, repeats, similarity, tsd, xdrop
+from palindra.operators import extension, overlap, repeats, tsd, xdrop
 from palindra.plans import pipeline
 from palindra.plans.params import Params
 from palindra.sources import fasta, gff, sinks
@@ -228,8 +231,53 @@ def test_gff_and_tsv(spark, tmp_path):
     elements = spark.createDataFrame([("f/a.fa", "s2", *range(12), 90.625), ("f/a.fa", "s1", *range(12), 100.0)], "file string, seqid string, " + ", ".join(f"{c} long" for c in pipeline.COORDINATES) + ", sim double")
     text = sinks.to_tsv(elements).splitlines()
     assert text[0].split("\t") == sinks.HEADER and text[1].startswith("s1") and text[2].endswith("\t90.62")
-    sinks.write_fragments(elements, str(tmp_path / "out"))
-    assert spark.read.csv(str(tmp_path / "out"), sep="\t", header=True).where("fragment = 'a'").count() == 2
+    sinks.write_fragments(elements, str(tmp_path / "out"), ["f/a.fa", "g/a.fa", "f/b.c%=.fa"], suffix=".x.tsv")
+    names = sorted(p.name for p in (tmp_path / "out").iterdir() if not p.name.startswith("."))
+    assert names[0].startswith("a-") and names[1:] == ["a.x.tsv", "b.c%=.x.tsv"]
+    assert (tmp_path / "out/a.x.tsv").read_text() == sinks.to_tsv(elements) and (tmp_path / f"out/{names[0]}").read_text() == "\t".join(sinks.HEADER) + "\n"
+
+
+@pytest.fixture(scope="module")
+def fragments(spark, tmp_path_factory):
+    """Two files with an element each, one of them gzipped, and one without any."""
+    path, rng = tmp_path_factory.mktemp("fragments"), random.Random(12)
+    draws = ["".join(rng.choices("ACGT", k=30)) for _ in range(3)]
+    for k, arm in enumerate((draws[0], draws[2])):  # the second one's chance duplications leave it no arms
+        text = f">c{k} words\nGGTAC{arm}{'ACCA' * 6}{rc(arm)}GGTACC\n"
+        (path / f"{k}.fa.gz").write_bytes(gzip.compress(text.encode())) if k else (path / f"{k}.fa").write_text(text)
+    (path / "2.fa").write_text(">c2\nACGT\n")
+    return path
+
+
+def test_command_line(spark, fragments, tmp_path, capsys, monkeypatch):
+    paths = [str(fragments / n) for n in ("0.fa", "1.fa.gz", "2.fa")]
+    want = {n: sinks.to_tsv(pipeline.find_elements(fasta.read_sequences(spark, n))) for n in paths}
+    assert [t.count("\n") for t in want.values()] == [2, 2, 1]
+    assert main([paths[1]]) == 0
+    out, err = capsys.readouterr()
+    assert out == want[paths[1]] and err.endswith("1 elements\n")
+    monkeypatch.setattr("sys.stdin", io.StringIO("".join(f"  {p} \n\n" for p in paths)))
+    assert main(["--batch", str(tmp_path / "out"), "--suffix", ".tsv"]) == 0
+    assert {p.name: p.read_text() for p in (tmp_path / "out").iterdir() if not p.name.startswith(".")} == {"0.tsv": want[paths[0]], "1.fa.tsv": want[paths[1]], "2.tsv": want[paths[2]]}
+    for stage, (_, _, columns) in STAGES.items():
+        capsys.readouterr()
+        assert main(["--stage", stage, paths[0]]) == 0
+        out, err = capsys.readouterr()
+        lines = out.splitlines()
+        assert lines[0].split("\t") == columns and len(lines) > 1 and err.endswith(f"{len(lines) - 1} {stage}\n")
+        if stage == "seeds":
+            assert {tuple(map(int, x.split("\t")[1:])) for x in lines[1:]} == brute_seeds("GGTAC" + (fragments / "0.fa").read_text().split("GGTAC", 1)[1].split("\n")[0], Params())
+    assert main([]) == 2
+
+
+def test_tandem_repeats_take_no_memory():
+    """Nearly every pair of k-mers matches; only what begins a run is held."""
+    code = repeats.codes("AT" * 4096)
+    tracemalloc.start()
+    a, _, _ = repeats.tile_seeds(code, np.array([0, len(code)]), np.array([0]), np.array([len(code)]), Params())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(a) == 0 and peak < 200e6
 
 
 def test_multiset_diff(spark):
@@ -256,13 +304,13 @@ def test_scalar_functions(spark):
 def test_options():
     with pytest.raises(ValueError):
         Params(match=3)
-    params, batch, threads, paths = parse(["-seed", "15", "x.fa", "--batch", "out", "--threads", "3", "-similar", "70"])
-    assert (params.seed, params.similar, batch, threads, paths) == (15, 70.0, "out", 3, ["x.fa"])
-    with pytest.raises(SystemExit):
-        parse(["-seed"])
+    params, batch, threads, paths, stage, suffix = parse(["-seed", "15", "x.fa", "--batch", "out", "--threads", "3", "-similar", "70"])
+    assert (params.seed, params.similar, batch, threads, paths, stage, suffix) == (15, 70.0, "out", 3, ["x.fa"], None, ".elements.tsv")
+    for wrong in (["-seed"], ["-seed", "x"], ["--stage", "none"]):
+        with pytest.raises(SystemExit):
+            parse(wrong)
 
 
 def test_empty_input(spark):
     assert pipeline.find_elements(spark.createDataFrame([], SCHEMA)).count() == 0
     assert extension.length_gate(extension.extend(repeats.seeds(spark.createDataFrame([], SCHEMA), Params()), spark.createDataFrame([], SCHEMA), Params()), Params()).count() == 0
-    assert similarity.arm_similarity is not None

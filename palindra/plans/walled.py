@@ -56,7 +56,7 @@ def walled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, s, offset): the sequences, and the first base after the laced first half of the text."""
     lace = lambda s: F.regexp_replace(s, "(.{19})", "$1N")
     half = F.floor(F.length("s") / 2).cast("int")
-    rows = catalog.dna(spark, sf_dir).select("doc_id", lace(F.substr("s", F.lit(1), half)).alias("h"), lace(F.substr("s", half + 1)).alias("t"), *[F.expr(v).alias(k) for k, v in _parts().items()])
+    rows = catalog.dna(spark, sf_dir).withColumn("s", F.coalesce("s", F.lit(""))).select("doc_id", lace(F.substr("s", F.lit(1), half)).alias("h"), lace(F.substr("s", half + 1)).alias("t"), *[F.expr(v).alias(k) for k, v in _parts().items()])
     middle = F.concat_ws(WALL, F.col("h"), *_ORDER, F.col("t"))
     return rows.select("doc_id", middle.alias("s"), F.length("h").cast("long").alias("offset"))
 
@@ -78,14 +78,15 @@ def _arms_at() -> str:
 
 
 def _sql(p: Params) -> str:
+    """All stages; k-mers are taken around the elements only, as any other holds a special base."""
     lace = lambda s: f"regexp_replace({s}, '(.{{19}})', '\\1N', 'g')"
     least, most, vic = p.min_tsd, p.max_tsd, p.vicinity
     parts = ", ".join(f"{v} AS {k}" for k, v in _parts().items())
     return f"""WITH {catalog.DNA_SQL},
-halves AS (SELECT doc_id, {lace("substr(s, 1, length(s) // 2)")} AS h, {lace("substr(s, length(s) // 2 + 1)")} AS t, {parts} FROM dna),
+halves AS (SELECT doc_id, {lace("substr(s, 1, length(s) // 2)")} AS h, {lace("substr(s, length(s) // 2 + 1)")} AS t, {parts} FROM (SELECT doc_id, coalesce(s, '') AS s FROM dna)),
 made AS (SELECT *, length(h) AS off, concat_ws('{WALL}', h, {", ".join(_ORDER)}, t) AS s FROM halves),
 known AS ({_arms_at()}),
-k AS (SELECT doc_id, a, kmer FROM (SELECT doc_id, a, substr(s, a + 1, {p.seed}) AS kmer FROM (SELECT doc_id, s, unnest(range(0, length(s) - {p.seed - 1})) AS a FROM made)) WHERE instr(kmer, 'N') = 0),
+k AS (SELECT doc_id, a, kmer FROM (SELECT doc_id, a, substr(s, a + 1, {p.seed}) AS kmer FROM (SELECT doc_id, s, unnest(range(greatest(off - {p.seed}, 0), least(length(s) - length(t) + 1, length(s) - {p.seed - 1}))) AS a FROM made)) WHERE instr(kmer, 'N') = 0),
 m AS (SELECT x.doc_id, x.a, y.a AS b, x.a + y.a AS d FROM k x JOIN k y ON x.doc_id = y.doc_id AND x.kmer = reverse(translate(y.kmer, 'ACGT', 'TGCA')) AND y.a - x.a BETWEEN {p.band[0]} AND {p.band[1]}),
 r AS (SELECT *, a - row_number() OVER (PARTITION BY doc_id, d ORDER BY a) AS island FROM m),
 runs AS (SELECT doc_id, min(a) AS a, d - max(a) AS b, max(a) - min(a) + {p.seed} AS len FROM r GROUP BY doc_id, d, island),

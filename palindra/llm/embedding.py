@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from palindra.llm.common import cut, n_partitions, read, unnamed
 from palindra.llm.graph import components, local_components
-from palindra.llm.vectors import finite, matrix, packed
+from palindra.llm.vectors import finite, matrix, packed, unit
 
 #: Leading principal dimensions that make the grid, and those that bound a block's box.
 GRID, BOX = 6, 16
@@ -27,8 +27,7 @@ def _order(bases: dict[int, np.ndarray], eps: float):
             dims = batch.column(0).to_numpy()
             for dim in np.unique(dims).tolist():
                 part = batch.filter(pa.array(dims == dim))
-                x = matrix(part.column(3), dim).astype(float)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                x = unit(matrix(part.column(3), dim))
                 cells = np.floor(x @ bases[dim][:, :GRID] / eps).astype(np.int32) if dim in bases else np.zeros((len(x), 1), np.int32)
                 yield pa.record_batch([part.column(0), pa.array(cells.tolist(), pa.list_(pa.int32())), part.column(1), part.column(2), part.column(3)], ["dim", "cell", "id", "n", "v"])
 
@@ -39,7 +38,7 @@ def _blocks(bases: dict[int, np.ndarray], rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, dim, table in packed(batches, rows):
             x = matrix(table.column(4).combine_chunks() if isinstance(table.column(4), pa.ChunkedArray) else table.column(4), dim)
-            u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+            u = unit(x)
             y = u @ bases[dim][:, :BOX] if dim in bases else np.zeros((len(u), 1))
             yield pa.record_batch([
                 pa.array([number], pa.int64()), pa.array([dim], pa.int32()), pa.array([y.min(axis=0).tolist()]), pa.array([y.max(axis=0).tolist()]),
@@ -82,8 +81,7 @@ def _join(cosine: float, eps: float, bases: dict[int, np.ndarray], dtype: str, l
                 get = lambda name, k=k: batch.column(batch.schema.get_field_index(name))[k].as_py()
                 dim, same = get("dim"), get("a") == get("b")
                 ids, ns = [np.frombuffer(get(f"ids_{s}"), np.int64) for s in "ab"], [np.frombuffer(get(f"ns_{s}"), np.int64) for s in "ab"]
-                u = [np.frombuffer(get(f"vs_{s}"), dtype).reshape(-1, dim).astype(float) for s in "ab"]
-                u = [x / np.linalg.norm(x, axis=1, keepdims=True) for x in u]
+                u = [unit(np.frombuffer(get(f"vs_{s}"), dtype).reshape(-1, dim)) for s in "ab"]
                 y = [x @ bases[dim][:, :BOX] if dim in bases else x for x in u]
                 counts, n = [np.zeros(len(x), np.int64) for x in u], len(ids[0])
                 child, root = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -159,8 +157,7 @@ def near_vectors(rows: DataFrame, cosine: float = 0.95, key: str = "vec_id", vec
         sample.setdefault(dim, []).append(v)
     bases = {}
     for dim, vs in sample.items():
-        x = np.array(vs, float)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        x = unit(np.array(vs, float))
         bases[dim] = np.linalg.svd(x - x.mean(axis=0), full_matrices=True)[2].T if len(x) > 1 else np.eye(dim)
     p = n_partitions(spark)
     ordered = distinct.drop("unnamed").mapInArrow(_order(bases, eps), f"dim int, cell array<int>, id long, n long, v array<{kind}>")
@@ -192,3 +189,17 @@ def near_vectors(rows: DataFrame, cosine: float = 0.95, key: str = "vec_id", vec
 
 def op4_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(read(spark, sf_dir, "embeddings"))
+
+
+#: Every pair of usable vectors, and what is reachable over the links.
+ORACLE = """
+WITH RECURSIVE u AS (
+  SELECT vec_id, x, sqrt(list_dot_product(x, x)) AS norm FROM (SELECT vec_id, list_transform(embedding, lambda c: c::DOUBLE) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0) WHERE list_dot_product(x, x) > 0
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_dot_product(a.x, b.x) / (a.norm * b.norm) >= 0.95
+), r(id, other) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, r.other FROM r JOIN l ON l.a = r.id
+), c AS (SELECT id, min(other) AS component_id FROM r GROUP BY id), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN c ON id = vec_id LEFT JOIN n ON n.a = vec_id
+"""

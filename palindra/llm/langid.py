@@ -159,3 +159,25 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     profiles = learn_profiles(docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()))
     return identify(docs, profiles).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+#: The same ranks and distances over lists of code points; the checksum is worked out bit by bit.
+ORACLE = f"""
+WITH steps AS (SELECT list_transform(range(256), lambda x: list_reduce(list_prepend(x, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+d AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, text, coalesce(xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: unicode(x)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 4 = 2, false) AS held_out
+  FROM documents, steps
+), w AS (
+  SELECT r, list_concat([0::BIGINT], list_transform(string_split(word, ''), lambda x: unicode(x)::BIGINT), [0::BIGINT]) AS p
+  FROM (SELECT r, unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS word FROM d)
+), g AS (
+  SELECT r, unnest(list_concat(p[2:-2], list_transform(range(1, len(p)), lambda k: (p[k] << {SHIFT}) | p[k + 1]), list_transform(range(1, len(p) - 1), lambda k: (p[k] << {2 * SHIFT}) | (p[k + 1] << {SHIFT}) | p[k + 2]))) AS key FROM w
+), n AS (SELECT r, key, count(*) AS n FROM g GROUP BY ALL),
+ranked AS (SELECT r, key, k FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY n DESC, key) - 1 AS k FROM n) WHERE k < {PROFILE}),
+profiles AS (SELECT lang, key, k FROM (SELECT lang, key, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, key) - 1 AS k FROM n JOIN d USING (r) WHERE NOT held_out AND lang IS NOT NULL GROUP BY lang, key) WHERE k < {PROFILE}),
+away AS (
+  SELECT x.r, l.lang, sum(coalesce(abs(p.k - x.k), {PROFILE})) AS far, count(*) AS held
+  FROM ranked x CROSS JOIN (SELECT DISTINCT lang FROM profiles) l LEFT JOIN profiles p ON p.lang = l.lang AND p.key = x.key GROUP BY ALL
+), best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY far, lang) AS place FROM away) WHERE place = 1)
+SELECT doc_id, held_out, coalesce(best.lang, 'und') AS lang_pred, CASE WHEN best.lang IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE - far::DOUBLE / (held * {PROFILE})::DOUBLE END AS score FROM d LEFT JOIN best USING (r)
+"""

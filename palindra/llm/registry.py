@@ -16,4 +16,4 @@ QUERIES = {
     "op9_sharding": sharding.op9_sharding,
     "op10_langid": langid.op10_langid,
 }
-ORACLES: dict[str, str] = {"op3_chat": chat.ORACLE, "op6_topk": topk.ORACLE}
+ORACLES: dict[str, str] = {"op3_chat": chat.ORACLE, "op4_embedding": embedding.ORACLE, "op6_topk": topk.ORACLE, "op10_langid": langid.ORACLE}

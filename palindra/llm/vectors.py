@@ -23,6 +23,14 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1 in double precision. Rows are first brought near 1 by a power of two, which
+    is exact, so that neither large nor small components leave the range when squared."""
+    x = x.astype(float)
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def runs(dims: np.ndarray) -> list[tuple[int, int]]:
     """(start, end) of the runs of equal values."""
     edges = np.flatnonzero(np.concatenate([[True], dims[1:] != dims[:-1], [True]]))

@@ -17,6 +17,8 @@ from palindra.llm.vectors import finite, matrix, packed
 HEAD, BLOCK, QUERIES = 24, 1024, 512
 #: Rows that fit the rotation, and candidate blocks that one task streams at most, about.
 SAMPLE, STREAM = 4096, 64
+#: Components saturate here, scores at the ends of their type. A null key counts as the largest.
+MOST, LAST = 1 << 53, (1 << 63) - 1
 
 
 def _blocks(rows: int):
@@ -24,7 +26,7 @@ def _blocks(rows: int):
         for number, dim, table in packed(batches, rows):
             v = table.column(3).combine_chunks() if isinstance(table.column(3), pa.ChunkedArray) else table.column(3)
             yield pa.record_batch([
-                pa.array([number], pa.int64()), pa.array([dim], pa.int32()), pa.array([int(table.column(1)[0].as_py())], pa.int64()),
+                pa.array([number], pa.int64()), pa.array([dim], pa.int32()), pa.array([table.column(1)[0].as_py()], pa.float64()),
                 pa.array([table.column(2).to_numpy().tobytes()], pa.binary()), pa.array([np.ascontiguousarray(matrix(v, dim)).astype("<i8").tobytes()], pa.binary()),
             ], ["block", "dim", "square", "ids", "vs"])
 
@@ -59,12 +61,13 @@ class _Best:
             at = at[ids[at] != self.ids[q]]
             if not len(at):
                 continue
-            score = x[at] @ self.x[q]
+            score = x[at].astype(object) @ self.x[q].astype(object) if self.length[q] * length.max() >= 1 << 62 else x[at] @ self.x[q]
             score, name = np.concatenate([self.best[q][0], score]), np.concatenate([self.best[q][1], ids[at]])
-            order = np.lexsort((name, -score))[: self.k]
+            order = np.lexsort((name, -score)) if score.dtype != object else np.array(sorted(range(len(score)), key=lambda k: (-score[k], name[k])))
+            order = order[: self.k]
             self.best[q] = score[order], name[order]
             if len(order) == self.k:
-                self.bar[q] = score[order[-1]]
+                self.bar[q] = float(score[order[-1]])
         return True
 
 
@@ -77,7 +80,7 @@ def _search(rotations: dict[int, np.ndarray], k: int):
         def out():
             for q, (score, name) in zip(best.ids.tolist(), best.best, strict=True):
                 if len(name):
-                    yield pa.record_batch([pa.array([q] * len(name), pa.int64()), pa.array(name), pa.array(score)], ["query_id", "vec_id", "score"])
+                    yield pa.record_batch([pa.array([q] * len(name), pa.int64()), pa.array(name), pa.array(["%d" % s for s in score.tolist()], pa.string())], ["query_id", "vec_id", "score"])
 
         for batch in batches:
             for row in range(batch.num_rows):
@@ -110,18 +113,20 @@ def top_products(rows: DataFrame, is_query: Column, k: int = 10, scale: int = 10
     fit on at most ``SAMPLE`` rows and affects only how much is pruned.
 
     Vectors that are null, empty or hold null or non-finite components take no part. Zero vectors
-    do. Fewer than ``k`` candidates: all of them. Repeated rows are candidates each. Empty: empty.
+    do. Fewer than ``k`` candidates: all of them. Repeated rows are candidates each. A row without
+    a key ranks behind others of its score and is returned without one. Components beyond
+    +-2**53 saturate there; scores are compared exactly and returned within long. Empty: empty.
     """
     spark = rows.sparkSession
     ints = rows.where(finite(F.col(vector))).select(
-        F.col(key).alias("vec_id"), F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"), F.coalesce(is_query, F.lit(False)).alias("query")
-    ).select(F.size("v").alias("dim"), F.aggregate("v", F.lit(0).cast("long"), lambda t, x: t + x * x).alias("square"), "vec_id", "v", "query")
+        F.coalesce(F.col(key), F.lit(LAST)).alias("vec_id"), F.transform(vector, lambda x: F.floor(F.greatest(F.least(x.cast("double") * scale, F.lit(float(MOST))), F.lit(-float(MOST)))).cast("long")).alias("v"), F.coalesce(is_query, F.lit(False)).alias("query")
+    ).select(F.size("v").alias("dim"), F.aggregate("v", F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double")).alias("square"), "vec_id", "v", "query")
     sample: dict[int, list] = {}
     for dim, v in ints.select("dim", "v").orderBy(F.xxhash64("vec_id")).limit(SAMPLE).collect():
         sample.setdefault(dim, []).append(v)
     dims = [r[0] for r in ints.where("query").select("dim").distinct().collect()]
     rotations = {dim: np.linalg.svd(np.array(sample.get(dim, [[0] * dim]), float), full_matrices=True)[2].T for dim in dims}
-    p, schema = n_partitions(spark), "block long, dim int, square long, ids binary, vs binary"
+    p, schema = n_partitions(spark), "block long, dim int, square double, ids binary, vs binary"
     order = [F.col("dim"), F.desc("square"), F.col("vec_id")]
     pack = lambda df, size: cut(df.repartitionByRange(p, *order).sortWithinPartitions(*order).select("dim", "square", "vec_id", "v").mapInArrow(_blocks(size), schema))
     candidates, queries = pack(ints.drop("query"), BLOCK), pack(ints.where("query").drop("query"), QUERIES)
@@ -132,11 +137,13 @@ def top_products(rows: DataFrame, is_query: Column, k: int = 10, scale: int = 10
     numbered = candidates.select("block", "dim").withColumn("stripe", F.pmod(number, F.lit(stripes)).cast("int"))
     heads = queries.select(F.col("block").alias("q"), "dim")
     right = candidates.join(numbered, ["block", "dim"]).join(heads, "dim").select("q", "stripe", "dim", F.lit(1).alias("kind"), F.col("square"), "block", "ids", "vs")
-    left = queries.select(F.col("block").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))).alias("stripe"), "dim", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("square"), "block", "ids", "vs")
+    left = queries.select(F.col("block").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))).alias("stripe"), "dim", F.lit(0).alias("kind"), F.lit(0.0).alias("square"), "block", "ids", "vs")
     streams = left.unionByName(right).repartition(max(p, queries.count() * stripes // 4), "q", "stripe").sortWithinPartitions("q", "stripe", "kind", F.desc("square"), "block")
-    found = streams.mapInArrow(_search(rotations, k), "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = streams.mapInArrow(_search(rotations, k), "query_id long, vec_id long, score string").withColumn("exact", F.col("score").cast("decimal(38,0)"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("exact"), "vec_id"))
+    named = lambda c: F.when(F.col(c) != LAST, F.col(c)).alias(c)
+    score = F.greatest(F.least("exact", F.lit(LAST)), F.lit(-LAST)).cast("long").alias("score")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select(named("query_id"), "rank", named("vec_id"), score)
 
 
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palindra.llm.common import byte_views, cut, n_partitions, pieces, read, small_batches
+from palindra.llm.common import byte_views, cut, n_partitions, pieces, read, small_batches, unnamed
 from palindra.llm.graph import components, local_components
 
 SEGMENTS, WIDTH = 2, 32
@@ -139,7 +139,8 @@ def simhash_groups(docs: DataFrame, distance: int = 3, shingle: int = 3, seed: i
     masks. Nothing is capped, no link between different fingerprints is lost.
 
     Null, empty and blank texts have fingerprint 0 and link like any other. Texts of fewer words
-    than a shingle hash as a whole. Repeated rows return as often as they come. Empty: empty.
+    than a shingle hash as a whole. Repeated rows return as often as they come. Rows without a key
+    link like any other; the component of a group without any key is null. Empty: empty.
     """
     if segments not in (2, 4):
         raise ValueError("segments is 2 or 4")
@@ -150,13 +151,16 @@ def simhash_groups(docs: DataFrame, distance: int = 3, shingle: int = 3, seed: i
     small_batches(spark)
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     prints = cut(rows.mapInArrow(_fingerprints(shingle, seed), "doc_id long, print long"))
-    distinct = prints.groupBy("print").agg(F.min("doc_id").alias("id"))
+    distinct = prints.groupBy("print").agg(F.min("doc_id").alias("id")).select("print", F.coalesce("id", unnamed("print")).alias("id"), F.col("id").isNull().alias("unnamed"))
     parts = [F.shiftrightunsigned("print", no * width).bitwiseAND(F.lit((1 << width) - 1)) for no in range(segments)]
     variants = F.flatten(F.array(*[_variants(no, segment, width) for no, segment in enumerate(parts)]))
     index = distinct.select(F.explode(variants).alias("key"), "print", "id").repartition(n_partitions(spark), "key")
     links = index.mapInArrow(_links(distance), "a long, b long")
     found = components(links)
-    member = distinct.join(found, "id", "left").select("print", F.coalesce("component", "id").alias("component_id"))
+    member = distinct.join(found, "id", "left").select("print", "unnamed", F.coalesce("component", "id").alias("component_id"))
+    # a component whose smallest id is a stand-in has no key
+    stand_in = distinct.where("unnamed").select(F.col("id").alias("component_id"), F.lit(True).alias("nameless"))
+    member = member.join(stand_in, "component_id", "left").select("print", F.when(F.col("nameless").isNull(), F.col("component_id")).alias("component_id"))
     return prints.join(member, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -17,6 +17,8 @@ from palindra.llm.vectors import finite, matrix, packed, unit
 GRID, BOX = 6, 16
 #: Vectors in a block; rows that fit the principal dimensions; intervals that make one above them.
 BLOCK, SAMPLE, FAN = 2048, 4096, 8
+#: Blocks on either side of a tile of block pairs: a task gets each of its blocks once.
+TILE = 8
 
 
 def _order(bases: dict[int, np.ndarray], eps: float):
@@ -55,7 +57,9 @@ def _apart(low_a: Column, high_a: Column, low_b: Column, high_b: Column) -> Colu
 
 
 def _join(cosine: float, eps: float, bases: dict[int, np.ndarray], dtype: str, leaf: int = 512):
-    """Of each pair of blocks: the links of each vector, counted (kind 0), and a spanning forest (kind 1)."""
+    """Of each pair of blocks of a tile: the links of each vector, counted (kind 0), and a spanning forest (kind 1).
+
+    A tile's left blocks come first and are held; its right ones stream by, each with its partners."""
 
     def close(y: np.ndarray, a: slice, z: np.ndarray, b: slice) -> bool:
         p, q = y[a], z[b]
@@ -75,35 +79,43 @@ def _join(cosine: float, eps: float, bases: dict[int, np.ndarray], dtype: str, l
             for q in halves(b):
                 yield from intervals(y, p, z, q, same)
 
+    def links(dim: int, same: bool, sides: list[tuple[bytes, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+        ids, ns = [np.frombuffer(x[0], np.int64) for x in sides], [np.frombuffer(x[1], np.int64) for x in sides]
+        u = [unit(np.frombuffer(x[2], dtype).reshape(-1, dim)) for x in sides]
+        y = [x @ bases[dim][:, :BOX] if dim in bases else x for x in u]
+        counts, n = [np.zeros(len(x), np.int64) for x in u], len(ids[0])
+        child, root = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for a, b in intervals(y[0], slice(0, len(u[0])), y[1], slice(0, len(u[1])), same):
+            i, j = np.nonzero(u[0][a] @ u[1][b].T >= cosine)
+            i, j = i + a.start, j + b.start
+            if same:
+                i, j = i[i < j], j[i < j]
+            if not len(i):
+                continue
+            counts[0] += np.bincount(i, ns[1][j], len(counts[0])).astype(np.int64)
+            counts[1] += np.bincount(j, ns[0][i], len(counts[1])).astype(np.int64)
+            j = j if same else j + n
+            label = local_components(n + (0 if same else len(ids[1])), np.concatenate([child, i]), np.concatenate([root, j]))
+            child = np.flatnonzero(label != np.arange(len(label)))
+            root = label[child]
+        name = ids[0] if same else np.concatenate(ids)
+        total = counts[0] + counts[1] if same else np.concatenate(counts)
+        some = np.flatnonzero(total)
+        if len(some):
+            kind = np.repeat(np.array([0, 1], np.int32), [len(some), len(child)])
+            yield pa.record_batch([pa.array(kind), pa.array(np.concatenate([name[some], name[child]])), pa.array(np.concatenate([total[some], name[root]]))], ["kind", "a", "b"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held = None, {}
         for batch in batches:
             for k in range(batch.num_rows):
-                get = lambda name, k=k: batch.column(batch.schema.get_field_index(name))[k].as_py()
-                dim, same = get("dim"), get("a") == get("b")
-                ids, ns = [np.frombuffer(get(f"ids_{s}"), np.int64) for s in "ab"], [np.frombuffer(get(f"ns_{s}"), np.int64) for s in "ab"]
-                u = [unit(np.frombuffer(get(f"vs_{s}"), dtype).reshape(-1, dim)) for s in "ab"]
-                y = [x @ bases[dim][:, :BOX] if dim in bases else x for x in u]
-                counts, n = [np.zeros(len(x), np.int64) for x in u], len(ids[0])
-                child, root = np.zeros(0, np.int64), np.zeros(0, np.int64)
-                for a, b in intervals(y[0], slice(0, len(u[0])), y[1], slice(0, len(u[1])), same):
-                    i, j = np.nonzero(u[0][a] @ u[1][b].T >= cosine)
-                    i, j = i + a.start, j + b.start
-                    if same:
-                        i, j = i[i < j], j[i < j]
-                    if not len(i):
-                        continue
-                    counts[0] += np.bincount(i, ns[1][j], len(counts[0])).astype(np.int64)
-                    counts[1] += np.bincount(j, ns[0][i], len(counts[1])).astype(np.int64)
-                    j = j if same else j + n
-                    label = local_components(n + (0 if same else len(ids[1])), np.concatenate([child, i]), np.concatenate([root, j]))
-                    child = np.flatnonzero(label != np.arange(len(label)))
-                    root = label[child]
-                name = ids[0] if same else np.concatenate(ids)
-                total = counts[0] + counts[1] if same else np.concatenate(counts)
-                some = np.flatnonzero(total)
-                if len(some):
-                    kind = np.repeat(np.array([0, 1], np.int32), [len(some), len(child)])
-                    yield pa.record_batch([pa.array(kind), pa.array(np.concatenate([name[some], name[child]])), pa.array(np.concatenate([total[some], name[root]]))], ["kind", "a", "b"])
+                p, q, block, dim, partners, *data = (batch.column(batch.schema.get_field_index(c))[k].as_py() for c in ("p", "q", "block", "dim", "partners", "ids", "ns", "vs"))
+                if (p, q) != here:
+                    here, held = (p, q), {}
+                if partners is None:
+                    held[block] = data
+                for a in partners or ():
+                    yield from links(dim, a == block, [held[a], data])
 
     return run
 
@@ -172,8 +184,12 @@ def near_vectors(rows: DataFrame, cosine: float = 0.95, key: str = "vec_id", vec
     start = spark.createDataFrame(starts, "p long, start long")
     packs = packs.withColumn("p", where).join(F.broadcast(start), "p").withColumn("block", F.col("block") - F.shiftleft("p", 32) + F.col("start")).drop("p", "start")
     pairs = cut(_interval_pairs(packs, total, eps))
-    side = lambda s: packs.select(F.col("block").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("ids", "ns", "vs")])
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").repartition(max(p, pairs.count() // 16), F.xxhash64("a", "b"))
+    # tiles of block pairs: what several pairs share moves once
+    tiles = pairs.select(F.floor(F.col("a") / TILE).alias("p"), F.floor(F.col("b") / TILE).alias("q"), "a", "b")
+    content = packs.select("block", "dim", "ids", "ns", "vs")
+    left = tiles.select("p", "q", F.col("a").alias("block")).distinct().join(content, "block").withColumn("partners", F.lit(None).cast("array<long>"))
+    right = tiles.groupBy("p", "q", F.col("b").alias("block")).agg(F.sort_array(F.collect_list("a")).alias("partners")).join(content, "block")
+    joined = left.unionByName(right).repartition(max(p, pairs.count() // TILE), "p", "q").sortWithinPartitions("p", "q", F.col("partners").isNotNull(), "block")
     dtype = "<f4" if kind == "float" else "<f8"
     out = cut(joined.mapInArrow(_join(cosine, eps, bases, dtype), "kind int, a long, b long"))
     links = out.where("kind = 0").groupBy(F.col("a").alias("id")).agg(F.sum("b").alias("links"))

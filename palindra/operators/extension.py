@@ -37,12 +37,11 @@ def extend_seeds(code: np.ndarray, inside: tuple[np.ndarray, np.ndarray], shift:
     base past the contig, onto a special one; its inward flank stops short of the contig's first base.
     """
     room = p.max_arm - length
-    unit = p.distances()[3] // (2 if p.match % 2 else 1)
     out_size = np.where((room > 0) & (a > 0), np.minimum(np.minimum(room, a), n - (b + length) + 1), 0)
     in_size = np.where((room > 0) & (n - (a + length) > 0) & (b - 1 > 0), np.minimum(np.minimum(room, n - (a + length)), b - 1), 0)
     flank = lambda at, step, size, special, complement: _flanks(code, at + shift, step, size, inside, special, complement)
-    li, lj = extend_batch(flank(a - 1, -1, out_size, 4, False), flank(b + length, 1, out_size, 5, True), out_size, p.xdrop, p.match, unit)
-    ri, rj = extend_batch(flank(a + length, 1, in_size, 4, False), flank(b - 1, -1, in_size, 5, True), in_size, p.xdrop, p.match, unit)
+    li, lj = extend_batch(flank(a - 1, -1, out_size, 4, False), flank(b + length, 1, out_size, 5, True), out_size, *p.scoring())
+    ri, rj = extend_batch(flank(a + length, 1, in_size, 4, False), flank(b - 1, -1, in_size, 5, True), in_size, *p.scoring())
     return li, lj, ri, rj
 
 

@@ -2,70 +2,23 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import numpy as np
 
 
-def scalar(u: str, v: str, x: int = 5, match: int = 2, unit: int = 4) -> tuple[int, int, int]:
-    """(i, j, score) of the best extension of ``u`` against ``v``, one pair in plain loops.
+def batch(u: np.ndarray, v: np.ndarray, size: np.ndarray, x: int = 5, half: int = 1, unit: int = 4, edges: tuple[int, int, int] = (1, 1, 1)) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of the best extension for each row of the code matrices ``u`` and ``v`` (0 .. 3, others
+    special), both flanks of a row ``size`` long. All rows go through a generation together.
 
-    Generation d holds, per diagonal k = i - j, the furthest row i reached with d differences.
-    The score of (i, j) is match/2 * (i + j) less ``unit`` per difference.
+    Generation d holds, per diagonal k = i - j, the furthest row i reached at a total distance of d, where
+    a replaced base, a base of ``v`` alone and a base of ``u`` alone are as far as ``edges`` says. The score of (i, j) is
+    ``half`` * (i + j) less ``unit`` per distance. As many generations are held as the longest edge
+    looks back: they bound the diagonals of the next one, and a row ends after that many without a cell.
     """
-    n, m = len(u), len(v)
-    if not n or not m:
-        return 0, 0, 0
-    half, least, back = match // 2, -max(n, m), (x + match // 2) // unit + 1
-
-    def run(i: int, j: int) -> int:
-        s = i
-        while i < n and j < m and u[i] == v[j] and u[i] in "ACGT":
-            i, j = i + 1, j + 1
-        return i - s
-
-    score = lambda i, j, d: half * (i + j) - unit * d
-    reach = run(0, 0)
-    front, best, tops, low, high, d = {0: reach}, (reach, reach, score(reach, reach, 0)), [score(reach, reach, 0)], 0, 0, 0
-    if reach >= n or reach >= m:
-        return best
-    while low <= high:
-        d, now, alive = d + 1, {}, False
-        for k in range(low - 1, high + 2):
-            options = [front[k - 1] + 1] if low < k and k - 1 in front else []
-            options += [front[k] + 1] if low <= k <= high and k in front else []
-            options += [front[k + 1]] if k < high and k + 1 in front else []
-            i = max(options, default=least)
-            if i < 0:
-                now[k] = least
-                continue
-            j = i - k
-            if d > back and score(i, j, d) < tops[d - back] - x:
-                now[k] = least
-                continue
-            alive = True
-            if k <= -d or k >= d or (front.get(k, least) < i and i <= min(n, m + k)):
-                i += run(i, j)
-                now[k] = i
-                if score(i, i - k, d) > best[2]:
-                    best = i, i - k, score(i, i - k, d)
-            else:
-                now[k] = front.get(k, least)
-        if not alive:
-            break
-        tops.append(best[2])
-        if now.get(n - m) == n:
-            break
-        span = range(low - 1, high + 2)
-        low, high = next((k for k in span if now[k] > least), low), next((k for k in reversed(span) if now[k] > least), high)
-        low = next((k for k in range(0, low - 1, -1) if now.get(k, least) == m + k), low)
-        high = next((k for k in range(0, high + 1) if now.get(k, least) == n), high)
-        front = {k: now.get(k, least) for k in range(-d, d + 1)}
-    return best
-
-
-def batch(u: np.ndarray, v: np.ndarray, size: np.ndarray, x: int = 5, match: int = 2, unit: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """(i, j) of ``scalar`` for each row of the code matrices ``u`` and ``v`` (0 .. 3, others special),
-    both flanks of a row ``size`` long. All rows go through a generation together."""
-    n_rows, half, back = len(u), match // 2, (x + match // 2) // unit + 1
+    n_rows, back = len(u), (x + half) // unit + 1
+    replaced, inserted, deleted = edges
+    longest, first = max(edges), min(edges)
     best_i, best_j, best = np.zeros(n_rows, np.int64), np.zeros(n_rows, np.int64), np.zeros(n_rows, np.int64)
     width = u.shape[1]
     if not n_rows or not width:
@@ -90,10 +43,13 @@ def batch(u: np.ndarray, v: np.ndarray, size: np.ndarray, x: int = 5, match: int
     reach = run(rows, np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64))
     best_i[rows], best_j[rows], best[rows] = reach, reach, 2 * half * reach
     rows = rows[reach < size[rows]]
-    least = -size
+    least = -size - 2  # still below 0 a step further
     edge = 4  # diagonal k is column k + edge
     front = np.repeat(least[rows][:, None], 2 * edge + 1, axis=1)
     front[:, edge] = best_i[rows]
+    #: The last generations, the newest first.
+    ring: deque[np.ndarray] = deque([front], maxlen=longest)
+    empty = np.zeros(len(rows), np.int64)
     tops = [best[rows].copy()]
     low, high = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
     d = 0
@@ -102,23 +58,25 @@ def batch(u: np.ndarray, v: np.ndarray, size: np.ndarray, x: int = 5, match: int
         if d + 2 > edge:
             grow = edge
             pad = np.repeat(least[rows][:, None], grow, axis=1)
-            front, edge = np.concatenate([pad, front, pad], axis=1), edge + grow
+            ring, edge = deque((np.concatenate([pad, f, pad], axis=1) for f in ring), maxlen=longest), edge + grow
         n, mine = size[rows], least[rows]
         k0, k1 = int(low.min()) - 1, int(high.max()) + 1
         k = np.arange(k0, k1 + 1)
         here = slice(k0 + edge, k1 + edge + 1)
         inside = (k >= low[:, None] - 1) & (k <= high[:, None] + 1)
         none = np.iinfo(np.int64).min // 4
-        delete = np.where((k > low[:, None]) & (abs(k - 1) <= d - 1), front[:, k0 + edge - 1 : k1 + edge] + 1, none)
-        replace = np.where((k >= low[:, None]) & (k <= high[:, None]) & (abs(k) <= d - 1), front[:, here] + 1, none)
-        insert = np.where((k < high[:, None]) & (abs(k + 1) <= d - 1), front[:, k0 + edge + 1 : k1 + edge + 2], none)
+        nothing = np.full((len(rows), len(k)), none)
+        past = lambda by, shift: ring[by - 1][:, k0 + edge + shift : k1 + edge + 1 + shift]
+        delete = np.where((k > low[:, None]) & (abs(k - 1) <= d - deleted), past(deleted, -1) + 1, none) if d >= deleted else nothing
+        replace = np.where((k >= low[:, None]) & (k <= high[:, None]) & (abs(k) <= d - replaced), past(replaced, 0) + 1, none) if d >= replaced else nothing
+        insert = np.where((k < high[:, None]) & (abs(k + 1) <= d - inserted), past(inserted, 1), none) if d >= inserted else nothing
         i = np.maximum(np.maximum(delete, replace), insert)
         i = np.where(i == none, mine[:, None], i)
         j = i - k
         alive = inside & (i >= 0)
         if d > back:
             alive &= half * (i + j) - unit * d >= tops[d - back][:, None] - x
-        old = front[:, here]
+        old = ring[0][:, here]
         fresh = alive & ((k <= -d) | (k >= d) | ((old < i) & (i <= np.minimum(n[:, None], n[:, None] + k))))
         now = np.where(alive, old, mine[:, None])
         r, c = np.nonzero(fresh)
@@ -134,21 +92,27 @@ def batch(u: np.ndarray, v: np.ndarray, size: np.ndarray, x: int = 5, match: int
             best[rows[better]] = top[better]
             best_i[rows[better]] = now[better, col]
             best_j[rows[better]] = now[better, col] - k[col]
-        after = np.repeat(mine[:, None], front.shape[1], axis=1)
+        after = np.repeat(mine[:, None], ring[0].shape[1], axis=1)
         after[:, here] = np.where(inside, now, mine[:, None])
         tops.append(best[rows].copy())
-        done = ~alive.any(axis=1) | ((0 >= low - 1) & (0 <= high + 1) & (after[:, edge] == n))
-        # new bounds: cells reached; then, from the main diagonal outwards, ends of either flank
-        reached = inside & (now > mine[:, None])
-        some = reached.any(axis=1)
-        low = np.where(some, k[reached.argmax(axis=1)], low)
-        high = np.where(some, k[len(k) - 1 - reached[:, ::-1].argmax(axis=1)], high)
+        # a generation that no edge reaches yet is no empty one
+        empty = np.where(alive.any(axis=1) | (d < first) | ((d == first) & (inserted > first)), 0, empty + 1)
+        done = (empty >= longest) | ((0 >= low - 1) & (0 <= high + 1) & (after[:, edge] == n))
+        # new bounds: cells reached that an edge may still start from; then, from the main diagonal outwards, ends of either flank
         whole = np.arange(-edge, edge + 1)
+        ring.appendleft(after)
+        reached = ring[0] > mine[:, None]
+        for f in list(ring)[1:]:
+            reached |= f > mine[:, None]
+        some = reached.any(axis=1)
+        low = np.where(some, whole[reached.argmax(axis=1)], low)
+        high = np.where(some, whole[len(whole) - 1 - reached[:, ::-1].argmax(axis=1)], high)
         at_end = (after == n[:, None] + whole) & (whole <= 0) & (whole >= low[:, None])
         low = np.where(at_end.any(axis=1), whole[len(whole) - 1 - at_end[:, ::-1].argmax(axis=1)], low)
         at_end = (after == n[:, None]) & (whole >= 0) & (whole <= high[:, None])
         high = np.where(at_end.any(axis=1), whole[at_end.argmax(axis=1)], high)
         keep = np.flatnonzero(~done & (low <= high))
-        rows, front, low, high = rows[keep], after[keep], low[keep], high[keep]
+        rows, empty, low, high = rows[keep], empty[keep], low[keep], high[keep]
+        ring = deque((f[keep] for f in ring), maxlen=longest)
         tops = [t[keep] if g >= d - back else t for g, t in enumerate(tops)]
     return best_i, best_j

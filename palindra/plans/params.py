@@ -40,16 +40,22 @@ class Params:
     def __post_init__(self) -> None:
         if self.seed < 2 or self.seed > self.max_arm:
             raise ValueError("seed must be within 2 .. max_arm")
-        distances = self.distances()
-        if any(d != distances[3] for d in distances[:3]):
-            raise ValueError("scores must make a mismatch, an insertion and a deletion equally distant")
-
-    def distances(self) -> tuple[int, int, int, int]:
-        """(mismatch, insertion, deletion, unit) as score lost; all must equal the unit."""
-        scale = 2 if self.match % 2 else 1
-        mat, mis, ins, dele = (scale * x for x in (self.match, self.mismatch, self.insertion, self.deletion))
-        d = mat - mis, mat // 2 - ins, mat // 2 - dele
-        return *d, gcd(gcd(*d[:2]), d[2])
+        if min(self._lost()) <= 0:
+            raise ValueError("a match must score more than a mismatch, and half of it more than an insertion or a deletion")
+
+    def _lost(self) -> tuple[int, int, int]:
+        """Score that a mismatch, an insertion and a deletion lose against matches; doubled where a match is odd."""
+        scale = 1 + self.match % 2
+        half = scale * self.match // 2
+        return 2 * half - scale * self.mismatch, half - scale * self.insertion, half - scale * self.deletion
+
+    def scoring(self) -> tuple[int, int, int, tuple[int, int, int]]:
+        """(drop, half a match, unit, distances): what a mismatch, an insertion and a deletion lose is their distance times
+        the unit, which is the largest that makes whole distances."""
+        lost, scale = self._lost(), 1 + self.match % 2
+        unit = gcd(*lost)
+        mismatch, insertion, deletion = (x // unit for x in lost)
+        return scale * self.xdrop, scale * self.match // 2, unit, (mismatch, insertion, deletion)
 
     @property
     def band(self) -> tuple[int, int]:

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import plain_xdrop
 from palindra.cli import STAGES, main, parse
 from palindra.functions import sequence
 from palindra.functions.running import before
@@ -72,10 +73,11 @@ def test_long_seeds_compare_beyond_packed_words(spark):
     assert got == [(0, 0, 40)]
 
 
-def test_xdrop_batch_equals_scalar():
-    rng = np.random.default_rng(2)
+def flanks(seed, count):
+    """Pairs with replaced, inserted and deleted bases, and special ones."""
+    rng = np.random.default_rng(seed)
     us, vs = [], []
-    for _ in range(400):
+    for _ in range(count):
         n = int(rng.integers(1, 70))
         u = rng.integers(0, 4, n)
         v = u.copy()
@@ -84,14 +86,69 @@ def test_xdrop_batch_equals_scalar():
             v = np.insert(v, at, rng.integers(0, 4))[:n] if kind < 0.3 else np.append(np.delete(v, at), rng.integers(0, 4)) if kind < 0.6 else np.where(np.arange(n) == at, rng.integers(0, 4), v)
         us.append("".join("ACGTN"[c] if rng.random() > 0.02 else "N" for c in u))
         vs.append("".join("ACGT"[c] for c in v))
+    return us, vs
+
+
+def coded(us, vs):
     width = max(map(len, us))
     code = lambda strings, special: np.array([["ACGT".find(c) if c in "ACGT" else special for c in s] + [special] * (width - len(s)) for s in strings], np.uint8)
-    i, j = xdrop.batch(code(us, 4), code(vs, 5), np.array([len(s) for s in us]))
-    assert [(a, b) for a, b in zip(i, j, strict=True)] == [xdrop.scalar(u, v)[:2] for u, v in zip(us, vs, strict=True)]
+    return code(us, 4), code(vs, 5), np.array([len(s) for s in us])
+
+
+def test_xdrop_batch_equals_plain_loops():
+    us, vs = flanks(2, 400)
+    i, j = xdrop.batch(*coded(us, vs))
+    assert [(a, b) for a, b in zip(i, j, strict=True)] == [plain_xdrop.extend(u, v)[:2] for u, v in zip(us, vs, strict=True)]
+
+
+#: Scores of a match, a mismatch, an insertion and a deletion, and the drop.
+SCORES = [(2, -6, -3, -5, 5), (2, -1, -2, -4, 8), (3, -2, -2, -2, 6), (1, -1, -1, -2, 4), (4, -3, -7, -2, 12), (2, -2, -3, -3, 40)]
+
+
+@pytest.mark.parametrize("match,mismatch,insertion,deletion,drop", SCORES)
+def test_xdrop_batch_equals_plain_loops_under_any_scores(match, mismatch, insertion, deletion, drop):
+    us, vs = flanks(match - 10 * mismatch, 350)
+    p = Params(match=match, mismatch=mismatch, insertion=insertion, deletion=deletion, xdrop=drop)
+    i, j = xdrop.batch(*coded(us, vs), *p.scoring())
+    assert list(zip(i.tolist(), j.tolist(), strict=True)) == [plain_xdrop.extend(u, v, *p.scoring())[:2] for u, v in zip(us, vs, strict=True)]
+
+
+def score_of(u, v, p):
+    """The score of aligning all of ``u`` with all of ``v``, by the full table; special bases equal nothing."""
+    row = [j * p.insertion for j in range(len(v) + 1)]
+    for a in u:
+        new = [row[0] + p.deletion]
+        for j, b in enumerate(v):
+            new.append(max(row[j] + (p.match if a == b and a in "ACGT" else p.mismatch), row[j + 1] + p.deletion, new[j] + p.insertion))
+        row = new
+    return row[-1]
+
+
+@pytest.mark.parametrize("match,mismatch,insertion,deletion,drop", SCORES)
+def test_xdrop_ends_score_what_the_full_table_says(match, mismatch, insertion, deletion, drop):
+    """The best end has the score of an alignment up to there, and with a wide drop none scores higher."""
+    p = Params(match=match, mismatch=mismatch, insertion=insertion, deletion=deletion, xdrop=400)
+    us, vs = flanks(7, 25)
+    drop, half, unit, edges = p.scoring()
+    scale = 1 + match % 2
+    i, j = xdrop.batch(*coded(us, vs), drop, half, unit, edges)
+    for u, v, a, b in zip(us, vs, i.tolist(), j.tolist(), strict=True):
+        best = plain_xdrop.extend(u, v, drop, half, unit, edges)[2]
+        assert best == scale * score_of(u[:a], v[:b], p)
+        assert best >= scale * max(score_of(u[:x], v[:x], p) for x in range(len(u) + 1))
+
+
+def test_scores_that_gain_by_differing_are_refused():
+    for bad in ({"mismatch": 2}, {"insertion": 1}, {"deletion": 3}):
+        with pytest.raises(ValueError):
+            Params(**bad)
+    assert Params().scoring() == (5, 1, 4, (1, 1, 1))
+    assert Params(mismatch=-6).scoring() == (5, 1, 4, (2, 1, 1))
+    assert Params(match=1).scoring() == (10, 1, 1, (6, 7, 7))
 
 
 def test_xdrop_bridges_one_special_base():
-    assert xdrop.scalar("ACGTACGTAC" + "N" + "ACGTTGCAAC", "ACGTACGTAC" + "N" + "ACGTTGCAAC") == (21, 21, 38)
+    assert plain_xdrop.extend("ACGTACGTAC" + "N" + "ACGTTGCAAC", "ACGTACGTAC" + "N" + "ACGTTGCAAC") == (21, 21, 38)
 
 
 def plain_element(s, p):
@@ -104,11 +161,11 @@ def plain_element(s, p):
         if room > 0 and a > 0:
             size = min(room, a, n - (b + length) + 1)
             u, v = "".join(base(a - 1 - k) for k in range(size)), "".join(PAIR.get(base(b + length + k), "x") for k in range(size))
-            li, lj, _ = xdrop.scalar(u, v)
+            li, lj, _ = plain_xdrop.extend(u, v, *p.scoring())
         if room > 0 and n - (a + length) > 0 and b - 1 > 0:
             size = min(room, n - (a + length), b - 1)
             u, v = "".join(base(a + length + k) for k in range(size)), "".join(PAIR.get(base(b - 1 - k), "x") for k in range(size))
-            ri, rj, _ = xdrop.scalar(u, v)
+            ri, rj, _ = plain_xdrop.extend(u, v, *p.scoring())
         if not p.min_arm <= length - 2 + ri + lj <= p.max_arm:
             continue
         lts, lte, rts, rte = a - li, a + length - 1 + ri, b - rj, b + length - 1 + lj

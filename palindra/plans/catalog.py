@@ -1,9 +1,8 @@
 """Queries over the driver's tables by name and, where SQL can express them, their DuckDB text.
 
 The tables hold no DNA, so views derive it from ``documents``: ``dna`` maps the letters of whole
-texts to bases, ``planted_whole`` puts one element with an inexact second arm into each of them.
-``planted`` is only the element with its flanks, from the first 219 letters; the SQL of the queries
-over it is fixed, so each has a second one, ``*_whole_texts``, that reads all of every text.
+texts to bases, ``planted`` puts one element with an inexact second arm into each of them and keeps
+every base. Queries on ``planted`` have a second one on the bare texts, ``*_whole_texts``.
 """
 
 from __future__ import annotations
@@ -26,8 +25,8 @@ FLAGSHIP = "find_elements"
 DNA_SQL = """dna AS (SELECT doc_id, regexp_replace(translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC'), '[^ACGT]', '', 'g') AS s FROM documents)"""
 PLANTED_SQL = (
     DNA_SQL
-    + """, planted AS (SELECT doc_id, substr(s,1,60)||substr(s,61,5)||substr(s,66,40)||substr(s,106,50)
-  ||reverse(translate(substr(s,66,18)||substr(s,200,1)||substr(s,85,21),'ACGT','TGCA'))||substr(s,61,5)||substr(s,160,60) AS s FROM dna WHERE length(s) >= 220)"""
+    + """, planted AS (SELECT doc_id, CASE WHEN length(s) >= 220 THEN substr(s,1,155)
+  ||reverse(translate(substr(s,66,18)||substr(s,200,1)||substr(s,85,21),'ACGT','TGCA'))||substr(s,61,5)||substr(s,156) ELSE s END AS s FROM dna)"""
 )
 #: Letters of the raw text as a sequence with special bases in it.
 MIXED_SQL = "mixed AS (SELECT doc_id, translate(text, ' etaoin', 'NACGTAC') AS s FROM documents)"
@@ -44,25 +43,22 @@ def query(name: str, sql: str | None = None):
 
 
 def dna(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Whole texts as bases, worked out once by as many tasks as there are cores: a small table may be one row group."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    if docs.rdd.getNumPartitions() < (cores := spark.sparkContext.defaultParallelism):
+        docs = docs.repartition(cores, "doc_id")
     letters = F.translate(F.lower("text"), "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC")
-    return docs.select("doc_id", F.regexp_replace(letters, "[^ACGT]", "").alias("s"))
+    # made a row of its own, or the expression would be put in place of every use
+    return docs.select("doc_id", F.explode(F.array(F.regexp_replace(letters, "[^ACGT]", ""))).alias("s"))
 
 
 def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = lambda at, n: F.substring("s", at, n)
-    second = sequence.reverse_complement(F.concat(part(66, 18), part(200, 1), part(85, 21)))
-    whole = F.concat(part(1, 60), part(61, 5), part(66, 40), part(106, 50), second, part(61, 5), part(160, 60))
-    return dna(spark, sf_dir).where(F.length("s") >= 220).select("doc_id", whole.alias("s"))
-
-
-def planted_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``dna`` with every base kept and the element of ``planted`` put in; short texts stay as they are."""
+    """``dna`` with every base kept and an element put into texts of 220 bases or more."""
     part = lambda at, n: F.substring("s", at, n)
     second = sequence.reverse_complement(F.concat(part(66, 18), part(200, 1), part(85, 21)))
     rest = F.substr("s", F.lit(156))
     whole = F.concat(part(1, 155), second, part(61, 5), rest)
-    return dna(spark, sf_dir).select("doc_id", F.when(F.length("s") >= 220, whole).otherwise(F.col("s")).alias("s"))
+    return dna(spark, sf_dir).select("doc_id", F.explode(F.array(F.when(F.length("s") >= 220, whole).otherwise(F.col("s")))).alias("s"))
 
 
 def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,53 +184,15 @@ def seed_flanks(spark, sf_dir, view=planted):
     return found.select("contig_no", "a", "b", "len", left.alias("outward_left"), right.alias("outward_right"))
 
 
-@query("lce", f"WITH {DNA_SQL}, t AS (SELECT doc_id, substr(s, 1, 40) AS u, substr(s, 41, 40) AS v FROM dna) SELECT doc_id, len(list_filter(range(1, least(length(u), length(v)) + 1), lambda n: substr(u, 1, n) = substr(v, 1, n)))::INT AS n FROM t")
-def lce(spark, sf_dir):
-    """Longest common extension of two stretches of each sequence."""
-    return dna(spark, sf_dir).select("doc_id", sequence.common_prefix(F.substring("s", 1, 40), F.substring("s", 41, 40)).cast("int").alias("n"))
-
-
-#: The planted arms by their coordinates, not by search.
-_ARMS_SQL = f"""WITH {PLANTED_SQL}, arms AS (SELECT doc_id, s, substr(s, 53, 27) AS lw, substr(s, 183, 27) AS rw FROM planted),
-c AS (SELECT doc_id, p, q, lw, len(list_filter([2,3,4,5,6,7,8,9,10,11], lambda n: p + n <= length(lw) AND q + n <= length(rw) AND substr(lw, p + 1, n) = substr(rw, q + 1, n))) + 1 AS m
-  FROM (SELECT *, unnest(range(0, length(rw) - 1)) AS q FROM (SELECT *, unnest(range(0, length(lw) - 1)) AS p FROM arms))
-  WHERE substr(lw, p + 1, 2) = substr(rw, q + 1, 2) AND (p = 0 OR q = 0 OR substr(lw, p, 1) <> substr(rw, q, 1)))"""
-
-
-def _planted_arms(spark, sf_dir):
-    return planted(spark, sf_dir).select("doc_id", F.substring("s", 53, 27).alias("lw"), F.substring("s", 183, 27).alias("rw"))
-
-
-@query("tsd_candidates", _ARMS_SQL + " SELECT doc_id, p::INT AS p, q::INT AS q, m::INT AS m FROM c")
-def tsd_candidates(spark, sf_dir):
-    found = tsd.candidates(_planted_arms(spark, sf_dir), P.min_tsd, P.max_tsd, "lw", "rw")
-    return found.select("doc_id", *[F.col(c).cast("int").alias(c) for c in "pqm"])
-
-
-@query("best_tsd", _ARMS_SQL + """, e AS (SELECT *, abs(65 - (52 + p + m - 1)) + abs(195 - (182 + q)) AS cost, row_number() OVER (PARTITION BY doc_id ORDER BY abs(65 - (52 + p + m - 1)) + abs(195 - (182 + q)), q, substr(lw, p + 1) || '~') AS k FROM c WHERE m < 11)
-SELECT doc_id, cost::BIGINT AS cost, (52 + p)::BIGINT AS p, (182 + q)::BIGINT AS q, m::BIGINT AS m FROM e WHERE k = 1""")
-def best_tsd(spark, sf_dir):
-    fixed = {"left_start": 52, "right_start": 182, "lts": 65, "rte": 195}
-    found = tsd.candidates(_planted_arms(spark, sf_dir), P.min_tsd, P.max_tsd, "lw", "rw").withColumns({k: F.lit(v).cast("long") for k, v in fixed.items()})
-    return tsd.best_of_candidates(found, ["doc_id"], P, "lw")
-
-
-_SIM_SQL = f"WITH {PLANTED_SQL}, t AS (SELECT doc_id, substr(s, 66, 39) AS u, reverse(translate(substr(s, 157, 39), 'ACGT', 'TGCA')) AS v FROM planted), x AS (SELECT doc_id, levenshtein(u, v)::INT AS edit_distance, 100.0::DOUBLE * (1.0::DOUBLE - levenshtein(u, v)::DOUBLE / greatest(length(u), length(v))) AS sim FROM t)"
-
-
-def _arm_similarity(spark, sf_dir):
-    rows = planted(spark, sf_dir).select("doc_id", F.substring("s", 66, 39).alias("u"), sequence.reverse_complement(F.substring("s", 157, 39)).alias("v"))
-    return rows.select("doc_id", F.levenshtein("u", "v").alias("edit_distance"), sequence.similarity(F.col("u"), F.col("v")).alias("sim"))
-
-
-@query("arm_similarity", _SIM_SQL + " SELECT * FROM x")
-def arm_similarity(spark, sf_dir):
-    return _arm_similarity(spark, sf_dir)
-
-
-@query("similarity_gate", _SIM_SQL + " SELECT * FROM x WHERE sim >= 98")
-def similarity_gate(spark, sf_dir):
-    return _arm_similarity(spark, sf_dir).where("sim >= 98")
+@query("lce", f"WITH {PLANTED_SQL}{_SEEDS_SQL} SELECT contig_no, a, b, len, len::INT AS n FROM seeds")
+def lce(spark, sf_dir, view=planted):
+    """Longest common extension of both copies of each seed from its start: a seed's whole length, as it is maximal."""
+    rows = contigs(view(spark, sf_dir))
+    found = repeats.seeds(rows, P).join(rows.select("contig_no", "seq"), "contig_no")
+    size, end = F.col("len") + 8, F.col("b") + F.col("len")
+    one = F.substr("seq", (F.col("a") + 1).cast("int"), size.cast("int"))
+    two = sequence.reverse_complement(F.substr("seq", (F.greatest(end - size, F.lit(0)) + 1).cast("int"), F.least(size, end).cast("int")))
+    return found.select("contig_no", "a", "b", "len", sequence.common_prefix(one, two).cast("int").alias("n"))
 
 
 #: Intervals from the fact tables: a customer's orders as stretches of days, the price as similarity.
@@ -260,14 +218,6 @@ def best_per_cluster(spark, sf_dir):
     return overlap.best_per_cluster(overlap.clusters(_intervals(spark, sf_dir), bucket=256)).select("contig_no", "cluster", "a", "sim")
 
 
-@query("element_coords", f"""WITH {PLANTED_SQL} SELECT doc_id AS contig_no, 61::BIGINT AS full_start, 201::BIGINT AS full_stop, 61::BIGINT AS tsd1_start, 65::BIGINT AS tsd1_stop, 66::BIGINT AS body_start, 196::BIGINT AS body_stop,
-66::BIGINT AS tir1_start, 105::BIGINT AS tir1_stop, 157::BIGINT AS tir2_start, 196::BIGINT AS tir2_stop, 197::BIGINT AS tsd2_start, 201::BIGINT AS tsd2_stop FROM planted""")
-def element_coords(spark, sf_dir):
-    long = {"lts": 65, "lte": 104, "rts": 156, "rte": 195, "tsd": 5}
-    rows = contigs(planted(spark, sf_dir)).withColumns({k: F.lit(v).cast("long") for k, v in long.items()}).withColumn("sim", F.lit(100.0))
-    return pipeline.element_columns(rows).drop("file", "sim")
-
-
 @query("output_format", "WITH t AS (SELECT l_orderkey, l_linenumber, (l_orderkey % 33)::BIGINT AS e FROM lineitem), x AS (SELECT *, 100.0::DOUBLE * (1.0::DOUBLE - e::DOUBLE / 32) AS sim FROM t) SELECT l_orderkey, l_linenumber, printf('%.2f', sim) AS sim FROM x")
 def output_format(spark, sf_dir):
     """Two decimals as written: halves of the exact value go to the even digit."""
@@ -291,12 +241,12 @@ def gff_records(spark, sf_dir):
     return gff.gff_records(_gff_lines(spark, sf_dir)).select("full_start", "tsd2_stop", "sim", "n_features", "bad")
 
 
-@query("multiset_diff", """WITH a AS (SELECT l_returnflag AS flag, l_linestatus AS status, l_linenumber AS n FROM lineitem WHERE l_orderkey % 3 = 0), b AS (SELECT l_returnflag, l_linestatus, l_linenumber FROM lineitem WHERE l_orderkey % 3 = 1)
+@query("multiset_diff", """WITH a AS (SELECT l_returnflag AS flag, l_linestatus AS status, l_linenumber AS n FROM lineitem WHERE l_orderkey % 2 = 0), b AS (SELECT l_returnflag, l_linestatus, l_linenumber FROM lineitem WHERE l_orderkey % 2 = 1)
 SELECT flag, status, n, side, count(*)::BIGINT AS times FROM ((SELECT *, 'left' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)) UNION ALL (SELECT *, 'right' AS side FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a))) GROUP BY ALL""")
 def multiset_diff(spark, sf_dir):
-    """Two results compared as multisets; the two sides are disjoint thirds of one table."""
+    """Two results compared as multisets; the two sides are the halves of one table."""
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    side = lambda k: items.where(F.col("l_orderkey") % 3 == k).select(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), F.col("l_linenumber").alias("n"))
+    side = lambda k: items.where(F.col("l_orderkey") % 2 == k).select(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), F.col("l_linenumber").alias("n"))
     return gff.multiset_diff(side(0), side(1)).groupBy("flag", "status", "n", "side").agg(F.count("*").alias("times"))
 
 
@@ -310,30 +260,30 @@ def fasta_scan(spark, sf_dir):
 
 @query("xdrop_extend")
 def xdrop_extend(spark, sf_dir):
-    rows = contigs(planted_whole(spark, sf_dir))
+    rows = contigs(planted(spark, sf_dir))
     return extension.extend(repeats.seeds(rows, P), rows, P).select("contig_no", "a", "b", "len", "li", "lj", "ri", "rj")
 
 
 @query("length_gate")
 def length_gate(spark, sf_dir):
-    return pipeline.stages(contigs(planted_whole(spark, sf_dir)))["passed"].select("contig_no", "a", "b", "len", "arm_length")
+    return pipeline.stages(contigs(planted(spark, sf_dir)))["passed"].select("contig_no", "a", "b", "len", "arm_length")
 
 
 @query("tsd_search")
 def tsd_search(spark, sf_dir):
-    return pipeline.stages(contigs(planted_whole(spark, sf_dir)))["duplicated"].select("contig_no", "a", "b", "len", "lts", "lte", "rts", "rte", "tsd", "skip")
+    return pipeline.stages(contigs(planted(spark, sf_dir)))["duplicated"].select("contig_no", "a", "b", "len", "lts", "lte", "rts", "rte", "tsd", "skip")
 
 
 @query("arm_pairs")
 def arm_pairs(spark, sf_dir):
     """The strings that the similarity gate compares."""
-    found = similarity.arm_similarity(pipeline.stages(contigs(planted_whole(spark, sf_dir)))["duplicated"], P)
+    found = similarity.arm_similarity(pipeline.stages(contigs(planted(spark, sf_dir)))["duplicated"], P)
     return found.where("left_arm IS NOT NULL").select("contig_no", "a", "b", "len", "left_arm", "right_arm", "edit_distance", "sim")
 
 
 @query("find_elements")
 def find_elements(spark, sf_dir):
-    return pipeline.find_elements(contigs(planted_whole(spark, sf_dir))).drop("file")
+    return pipeline.find_elements(contigs(planted(spark, sf_dir))).drop("file")
 
 
 @query("find_elements_whole_texts")
@@ -343,10 +293,10 @@ def find_elements_whole_texts(spark, sf_dir):
 
 @query("elements_formatted")
 def elements_formatted(spark, sf_dir):
-    return pipeline.formatted(pipeline.find_elements(contigs(planted_whole(spark, sf_dir)))).drop("file")
+    return pipeline.formatted(pipeline.find_elements(contigs(planted(spark, sf_dir)))).drop("file")
 
 
-#: Queries whose SQL runs on ``planted``; the same SQL over the whole texts is that of their second ones.
+#: Queries on ``planted`` with a second one on the bare texts.
 _SEED_QUERIES = ("mirror_coords", "contig_bounds", "kmer_scan", "kmer_rc_join", "maximal_inverted_repeats", "maximal_direct_repeats", "seeds_by_join", "seed_length_hist", "seed_flanks")
 
 
@@ -379,24 +329,23 @@ def multiset_diff_whole_tables(spark, sf_dir):
     return gff.multiset_diff(left, right).groupBy("k", "side").agg(F.count("*").alias("times"))
 
 
-def _flanks(spark, sf_dir):
-    """Each pair of arms found in the whole texts, with the two flanks where a duplication is sought."""
+def flanks(rows: DataFrame) -> DataFrame:
+    """Each pair of arms that passed the length gate, with the two flanks where a duplication is sought."""
     start = F.greatest(F.lit(0), F.col("lts") - P.vicinity)
     width = F.least(F.col("lte"), F.col("lts") + P.vicinity) - start + 1
     left = F.substr("left_text", F.lit(1), width.cast("int"))
-    rows = pipeline.stages(contigs(planted_whole(spark, sf_dir)))["passed"]
     return rows.withColumns({"left_start": start, "right_start": F.greatest(F.col("rts"), F.col("rte") - P.vicinity), "lw": left, "rw": F.col("right_text")})
 
 
 @query("tsd_candidates_whole_texts")
 def tsd_candidates_whole_texts(spark, sf_dir):
-    found = tsd.candidates(_flanks(spark, sf_dir), P.min_tsd, P.max_tsd, "lw", "rw")
+    found = tsd.candidates(flanks(pipeline.stages(contigs(planted(spark, sf_dir)))["passed"]), P.min_tsd, P.max_tsd, "lw", "rw")
     return found.select("contig_no", "a", "b", "len", *[F.col(c).cast("int").alias(c) for c in "pqm"])
 
 
 @query("best_tsd_whole_texts")
 def best_tsd_whole_texts(spark, sf_dir):
-    found = tsd.candidates(_flanks(spark, sf_dir), P.min_tsd, P.max_tsd, "lw", "rw")
+    found = tsd.candidates(flanks(pipeline.stages(contigs(planted(spark, sf_dir)))["passed"]), P.min_tsd, P.max_tsd, "lw", "rw")
     return tsd.best_of_candidates(found, ["contig_no", "a", "b", "len"], P, "lw")
 
 
@@ -407,14 +356,14 @@ def arm_similarity_whole_texts(spark, sf_dir):
 
 @query("similarity_gate_whole_texts")
 def similarity_gate_whole_texts(spark, sf_dir):
-    found = similarity.arm_similarity(pipeline.stages(contigs(planted_whole(spark, sf_dir)))["duplicated"], P)
+    found = similarity.arm_similarity(pipeline.stages(contigs(planted(spark, sf_dir)))["duplicated"], P)
     return found.where("NOT skip").select("contig_no", "a", "b", "len", "edit_distance", "sim")
 
 
 @query("element_coords_whole_texts")
 def element_coords_whole_texts(spark, sf_dir):
     """Coordinates of the elements that the search finds, not of where they were put."""
-    return pipeline.element_columns(pipeline.stages(contigs(planted_whole(spark, sf_dir)))["best"]).drop("file", "sim")
+    return pipeline.element_columns(pipeline.stages(contigs(planted(spark, sf_dir)))["best"]).drop("file", "sim")
 
 
 from palindra.plans import walled as _walled  # noqa: E402, F401  its queries are told in SQL stage by stage

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palindra.functions import sequence
-from palindra.operators import overlap
+from palindra.operators import overlap, tsd
 from palindra.plans import catalog, pipeline
 from palindra.plans.params import Params
 
@@ -28,21 +28,34 @@ ELEMENTS = {
 }
 
 
+#: Elements whose arms differ by a base that only one of them has, always other than the one after it: (which
+#: arm has it, before which base, condition). The only alignment of all bases of both arms is also the best.
+GAPPED = {
+    "p": ("30 + doc_id % 20", [("two", "20", "doc_id % 2 = 0")], "doc_id % 5 <> 0"),
+    "x": ("26 + doc_id % 30", [("one", "21", "doc_id % 4 < 2"), ("two", "41", "doc_id % 30 >= 24 AND doc_id % 4 = 1")], "doc_id % 3 <> 0"),
+    "y": ("26 + doc_id % 7", [("one", "20", "doc_id % 3 = 0"), ("two", "20", "doc_id % 3 = 1")], "doc_id % 7 <> 0"),
+}
+#: Scores under which a mismatch, an insertion and a deletion are 4, 2 and 3 units away.
+UNEVEN = Params(mismatch=-6, insertion=-3, deletion=-5)
+
+
 def _made(tag: str, n: str) -> str:
     """SQL for ``n`` bases that depend on the document's id, in either dialect."""
     return f"substr(translate(concat(md5(concat('{tag}1', CAST(doc_id AS VARCHAR(30)))), md5(concat('{tag}2', CAST(doc_id AS VARCHAR(30))))), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, {n})"
 
 
-def _parts() -> dict[str, str]:
+def _parts(elements: dict) -> dict[str, str]:
     """SQL for the arms, spacers and duplications of the elements, in either dialect."""
     out = {}
-    for tag, (length, replaced, duplicated) in ELEMENTS.items():
-        arm = out[f"{tag}_one"] = _made(f"{tag}a", f"CAST({length} AS INT)")
-        second = arm
-        for at, when in replaced:
-            changed = f"concat(substr({second}, 1, {at}), translate(substr({second}, {at} + 1, 1), 'ACGT', 'CGTA'), substr({second}, {at} + 2))"
-            second = f"CASE WHEN {when} THEN {changed} ELSE {second} END"
-        out[f"{tag}_two"] = f"reverse(translate({second}, 'ACGT', 'TGCA'))"
+    for tag, (length, changes, duplicated) in elements.items():
+        arm = _made(f"{tag}a", f"CAST({length} AS INT)")
+        arms = {"one": arm, "two": arm}
+        for change in changes:
+            which, at, when = change if len(change) == 3 else ("two", *change)
+            copy, other = arms[which], f"translate(substr({arm}, {at} + 1, 1), 'ACGT', 'CGTA')"
+            rest = f"{at} + 1" if len(change) == 3 else f"{at} + 2"
+            arms[which] = f"CASE WHEN {when} THEN concat(substr({copy}, 1, {at}), {other}, substr({copy}, {rest})) ELSE {copy} END"
+        out[f"{tag}_one"], out[f"{tag}_two"] = arms["one"], f"reverse(translate({arms['two']}, 'ACGT', 'TGCA'))"
         out[f"{tag}_space"], out[f"{tag}_left"] = _made(f"{tag}s", "15"), _made(f"{tag}d", "5")
         out[f"{tag}_right"] = f"CASE WHEN {duplicated} THEN {_made(f'{tag}d', '5')} ELSE {_made(f'{tag}e', '5')} END"
     return out
@@ -52,18 +65,18 @@ def _parts() -> dict[str, str]:
 _ORDER = ["p_left", "p_one", "x_left", "x_one", "x_space", "x_two", "x_right", "y_left", "y_one", "y_space", "y_two", "y_right", "p_two", "p_right"]
 
 
-def walled(spark: SparkSession, sf_dir: str) -> DataFrame:
+def walled(spark: SparkSession, sf_dir: str, elements: dict | None = None) -> DataFrame:
     """(doc_id, s, offset): the sequences, and the first base after the laced first half of the text."""
     lace = lambda s: F.regexp_replace(s, "(.{19})", "$1N")
     half = F.floor(F.length("s") / 2).cast("int")
-    rows = catalog.dna(spark, sf_dir).withColumn("s", F.coalesce("s", F.lit(""))).select("doc_id", lace(F.substr("s", F.lit(1), half)).alias("h"), lace(F.substr("s", half + 1)).alias("t"), *[F.expr(v).alias(k) for k, v in _parts().items()])
+    rows = catalog.dna(spark, sf_dir).withColumn("s", F.coalesce("s", F.lit(""))).select("doc_id", lace(F.substr("s", F.lit(1), half)).alias("h"), lace(F.substr("s", half + 1)).alias("t"), *[F.expr(v).alias(k) for k, v in _parts(elements or ELEMENTS).items()])
     middle = F.concat_ws(WALL, F.col("h"), *_ORDER, F.col("t"))
     return rows.select("doc_id", middle.alias("s"), F.length("h").cast("long").alias("offset"))
 
 
-def _contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _contigs(spark: SparkSession, sf_dir: str, elements: dict | None = None) -> DataFrame:
     file = F.concat(F.lit("f"), (F.col("contig_no") % 16).cast("string"))
-    return catalog.contigs(walled(spark, sf_dir)).withColumn("file", file)
+    return catalog.contigs(walled(spark, sf_dir, elements)).withColumn("file", file)
 
 
 def _arms_at() -> str:
@@ -77,11 +90,11 @@ def _arms_at() -> str:
     return " UNION ALL ".join(rows)
 
 
-def _sql(p: Params) -> str:
+def _sql(p: Params, elements: dict | None = None) -> str:
     """All stages; k-mers are taken around the elements only, as any other holds a special base."""
     lace = lambda s: f"regexp_replace({s}, '(.{{19}})', '\\1N', 'g')"
     least, most, vic = p.min_tsd, p.max_tsd, p.vicinity
-    parts = ", ".join(f"{v} AS {k}" for k, v in _parts().items())
+    parts = ", ".join(f"{v} AS {k}" for k, v in _parts(elements or ELEMENTS).items())
     return f"""WITH {catalog.DNA_SQL},
 halves AS (SELECT doc_id, {lace("substr(s, 1, length(s) // 2)")} AS h, {lace("substr(s, length(s) // 2 + 1)")} AS t, {parts} FROM (SELECT doc_id, coalesce(s, '') AS s FROM dna)),
 made AS (SELECT *, length(h) AS off, concat_ws('{WALL}', h, {", ".join(_ORDER)}, t) AS s FROM halves),
@@ -118,8 +131,8 @@ _SEED = "doc_id AS contig_no, a::BIGINT AS a, b::BIGINT AS b, len::BIGINT AS len
 _KEYS = ["contig_no", "a", "b", "len"]
 
 
-def _stage(spark: SparkSession, sf_dir: str, name: str, p: Params | None = None) -> DataFrame:
-    return pipeline.stages(_contigs(spark, sf_dir), p)[name]
+def _stage(spark: SparkSession, sf_dir: str, name: str, p: Params | None = None, elements: dict | None = None) -> DataFrame:
+    return pipeline.stages(_contigs(spark, sf_dir, elements), p)[name]
 
 
 def _register() -> None:
@@ -130,6 +143,18 @@ def _register() -> None:
     def xdrop_extend_walled(spark, sf_dir):
         return _stage(spark, sf_dir, "arms").select(*_KEYS, "li", "lj", "ri", "rj")
 
+    gaps = _sql(catalog.P, GAPPED)
+    for name, p, sql in (("xdrop_extend_gaps_walled", None, gaps), ("xdrop_extend_scores_walled", UNEVEN, _sql(UNEVEN, GAPPED))):
+
+        @query(name, sql + f"SELECT {_SEED}, li::BIGINT AS li, lj::BIGINT AS lj, ri::BIGINT AS ri, rj::BIGINT AS rj FROM arms")
+        def xdrop_extend_gaps_walled(spark, sf_dir, p=p):
+            """Arms with inserted and deleted bases, under the usual and under uneven scores."""
+            return _stage(spark, sf_dir, "arms", p, GAPPED).select(*_KEYS, "li", "lj", "ri", "rj")
+
+    @query("find_elements_gaps_walled", gaps + "SELECT * FROM elements")
+    def find_elements_gaps_walled(spark, sf_dir):
+        return pipeline.find_elements(_contigs(spark, sf_dir, GAPPED)).drop("file")
+
     @query("length_gate_walled", usual + f"SELECT {_SEED}, arm_length::BIGINT AS arm_length FROM passed")
     def length_gate_walled(spark, sf_dir):
         return _stage(spark, sf_dir, "passed").select(*_KEYS, "arm_length")
@@ -163,6 +188,30 @@ def _register() -> None:
         def find_elements_walled(spark, sf_dir, p=p):
             return pipeline.find_elements(_contigs(spark, sf_dir), p).drop("file")
 
+    @query("tsd_candidates", usual + f"SELECT {_SEED}, p::INT AS p, q::INT AS q, m::INT AS m FROM c")
+    def tsd_candidates(spark, sf_dir):
+        found = tsd.candidates(catalog.flanks(_stage(spark, sf_dir, "passed")), catalog.P.min_tsd, catalog.P.max_tsd, "lw", "rw")
+        return found.select(*_KEYS, *[F.col(c).cast("int").alias(c) for c in "pqm"])
+
+    @query("best_tsd", usual + f"SELECT {_SEED}, (abs(lts - (ls + p + m - 1)) + abs(rte - (rs + q)))::BIGINT AS cost, (ls + p)::BIGINT AS p, (rs + q)::BIGINT AS q, m::BIGINT AS m FROM e WHERE place = 1")
+    def best_tsd(spark, sf_dir):
+        found = tsd.candidates(catalog.flanks(_stage(spark, sf_dir, "passed")), catalog.P.min_tsd, catalog.P.max_tsd, "lw", "rw")
+        return tsd.best_of_candidates(found, _KEYS, catalog.P, "lw")
+
+    for name, p, sql in (("arm_similarity", None, usual), ("arm_similarity_gaps", None, gaps)):
+
+        @query(name, sql + f"SELECT {_SEED}, edit_distance, sim FROM compared WHERE left_arm IS NOT NULL")
+        def arm_similarity(spark, sf_dir, elements=GAPPED if name.endswith("gaps") else ELEMENTS):
+            return _stage(spark, sf_dir, "compared", None, elements).where("left_arm IS NOT NULL").select(*_KEYS, "edit_distance", "sim")
+
+    @query("similarity_gate", usual + f"SELECT {_SEED}, edit_distance, sim FROM compared WHERE NOT skip")
+    def similarity_gate(spark, sf_dir):
+        return _stage(spark, sf_dir, "compared").where("NOT skip").select(*_KEYS, "edit_distance", "sim")
+
+    @query("element_coords", usual + "SELECT * EXCLUDE (seqid, sim), seqid[4:]::BIGINT AS contig_no FROM elements")
+    def element_coords(spark, sf_dir):
+        return pipeline.element_columns(_stage(spark, sf_dir, "best")).drop("file", "sim")
+
     @query("elements_formatted_walled", usual + "SELECT * EXCLUDE (sim), printf('%.2f', sim) AS sim FROM elements")
     def elements_formatted_walled(spark, sf_dir):
         return pipeline.formatted(pipeline.find_elements(_contigs(spark, sf_dir))).drop("file")

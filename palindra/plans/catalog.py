@@ -15,7 +15,8 @@ from palindra.functions.running import before
 from palindra.operators import extension, overlap, repeats, similarity, tsd
 from palindra.plans import pipeline
 from palindra.plans.params import Params
-from palindra.sources import fasta, gff
+from palindra.sources import fasta, gff, splits
+from palindra.sources.shared import new_folder
 
 P = Params()
 QUERIES: dict = {}
@@ -258,6 +259,16 @@ def fasta_scan(spark, sf_dir):
     return fasta.parse_fasta(dna(spark, sf_dir).select(F.col("doc_id").cast("string").alias("file"), text.alias("value")))
 
 
+@query("split_scan", f"WITH {DNA_SQL}, t AS (SELECT doc_id, coalesce(s, '') AS s FROM dna) SELECT 'doc' || doc_id AS seqid, s AS seq FROM t UNION ALL SELECT 'copy', substr(s, 1, 70) FROM t")
+def split_scan(spark, sf_dir):
+    """All documents as FASTA files in the shared folder, read back in byte ranges that cut lines and records."""
+    s = F.coalesce("s", F.lit(""))
+    text = F.concat(F.lit(">doc"), "doc_id", F.lit(" some words\n"), F.regexp_replace(F.lower(s), "(.{60})", "$1\r\n"), F.lit("\n>copy\tx\n"), F.substring(s, 1, 70))
+    path = new_folder(spark, "fasta")
+    dna(spark, sf_dir).select(text.alias("value")).write.text(path)
+    return splits.read_split(spark, path, 1 << 18).select("seqid", "seq")
+
+
 @query("xdrop_extend")
 def xdrop_extend(spark, sf_dir):
     rows = contigs(planted(spark, sf_dir))

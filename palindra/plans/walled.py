@@ -16,6 +16,8 @@ from palindra.functions import sequence
 from palindra.operators import overlap, tsd
 from palindra.plans import catalog, pipeline
 from palindra.plans.params import Params
+from palindra.sources.shared import new_folder
+from palindra.streaming import sweep
 
 WALL = "N" * 8
 #: Longer duplications and closer arms: many rows are skipped, first rows of files among them.
@@ -35,8 +37,8 @@ GAPPED = {
     "x": ("26 + doc_id % 30", [("one", "21", "doc_id % 4 < 2"), ("two", "41", "doc_id % 30 >= 24 AND doc_id % 4 = 1")], "doc_id % 3 <> 0"),
     "y": ("26 + doc_id % 7", [("one", "20", "doc_id % 3 = 0"), ("two", "20", "doc_id % 3 = 1")], "doc_id % 7 <> 0"),
 }
-#: Scores under which a mismatch, an insertion and a deletion are 4, 2 and 3 units away.
-UNEVEN = Params(mismatch=-6, insertion=-3, deletion=-5)
+#: Scores under which a mismatch, an insertion and a deletion are 8, 4 and 5 units away: as near that the wrong gap never does as well.
+UNEVEN = Params(mismatch=-6, insertion=-3, deletion=-4)
 
 
 def _made(tag: str, n: str) -> str:
@@ -188,6 +190,22 @@ def _register() -> None:
         def find_elements_walled(spark, sf_dir, p=p):
             return pipeline.find_elements(_contigs(spark, sf_dir), p).drop("file")
 
+    @query("sweep_stream", strict + f"SELECT file, {_SEED}, lts, lte, rts, rte, tsd, sim FROM best")
+    def sweep_stream(spark, sf_dir):
+        """The best of each cluster by the streaming sweep: candidates come in four files, cut within contigs, whose rows
+        beyond the cut come late."""
+        rows = sweep.with_ends(_stage(spark, sf_dir, "narrow", STRICT).select("file", *sweep.COLUMNS, "skip"))
+        folder, slices = new_folder(spark, "candidates"), 4
+        last = F.lit((rows.agg(F.max("contig_no")).first()[0] or 0) + 1)
+        slice_ = F.when(F.col("ended"), slices - 1).otherwise(F.least(F.lit(slices - 1), F.floor((2 * F.col("contig_no") + F.col("a") % 2 + 1) * slices / (2 * last)).cast("int")))
+        rows = rows.withColumn("slice", slice_).persist()
+        for k in range(slices):  # one after another: a stream takes files by when they were written
+            rows.where(F.col("slice") == k).drop("slice").coalesce(1).write.mode("append").parquet(folder)
+        rows.unpersist()
+        out = new_folder(spark, "swept")
+        sweep.start_sweep(spark, folder, out, new_folder(spark, "log"), sweep.disorder(STRICT)).awaitTermination()
+        return spark.read.schema(f"file string, {sweep._ROW}").parquet(out).select("file", *_KEYS, "lts", "lte", "rts", "rte", "tsd", "sim")
+
     @query("tsd_candidates", usual + f"SELECT {_SEED}, p::INT AS p, q::INT AS q, m::INT AS m FROM c")
     def tsd_candidates(spark, sf_dir):
         found = tsd.candidates(catalog.flanks(_stage(spark, sf_dir, "passed")), catalog.P.min_tsd, catalog.P.max_tsd, "lw", "rw")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from palindra.functions import sequence
 from palindra.functions.running import before
-from palindra.operators import extension, overlap, repeats, similarity, tsd
+from palindra.operators import extension, overlap, repeats, similarity, suffixes, tsd
 from palindra.plans import pipeline
 from palindra.plans.params import Params
 from palindra.sources import fasta, gff, splits
@@ -171,6 +171,23 @@ def seeds_by_join(spark, sf_dir, view=planted):
     return repeats.seeds_by_join(contigs(view(spark, sf_dir)), P).select("contig_no", *[F.col(c).cast("long").alias(c) for c in ("a", "b", "len")])
 
 
+@query("suffix_order")
+def suffix_order(spark, sf_dir):
+    """The place of every suffix of every text among those of its text, and what it shares with the one before."""
+    return suffixes.suffix_order(contigs(dna(spark, sf_dir))).select("contig_no", "pos", "rank", "lcp")
+
+
+@query("seeds_by_intervals", f"WITH {PLANTED_SQL}{_SEEDS_SQL} SELECT * FROM seeds")
+def seeds_by_intervals(spark, sf_dir, view=planted):
+    """Seeds from the suffix order of each text and its reverse complement: no k-mer is matched."""
+    return suffixes.seeds_of_intervals(contigs(view(spark, sf_dir)), P).select("contig_no", "a", "b", "len")
+
+
+@query("direct_repeats_by_intervals", ORACLES["maximal_direct_repeats"].replace(PLANTED_SQL, DNA_SQL.replace("dna AS", "planted AS")))
+def direct_repeats_by_intervals(spark, sf_dir):
+    return suffixes.repeats_of_intervals(contigs(dna(spark, sf_dir)), 12, 1, P.max_distance, inverted=False).select("contig_no", "a", "b", "len")
+
+
 @query("seed_length_hist", f"WITH {PLANTED_SQL}{_SEEDS_SQL} SELECT len, count(*)::BIGINT AS n FROM seeds GROUP BY len")
 def seed_length_hist(spark, sf_dir, view=planted):
     return seeds(spark, sf_dir, view).groupBy("len").agg(F.count("*").alias("n"))

@@ -596,3 +596,36 @@ def test_simhash_of_rows_without_a_key(spark):
     rows = [(None, "alone without a key"), (9, "the same words in both rows"), (None, "the same words in both rows"), (4, "quite another text of words")]
     found = simhash.simhash_groups(documents(spark, [(i, t, None, None) for i, t in rows])).collect()
     assert sorted((str(r.doc_id), str(r.component_id)) for r in found) == [("4", "4"), ("9", "9"), ("None", "9"), ("None", "None")]
+
+
+LONG = "The road begins at the old mill and follows the river for six miles. " * 4
+KEPT = " ".join(LONG.split())
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        (f'<article><h1>T</h1><p>{LONG}</p><section id="alert-systems"><p>{LONG}</p><p>Yes.</p></section></article>', ["T", KEPT, KEPT, "Yes."]),
+        (f'<article><div class="sharing-economy"><p>{LONG}</p><p>Ok.</p></div></article>', [KEPT, "Ok."]),
+        (f'<article><p>{LONG}</p><p class="copyright-law">Short law.</p></article>', [KEPT, "Short law."]),
+        (f'<article><p>{LONG}</p><p class="notice">Mind the gap.</p><p>{LONG}</p></article>', [KEPT, "Mind the gap.", KEPT]),
+        ("<body><p>Hello.</p></body>", ["Hello."]),
+        (f"<div>Daily news of the valley since nineteen hundred and two for you</div><h1>Snow</h1><p>{LONG}</p><p>{LONG}</p>", ["Snow", KEPT, KEPT]),
+        (f"<article><p>Let <math><mi>x</mi><annotation>x</annotation></math> be {LONG}</p></article>", [f"Let x be {KEPT}"]),
+        (f'<article><p>{LONG}</p><div class="site-notice"><p>Closed today.</p></div></article><div class="sidebar-content"><p>{LONG}</p></div><div class="footerLinks">All rights</div>', [KEPT]),
+        (f"<article><p>{LONG}</p><ul><li><a>One more road</a><li><a>Mills to see</a><li><a>Rivers by length</a></ul><p>{LONG}</p></article>", [KEPT, KEPT]),
+    ],
+)
+def test_html_keeps_the_text_of_articles_whatever_their_names(page, want):
+    assert html_text.main_text(page, html_text.train()).split("\n") == want
+
+
+def test_html_link_density_and_words_decide():
+    def used(node):
+        return set() if node.feature < 0 else {html_text.FEATURES[node.feature]} | used(node.low) | used(node.high)
+
+    tree = html_text.train()
+    assert html_text.FEATURES[tree.feature] == "density"
+    assert {"words", "words before", "words after", "density after"} <= used(tree)
+    right, n = html_text.held_out()
+    assert n > 200 and right >= 0.9 * n

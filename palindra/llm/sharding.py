@@ -74,7 +74,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, cells: int = CELLS, text:
     """Each row's shard of 0 .. ``shards`` - 1 under the law ``bytes``, and its slot in it.
 
     A size is the UTF-8 bytes of the text plus 8. Rows with equal texts stay together: the
-    ordered atomic groups are ``cells`` ranges of the 64-bit text hash, so the table that comes
+    ordered atomic groups are ``cells`` residues of the bits from 40 on of the 64-bit text hash, so the table that comes
     to the driver has at most ``cells`` rows whatever the input. Its minimax contiguous partition
     is exact. A second count over cells and sub-cells, at most twice as many, makes the slots
     gapless without numbering a shard in one task; a hot text is numbered in many sub-cells.

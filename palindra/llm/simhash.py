@@ -16,6 +16,8 @@ from palindra.llm.graph import components, local_components
 SEGMENTS, WIDTH = 2, 32
 #: Buckets up to this size are compared pair by pair; larger ones by looking up each neighbour.
 PAIRWISE = 512
+#: Index rows that a task holds as arrays at a time, and those of a partition, about.
+TOGETHER, PART = 1 << 18, 1 << 21
 
 
 def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
@@ -83,15 +85,9 @@ def _near(prints: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _links(distance: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        table = pa.Table.from_batches(parts)
-        key, prints, ids = (table.column(k).to_numpy() for k in range(3))
-        prints = prints.view(np.uint64)
-        order = np.argsort(key, kind="stable")
-        key, prints, ids = key[order], prints[order], ids[order]
+    """Forests of the links in each run of equal keys of a sorted partition, about ``TOGETHER`` rows at a time and a key at least."""
+
+    def of(key: np.ndarray, prints: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.concatenate([first, [len(key)]]))
         a, b = [], []
@@ -112,7 +108,26 @@ def _links(distance: int):
         nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
         label = local_components(len(nodes), at[: len(a)], at[len(a) :])
         child = np.flatnonzero(label != np.arange(len(nodes)))
-        yield pa.record_batch([pa.array(nodes[child]), pa.array(nodes[label[child]])], ["a", "b"])
+        return pa.record_batch([pa.array(nodes[child]), pa.array(nodes[label[child]])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            rows += batch.num_rows
+            if rows < TOGETHER:
+                continue
+            key, prints, ids = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in range(3))
+            whole = int(np.searchsorted(key, key[-1]))  # the last key may go on
+            if whole:
+                yield of(key[:whole], prints[:whole].view(np.uint64), ids[:whole])
+            held = [pa.record_batch([pa.array(v[whole:]) for v in (key, prints, ids)], ["key", "print", "id"])]
+            rows = len(key) - whole
+        if held:
+            key, prints, ids = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in range(3))
+            yield of(key, prints.view(np.uint64), ids)
 
     return run
 
@@ -154,7 +169,8 @@ def simhash_groups(docs: DataFrame, distance: int = 3, shingle: int = 3, seed: i
     distinct = prints.groupBy("print").agg(F.min("doc_id").alias("id")).select("print", F.coalesce("id", unnamed("print")).alias("id"), F.col("id").isNull().alias("unnamed"))
     parts = [F.shiftrightunsigned("print", no * width).bitwiseAND(F.lit((1 << width) - 1)) for no in range(segments)]
     variants = F.flatten(F.array(*[_variants(no, segment, width) for no, segment in enumerate(parts)]))
-    index = distinct.select(F.explode(variants).alias("key"), "print", "id").repartition(n_partitions(spark), "key")
+    p = max(n_partitions(spark), -(-distinct.count() * 64 // PART))  # by the size of the index
+    index = distinct.select(F.explode(variants).alias("key"), "print", "id").repartition(p, "key").sortWithinPartitions("key")
     links = index.mapInArrow(_links(distance), "a long, b long")
     found = components(links)
     member = distinct.join(found, "id", "left").select("print", "unnamed", F.coalesce("component", "id").alias("component_id"))

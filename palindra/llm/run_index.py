@@ -1,9 +1,10 @@
 """A run-length compressed Burrows-Wheeler index of many short segments, in NumPy.
 
 Segments are rows of a byte matrix, symbols above 0, each followed by an end mark that is smaller
-than every symbol and ordered by row. The index keeps of the transform only its runs: their
+than every symbol and ordered by row. Of the transform the index keeps its runs: their
 symbol, where they start (a bit vector with block ranks), the row their first symbol maps to, and
-the suffix positions at both run ends. Matching statistics of patterns stream through it from
+the suffix positions at both run ends. Beside them it holds the text, eight symbols of each suffix and the
+suffix order, some 13 bytes a symbol, to compare samples directly and to tell groups. Matching statistics of patterns stream through it from
 right to left, all patterns in step: a row in a run of the wanted symbol follows the mapping; any
 other jumps to the nearer run end of that symbol, above or below, whichever sample shares more of
 the current match.

@@ -244,3 +244,25 @@ def test_any_change_of_a_field_is_seen(spark):
     assert all(r.verified for r in merkle.verify(proofs).collect())
     assert not any(r.verified for r in merkle.verify(proofs, "other").collect())
     assert not any(r.verified or r.folded_root for r in merkle.verify(proofs, "none").collect())
+
+
+def test_top_products_prune_blocks_by_length_before_they_are_sent(spark, monkeypatch):
+    """Many blocks of falling length: exact, and the short ones meet no query."""
+    from palindra.llm import topk
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 8)) * np.linspace(4, 0.01, 600)[:, None]
+    rows = [(k, v.astype(np.float32).tolist(), 0) for k, v in enumerate(x)]
+    monkeypatch.setattr(topk, "BLOCK", 40)
+    monkeypatch.setattr(topk, "QUERIES", 16)
+    sent = []
+    meet = topk._meet
+    monkeypatch.setattr(topk, "_meet", lambda pairs, *a: (sent.append(pairs.count()), meet(pairs, *a))[1])
+    got = topk.top_products(vectors(spark, rows), F.col("vec_id") % 15 == 0).collect()
+    ints = np.floor(x.astype(np.float32).astype(float) * 1024).astype(np.int64)
+    want = set()
+    for q in range(0, 600, 15):
+        scores = sorted((-int(s), i) for i, s in enumerate(ints @ ints[q]) if i != q)
+        want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(scores[:10])}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert sum(sent) < 0.8 * 15 * 4

@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palindra.functions import sequence
+from palindra.functions import sequence, table
 from palindra.functions.running import before
-from palindra.operators import extension, overlap, repeats, similarity, suffixes, tsd
+from palindra.operators import extension, overlap, positions, repeats, similarity, suffixes, tsd
 from palindra.plans import pipeline
 from palindra.plans.params import Params
 from palindra.sources import fasta, gff, splits
@@ -171,6 +171,29 @@ def seeds_by_join(spark, sf_dir, view=planted):
     return repeats.seeds_by_join(contigs(view(spark, sf_dir)), P).select("contig_no", *[F.col(c).cast("long").alias(c) for c in ("a", "b", "len")])
 
 
+@query("contig_of_position", f"""WITH {DNA_SQL}, c AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS no, count(*) OVER () AS many, length(s) AS n, (sum(length(s) + 1) OVER (ORDER BY doc_id) - length(s) - 1)::BIGINT AS start FROM dna),
+t AS (SELECT max(start + n) AS total FROM c), f AS (SELECT unnest(range(start, start + n + 1, 97)) AS place FROM c), p AS (SELECT place AS pos, place, 1 AS strand FROM f, t WHERE place < total UNION ALL SELECT 2 * total - place, place, -1 FROM f, t WHERE place < total)
+SELECT p.pos::BIGINT AS pos, p.strand::INT AS strand, CASE WHEN place < start + n THEN no END::BIGINT AS contig_no, CASE WHEN place < start + n THEN CASE WHEN strand = 1 THEN no ELSE 2 * many - 1 - no END END::BIGINT AS mirror_no, CASE WHEN place < start + n THEN place - start END::BIGINT AS at FROM p ASOF JOIN c ON p.place >= c.start""")
+def contig_of_position(spark, sf_dir):
+    """Every 97th place of all texts written one after another, and its mirror place on the other strand: whose it is."""
+    rows = dna(spark, sf_dir).select("doc_id", F.coalesce("s", F.lit("")).alias("s"))
+    number = before(rows.select("doc_id", F.lit("documents").alias("file"), F.lit(1).cast("long").alias("one")), "one", "no", ["file"], ["doc_id"], F.floor(F.col("doc_id") / 4096), "sum").select("doc_id", F.col("no").cast("long").alias("no"))
+    all_ = rows.join(number, "doc_id").select(F.lit("documents").alias("file"), F.col("no").alias("contig_no"), F.lit("").alias("seqid"), F.col("s").alias("seq"))
+    found = positions.starts(all_)
+    total = found.agg(F.max(F.col("start") + F.col("n"))).first()[0] or 0
+    place = found.select("file", F.explode(F.sequence("start", F.col("start") + F.col("n"), F.lit(97).cast("long"))).alias("pos")).where(F.col("pos") < total)
+    asked = place.unionByName(place.withColumn("pos", 2 * F.lit(total) - F.col("pos")))
+    return positions.contig_of(asked, all_).drop("file")
+
+
+@query("repeats_in_sql", f"WITH {PLANTED_SQL}{_SEEDS_SQL} SELECT * FROM seeds")
+def repeats_in_sql(spark, sf_dir, view=planted):
+    """Seeds by the table function, told in SQL."""
+    table.register(spark)
+    limits = f"{P.seed}, {P.max_arm}, {P.min_distance}, {P.max_distance}"
+    return spark.sql(f"SELECT contig_no, a, b, len FROM maximal_repeats(TABLE(SELECT * FROM {{rows}}) PARTITION BY (file, contig_no), {limits})", rows=contigs(view(spark, sf_dir)))
+
+
 @query("suffix_order")
 def suffix_order(spark, sf_dir):
     """The place of every suffix of every text among those of its text, and what it shares with the one before."""

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palindra.functions import sequence
-from palindra.operators import overlap, tsd
+from palindra.operators import distance, overlap, tsd
 from palindra.plans import catalog, pipeline
 from palindra.plans.params import Params
 from palindra.sources.shared import new_folder
@@ -222,6 +222,13 @@ def _register() -> None:
         def arm_similarity(spark, sf_dir, elements=GAPPED if name.endswith("gaps") else ELEMENTS):
             return _stage(spark, sf_dir, "compared", None, elements).where("left_arm IS NOT NULL").select(*_KEYS, "edit_distance", "sim")
 
+    @query("arm_distances", gaps + f"SELECT {_SEED}, levenshtein(left_arm, right_arm)::BIGINT AS bits, least(levenshtein(left_arm, right_arm), 2)::BIGINT AS furthest FROM compared WHERE left_arm IS NOT NULL")
+    def arm_distances(spark, sf_dir):
+        """The distance of all arm pairs by bit-parallel columns, and by furthest-reaching diagonals in a band of 1."""
+        rows = _stage(spark, sf_dir, "compared", None, GAPPED).where("left_arm IS NOT NULL")
+        left, right = F.col("left_arm"), F.col("right_arm")
+        return rows.select(*_KEYS, distance.bit_distance(left, right).alias("bits"), distance.furthest_distance(left, right, F.lit(1).cast("long")).alias("furthest"))
+
     @query("similarity_gate", usual + f"SELECT {_SEED}, edit_distance, sim FROM compared WHERE NOT skip")
     def similarity_gate(spark, sf_dir):
         return _stage(spark, sf_dir, "compared").where("NOT skip").select(*_KEYS, "edit_distance", "sim")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palindra.functions.sequence import two_decimals
 from palindra.operators import extension, overlap, repeats, similarity, tsd
 from palindra.plans.params import Params
+from palindra.sources.shared import checkpointed
 
 COORDINATES = ["full_start", "full_stop", "tsd1_start", "tsd1_stop", "body_start", "body_stop", "tir1_start", "tir1_stop", "tir2_start", "tir2_stop", "tsd2_start", "tsd2_stop"]
 
@@ -22,11 +25,11 @@ def element_columns(rows: DataFrame) -> DataFrame:
     return rows.select("file", "contig_no", *[v.alias(n) for v, n in zip(values, COORDINATES, strict=True)], "sim")
 
 
-def stages(contigs: DataFrame, params: Params | None = None, size: int = repeats.TILE) -> dict[str, DataFrame]:
+def stages(contigs: DataFrame, params: Params | None = None, size: int = repeats.TILE, keep: Callable[[DataFrame], DataFrame] = DataFrame.persist) -> dict[str, DataFrame]:
     """Seeds, arms, passed (by length), duplicated, compared, narrow, clustered, best and elements.
 
-    ``narrow``, the candidates without their strings, is read several times and kept in memory or
-    on disk; ``unpersist`` it when done. ``seqid`` and coordinates are joined to the best only.
+    ``narrow``, the candidates without their strings, is read several times and so held by ``keep``: persisted by
+    default, then ``unpersist`` it when done. ``seqid`` and coordinates are joined to the best only.
     """
     p = params or Params()
     stretches = repeats.tiles(contigs, p, size)
@@ -35,8 +38,8 @@ def stages(contigs: DataFrame, params: Params | None = None, size: int = repeats
     out["passed"] = extension.length_gate(out["arms"], p)
     out["duplicated"] = tsd.find_tsd(out["passed"], p)
     out["compared"] = similarity.arm_similarity(out["duplicated"], p)
-    slim = out["compared"].select("file", "contig_no", *overlap.ORDER, "lte", "rte", "tsd", "sim", "skip").persist()  # narrow, and read several times
-    out["narrow"] = slim
+    slim = out["compared"].select("file", "contig_no", *overlap.ORDER, "lte", "rte", "tsd", "sim", "skip")
+    out["narrow"] = slim = keep(slim)
     out["clustered"] = overlap.clusters(slim)
     out["best"] = overlap.best_per_cluster(out["clustered"])
     names = contigs.select("file", F.col("contig_no").cast("long").alias("contig_no"), "seqid")
@@ -48,8 +51,9 @@ def find_elements(contigs: DataFrame, params: Params | None = None, size: int =
     """(file, seqid, twelve coordinates, sim): the terminal-inverted-repeat elements of ``contigs``.
 
     ``contigs`` has file, contig_no (its order in the file), seqid and seq. Files are independent.
+    The candidates are found at once and held in the shared folder, so nothing stays in the session's cache.
     """
-    return stages(contigs, params, size)["elements"]
+    return stages(contigs, params, size, checkpointed)["elements"]
 
 
 def formatted(elements: DataFrame) -> DataFrame:

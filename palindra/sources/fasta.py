@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from palindra.functions.running import before
+
+#: Letters of an id that put it with others for numbering.
+_ALIKE = 8
 SCHEMA = "file string, contig_no long, seqid string, seq string"
 
 
@@ -52,6 +55,11 @@ def read_manifest(spark: SparkSession, manifest: str) -> list[str]:
 
 
 def contigs_of(rows: DataFrame, seq: str = "seq", seqid: str = "seqid", file: str | None = None) -> DataFrame:
-    """Any table of sequences as contigs: ordered by id within its file."""
-    rows = rows.select((F.col(file) if file else F.lit("table")).alias("file"), F.col(seqid).cast("string").alias("seqid"), F.col(seq).alias("seq"))
-    return rows.select("file", (F.row_number().over(Window.partitionBy("file").orderBy("seqid")) - 1).cast("long").alias("contig_no"), "seqid", "seq")
+    """Any table of sequences as contigs: ordered by id within its file, those of one id by their letters.
+
+    Rows are numbered by the counts of ids that begin alike and the order within these, so that no task has a
+    whole file. Null ids come first.
+    """
+    rows = rows.select((F.col(file) if file else F.lit("table")).alias("file"), F.col(seqid).cast("string").alias("seqid"), F.col(seq).alias("seq"), F.lit(1).cast("long").alias("one"))
+    numbered = before(rows, "one", "no", ["file"], ["seqid", "seq"], F.coalesce(F.substring("seqid", 1, _ALIKE), F.lit("")), "sum")
+    return numbered.select("file", F.col("no").cast("long").alias("contig_no"), "seqid", "seq")

@@ -23,3 +23,11 @@ def written(df: DataFrame) -> DataFrame:
     path = new_folder(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` computed once into the shared folder; Spark deletes it when nothing refers to it, if ``spark.cleaner`` is set so."""
+    context = df.sparkSession.sparkContext
+    if not df.sparkSession.conf.get("spark.checkpoint.dir", "") and context.getCheckpointDir() is None:
+        context.setCheckpointDir(new_folder(df.sparkSession, "checkpoints"))
+    return df.checkpoint(True)

@@ -358,9 +358,27 @@ def test_scalar_functions(spark):
     assert tuple(row) == ("AACGT", 3, "N", 3, 2, None, 80.0)
 
 
+def test_contigs_of_a_table_are_numbered_by_id(spark):
+    ids = ["b", "a", "chromosome10", "chromosome1", "", None, "a"]
+    df = spark.createDataFrame([(i, f"{'ACGT' * (k + 1)}", f"f{k % 2}") for k, i in enumerate(ids)], "name string, letters string, src string")
+    got = [tuple(r) for r in fasta.contigs_of(df, "letters", "name").orderBy("contig_no").collect()]
+    order = sorted(range(len(ids)), key=lambda k: (ids[k] is not None, ids[k] or "", "ACGT" * (k + 1)))
+    assert got == [("table", n, ids[k], "ACGT" * (k + 1)) for n, k in enumerate(order)]
+    by = sorted((r.file, r.contig_no) for r in fasta.contigs_of(df, "letters", "name", "src").collect())
+    assert by == [(f, n) for f in ("f0", "f1") for n in range(4 if f == "f0" else 3)]
+
+
+def test_the_search_leaves_no_table_in_the_cache(spark):
+    spark.catalog.clearCache()
+    contigs = spark.createDataFrame([("f", 0, "s", "ACGT" * 40)], SCHEMA)
+    pipeline.find_elements(contigs).collect()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0
+
+
 def test_options():
     with pytest.raises(ValueError):
-        Params(match=3)
+        Params(match=-4)
+    assert parse(["-mis", "-6", "-mat", "3", "x.fa"])[0].scoring() == (10, 3, 1, (18, 9, 9))
     params, batch, threads, paths, stage, suffix = parse(["-seed", "15", "x.fa", "--batch", "out", "--threads", "3", "-similar", "70"])
     assert (params.seed, params.similar, batch, threads, paths, stage, suffix) == (15, 70.0, "out", 3, ["x.fa"], None, ".elements.tsv")
     for wrong in (["-seed"], ["-seed", "x"], ["--stage", "none"]):

@@ -378,7 +378,7 @@ def test_the_search_leaves_no_table_in_the_cache(spark):
 def test_options():
     with pytest.raises(ValueError):
         Params(match=-4)
-    assert parse(["-mis", "-6", "-mat", "3", "x.fa"])[0].scoring() == (10, 3, 1, (18, 9, 9))
+    assert parse(["-mis", "-6", "-mat", "3", "x.fa"])[0].scoring() == (10, 3, 9, (2, 1, 1))
     params, batch, threads, paths, stage, suffix = parse(["-seed", "15", "x.fa", "--batch", "out", "--threads", "3", "-similar", "70"])
     assert (params.seed, params.similar, batch, threads, paths, stage, suffix) == (15, 70.0, "out", 3, ["x.fa"], None, ".elements.tsv")
     for wrong in (["-seed"], ["-seed", "x"], ["--stage", "none"]):

@@ -9,7 +9,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 from pyspark.sql.types import Row
 
-from palindra.operators.repeats import codes, tile_seeds
+from palindra.functions.packed import codes
+from palindra.operators.repeats import tile_seeds
 from palindra.plans.params import Params
 
 

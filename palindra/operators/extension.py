@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palindra.functions.packed import size as packed_size
 from palindra.operators.repeats import CONTIG, TILE, joined, tiles
 from palindra.operators.xdrop import batch as extend_batch
 from palindra.plans.params import Params
@@ -84,7 +85,7 @@ def extend(seeds: DataFrame, contigs: DataFrame, params: Params, size: int = TIL
                 *tile, found = (c[k].as_py() for c in columns)
                 tiles_.append(tile)
                 seeds_.append(np.array([(s["a"], s["b"], s["len"]) for s in found], np.int64).reshape(-1, 3))
-                bases, many = bases + len(tile[5]), many + len(found)
+                bases, many = bases + packed_size(tile[5]), many + len(found)
                 if bases >= _BASES or many >= _BATCH:
                     yield from work(tiles_, seeds_)
                     tiles_, seeds_, bases, many = [], [], 0, 0

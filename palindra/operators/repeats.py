@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from palindra.functions.packed import codes, pack, unpack
 from palindra.functions.sequence import normalised, reverse_complement
 from palindra.plans.params import Params
 
@@ -75,7 +76,7 @@ def seeds_by_join(contigs: DataFrame, params: Params) -> DataFrame:
 
 
 def tiles(contigs: DataFrame, params: Params, size: int = TILE) -> DataFrame:
-    """(file, contig_no, tile, n, start, own, seq): overlapping stretches of the contigs.
+    """(file, contig_no, tile, n, start, own, seq): overlapping stretches of the contigs, packed in two bits a base.
 
     A tile owns ``size`` bases from ``own`` on and carries, from ``start``, all that a candidate
     whose left copy starts among them can touch, so each is worked on alone. Dealt by its key.
@@ -83,7 +84,7 @@ def tiles(contigs: DataFrame, params: Params, size: int = TILE) -> DataFrame:
     around = params.max_arm + params.vicinity + 4
     before, after = max(0, -params.band[0]) + around, params.band[1] + params.seed + params.max_arm + around
 
-    types = [pa.string(), *[pa.int64()] * 5, pa.string()]
+    types = [pa.string(), *[pa.int64()] * 5, pa.binary()]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, bases = [], 0
@@ -91,10 +92,12 @@ def tiles(contigs: DataFrame, params: Params, size: int = TILE) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 file, number, seq = (c[k].as_py() for c in batch.columns)
+                seq = codes(seq)
                 for tile, own in enumerate(range(0, len(seq), size)):
                     start = max(0, own - before)
-                    held.append([file, number, tile, len(seq), start, own, seq[start : own + size + after]])
-                    bases += len(held[-1][-1])
+                    part = seq[start : own + size + after]
+                    held.append([file, number, tile, len(seq), start, own, pack(part)])
+                    bases += len(part)
                     if bases >= _TOGETHER:
                         yield out()
                         held, bases = [], 0
@@ -102,20 +105,12 @@ def tiles(contigs: DataFrame, params: Params, size: int = TILE) -> DataFrame:
             yield out()
 
     rows = contigs.select("file", F.col("contig_no").cast("long").alias("contig_no"), normalised(F.col("seq")).alias("seq")).where(F.length("seq") > 0)
-    return rows.mapInArrow(cut, "file string, contig_no long, tile long, n long, start long, own long, seq string").repartition(*CONTIG, "tile")
-
-
-_CODE = np.full(256, 4, np.uint8)
-_CODE[list(b"ACGT")] = range(4)
-
-
-def codes(seq: str) -> np.ndarray:
-    return _CODE[np.frombuffer(seq.encode(), np.uint8)]
+    return rows.mapInArrow(cut, "file string, contig_no long, tile long, n long, start long, own long, seq binary").repartition(*CONTIG, "tile")
 
 
 def together(seqs: pa.Array) -> Iterator[tuple[int, int]]:
     """Runs of rows of about ``_TOGETHER`` bases, a row at least."""
-    end = np.cumsum(pc.binary_length(seqs).to_numpy(zero_copy_only=False)) if len(seqs) else np.zeros(0, np.int64)
+    end = np.cumsum(4 * pc.binary_length(seqs).to_numpy(zero_copy_only=False).astype(np.int64)) if len(seqs) else np.zeros(0, np.int64)
     start = 0
     while start < len(end):
         stop = max(start + 1, int(np.searchsorted(end, (end[start - 1] if start else 0) + _TOGETHER, side="right")))
@@ -123,9 +118,10 @@ def together(seqs: pa.Array) -> Iterator[tuple[int, int]]:
         start = stop
 
 
-def joined(seqs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The codes of sequences one after another, where each starts, and the end."""
-    return codes("".join(seqs)), np.concatenate([[0], np.cumsum([len(s) for s in seqs])]).astype(np.int64)
+def joined(seqs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of packed sequences one after another, where each starts, and the end."""
+    parts = [unpack(s) for s in seqs]
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
 
 
 def tile_seeds(code: np.ndarray, edge: np.ndarray, own: np.ndarray, size: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

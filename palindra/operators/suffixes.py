@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from palindra.functions.running import before
 from palindra.functions.sequence import normalised, reverse_complement
-from palindra.operators.repeats import CONTIG, codes
+from palindra.functions.packed import codes
+from palindra.operators.repeats import CONTIG
 from palindra.plans.params import Params
 from palindra.sources.shared import written
 

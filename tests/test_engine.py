@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import plain_xdrop
 from palindra.cli import STAGES, main, parse
-from palindra.functions import sequence
+from palindra.functions import packed, sequence
 from palindra.functions.running import before
 from palindra.operators import extension, overlap, repeats, tsd, xdrop
 from palindra.plans import pipeline
@@ -329,7 +329,7 @@ def test_command_line(spark, fragments, tmp_path, capsys, monkeypatch):
 
 def test_tandem_repeats_take_no_memory():
     """Nearly every pair of k-mers matches; only what begins a run is held."""
-    code = repeats.codes("AT" * 4096)
+    code = packed.codes("AT" * 4096)
     tracemalloc.start()
     a, _, _ = repeats.tile_seeds(code, np.array([0, len(code)]), np.array([0]), np.array([len(code)]), Params())
     peak = tracemalloc.get_traced_memory()[1]
@@ -389,3 +389,21 @@ def test_options():
 def test_empty_input(spark):
     assert pipeline.find_elements(spark.createDataFrame([], SCHEMA)).count() == 0
     assert extension.length_gate(extension.extend(repeats.seeds(spark.createDataFrame([], SCHEMA), Params()), spark.createDataFrame([], SCHEMA), Params()), Params()).count() == 0
+
+
+def test_packed_sequences_come_back_and_are_small():
+    rng = random.Random(12)
+    for n in (0, 1, 3, 4, 5, 8, 9, 1001):
+        for letters in ("ACGT", "ACGTN", "N"):
+            s = "".join(rng.choice(letters) for _ in range(n))
+            code = packed.codes(s)
+            held = packed.pack(code)
+            assert packed.size(held) == n and packed.unpack(held).tolist() == code.tolist() == [("ACGT".find(c)) % 5 for c in s]
+            assert len(held) <= 7 + n / 4 + (n / 8 if "N" in letters else 0)
+
+
+def test_tiles_hold_two_bits_a_base(spark):
+    rng = random.Random(13)
+    contigs = spark.createDataFrame([("f", 0, "s", "".join(rng.choice("ACGT") for _ in range(9000)))], SCHEMA)
+    for r in repeats.tiles(contigs, Params(), 4096).collect():
+        assert len(r.seq) < 0.26 * packed.size(r.seq) + 8

@@ -124,7 +124,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), s
     alike = ["doc_id", "source", "size"]
     rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.spark_partition_id().alias("part"))
     rows = cut(rows.groupBy(*alike, "part").agg(F.count("*").alias("n")))
-    table = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.countDistinct("doc_id", "size").alias("n")).toPandas()
+    table = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.countDistinct(F.struct("doc_id", "size")).alias("n")).toPandas()
     table = table.sort_values("source", key=lambda c: c.map(lambda x: (1, b"") if pd.isna(x) else (0, x.encode("utf-8", "surrogatepass"))))
     sizes = [int(x) for x in table["source_size"]]
     targets = target_shares(sizes, [weights[k % len(weights)] for k in range(len(sizes))], share, most)

@@ -76,7 +76,7 @@ def suffix_order(contigs: DataFrame, keep=written) -> DataFrame:
     more as far as the suffixes that follow tied in the rounds before. ``keep`` holds what is read several
     times, by default as tables in the shared folder, so that plans stay short.
     """
-    first = keep(_ranked(heads(contigs), CONTIG, ["code", "special"], F.shiftright("code", _CODE_SHIFT), "rank").select(*_KEYS, "code", "special", "rank", "tied"))
+    first = keep(_ranked(keep(heads(contigs)), CONTIG, ["code", "special"], F.shiftright("code", _CODE_SHIFT), "rank").select(*_KEYS, "code", "special", "rank", "tied"))
     # the latest ranks of all suffixes that ever tied, and those of each round that tied in it
     latest = first.where("tied > 1").select(*_KEYS, "rank")
     rounds, width = [keep(latest)], HEAD
@@ -90,20 +90,21 @@ def suffix_order(contigs: DataFrame, keep=written) -> DataFrame:
         latest = keep(again.select(*_KEYS, "rank").unionByName(latest.join(again.select(*_KEYS), _KEYS, "left_anti")))
         rounds.append(keep(again.where("tied > 1").select(*_KEYS, "rank")))
         width *= 2
-    order = keep(first.join(latest.withColumnRenamed("rank", "newer"), _KEYS, "left").select(*_KEYS, "code", "special", F.coalesce("newer", "rank").alias("rank")))
-    lower = order.select(*CONTIG, (F.col("rank") + 1).alias("rank"), F.col("pos").alias("other"))
-    pairs = order.select(*CONTIG, "rank", "pos").join(lower, [*CONTIG, "rank"]).withColumn("lcp", F.lit(0).cast("long"))
-    # letters that both share, from the widest round down
+    order = keep(first.join(latest.withColumnRenamed("rank", "newer"), _KEYS, "left").select(*_KEYS, "code", F.coalesce("newer", "rank").alias("rank")))
+    lower = order.select(*CONTIG, (F.col("rank") + 1).alias("rank"), F.col("pos").alias("other"), F.col("code").alias("_other"))
+    both = keep(order.join(lower, [*CONTIG, "rank"], "left").select(*_KEYS, "rank", "other", _shared("code", "_other").cast("long").alias("lcp")))
+    # those that share all of the first letters share more, from the widest round down
+    pairs = both.where(F.col("lcp") == HEAD).withColumn("lcp", F.lit(0).cast("long"))
     for k in range(len(rounds) - 2, -1, -1):
         here = lambda c, name, k=k: rounds[k].select(*CONTIG, (F.col("pos")).alias(f"_{c}"), F.col("rank").alias(name))
         moved = pairs.withColumns({"_one": F.col("pos") + F.col("lcp"), "_two": F.col("other") + F.col("lcp")})
         moved = moved.join(here("one", "_x"), [*CONTIG, "_one"], "left").join(here("two", "_y"), [*CONTIG, "_two"], "left")
         pairs = moved.withColumn("lcp", F.col("lcp") + F.when(F.col("_x") == F.col("_y"), HEAD << k).otherwise(0)).drop("_one", "_two", "_x", "_y")
-    # the rest within the first letters of what follows; a special base there ends it
+    # and the rest is within the first letters of what follows; a special base there ends it
     rest = lambda c: order.select(*CONTIG, F.col("pos").alias(f"_{c}"), F.col("code").alias(f"_c{c}"))
     pairs = pairs.withColumns({"_1": F.col("pos") + F.col("lcp"), "_2": F.col("other") + F.col("lcp")}).join(rest("1"), [*CONTIG, "_1"], "left").join(rest("2"), [*CONTIG, "_2"], "left")
-    lcp = pairs.select(*_KEYS, (F.col("lcp") + _shared("_c1", "_c2")).cast("long").alias("lcp"))
-    return order.join(lcp, _KEYS, "left").select(*_KEYS, "rank", F.coalesce("lcp", F.lit(0).cast("long")).alias("lcp"))
+    deep = pairs.select(*_KEYS, "rank", (F.col("lcp") + _shared("_c1", "_c2")).cast("long").alias("lcp"))
+    return both.where(F.col("lcp") < HEAD).select(*_KEYS, "rank", "lcp").unionByName(deep)
 
 
 def _shared(a: str, b: str) -> Column:

@@ -29,10 +29,10 @@ _END = 1 << 40
 
 
 def heads(contigs: DataFrame) -> DataFrame:
-    """(file, contig_no, pos, code, special) of every suffix: its first ``HEAD`` letters as digits, A to T from 0.
+    """(file, contig_no, pos, code, special, left) of every suffix: its first ``HEAD`` letters as digits, A to T from 0.
 
     A special base, or the contig's end, is a 4 that equals no other: ``special`` has its place if it is among
-    the letters (else -1), and nothing after it counts.
+    the letters (else -1), and nothing after it counts. ``left`` is the letter before, 4 for a special one or none.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,10 +48,11 @@ def heads(contigs: DataFrame) -> DataFrame:
                     for k in range(HEAD):
                         key = key * 5 + np.where(pos + k <= next_, code[k : k + m], 0)
                     special = np.where(next_ < pos + HEAD, next_ + s, _NONE)
-                    yield pa.record_batch([pa.array([file] * m, pa.string()), pa.array([number] * m, pa.int64()), pa.array(pos + s), pa.array(key), pa.array(special)], [*_KEYS, "code", "special"])
+                    left = np.concatenate([codes(seq[s - 1]) if s else [4], code[: m - 1]]).astype(np.int64)
+                    yield pa.record_batch([pa.array([file] * m, pa.string()), pa.array([number] * m, pa.int64()), pa.array(pos + s), pa.array(key), pa.array(special), pa.array(left)], [*_KEYS, "code", "special", "left"])
 
     rows = contigs.select("file", F.col("contig_no").cast("long").alias("contig_no"), normalised(F.col("seq")).alias("seq")).where(F.length("seq") > 0)
-    return rows.mapInArrow(run, "file string, contig_no long, pos long, code long, special long")
+    return rows.mapInArrow(run, "file string, contig_no long, pos long, code long, special long, left long")
 
 
 def _ranked(rows: DataFrame, within: list[str], key: list[str], bucket: Column, name: str) -> DataFrame:
@@ -66,7 +67,12 @@ def _ranked(rows: DataFrame, within: list[str], key: list[str], bucket: Column,
 
 def suffix_order(contigs: DataFrame, keep=written) -> DataFrame:
     """(file, contig_no, pos, rank, lcp): the place of each suffix among those of its contig, from 0, and how long
-    a prefix it shares with the one before it (0 for the first).
+    a prefix it shares with the one before it (0 for the first), as ``_order`` works it out."""
+    return _order(contigs, keep).drop("left")
+
+
+def _order(contigs: DataFrame, keep) -> DataFrame:
+    """``suffix_order`` with ``left``, the letter before each suffix.
 
     A < C < G < T < special bases and the end, which equal nothing and are ordered by their place. Suffixes are ranked
     by their first ``HEAD`` letters; those that tie are ranked anew by the rank of the suffix as many
@@ -76,7 +82,7 @@ def suffix_order(contigs: DataFrame, keep=written) -> DataFrame:
     more as far as the suffixes that follow tied in the rounds before. ``keep`` holds what is read several
     times, by default as tables in the shared folder, so that plans stay short.
     """
-    first = keep(_ranked(keep(heads(contigs)), CONTIG, ["code", "special"], F.shiftright("code", _CODE_SHIFT), "rank").select(*_KEYS, "code", "special", "rank", "tied"))
+    first = keep(_ranked(keep(heads(contigs)), CONTIG, ["code", "special"], F.shiftright("code", _CODE_SHIFT), "rank").select(*_KEYS, "code", "special", "left", "rank", "tied"))
     # the latest ranks of all suffixes that ever tied, and those of each round that tied in it
     latest = first.where("tied > 1").select(*_KEYS, "rank")
     rounds, width = [keep(latest)], HEAD
@@ -90,9 +96,9 @@ def suffix_order(contigs: DataFrame, keep=written) -> DataFrame:
         latest = keep(again.select(*_KEYS, "rank").unionByName(latest.join(again.select(*_KEYS), _KEYS, "left_anti")))
         rounds.append(keep(again.where("tied > 1").select(*_KEYS, "rank")))
         width *= 2
-    order = keep(first.join(latest.withColumnRenamed("rank", "newer"), _KEYS, "left").select(*_KEYS, "code", F.coalesce("newer", "rank").alias("rank")))
+    order = keep(first.join(latest.withColumnRenamed("rank", "newer"), _KEYS, "left").select(*_KEYS, "code", "left", F.coalesce("newer", "rank").alias("rank")))
     lower = order.select(*CONTIG, (F.col("rank") + 1).alias("rank"), F.col("pos").alias("other"), F.col("code").alias("_other"))
-    both = keep(order.join(lower, [*CONTIG, "rank"], "left").select(*_KEYS, "rank", "other", _shared("code", "_other").cast("long").alias("lcp")))
+    both = keep(order.join(lower, [*CONTIG, "rank"], "left").select(*_KEYS, "left", "rank", "other", _shared("code", "_other").cast("long").alias("lcp")))
     # those that share all of the first letters share more, from the widest round down
     pairs = both.where(F.col("lcp") == HEAD).withColumn("lcp", F.lit(0).cast("long"))
     for k in range(len(rounds) - 2, -1, -1):
@@ -103,8 +109,8 @@ def suffix_order(contigs: DataFrame, keep=written) -> DataFrame:
     # and the rest is within the first letters of what follows; a special base there ends it
     rest = lambda c: order.select(*CONTIG, F.col("pos").alias(f"_{c}"), F.col("code").alias(f"_c{c}"))
     pairs = pairs.withColumns({"_1": F.col("pos") + F.col("lcp"), "_2": F.col("other") + F.col("lcp")}).join(rest("1"), [*CONTIG, "_1"], "left").join(rest("2"), [*CONTIG, "_2"], "left")
-    deep = pairs.select(*_KEYS, "rank", (F.col("lcp") + _shared("_c1", "_c2")).cast("long").alias("lcp"))
-    return both.where(F.col("lcp") < HEAD).select(*_KEYS, "rank", "lcp").unionByName(deep)
+    deep = pairs.select(*_KEYS, "left", "rank", (F.col("lcp") + _shared("_c1", "_c2")).cast("long").alias("lcp"))
+    return both.where(F.col("lcp") < HEAD).select(*_KEYS, "left", "rank", "lcp").unionByName(deep)
 
 
 def _shared(a: str, b: str) -> Column:
@@ -203,15 +209,15 @@ def repeats_of_intervals(contigs: DataFrame, least: int, low: int, high: int, in
     text = contigs.select("file", F.col("contig_no").cast("long").alias("contig_no"), normalised(F.col("seq")).alias("seq"))
     n = F.length("seq")
     text = keep(text.select(*CONTIG, n.cast("long").alias("n"), (F.concat("seq", F.lit("N"), reverse_complement(F.col("seq"))) if inverted else F.col("seq")).alias("seq")))
-    order = keep(suffix_order(text, keep))
-    marked = order.withColumn("mark", (F.col("lcp") < least).cast("long"))
-    marked = before(marked, "mark", "earlier", CONTIG, ["rank"], F.shiftright("rank", _RANK_SHIFT), "sum").select(*_KEYS, "rank", "lcp", (F.col("earlier") + F.col("mark")).cast("long").alias("run"))
-    several = marked.where(F.col("lcp") >= least).select(*CONTIG, "run").distinct()
-    members = marked.join(several, [*CONTIG, "run"])
-    # the letter before each place; special ones are told apart by it
-    letters = heads(text).select(*CONTIG, (F.col("pos") + 1).alias("pos"), F.expr(f"code div {5 ** (HEAD - 1)}L").alias("letter"))
-    members = members.join(letters, _KEYS, "left").join(text.select(*CONTIG, "n"), CONTIG)
-    rows = members.select(*CONTIG, "run", "rank", "pos", F.when(F.coalesce("letter", F.lit(4)) < 4, F.col("letter")).otherwise(F.col("pos") + 4).cast("long").alias("letter"), "lcp", "n")
+    order = keep(_order(text, keep))
+    # only those that share enough with a neighbour: the members of runs, and the one that each run starts with
+    deep = order.where(F.col("lcp") >= least)
+    first = order.join(deep.select(*CONTIG, (F.col("rank") - 1).alias("rank")), [*CONTIG, "rank"], "left_semi").where(F.col("lcp") < least)
+    members = keep(deep.unionByName(first.select(*deep.columns))).withColumn("mark", (F.col("lcp") < least).cast("long"))
+    members = before(members, "mark", "earlier", CONTIG, ["rank"], F.shiftright("rank", _RANK_SHIFT), "sum").join(text.select(*CONTIG, "n"), CONTIG)
+    # special bases are told apart by their place
+    letter = F.when(F.col("left") < 4, F.col("left")).otherwise(F.col("pos") + 4).cast("long")
+    rows = members.select(*CONTIG, (F.col("earlier") + F.col("mark")).cast("long").alias("run"), "rank", "pos", letter.alias("letter"), "lcp", "n")
     rows = rows.repartition(*CONTIG, "run").sortWithinPartitions(*CONTIG, "run", "rank")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,5 +1,9 @@
-"""Suffix order of contigs by distributed prefix doubling, common prefixes of neighbours in it, and the maximal
-repeats that these enclose."""
+"""Suffix order of contigs by prefix doubling, common prefixes of neighbours in it, and the maximal repeats that these
+enclose.
+
+Contigs of up to ``LOCAL`` letters are ordered many at a time in arrays, by the task that reads them: nothing of them
+is shuffled. A longer one is ranked by all tasks together. Both ways give the same rows.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +25,8 @@ from palindra.sources.shared import written
 
 #: Letters of the first key: 26 digits of base 5 fit into a long. Suffixes that a task holds at a time.
 HEAD, _TOGETHER = 26, 1 << 18
+#: The longest contig that one task orders. Contigs are taken together up to as many letters; arrays take about 150 bytes a letter.
+LOCAL = 1 << 20
 _KEYS = [*CONTIG, "pos"]
 #: The place of no special base; keys and ranks are bucketed by shifts.
 _NONE = -1
@@ -65,22 +72,118 @@ def _ranked(rows: DataFrame, within: list[str], key: list[str], bucket: Column,
     return rows.join(counts.select(*within, *key, "tied", F.col(name).cast("long").alias(name)), [*within, *key])
 
 
-def suffix_order(contigs: DataFrame, keep=written) -> DataFrame:
+def suffix_order(contigs: DataFrame, keep=written, local: int = LOCAL) -> DataFrame:
     """(file, contig_no, pos, rank, lcp): the place of each suffix among those of its contig, from 0, and how long
-    a prefix it shares with the one before it (0 for the first), as ``_order`` works it out."""
-    return _order(contigs, keep).drop("left")
+    a prefix it shares with the one before it (0 for the first).
+
+    A < C < G < T < special bases and the end, which equal nothing and are ordered by their place. A null or empty
+    sequence has no suffixes. (file, contig_no) names one contig. ``keep`` holds what is read several times.
+    """
+    text = contigs.select("file", F.col("contig_no").cast("long").alias("contig_no"), normalised(F.col("seq")).alias("seq"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, code, edge in _gathered(batches, local):
+            order, lcp = order_together(code, edge)
+            of = np.searchsorted(edge, order, side="right") - 1
+            pos, rank = order - edge[of], np.arange(len(order)) - (edge[of] - of)
+            for s in range(0, len(order), _TOGETHER):
+                own = pa.array(of[s : s + _TOGETHER])
+                yield pa.record_batch([rows.column(0).take(own), rows.column(1).take(own), *(pa.array(x[s : s + _TOGETHER]) for x in (pos, rank, lcp))], [*_KEYS, "rank", "lcp"])
+
+    short = text.where(F.length("seq").between(1, local)).mapInArrow(run, "file string, contig_no long, pos long, rank long, lcp long")
+    long_ = keep(text.where(F.length("seq") > local))
+    return short if long_.isEmpty() else short.unionByName(_order(long_, keep).drop("left"))
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows of (file, contig_no, seq, ...) of about ``most`` letters, their codes with a 4 behind each, and where each begins, and the end."""
+    for batch in batches:
+        size = pc.utf8_length(batch.column(2)).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        end, start = np.cumsum(size), 0
+        while start < len(end):
+            done = int(end[start - 1]) if start else 0
+            stop = max(start + 1, int(np.searchsorted(end, done + most, side="right")))
+            rows = batch.slice(start, stop - start)
+            yield rows, codes("N".join(rows.column(2).to_pylist()) + "N"), np.concatenate([[0], end[start:stop] - done])
+            start = stop
+
+
+def order_together(code: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``code`` in the suffix order of each contig, one contig after another, and the prefix each shares with the one before.
+
+    ``edge`` has where contigs begin, and the end; the last letter of each is a 4 that is not its own. Ranks are those of
+    ``_order``: by the first ``HEAD`` letters, then, for what still ties, by the rank as many letters on.
+    """
+    total = len(code)
+    wide, place = np.concatenate([code, np.full(HEAD, 4)]).astype(np.int64), np.arange(total)
+    at = np.where(wide == 4, np.arange(total + HEAD), total + HEAD)
+    next_ = np.minimum.accumulate(at[::-1])[::-1][:total]
+    key = np.zeros(total, np.int64)
+    for k in range(HEAD):
+        key = key * 5 + np.where(place + k <= next_, wide[k : k + total], 0)
+    own = np.ones(total, bool)
+    own[edge[1:] - 1] = False
+    of = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
+    # what has a special base, or its end, among its first letters is like no other
+    alone = np.where(next_ < place + HEAD, next_, _NONE)
+    sorted_ = np.flatnonzero(own)
+    sorted_ = sorted_[np.lexsort((alone[sorted_], key[sorted_], of[sorted_]))]
+    k, o, c = key[sorted_], alone[sorted_], of[sorted_]
+    rank = np.full(total + 1, total, np.int32)  # the end is behind all
+    rank[sorted_] = _firsts(np.concatenate([[True], (k[1:] != k[:-1]) | (o[1:] != o[:-1]) | (c[1:] != c[:-1])]))
+    del key, alone, k, o, c, next_, at
+    rounds, width = [], HEAD
+    ties = sorted_[_tied(rank[sorted_])]
+    while len(ties):
+        rounds.append(rank.copy())
+        group, more = rank[ties].astype(np.int64), rank[ties + width].astype(np.int64)
+        by = np.lexsort((more, group))
+        ties, group, more = ties[by], group[by], more[by]
+        head = np.concatenate([[True], group[1:] != group[:-1]])
+        new = group + _firsts(head | np.concatenate([[True], more[1:] != more[:-1]])) - _firsts(head)
+        rank[ties] = new
+        ties, width = ties[_tied(new)], 2 * width
+    order = np.empty(len(sorted_), np.int64)
+    order[rank[sorted_]] = sorted_
+    lcp = np.zeros(len(order), np.int64)
+    at = np.flatnonzero(of[order[1:]] == of[order[:-1]]) + 1
+    one, two = order[at], order[at - 1]
+    # neighbours that tied in a round share as many letters, and go on behind these in the rounds before
+    deep = np.flatnonzero(rounds[0][one] == rounds[0][two]) if rounds else np.zeros(0, np.int64)
+    x, y = one[deep], two[deep]
+    for n in range(len(rounds) - 1, -1, -1):
+        step = np.where(rounds[n][x] == rounds[n][y], HEAD << n, 0)
+        x, y = x + step, y + step
+    shared = np.zeros(len(at), np.int64)
+    shared[deep] = x - one[deep]
+    going = np.arange(len(at))
+    while len(going):
+        x, y = one[going] + shared[going], two[going] + shared[going]
+        going = going[(wide[x] == wide[y]) & (wide[x] != 4)]
+        shared[going] += 1
+    lcp[at] = shared
+    return order, lcp
+
+
+def _firsts(new: np.ndarray) -> np.ndarray:
+    """For each place the nearest one up to it where ``new`` is set; it is at the first."""
+    return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0)) if len(new) else np.zeros(0, np.int64)
+
+
+def _tied(rank: np.ndarray) -> np.ndarray:
+    """Which of the ranks, in order, equal a neighbour's."""
+    same = np.concatenate([[False], rank[1:] == rank[:-1], [False]]) if len(rank) else np.zeros(1, bool)
+    return same[1:] | same[:-1]
 
 
 def _order(contigs: DataFrame, keep) -> DataFrame:
-    """``suffix_order`` with ``left``, the letter before each suffix.
+    """``suffix_order`` with ``left``, the letter before each suffix, by joins and counts over all tasks.
 
-    A < C < G < T < special bases and the end, which equal nothing and are ordered by their place. Suffixes are ranked
-    by their first ``HEAD`` letters; those that tie are ranked anew by the rank of the suffix as many
+    Suffixes are ranked by their first ``HEAD`` letters; those that tie are ranked anew by the rank of the suffix as many
     letters on, which doubles the letters each time. What has its place takes no part any more, so a round costs
     what still ties, and there are as many as the logarithm of the longest repeat. Common prefixes come from the
     ranks of each round: neighbours that tied in one and not in the next share that many letters, and
-    more as far as the suffixes that follow tied in the rounds before. ``keep`` holds what is read several
-    times, by default as tables in the shared folder, so that plans stay short.
+    more as far as the suffixes that follow tied in the rounds before. Tables in the shared folder keep plans short.
     """
     first = keep(_ranked(keep(heads(contigs)), CONTIG, ["code", "special"], F.shiftright("code", _CODE_SHIFT), "rank").select(*_KEYS, "code", "special", "left", "rank", "tied"))
     # the latest ranks of all suffixes that ever tied, and those of each round that tied in it
@@ -195,20 +298,68 @@ class _Intervals:
                     self.found.append((y, x, depth))
 
 
-def repeats_of_intervals(contigs: DataFrame, least: int, low: int, high: int, inverted: bool = True, keep=written) -> DataFrame:
+def repeats_of_intervals(contigs: DataFrame, least: int, low: int, high: int, inverted: bool = True, keep=written, local: int = LOCAL) -> DataFrame:
     """(file, contig_no, a, b, len): maximal exact repeats of ``least`` bases or more, ``low`` <= b - a <= ``high``.
 
     From the suffix order of each contig, inverted ones from that of the contig and its reverse complement behind a
-    special base. Neighbours that share ``least`` letters are a run. A run goes through one task in order, which holds its places
-    and no matches of k-mers: its work is that of the order and of what it finds. ``least`` is 1 or more.
+    special base. Neighbours that share ``least`` letters are a run, which is read in order; its places are held
+    and no matches of k-mers: the work is that of the order and of what it finds. Texts of up to ``local`` letters (both
+    strands) are ordered and read by the task that has them, of longer ones each run goes to a task. ``least`` is 1 or more.
     """
     if least < 1:
         raise ValueError("least is 1 or more")
     if low < 1:
         raise ValueError("low is 1 or more: a repeat begins after its first copy")
     text = contigs.select("file", F.col("contig_no").cast("long").alias("contig_no"), normalised(F.col("seq")).alias("seq"))
-    n = F.length("seq")
-    text = keep(text.select(*CONTIG, n.cast("long").alias("n"), (F.concat("seq", F.lit("N"), reverse_complement(F.col("seq"))) if inverted else F.col("seq")).alias("seq")))
+    n = F.length("seq").cast("long")
+    text = text.select(*CONTIG, (F.concat("seq", F.lit("N"), reverse_complement(F.col("seq"))) if inverted else F.col("seq")).alias("seq"), n.alias("n"))
+    out = "file string, contig_no long, a long, b long, len long"
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _Found()
+        for rows, code, edge in _gathered(batches, local):
+            order, lcp = order_together(code, edge)
+            deep = lcp >= least
+            member = np.flatnonzero(deep | np.concatenate([deep[1:], [False]]))
+            of = np.searchsorted(edge, order[member], side="right") - 1
+            pos = order[member] - edge[of]
+            before_ = code[np.maximum(order[member] - 1, 0)].astype(np.int64)
+            letter = np.where((pos > 0) & (before_ < 4), before_, pos + 4)
+            names = list(zip(*(rows.column(c).to_pylist() for c in (0, 1, 3)), strict=True))
+            work, here = _Intervals(least, low, high, inverted), None
+            for k, p, x, shared in zip(of.tolist(), pos.tolist(), letter.tolist(), lcp[member].tolist(), strict=True):
+                if shared < least:
+                    if here is not None:
+                        found.add(names[here][:2], work.end())
+                    here = k
+                work.add(p, x, shared, names[k][2])
+            if here is not None:
+                found.add(names[here][:2], work.end())
+            yield found.batch()
+
+    short = text.where(F.length("seq").between(1, local)).mapInArrow(read, out)
+    long_ = keep(text.where(F.length("seq") > local))
+    return short if long_.isEmpty() else short.unionByName(_of_long(long_, least, low, high, inverted, keep).mapInArrow(_runs(least, low, high, inverted), out))
+
+
+class _Found:
+    """Repeats that a task has found and not given yet."""
+
+    def __init__(self) -> None:
+        self.rows: list[tuple] = []
+
+    def add(self, name: tuple, pairs: list[tuple[int, int, int]]) -> None:
+        self.rows += [(*name, *x) for x in pairs]
+
+    def batch(self) -> pa.RecordBatch:
+        types = [pa.string(), *[pa.int64()] * 4]
+        columns = [pa.array([x[k] for x in self.rows], t) for k, t in enumerate(types)]
+        self.rows = []
+        return pa.record_batch(columns, [*CONTIG, "a", "b", "len"])
+
+
+def _of_long(text: DataFrame, least: int, low: int, high: int, inverted: bool, keep) -> DataFrame:
+    """Members of the runs of ``text``, those of a run together and in order."""
     order = keep(_order(text, keep))
     # only those that share enough with a neighbour: the members of runs, and the one that each run starts with
     deep = order.where(F.col("lcp") >= least)
@@ -218,33 +369,31 @@ def repeats_of_intervals(contigs: DataFrame, least: int, low: int, high: int, in
     # special bases are told apart by their place
     letter = F.when(F.col("left") < 4, F.col("left")).otherwise(F.col("pos") + 4).cast("long")
     rows = members.select(*CONTIG, (F.col("earlier") + F.col("mark")).cast("long").alias("run"), "rank", "pos", letter.alias("letter"), "lcp", "n")
-    rows = rows.repartition(*CONTIG, "run").sortWithinPartitions(*CONTIG, "run", "rank")
+    return rows.repartition(*CONTIG, "run").sortWithinPartitions(*CONTIG, "run", "rank")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, work, held = None, _Intervals(least, low, high, inverted), []
 
-        def out():
-            found = pa.record_batch([pa.array([x[0] for x in held], pa.string()), *(pa.array([x[k] for x in held], pa.int64()) for k in (1, 2, 3, 4))], [*CONTIG, "a", "b", "len"])
-            held.clear()
-            return found
+def _runs(least: int, low: int, high: int, inverted: bool):
+    """The repeats of ordered members."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, work, found = None, _Intervals(least, low, high, inverted), _Found()
         for batch in batches:
             for file, number, group, _, pos, letter, lcp, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (file, number, group) != here:
                     if here is not None:
-                        held += [(*here[:2], *x) for x in work.end()]
+                        found.add(here[:2], work.end())
                     here = file, number, group
-                    if len(held) > 1 << 16:
-                        yield out()
+                    if len(found.rows) > 1 << 16:
+                        yield found.batch()
                 work.add(pos, letter, lcp, n)
         if here is not None:
-            held += [(*here[:2], *x) for x in work.end()]
-        yield out()
+            found.add(here[:2], work.end())
+        yield found.batch()
 
-    return rows.mapInArrow(run, "file string, contig_no long, a long, b long, len long")
+    return run
 
 
-def seeds_of_intervals(contigs: DataFrame, params: Params, keep=written) -> DataFrame:
+def seeds_of_intervals(contigs: DataFrame, params: Params, keep=written, local: int = LOCAL) -> DataFrame:
     """Seeds from the common-prefix intervals of contigs and their reverse complements; ``repeats.seeds`` gives the same rows."""
-    found = repeats_of_intervals(contigs, params.seed, max(1, params.min_distance), params.max_distance, True, keep)
+    found = repeats_of_intervals(contigs, params.seed, max(1, params.min_distance), params.max_distance, True, keep, local)
     return found.where(F.col("len") <= params.max_arm)

@@ -25,10 +25,7 @@ def plain(rows):
     return sorted(out)
 
 
-BOTH = pytest.mark.parametrize("local", [0, 170, suffixes.LOCAL])
-
-
-@BOTH
+@pytest.mark.parametrize("local", [0, 170, suffixes.LOCAL])
 def test_the_order_equals_a_sort_of_suffixes(spark, local):
     """By all tasks, in arrays, and some contigs this way and some that."""
     rng = random.Random(9)
@@ -89,7 +86,7 @@ def test_many_contigs_are_ordered_together():
     assert sorted(got) == plain([("f", k, "", s) for k, s in enumerate(seqs)])
 
 
-@BOTH
+@pytest.mark.parametrize("local", [0, suffixes.LOCAL])
 def test_intervals_give_all_maximal_pairs(spark, local):
     """Also in tandem repeats, across special bases and for very short lengths."""
     seqs = texts(random.Random(3))
@@ -102,7 +99,7 @@ def test_intervals_give_all_maximal_pairs(spark, local):
 
 
 @pytest.mark.parametrize("p", [Params(seed=5, min_distance=1, max_distance=90, max_arm=30), Params(seed=9, min_distance=10, max_distance=300, max_arm=80)])
-@BOTH
+@pytest.mark.parametrize("local", [170, suffixes.LOCAL])
 def test_seeds_of_intervals_equal_those_of_tiles(spark, p, local):
     contigs = spark.createDataFrame([(f"f{k % 2}", k, "s", s) for k, s in enumerate(texts(random.Random(4)))], SCHEMA)
     want = sorted(tuple(r) for r in repeats.seeds(contigs, p).select("file", "contig_no", "a", "b", "len").collect())

@@ -123,11 +123,14 @@ def order_together(code: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.n
         key = key * 5 + np.where(place + k <= next_, wide[k : k + total], 0)
     own = np.ones(total, bool)
     own[edge[1:] - 1] = False
-    of = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
+    # 16 bits are sorted by their digits
+    of = np.repeat(np.arange(len(edge) - 1, dtype=np.uint16 if len(edge) <= 1 << 16 else np.int64), np.diff(edge))
     # what has a special base, or its end, among its first letters is like no other
     alone = np.where(next_ < place + HEAD, next_, _NONE)
     sorted_ = np.flatnonzero(own)
-    sorted_ = sorted_[np.lexsort((alone[sorted_], key[sorted_], of[sorted_]))]
+    # stable, so equal keys with a special base, which is as far off in each, are in the order of its place
+    sorted_ = sorted_[np.argsort(key[sorted_], kind="stable")]
+    sorted_ = sorted_[np.argsort(of[sorted_], kind="stable")]
     k, o, c = key[sorted_], alone[sorted_], of[sorted_]
     rank = np.full(total + 1, total, np.int32)  # the end is behind all
     rank[sorted_] = _firsts(np.concatenate([[True], (k[1:] != k[:-1]) | (o[1:] != o[:-1]) | (c[1:] != c[:-1])]))

@@ -134,7 +134,7 @@ def order_together(code: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.n
     k, o, c = key[sorted_], alone[sorted_], of[sorted_]
     rank = np.full(total + 1, total, np.int32)  # the end is behind all
     rank[sorted_] = _firsts(np.concatenate([[True], (k[1:] != k[:-1]) | (o[1:] != o[:-1]) | (c[1:] != c[:-1])]))
-    del key, alone, k, o, c, next_, at
+    del alone, k, o, c, at
     rounds, width = [], HEAD
     ties = sorted_[_tied(rank[sorted_])]
     while len(ties):
@@ -159,11 +159,15 @@ def order_together(code: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.n
         x, y = x + step, y + step
     shared = np.zeros(len(at), np.int64)
     shared[deep] = x - one[deep]
-    going = np.arange(len(at))
-    while len(going):
-        x, y = one[going] + shared[going], two[going] + shared[going]
-        going = going[(wide[x] == wide[y]) & (wide[x] != 4)]
-        shared[going] += 1
+    # the rest is within the first letters of what follows, up to a special base there
+    x, y = one + shared, two + shared
+    u, v, rest = key[x], key[y], np.zeros(len(at), np.int64)
+    powers = 5 ** np.arange(HEAD + 1, dtype=np.int64)
+    for step in (16, 8, 4, 2, 1):
+        more = rest + step
+        cut = powers[HEAD - np.minimum(more, HEAD)]
+        rest = np.where((more <= HEAD) & (u // cut == v // cut), more, rest)
+    shared += np.minimum(rest, next_[x] - x)
     lcp[at] = shared
     return order, lcp
 

@@ -23,9 +23,9 @@ from palindra.operators.repeats import CONTIG
 from palindra.plans.params import Params
 from palindra.sources.shared import written
 
-#: Letters of the first key: 26 digits of base 5 fit into a long. Suffixes that a task holds at a time.
+#: Letters of the first key: 26 digits of base 5 fit into a long. Letters that a task takes together.
 HEAD, _TOGETHER = 26, 1 << 18
-#: The longest contig that one task orders. Contigs are taken together up to as many letters; arrays take about 150 bytes a letter.
+#: The longest contig that one task orders; shorter ones are taken together. Arrays take about 150 bytes a letter.
 LOCAL = 1 << 20
 _KEYS = [*CONTIG, "pos"]
 #: The place of no special base; keys and ranks are bucketed by shifts.
@@ -82,7 +82,7 @@ def suffix_order(contigs: DataFrame, keep=written, local: int = LOCAL) -> DataFr
     text = contigs.select("file", F.col("contig_no").cast("long").alias("contig_no"), normalised(F.col("seq")).alias("seq"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, code, edge in _gathered(batches, local):
+        for rows, code, edge in _gathered(batches, _TOGETHER):
             order, lcp = order_together(code, edge)
             of = np.searchsorted(edge, order, side="right") - 1
             pos, rank = order - edge[of], np.arange(len(order)) - (edge[of] - of)
@@ -118,9 +118,16 @@ def order_together(code: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.n
     wide, place = np.concatenate([code, np.full(HEAD, 4)]).astype(np.int64), np.arange(total)
     at = np.where(wide == 4, np.arange(total + HEAD), total + HEAD)
     next_ = np.minimum.accumulate(at[::-1])[::-1][:total]
-    key = np.zeros(total, np.int64)
-    for k in range(HEAD):
-        key = key * 5 + np.where(place + k <= next_, wide[k : k + total], 0)
+    # digits of 16 + 8 + 2 letters; those behind a special base do not count
+    two = wide[:-1] * 5 + wide[1:]
+    four = two[:-2] * 5**2 + two[2:]
+    eight = four[:-4] * 5**4 + four[4:]
+    key = (eight[:total] * 5**8 + eight[8 : total + 8]) * 5**8 + eight[16 : total + 16]
+    key = key * 5**2 + two[24 : total + 24]
+    some = np.flatnonzero(next_ < place + HEAD)
+    cut = 5 ** (HEAD - 1 - (next_ - place)[some])
+    key[some] = key[some] // cut * cut
+    del two, four, eight
     own = np.ones(total, bool)
     own[edge[1:] - 1] = False
     # 16 bits are sorted by their digits
@@ -324,7 +331,7 @@ def repeats_of_intervals(contigs: DataFrame, least: int, low: int, high: int, in
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = _Found()
-        for rows, code, edge in _gathered(batches, local):
+        for rows, code, edge in _gathered(batches, _TOGETHER):
             order, lcp = order_together(code, edge)
             deep = lcp >= least
             member = np.flatnonzero(deep | np.concatenate([deep[1:], [False]]))

@@ -6,6 +6,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -66,12 +67,29 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """Within it, Spark deletes the shuffle files of a plan when the plan has run.
+
+    ``release`` does not reach the plan that ran last: its files stay while the next ones are written.
+    Only for what is made and run once within: a second run of the same DataFrame would miss its files.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def store(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet in the shared checkpoint folder, and read again."""
     spark = df.sparkSession
     _checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with swept(spark):
+        df.write.parquet(path)
     return spark.read.parquet(path)
 
 

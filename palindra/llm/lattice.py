@@ -13,7 +13,7 @@ from. The next sample is the best of all sets left.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -113,6 +113,21 @@ def decode_bytes(ids: np.ndarray, v: Vocabulary) -> np.ndarray:
     return v.spelled[spread(v.spelled_at[ids], v.spelled_at[ids + 1] - v.spelled_at[ids])]
 
 
+class Spelling:
+    """``decode_bytes`` for many ids, by Arrow."""
+
+    def __init__(self, v: Vocabulary):
+        self.names = pa.Array.from_buffers(pa.binary(), len(v.spelled_at) - 1, [None, pa.py_buffer(v.spelled_at.astype(np.int32)), pa.py_buffer(v.spelled)])
+
+    def __call__(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """What ``ids`` spell, and where each begins and the last one ends."""
+        if not len(ids):
+            return b"", np.zeros(1, np.int32)
+        parts = self.names.take(pa.array(ids))
+        at = np.frombuffer(parts.buffers()[1], np.int32, len(parts) + 1)
+        return parts.buffers()[2].slice(0, int(at[-1])).to_pybytes(), at
+
+
 def decode(ids: np.ndarray, v: Vocabulary) -> str:
     return _text(decode_bytes(np.asarray(ids, np.int64), v).tobytes())
 
@@ -141,24 +156,35 @@ class Steps:
         self.table = np.zeros((len(v.piece), _COLUMNS), np.int32)
         here = np.flatnonzero((char < len(v.root)) & (self.column[np.minimum(char, len(v.root) - 1)] > 0))
         self.table[state[here], self.column[char[here]]] = v.edge_to[here]
+        self.flat = self.table.ravel()
+        #: Nodes that lead on; a walk ends at the others.
+        self.inner = np.zeros(len(v.piece), bool)
+        self.inner[state] = True
+
+    def columns(self, char: np.ndarray) -> np.ndarray:
+        return self.column.take(np.minimum(char, len(self.column) - 1))
 
     def search(self, state: np.ndarray, char: np.ndarray) -> np.ndarray:
         key = state.astype(np.int64) << 21 | char
         k = np.minimum(np.searchsorted(self.v.edge_key, key), len(self.v.edge_key) - 1)
         return np.where(self.v.edge_key[k] == key, self.v.edge_to[k], 0).astype(np.int32)
 
-    def __call__(self, state: np.ndarray, char: np.ndarray) -> np.ndarray:
-        """The next node of each, 0 for none."""
-        column = self.column[np.minimum(char, len(self.column) - 1)]
-        to = self.table[state, column]
+    def __call__(self, state: np.ndarray, char: np.ndarray, column: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The next node of each over the character at ``at``, 0 for none."""
+        column = column.take(at)
+        to = self.flat.take(state * _COLUMNS + column)
         rare = np.flatnonzero(column == 0)
-        to[rare] = self.search(state[rare], char[rare])
+        if len(rare):
+            to[rare] = self.search(state[rare], char[at[rare]])
         return to
 
 
 class Lattice:
     """The lattices of distinct units of text (words with the spaces before them, line feeds)."""
 
+    #: The unit instances of the texts, those of the same unit together (``Units.of``).
+    by_unit: np.ndarray
+
     def __init__(self, code: np.ndarray, size: np.ndarray, v: Vocabulary, steps: Steps):
         """``code`` has the characters of all units, ``size`` how many each has."""
         self.end = np.cumsum(size)
@@ -166,44 +192,44 @@ class Lattice:
         n = len(code)
         code = code.astype(np.int32)
         left = (np.repeat(self.end, size) - np.arange(n)).astype(np.int32)
-        at, state = np.arange(n, dtype=np.int32), np.zeros(n, np.int32)
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        column, piece_of = steps.columns(code), v.piece.astype(np.int32)
+        found: list[tuple[int, np.ndarray, np.ndarray]] = []
         for length in range(1, v.longest + 1):
             if length == 1:
-                state = v.root[np.minimum(code, len(v.root) - 1)].astype(np.int32)
+                state = v.root.take(np.minimum(code, len(v.root) - 1)).astype(np.int32)
                 far = np.flatnonzero(code >= len(v.root) - 1)
                 state[far] = steps.search(np.zeros(len(far), np.int32), code[far])
-                at = np.flatnonzero(state).astype(np.int32)
-                state = state[at]
+                at = np.flatnonzero(state)
+                state = state.take(at)
             else:
-                state = steps(state, code[at + (length - 1)])
+                state = steps(state, code, column, at + (length - 1))
                 hit = np.flatnonzero(state)
-                at, state = at[hit], state[hit]
-            ends = v.piece[state] >= 0
+                at, state = at.take(hit), state.take(hit)
+            piece = piece_of.take(state)
+            ends = np.flatnonzero(piece >= 0)
             if length == 1:
                 lone = np.ones(n, bool)
                 lone[at[ends]] = False
                 self.fallback = np.flatnonzero(lone)
-            found.append((at[ends], np.full(int(ends.sum()), length, np.int32), v.piece[state[ends]]))
-            more = left[at] > length
-            at, state = at[more], state[more]
-        # a character without a piece of its own is spelled in bytes
-        found.insert(0, (self.fallback, np.ones(len(self.fallback), np.int32), -1 - code[self.fallback]))
-        self.count = np.zeros(n, np.int32)
-        for x, _, _ in found:
-            self.count[x] += 1
+                # a character without a piece of its own is spelled in bytes
+                found.append((1, self.fallback, -1 - code[self.fallback]))
+            found.append((length, at.take(ends), piece.take(ends)))
+            more = np.flatnonzero((left.take(at) > length) & steps.inner.take(state))
+            at, state = at.take(more), state.take(more)
+        self.count = np.bincount(np.concatenate([x for _, x, _ in found]), minlength=n).astype(np.int32)
         # edges go by what is left after their start, then by start, the longest first
         by_left = np.argsort(left.astype(np.int16) if n and left.max() < 1 << 15 else left, kind="stable")
-        self.first, per = np.empty(n, np.int32), self.count[by_left]
+        self.first, per = np.empty(n, np.int32), self.count.take(by_left)
         first = np.cumsum(per, dtype=np.int64) - per
         self.first[by_left] = first
-        slot, total_edges = self.first + self.count, int(self.count.sum())
-        self.length, self.piece, at = np.empty(total_edges, np.int32), np.empty(total_edges, np.int32), np.empty(total_edges, np.int32)
-        for x, length, piece in found:
-            slot[x] -= 1
-            self.length[slot[x]], self.piece[slot[x]], at[slot[x]] = length, piece, x
-        self.edge_at = at
-        self.tokens, weight = np.ones(total_edges, np.int8), v.weight[np.maximum(self.piece, 0)]
+        slot, total_edges = self.first + self.count, len(by_left) and int(first[-1] + per[-1])
+        self.length, self.piece = np.empty(total_edges, np.int32), np.empty(total_edges, np.int32)
+        for length, x, piece in found:
+            to = slot.take(x) - 1
+            slot[x], self.length[to], self.piece[to] = to, length, piece
+        del found
+        self.edge_at = at = np.repeat(by_left.astype(np.int32), per)
+        self.tokens, weight = np.ones(total_edges, np.int8), v.weight.take(np.maximum(self.piece, 0))
         spelled = np.flatnonzero(self.piece < 0)
         c = -1 - self.piece[spelled]
         n_bytes = np.where(c == ord(_LITERAL), 3, 1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000))
@@ -211,35 +237,35 @@ class Lattice:
         # backward sums, all positions with as much left at a time: as they are while they are within
         # a double's range, as logarithms beyond
         mass, weight_p = np.ones(n + 1), np.exp(weight)
-        into, rest = at + self.length, left[at]
-        edges = np.flatnonzero(np.concatenate([[True], rest[1:] != rest[:-1], [True]])) if n else np.zeros(1, np.int64)
-        cuts = np.searchsorted(first, edges).tolist()
-        self.p, log_mass = np.empty(total_edges), None
-        for (s, lo), (e, hi) in zip(zip(edges[:-1].tolist(), cuts[:-1], strict=True), zip(edges[1:].tolist(), cuts[1:], strict=True), strict=True):
-            r, own = int(rest[s]), at[first[lo:hi]]
-            inner, begin = self.length[s:e] < r, first[lo:hi] - s
-            size_ = np.diff(np.append(begin, e - s))
+        into = at + self.length
+        levels, log_mass, hi, e = np.unique(left, return_counts=True), None, 0, 0
+        self.p = np.empty(total_edges)
+        for r, positions in zip(*(x.tolist() for x in levels), strict=True):
+            lo, hi, s = hi, hi + positions, e
+            e = int(first[hi]) if hi < n else total_edges
+            own, begin, size_ = by_left[lo:hi], first[lo:hi] - s, per[lo:hi]
+            inner = self.length[s:e] < r
             if r <= _LINEAR:
-                part = weight_p[s:e] * np.where(inner, mass[into[s:e]], 1.0)
+                part = weight_p[s:e] * np.where(inner, mass.take(into[s:e]), 1.0)
                 total = np.add.reduceat(part, begin)
                 mass[own], self.p[s:e] = total, part / np.repeat(total, size_)
             else:
                 if log_mass is None:
                     log_mass = np.log(mass)
-                part = weight[s:e] + np.where(inner, log_mass[into[s:e]], 0.0)
+                part = weight[s:e] + np.where(inner, log_mass.take(into[s:e]), 0.0)
                 total = _sums(part, begin)
                 log_mass[own], self.p[s:e] = total, np.exp(part - np.repeat(total, size_))
         with np.errstate(divide="ignore"):
             self.log_p = np.log(self.p)
         # the chance of an edge or one before it at its position; the last one is always taken
         self.upto = self.p.copy()
-        at, k = np.flatnonzero(self.count > 1), 1
-        while len(at):
-            edge = self.first[at] + k
-            self.upto[edge] += self.upto[edge - 1]
-            k += 1
-            at = at[self.count[at] > k]
-        self.upto[self.first + self.count - 1] = np.inf
+        several = np.flatnonzero(per > 1)
+        edge, more, k = first.take(several) + 1, per.take(several), 2
+        while len(edge):
+            self.upto[edge] += self.upto.take(edge - 1)
+            on = np.flatnonzero(more > k)
+            edge, more, k = edge.take(on) + 1, more.take(on), k + 1
+        self.upto[first + per - 1] = np.inf
 
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -252,7 +278,7 @@ class Units:
         self.v, self.steps = v, Steps(v)
 
     def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, Lattice | None]:
-        """(unit numbers in order, which texts are not empty, how many units each of these has,
+        """(unit numbers in order of text, which texts are not empty, how many units each of these has,
         the lattices of the distinct units)."""
         rows = np.array([i for i, t in enumerate(texts) if t], np.int64)
         if not len(rows):
@@ -270,16 +296,27 @@ class Units:
         size = np.diff(np.append(start, len(code)))
         place = np.arange(len(code)) - np.repeat(start, size)
         power = np.cumprod(np.full(int(size.max()), _BASE))
-        hashed = np.add.reduceat((code.astype(np.uint64) + np.uint64(1)) * power[place], start)
-        del place, power, feed, begins, space
-        _, first, number = np.unique(hashed ^ (hashed >> np.uint64(32)) * _BASE, return_index=True, return_inverse=True)
-        same = size[first[number]] == size
-        if not same.all() or not (code == code[spread(start[first[number]], size)]).all():  # two units share a hash
+        hashed = power.take(place)
+        hashed *= code + np.uint64(1)
+        hashed = np.add.reduceat(hashed, start)
+        del power, feed, begins, space
+        hashed ^= (hashed >> np.uint64(32)) * _BASE
+        order = np.argsort(hashed, kind="stable")
+        hashed = hashed.take(order)
+        fresh = np.concatenate([[True], hashed[1:] != hashed[:-1]])
+        first, number = order[fresh], np.empty(len(order), np.int64)
+        number[order] = np.cumsum(fresh) - 1
+        like = first.take(number)
+        place += np.repeat(start.take(like), size)
+        if not (size.take(like) == size).all() or not (code == code.take(place)).all():  # two units share a hash
             known: dict[bytes, int] = {}
             number = np.array([known.setdefault(code[s : s + n].tobytes(), len(known)) for s, n in zip(start.tolist(), size.tolist(), strict=True)])
-            first = np.unique(number, return_index=True)[1]
+            first, order = np.unique(number, return_index=True)[1], np.argsort(number)
+        del place
         counts = np.diff(np.searchsorted(start, text_at))
-        return number, rows, counts, Lattice(code[spread(start[first], size[first])], size[first], self.v, self.steps)
+        lattice = Lattice(code[spread(start[first], size[first])], size[first], self.v, self.steps)
+        lattice.by_unit = order
+        return number, rows, counts, lattice
 
 
 def _uniform(seed: np.ndarray, salt: int, place: np.ndarray) -> np.ndarray:
@@ -310,34 +347,42 @@ class Walk:
     def __init__(self, lattice: Lattice, unit: np.ndarray, seeds: np.ndarray, place: np.ndarray):
         self.lattice, self.unit, self.seeds, self.place = lattice, unit, seeds, place
 
-    def draw(self, instances: np.ndarray, at: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
-        """(instance, edge) in order of text, from position ``at`` of each instance to its end."""
+    def draw(self, instances: np.ndarray, at: np.ndarray, salt: int, lead: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(instance, edge) in order of text, from position ``at`` of each instance to its end, and
+        where each unit instance begins in them.
+
+        ``instances`` come in any order: by unit, so that neighbours read the same part of the
+        lattice. ``lead`` leaves as many places free before each.
+        """
         l = self.lattice
         got: list[tuple[np.ndarray, np.ndarray]] = []
-        end = l.end[self.unit[instances]]
-        shift, seeds = self.place[instances] - l.start[self.unit[instances]], self.seeds[instances]
-        mine, at = np.flatnonzero(at < end).astype(np.int32), at.astype(np.int32)
-        at, end, shift, seeds = at[mine], end[mine].astype(np.int32), shift[mine], seeds[mine]
-        while len(mine):
-            chance, edge = _uniform(seeds, salt, shift + at), l.first[at]
-            going = np.flatnonzero(chance >= l.upto[edge])
-            chance = chance[going]
+        unit = self.unit.take(instances)
+        end = l.end.take(unit)
+        shift, seeds = self.place.take(instances) - l.start.take(unit), self.seeds.take(instances)
+        steps = np.zeros(len(self.unit), np.int32)
+        mine, open_ = instances, np.flatnonzero(at < end)
+        while len(open_):
+            if len(open_) < len(mine):
+                mine, at, end, shift, seeds = mine.take(open_), at.take(open_), end.take(open_), shift.take(open_), seeds.take(open_)
+            steps[mine] += 1
+            chance, edge = _uniform(seeds, salt, shift + at), l.first.take(at)
+            going = np.flatnonzero(chance >= l.upto.take(edge))
+            chance, to = chance.take(going), edge.take(going)
             while len(going):
-                edge[going] += 1
-                more = np.flatnonzero(chance >= l.upto[edge[going]])
-                going, chance = going[more], chance[more]
+                to += 1
+                edge[going] = to
+                more = np.flatnonzero(chance >= l.upto.take(to))
+                going, chance, to = going.take(more), chance.take(more), to.take(more)
             got.append((mine, edge))
-            at = at + l.length[edge]
+            at = at + l.length.take(edge)
             open_ = np.flatnonzero(at < end)
-            mine, at, end, shift, seeds = mine[open_], at[open_], end[open_], shift[open_], seeds[open_]
-        steps = np.zeros(len(instances), np.int64)
-        for mine, _ in got:
-            steps[mine] += 1
-        first = np.cumsum(steps) - steps
-        edges = np.empty(int(steps.sum()), np.int32)
+        size = steps if lead is None else steps + lead
+        begin = np.cumsum(size, dtype=np.int64) - size
+        edges = np.empty(int(size.sum()), np.int32)
+        to = begin if lead is None else begin + lead
         for k, (mine, edge) in enumerate(got):
-            edges[first[mine] + k] = edge
-        return np.repeat(instances, steps), edges
+            edges[to.take(mine) + k] = edge
+        return np.repeat(np.arange(len(size), dtype=np.int32), size), edges, begin
 
 
 #: Sets of less mass than exp(_NEAR) have bounds below _FAR: no draw of _uniform lifts one by more than 38.
@@ -371,7 +416,8 @@ class Paths:
         """One path each for ``rows``, with the bounds as far as the mass stays above ``_NEAR``."""
         first, number = len(self.edge), len(self.start)
         start = np.cumsum(sizes) - sizes
-        near = np.add.reduceat((before >= _NEAR).astype(np.int64), start)
+        hits = np.flatnonzero(before >= _NEAR)
+        near = np.searchsorted(hits, start + sizes) - np.searchsorted(hits, start)
         span = np.maximum(near - skip, 0)
         at = spread(start + skip, span)
         bound = self._bounds(edge[at], before[at], np.repeat(value, span), np.repeat(self.seeds[rows], span), origin, at - np.repeat(start, span))
@@ -436,23 +482,29 @@ def sample_paths(keys: list[int], texts: list[str], k: int, seed: int, units: Un
     seeds = np.array([_row_seed(int(keys[i]), seed) for i in rows.tolist()], np.uint64)
     walk, paths = Walk(l, unit, np.repeat(seeds, counts), offset), Paths(l, seeds)
 
-    def sums(begin: np.ndarray, edge: np.ndarray, start: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, list[float]]:
-        """The log-probability before each edge of each path, and at its end; each path by itself."""
-        before, ends = np.empty(len(edge)), []
-        log_p = l.log_p[edge]
+    def sums(before: np.ndarray, begin: np.ndarray, edge: np.ndarray, start: np.ndarray, sizes: np.ndarray) -> list[float]:
+        """Fills in the log-probability before each edge of runs of ``edge`` that begin with
+        ``begin``; returns those at their ends. Each run by itself."""
+        ends = []
+        log_p = l.log_p.take(edge)
         for s, n, b in zip(start.tolist(), sizes.tolist(), begin.tolist(), strict=True):
-            run = np.cumsum(log_p[s : s + n])
-            before[s : s + 1] = b
-            before[s + 1 : s + n] = run[:-1] + b
-            ends.append(b + float(run[-1]) if n else b)
-        return before, ends
+            if n:
+                before[s] = b
+                run = np.cumsum(log_p[s : s + n - 1], out=before[s + 1 : s + n])
+                last = (float(run[-1]) if n > 1 else 0.0) + float(log_p[s + n - 1])
+                if b:
+                    run += b
+                b += last
+            ends.append(b)
+        return ends
 
     everyone = np.arange(len(rows))
     root = -np.log(-np.log(_uniform(seeds, 1, np.full(len(rows), -1))))
-    who, edge = walk.draw(np.arange(len(unit)), l.start[unit], 2)
-    starts = np.searchsorted(who, first_of)
-    sizes = np.diff(np.append(starts, len(who)))
-    before, log_p = sums(np.zeros(len(rows)), edge, starts, sizes)
+    by_unit, unit_at = l.by_unit, l.start.take(unit)
+    who, edge, begin = walk.draw(by_unit, unit_at.take(by_unit), 2)
+    starts, before = begin[first_of], np.empty(len(edge))
+    sizes = np.diff(np.append(starts, len(edge)))
+    log_p = sums(before, np.zeros(len(rows)), edge, starts, sizes)
     paths.append(everyone, sizes, edge, who, before, log_p, root, np.zeros(len(rows), np.int64), 3)
     for j in range(1, k):
         found = [(r, *paths.best(r)) for r in everyone.tolist() if len(paths.of[r]) == j]
@@ -485,23 +537,19 @@ def sample_paths(keys: list[int], texts: list[str], k: int, seed: int, units: Un
         # the new paths go on in step from the edge that parted
         pick = np.array(pick, np.int64)
         who0 = paths.who[p_start + t_of].astype(np.int64)
-        stop = first_of[r_of] + counts[r_of]
-        later = spread(who0 + 1, stop - who0 - 1)
-        instances, begin_at = np.concatenate([who0, later]), np.concatenate([at + l.length[pick], l.start[unit[later]]])
-        in_text = np.argsort(instances, kind="stable")
-        who, edge = walk.draw(instances[in_text], begin_at[in_text], 16 * j + 2)
-        lo, hi = np.searchsorted(who, who0), np.searchsorted(who, stop)
-        sizes = t_of + 1 + hi - lo
-        start = np.cumsum(sizes) - sizes
-        to, old = spread(start, t_of + 1), spread(p_start, t_of + 1)
-        tail, new = spread(start + t_of + 1, hi - lo), spread(lo, hi - lo)
-        whole_edge, whole_who, before = np.empty(int(sizes.sum()), np.int32), np.empty(int(sizes.sum()), np.int32), np.empty(int(sizes.sum()))
-        whole_edge[to], whole_who[to], before[to] = paths.edge[old], paths.who[old], paths.before[old]
-        whole_edge[start + t_of] = pick
-        whole_edge[tail], whole_who[tail] = edge[new], who[new]
-        begin = before[start + t_of] + l.log_p[pick]
-        before[tail], log_p = sums(begin, edge[new], np.cumsum(hi - lo) - (hi - lo), hi - lo)
-        paths.append(r_of, sizes, whole_edge, whole_who, before, log_p, value, t_of + 1, 16 * j + 3)
+        # instances behind those that parted, and these
+        begin_at, on, lead = unit_at.copy(), np.zeros(len(unit), bool), np.zeros(len(unit), np.int64)
+        on[spread(who0, first_of[r_of] + counts[r_of] - who0)] = True
+        begin_at[who0], lead[who0] = at + l.length[pick], t_of + 1
+        instances = by_unit[on[by_unit]]
+        who, edge, begin = walk.draw(instances, begin_at.take(instances), 16 * j + 2, lead)
+        start = begin[who0]
+        sizes = np.diff(np.append(start, len(edge)))
+        to, old, before = spread(start, t_of + 1), spread(p_start, t_of + 1), np.empty(len(edge))
+        edge[to], who[to], before[to] = paths.edge[old], paths.who[old], paths.before[old]
+        edge[start + t_of] = pick
+        log_p = sums(before, before[start + t_of] + l.log_p[pick], edge, start + t_of + 1, sizes - t_of - 1)
+        paths.append(r_of, sizes, edge, who, before, log_p, value, t_of + 1, 16 * j + 3)
     return paths, rows
 
 
@@ -525,27 +573,32 @@ def sample_chunk(keys: list[int], texts: list[str], v: Vocabulary, k: int, seed:
     if (drawn := sample_paths(keys, texts, k, seed, units or Units(v))) is None:
         return results
     paths, rows = drawn
-    ids, per_edge = _ids(paths.lattice, paths.edge, v)
-    token = np.concatenate([[0], np.cumsum(per_edge)])
-    ends = [(int(token[s]), int(token[s + n])) for s, n in zip(paths.start, paths.size, strict=True)]
+    ids, token = _ids(paths.lattice, paths.edge, v)
+    start = np.array(paths.start, np.int64)
+    ends = list(zip(token(start).tolist(), token(start + np.array(paths.size, np.int64)).tolist(), strict=True))
     for r, i in enumerate(rows.tolist()):
         results[i] = [(ids[slice(*ends[q])], paths.log_p[q], paths.value[q], sure) for q, sure in zip(paths.of[r], _inclusion(paths, r, k), strict=True)]
     return results
 
 
-def _ids(l: Lattice, edge: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """The piece ids of edges, and how many each has."""
-    piece, n = l.piece[edge], l.tokens[edge]
-    ids = np.repeat(piece, n)
-    low = np.flatnonzero(piece < 0)
-    if len(low):
-        first = np.cumsum(n) - n
-        ids[first[low]] = v.byte_id[np.minimum(-1 - piece[low], 255)]
-        for c in np.unique(piece[low[n[low] > 1]]).tolist():
-            spelled = SPACE.encode() if -1 - c == ord(_LITERAL) else chr(-1 - c).encode()
-            at = first[low[piece[low] == c]]
-            ids[at[:, None] + np.arange(len(spelled))] = v.byte_id[list(spelled)]
-    return ids, n
+def _ids(l: Lattice, edge: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, Callable[[np.ndarray], np.ndarray]]:
+    """The piece ids of edges, and where those of an edge begin."""
+    ids = l.piece.take(edge)
+    low = np.flatnonzero(ids < 0)
+    piece, n = ids[low], l.tokens[edge[low]]
+    more = np.concatenate([[0], np.cumsum(n.astype(np.int64) - 1)])
+    if more[-1]:
+        per_edge = np.ones(len(edge), np.int8)
+        per_edge[low] = n
+        ids = np.repeat(ids, per_edge)
+    first = low + more[:-1]
+    ids[first] = v.byte_id[np.minimum(-1 - piece, 255)]
+    several = np.flatnonzero(n > 1)
+    for c in np.unique(piece[several]).tolist():
+        spelled = SPACE.encode() if -1 - c == ord(_LITERAL) else chr(-1 - c).encode()
+        at = first[several[piece[several] == c]]
+        ids[at[:, None] + np.arange(len(spelled))] = v.byte_id[list(spelled)]
+    return ids, lambda at: at + more[np.searchsorted(low, at)]
 
 
 def _parts(sizes: list[int]) -> Iterator[tuple[int, int]]:
@@ -563,29 +616,28 @@ def _parts(sizes: list[int]) -> Iterator[tuple[int, int]]:
 def _encode(v: Vocabulary, k: int, seed: int):
     names = ["doc_id", "sample", "n_pieces", "log_prob", "perturbed", "log_inclusion", "ids_crc32", "round_trip", "ids", "text"]
 
-    def out(part: list[tuple[int | None, int, Sample, bytes]]) -> pa.RecordBatch:
+    def out(part: list[tuple[int | None, int, Sample, bytes]], spell: Spelling) -> pa.RecordBatch:
         ids = [s[0] for _, _, s, _ in part]
         size = np.array([len(x) for x in ids])
-        flat, end = np.concatenate(ids).astype(np.int32), np.cumsum(size)
-        spelled = decode_bytes(flat, v)
-        at = np.concatenate([[0], np.cumsum(v.spelled_at[flat + 1] - v.spelled_at[flat])])[np.concatenate([[0], end])]
-        data = spelled.tobytes()
+        flat, end = np.concatenate(ids).astype(np.int32, copy=False), np.cumsum(size)
+        data, at = spell(flat)
+        at = at[np.concatenate([[0], end])].astype(np.int64)
         same = [data[s + 1 : e] == x[3] if x[3] else s == e for s, e, x in zip(at[:-1].tolist(), at[1:].tolist(), part, strict=True)]
         if all(same):  # each text is what is spelled without its first space
             begin = at[:-1][at[1:] > at[:-1]]
             length = np.maximum(np.diff(at) - 1, 0)
-            text = pa.Array.from_buffers(pa.string(), len(part), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.py_buffer(np.delete(spelled, begin).tobytes())])
+            text = pa.Array.from_buffers(pa.string(), len(part), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.py_buffer(np.delete(np.frombuffer(data, np.uint8), begin).tobytes())])
         else:
             text = pa.array([_text(data[s:e]) for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.string())
         return pa.record_batch([
             pa.array([x[0] for x in part], pa.int64()), pa.array([x[1] for x in part], pa.int32()), pa.array(size, pa.int64()),
             *(pa.array([x[2][c] for x in part], pa.float64()) for c in (1, 2, 3)),
-            pa.array([zlib.crc32(x.astype("<i4").tobytes()) for x in ids], pa.int64()), pa.array(same),
+            pa.array([zlib.crc32(x.astype("<i4", copy=False)) for x in ids], pa.int64()), pa.array(same),
             pa.ListArray.from_arrays(pa.array(np.concatenate([[0], end]), pa.int32()), pa.array(flat)), text,
         ], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = Units(v)
+        units, spell = Units(v), Spelling(v)
         for whole in batches:
             for batch in pieces(whole, "text", _CHUNK):
                 keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
@@ -593,7 +645,7 @@ def _encode(v: Vocabulary, k: int, seed: int):
                 flat = [(key, j, s, raw) for key, raw, samples in zip(keys, map(str.encode, texts), found, strict=True) for j, s in enumerate(samples)]
                 del texts, found
                 for a, b in _parts([len(x[2][0]) for x in flat]):
-                    yield out(flat[a:b])
+                    yield out(flat[a:b], spell)
 
     return run
 

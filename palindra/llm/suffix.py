@@ -23,6 +23,8 @@ PACK = 1 << 19
 INDEX = 1 << 19
 #: An anchor with more occurrences is looked up window by window instead of by its context.
 HOT = 1 << 14
+#: Anchors, and bytes of contexts, of neighbouring packs that are sent together, so that a bucket gets few messages.
+ANCHORS_SENT, CONTEXTS_SENT = 1 << 19, 1 << 23
 #: Stands for a null key: behind every other.
 LAST = (1 << 63) - 2
 _BITS = np.uint64(48)
@@ -175,32 +177,70 @@ def _pack(limit: int):
     return run
 
 
-def _blobs(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
-    """Slices of sorted 48-bit ``keys`` by bucket, ranges of equal width."""
-    bucket = (keys * np.uint64(buckets)) >> _BITS if buckets < 1 << 16 else keys >> np.uint64(16)
-    edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(keys) else np.zeros(1, int)
-    for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        yield int(bucket[s]), slice(s, e)
+def _dealt(keys: list[np.ndarray], buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of the 48-bit keys of several packs, sorted in each: (bucket, which ones of all, (pack, first, count) rows).
+
+    Buckets are ranges of equal width. What a bucket gets stands by pack; ``first`` is its place among the pack's keys.
+    """
+    size = np.array([len(k) for k in keys], np.int64)
+    key = np.concatenate(keys)
+    bucket = ((key * np.uint64(buckets)) >> _BITS if buckets < 1 << 16 else key >> np.uint64(16)).astype(np.int64)
+    of, place = np.repeat(np.arange(len(keys)), size), np.arange(len(key)) - np.repeat(np.cumsum(size) - size, size)
+    order = np.argsort(bucket, kind="stable")
+    bucket, of, place = bucket[order], of[order], place[order]
+    new = np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]) if len(key) else np.ones(1, bool)
+    edges = np.flatnonzero(new)
+    head = np.flatnonzero(new[:-1] | np.concatenate([[True], of[1:] != of[:-1]])) if len(key) else edges[:0]
+    parts = np.stack([of[head], place[head], np.diff(np.append(head, len(key)))], axis=1)
+    at = np.searchsorted(head, edges)
+    for k in range(len(edges) - 1):
+        yield int(bucket[edges[k]]), order[edges[k] : edges[k + 1]], parts[at[k] : at[k + 1]]
+
+
+def _by_pack(pack: np.ndarray, values: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Each pack that occurs, and the bytes of its ``values`` (rows) in their order."""
+    order = np.argsort(pack, kind="stable")
+    pack, values = pack[order], np.ascontiguousarray(values[order])
+    first = np.flatnonzero(np.concatenate([[True], pack[1:] != pack[:-1]]))
+    offsets = np.append(first, len(pack)) * (values.nbytes // len(values))
+    # 2 GB of answers to a bucket would be some 100 times what it gets
+    data = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(values)])
+    return pa.array(pack[first], pa.int64()), data
 
 
 def _seen(window: int, buckets: int):
-    """(bucket, pack, keys, counts): a pack's distinct anchors; odd counts are in several documents."""
+    """(bucket, parts, keys, counts): the distinct anchors of a few packs, ``parts`` whose they are; odd counts are in several documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
+        numbers, keys, codes = [], [], []
+
+        def out() -> pa.RecordBatch:
+            key, code, rows = np.concatenate(keys), np.concatenate(codes), []
+            for b, at, parts in _dealt(keys, buckets):
+                parts[:, 0] = np.array(numbers, np.int64)[parts[:, 0]]
+                rows.append((b, squeeze.compress(_planes(parts)), squeeze.compress(_planes(key[at].astype("<u8"))), squeeze.compress(_planes(code[at]))))
+            return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), [pa.int64(), *[pa.binary()] * 3], strict=True)], ["bucket", "parts", "keys", "counts"])
+
         for batch in batches:
             for number, *cells in _cells(batch, "pack", "ids", "sizes", "data"):
                 pack = _Pack(*cells)
                 at, key = pack.anchors(window)
+                if not len(key):
+                    continue
                 order = np.argsort(key, kind="stable")
                 key, doc = key[order], pack.ids[np.searchsorted(pack.start, at[order], side="right") - 1]
-                first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
+                first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
                 count = np.diff(np.concatenate([first, [len(key)]]))
-                several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first) if len(first) else np.zeros(0, bool)
-                key, code = key[first], (np.minimum(count, (1 << 15) - 1) * 2 + several).astype("<u2")
-                rows = [(b, number, squeeze.compress(_planes(key[s].astype("<u8"))), squeeze.compress(_planes(code[s]))) for b, s in _blobs(key, buckets)]
-                if rows:
-                    yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int64(), pa.binary(), pa.binary()], strict=True)], ["bucket", "pack", "keys", "counts"])
+                several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
+                numbers.append(number)
+                keys.append(key[first])
+                codes.append((np.minimum(count, (1 << 15) - 1) * 2 + several).astype("<u2"))
+                if sum(map(len, keys)) >= ANCHORS_SENT:
+                    yield out()
+                    numbers, keys, codes = [], [], []
+        if keys:
+            yield out()
 
     return run
 
@@ -212,15 +252,15 @@ def _shared(hot: int):
         packs, keys, counts = [], [], []
         unsqueeze = zstandard.ZstdDecompressor()
         for batch in batches:
-            for pack, k, c in _cells(batch, "pack", "keys", "counts"):
-                packs.append(pack)
+            for p, k, c in _cells(batch, "parts", "keys", "counts"):
+                parts = _unplaned(unsqueeze.decompress(p), "<i8").reshape(-1, 3)
+                packs.append(np.repeat(parts[:, 0], parts[:, 2]))
                 keys.append(_unplaned(unsqueeze.decompress(k), "<u8"))
                 counts.append(_unplaned(unsqueeze.decompress(c), "<u2"))
         if not packs:
             return
-        size = np.array([len(c) for c in counts])
-        key, count = np.concatenate(keys), np.concatenate(counts)
-        del keys, counts
+        pack, key, count = np.concatenate(packs), np.concatenate(keys), np.concatenate(counts)
+        del packs, keys, counts
         order = np.argsort(key)
         first = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
         n = np.diff(np.concatenate([first, [len(key)]]))
@@ -228,23 +268,35 @@ def _shared(hot: int):
         several = (n > 1) | (np.maximum.reduceat(count[order] & 1, first) > 0)
         keep, is_hot = np.empty(len(key), bool), np.empty(len(key), bool)
         keep[order], is_hot[order] = np.repeat(several, n), np.repeat(several & (total > hot), n)
-        marked = key | (is_hot.astype(np.uint64) << np.uint64(63))
-        edge = np.concatenate([[0], np.cumsum(size)])
-        for k, pack in enumerate(packs):
-            part = slice(edge[k], edge[k + 1])
-            if (out := marked[part][keep[part]]).size:
-                yield pa.record_batch([pa.array([pack], pa.int64()), pa.array([out.tobytes()], pa.binary())], ["pack", "keys"])
+        marked = (key | (is_hot.astype(np.uint64) << np.uint64(63)))[keep]
+        if len(marked):
+            yield pa.record_batch([*_by_pack(pack[keep], marked)], ["pack", "keys"])
 
     return run
 
 
+_CONTEXTS = ["kind", "bucket", "pack", "blob", "keys", "parts"]
+
+
 def _contexts(window: int, buckets: int):
-    """The distinct contexts of a pack's shared anchors, by bucket (kind 0: symbols, key and smallest
-    document, number of the first), and where each occurs in the pack (kind 1, in any bucket)."""
+    """The distinct contexts of the shared anchors of a few packs, by bucket (kind 0: symbols, key and smallest
+    document, whose they are), and where each occurs in its pack (kind 1, in any bucket)."""
     side, width = window - ANCHOR, 2 * window - ANCHOR
 
+    types = [pa.int32(), *[pa.int64()] * 2, *[pa.binary()] * 3]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
+        numbers, keys, docs, held = [], [], [], []
+
+        def out() -> pa.RecordBatch:
+            key, doc, symbols, rows = np.concatenate(keys), np.concatenate(docs), np.concatenate(held), []
+            for b, at, parts in _dealt(keys, buckets):
+                parts[:, 0] = np.array(numbers, np.int64)[parts[:, 0]]
+                heads = np.concatenate([key[at].astype("<i8"), doc[at].astype("<i8")])
+                rows.append((0, b, None, squeeze.compress(symbols[at].tobytes()), squeeze.compress(_planes(heads)), squeeze.compress(_planes(parts))))
+            return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], _CONTEXTS)
+
         for batch in batches:
             for number, ids, sizes, data, replies in _cells(batch, "pack", "ids", "sizes", "data", "replies"):
                 pack = _Pack(ids, sizes, data)
@@ -294,12 +346,18 @@ def _contexts(window: int, buckets: int):
                 sorted_key, least, rows = key[order], least[order], rows[order]
                 head = np.array([len(at), len(order), len(h)], "<i4")
                 places = squeeze.compress(b"".join([head.tobytes(), renamed[name].astype("<i4").tobytes(), base.astype("<i4").tobytes(), later.astype("<i4").tobytes(), known.astype("<u4").tobytes(), windows.astype("<i4").tobytes()]))
-                out = [(1, (number + (number >> 32)) % buckets, number, places, None, None)]
-                for b, s in _blobs(sorted_key, buckets):
-                    heads = np.concatenate([sorted_key[s].astype("<i8"), least[s].astype("<i8")])
-                    out.append((0, b, number, squeeze.compress(rows[s].tobytes()), squeeze.compress(_planes(heads)), s.start))
-                types = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
-                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], ["kind", "bucket", "pack", "blob", "keys", "first"])
+                yield pa.record_batch([pa.array([x], t) for x, t in zip([1, (number + (number >> 32)) % buckets, number, places, None, None], types, strict=True)], _CONTEXTS)
+                if not len(order):
+                    continue
+                numbers.append(number)
+                keys.append(sorted_key)
+                docs.append(least)
+                held.append(rows)
+                if sum(x.nbytes for x in held) >= CONTEXTS_SENT:
+                    yield out()
+                    numbers, keys, docs, held = [], [], [], []
+        if keys:
+            yield out()
 
     return run
 
@@ -322,25 +380,22 @@ def _mark(window: int, limit: int):
                 out[long, column] = least[index.group_of.upto(row[long]) - 1]
         return out
 
-    def reply(pack: int, marks: bytes | None, places: bytes | None) -> pa.RecordBatch:
-        return pa.record_batch([pa.array([pack], pa.int64()), pa.array([marks], pa.binary()), pa.array([places], pa.binary())], ["pack", "marks", "places"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packs, rows, keys, docs, numbers, sizes = [], [], [], [], [], []
+        packs, rows, keys, docs, numbers = [], [], [], [], []
         unsqueeze = zstandard.ZstdDecompressor()
         for batch in batches:
-            for kind, pack, blob, head, start in _cells(batch, "kind", "pack", "blob", "keys", "first"):
+            for kind, pack, blob, head, parts in _cells(batch, "kind", "pack", "blob", "keys", "parts"):
                 if kind:
-                    yield reply(pack, None, blob)
+                    yield pa.record_batch([pa.array([pack], pa.int64()), pa.array([None], pa.binary()), pa.array([blob], pa.binary())], ["pack", "marks", "places"])
                     continue
                 both = _unplaned(unsqueeze.decompress(head), "<i8")
                 n = len(both) // 2
-                packs.append(pack)
+                of, start, size = _unplaned(unsqueeze.decompress(parts), "<i8").reshape(-1, 3).T
+                packs.append(np.repeat(of, size))
                 rows.append(np.frombuffer(unsqueeze.decompress(blob, max_output_size=n * width), np.uint8).reshape(-1, width))
                 keys.append(both[:n])
                 docs.append(both[n:])
-                numbers.append(np.arange(start, start + n, dtype="<i4"))
-                sizes.append(n)
+                numbers.append((np.arange(n) + np.repeat(start - (np.cumsum(size) - size), size)).astype("<u4"))
         if not packs:
             return
         rows, key, doc, number = np.concatenate(rows), np.concatenate(keys), np.concatenate(docs), np.concatenate(numbers)
@@ -361,12 +416,10 @@ def _mark(window: int, limit: int):
             np.minimum.at(least, name, doc[at])
             held = indexed(rows[at[first]], least)
             marks[at] = ((held[name] < doc[at][:, None]) * power).sum(axis=1, dtype=np.uint32)
-        edge = np.concatenate([[0], np.cumsum(sizes)])
-        for k, pack in enumerate(packs):
-            part = slice(edge[k], edge[k + 1])
-            some = np.flatnonzero(marks[part])
-            if len(some):
-                yield reply(pack, np.concatenate([number[part][some].view("<u4"), marks[part][some]]).astype("<u4").tobytes(), None)
+        some = np.flatnonzero(marks)
+        if len(some):
+            pack, told = _by_pack(np.concatenate(packs)[some], np.stack([number[some], marks[some]], axis=1).astype("<u4"))
+            yield pa.record_batch([pack, told, pa.nulls(len(pack), pa.binary())], ["pack", "marks", "places"])
 
     return run
 
@@ -389,7 +442,7 @@ def _cover(window: int, keep: str | None):
                     known, windows = told[3 * n_places :][:n_hot].view("<u4"), told[3 * n_places + n_hot :].reshape(n_hot, bits)
                     mark = np.zeros(n_rows, np.uint32)
                     for m in marks or ():
-                        which, bit = np.frombuffer(m, "<u4").reshape(2, -1)
+                        which, bit = np.frombuffer(m, "<u4").reshape(-1, 2).T
                         mark[which] = bit
                     # the contexts of hot anchors put their windows' answers together
                     each = np.append(mark & np.uint32(1), np.uint32(0))[windows] << np.arange(bits, dtype=np.uint32)
@@ -457,11 +510,11 @@ def remove_repeats(docs: DataFrame, window: int = 50, carry: tuple[str, ...] = (
     packs = cut(rows.mapInArrow(_pack(pack), "pack long, ids binary, sizes binary, data binary, rest binary").repartition(n_partitions(spark), "pack"), dealt=True)
     n_packs = packs.count()
     buckets = max(2 * n_partitions(spark), n_packs // 16)
-    seen = packs.select("pack", "ids", "sizes", "data").mapInArrow(_seen(window, buckets), "bucket long, pack long, keys binary, counts binary")
+    seen = packs.select("pack", "ids", "sizes", "data").mapInArrow(_seen(window, buckets), "bucket long, parts binary, keys binary, counts binary")
     shared = seen.repartition(buckets, "bucket").mapInArrow(_shared(hot), "pack long, keys binary").groupBy("pack").agg(F.collect_list("keys").alias("replies"))
     shared = cut(shared)  # the anchors have done their part: keeping the answers frees what moved them
     asking = packs.drop("rest").join(shared, "pack")
-    found = asking.mapInArrow(_contexts(window, buckets), "kind int, bucket long, pack long, blob binary, keys binary, first long")
+    found = asking.mapInArrow(_contexts(window, buckets), "kind int, bucket long, pack long, blob binary, keys binary, parts binary")
     told = found.repartition(buckets, "bucket").mapInArrow(_mark(window, index), "pack long, marks binary, places binary")
     told = told.groupBy("pack").agg(F.collect_list("marks").alias("marks"), F.first("places", ignorenulls=True).alias("places"))
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[2:])

@@ -9,8 +9,10 @@ from itertools import combinations
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -365,6 +367,25 @@ def test_repeats(spark, hot, pack):
     assert suffix.remove_repeats(empty(spark)).count() == 0
 
 
+def test_packs_that_a_task_has_send_together():
+    """A bucket gets one message of a task's packs, not one of each: else messages grow as packs times buckets."""
+    rng, buckets = np.random.default_rng(4), 8
+    packs = [rng.integers(97, 107, 3000).astype(np.uint8) for _ in range(12)]
+    names, squeeze = ["pack", "ids", "sizes", "data"], zstandard.ZstdCompressor()
+    cells = [(k, np.array([k]).tobytes(), np.array([3000]).tobytes(), squeeze.compress(b.tobytes())) for k, b in enumerate(packs)]
+    batch = pa.record_batch([pa.array(x) for x in zip(*cells, strict=True)], names)
+    rows = [r for out in suffix._seen(50, buckets)(iter([batch])) for r in out.to_pylist()]
+    assert len(rows) <= buckets
+    got = set()
+    for r in rows:
+        parts, keys, counts = (suffix._unplaned(zstandard.ZstdDecompressor().decompress(r[c]), t) for c, t in (("parts", "<i8"), ("keys", "<u8"), ("counts", "<u2")))
+        parts = parts.reshape(-1, 3)
+        assert len(keys) == len(counts) == parts[:, 2].sum()
+        got |= set(zip(np.repeat(parts[:, 0], parts[:, 2]).tolist(), keys.tolist(), strict=True))
+    want = {(k, x) for k, b in enumerate(packs) for x in suffix.anchors(b, np.array([0, 3000]), 50)[1].tolist()}
+    assert got == want
+
+
 def test_repeats_of_rows_without_a_key(spark):
     """A null key is behind every other, and rows without one are no earlier documents of each other."""
     rng = random.Random(9)

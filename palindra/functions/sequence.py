@@ -40,9 +40,18 @@ def count_bases(seq: Column) -> Column:
 def common_prefix(left: Column, right: Column) -> Column:
     """Length of the longest common prefix of two strings, up to the first special base."""
     a, b = F.translate(normalised(left), "N", "["), F.translate(normalised(right), "N", "]")
-    most = F.least(F.length(a), F.length(b))
-    same = F.filter(F.sequence(F.lit(0), most), lambda n: F.substr(a, F.lit(1), n) == F.substr(b, F.lit(1), n))
-    return F.array_max(same)
+
+    def longest(x: Column) -> Column:
+        # a bit of the length at a time, from the highest down: what is known to be equal is not compared again
+        most = F.least(F.length(x["a"]), F.length(x["b"]))
+        bits = F.sequence(F.length(F.bin(most)) - 1, F.lit(0), F.lit(-1))
+        step = lambda k: F.call_function("shiftleft", F.lit(1), k)
+        more = lambda n, k: (n + step(k) <= most) & (F.substr(x["a"], n + 1, step(k)) == F.substr(x["b"], n + 1, step(k)))
+        return F.aggregate(bits, F.lit(0), lambda n, k: F.when(more(n, k), n + step(k)).otherwise(n))
+
+    # within a lambda the strings are made once
+    found = F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), longest)[0]
+    return F.when(left.isNotNull() & right.isNotNull(), found)
 
 
 def similarity(left: Column, right: Column) -> Column:

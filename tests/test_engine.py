@@ -3,7 +3,9 @@
 import gzip
 import io
 import random
+import time
 import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -113,6 +115,49 @@ def test_match_counts_of_tiles_equal_brute_force(spark, repetitive, k, low, high
         assert {r.contig_no: (r.n, r.distance) for r in repeats.match_counts(contigs, k, low, high, inverted, size).collect()} == want
 
 
+def test_kmer_counts_equal_brute_force_and_move_no_rows_of_kmers(spark, repetitive, capsys):
+    rows, contigs = repetitive
+    more = [s for s in ("ACGTTGCA" * 5, rows[0][3].lower()) if s]
+    contigs = contigs.unionByName(spark.createDataFrame([("f", 100 + i, "m", s) for i, s in enumerate(more)], SCHEMA))
+    texts = [r.seq.upper() for r in contigs.select("seq").collect() if r.seq]
+    for k in (1, 4, 20, 31, 33):
+        want = Counter(w for s in texts for i in range(len(s) - k + 1) if "N" not in (w := s[i : i + k]))
+        got = [tuple(r) for r in repeats.kmer_counts(contigs, k).select("kmer", "n").collect()]
+        assert len(got) == len(want) and dict(got) == want
+    repeats.kmer_counts(contigs, 20).explain()
+    assert "HashAggregate" not in capsys.readouterr().out
+
+
+def test_seed_extensions_equal_the_seeds(spark, repetitive, capsys):
+    _, contigs = repetitive
+    p = Params(seed=4, max_arm=12, min_distance=0, max_distance=60)
+    want = {(r.contig_no, r.a, r.b, r.len, r.len) for r in repeats.seeds(contigs.where("file IS NOT NULL AND contig_no IS NOT NULL"), p).collect()}
+    assert {(r.contig_no, r.a, r.b, r.len, r.n) for r in repeats.seed_extensions(contigs, p, 37).collect()} == want and want
+    repeats.seed_extensions(contigs, p).explain()
+    assert "Join" not in capsys.readouterr().out
+
+
+def test_arms_are_the_seeds_extended_where_they_are_found(spark, repetitive, capsys):
+    _, contigs = repetitive
+    p = Params(seed=4, max_arm=12, min_distance=0, max_distance=60)
+    for size in (37, repeats.TILE):
+        rows = lambda df: sorted(map(tuple, df.collect()))
+        got, want = rows(extension.arms(contigs, p, size)), rows(extension.extend(repeats.seeds(contigs, p, size), contigs, p, size))
+        assert got == want and want
+    pipeline.stages(contigs, p)["arms"].explain()
+    assert "Join" not in capsys.readouterr().out
+
+
+def test_common_prefix_takes_few_steps(spark):
+    """Prefixes of long strings: one comparison a bit of the length, not one a letter."""
+    s = "ACGT" * 10_000
+    df = spark.createDataFrame([(1, s, s), (2, s, s[:30_001] + "C" + s), (3, s, "C"), (4, s, ""), (5, None, s), (6, s + "N", s + "N"), (7, "NA", "NA")], "k int, a string, b string")
+    began = time.time()
+    got = {r.k: r.n for r in df.select("k", sequence.common_prefix(F.col("a"), F.col("b")).alias("n")).collect()}
+    assert got == {1: 40_000, 2: 30_001 + (s[30_001] == "C"), 3: 0, 4: 0, 5: None, 6: 40_000, 7: 0}
+    assert time.time() - began < 10
+
+
 def test_repeats_shuffle_no_kmers(spark, repetitive, capsys):
     """A shuffled k-mer takes some hundred times what its base takes."""
     _, contigs = repetitive
